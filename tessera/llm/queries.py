@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import minhash
+from tessera.llm import bpe, decontam, langid, minhash
 from tessera.llm.common import table
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_sha256().alias("items_sha256"), "contaminated")
+
+
+def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ["doc_id"], ids=False)
+
+
+def op8_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.coalesce(langid.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
 
 def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_minhash_join": op10_minhash_join}
+QUERIES = {f.__name__: f for f in (op5_positional_index, op6_merge_replay, op8_hyperdimensional, op10_minhash_join)}
 ORACLE: dict[str, str] = {}
