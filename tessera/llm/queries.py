@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, minhash
+from tessera.llm import bpe, decontam, langid, minhash, pii
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_sha256().alias("items_sha256"), "contaminated")
@@ -30,5 +34,5 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_positional_index, op6_merge_replay, op8_hyperdimensional, op10_minhash_join)}
+QUERIES = {f.__name__: f for f in (op4_disclosure, op5_positional_index, op6_merge_replay, op8_hyperdimensional, op10_minhash_join)}
 ORACLE: dict[str, str] = {}
