@@ -7,12 +7,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, minhash, pii
+from tessera.llm import bpe, decontam, langid, licenses, minhash, pii, quotes, sharding
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "license_id", F.array_join("notice_ids", ",").alias("notice_ids"), F.col("license_id").isNotNull().alias("is_license"))
+
+
+def op2_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +36,11 @@ def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ["doc_id"], ids=False)
 
 
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.conversations(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("clean_sha256", F.sha2(F.col("clean_text").cast("binary"), 256)).drop("clean_text")
+
+
 def op8_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.coalesce(langid.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
@@ -35,5 +50,5 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_disclosure, op5_positional_index, op6_merge_replay, op8_hyperdimensional, op10_minhash_join)} | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_canonical_digest, op2_hypergeometric, op4_disclosure, op5_positional_index, op6_merge_replay, op7_quotation_linking, op8_hyperdimensional, op10_minhash_join)} | {"pipeline": corpus_pipeline.run}
+ORACLE: dict[str, str] = {"op1_canonical_digest": licenses.oracle_sql()}
