@@ -59,16 +59,15 @@ def by_unit(dealt: DataFrame, work: Callable[[dict[str, list]], dict[str, list]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {x: [] for x in columns}
         out: dict[str, list] = {x: [] for x in names}
-        kinds: list = []
 
         def close() -> None:
-            if len(held["v"]) > 1 or (held["v"] and "alone" in columns):
-                for x, y in work(held).items():
+            if len(held["v"]) > 1:
+                for x, y in work(held | {"unit": key}).items():
                     out[x] += y
 
         for batch in batches:
             keys = list(zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("c", "i", "j")), strict=True))
-            rows = {x: batch.column(batch.schema.get_field_index(x)).to_pylist() for x in columns if x != "alone"}
+            rows = {x: batch.column(batch.schema.get_field_index(x)).to_pylist() for x in columns}
             for k, own in enumerate(keys):
                 if own != key:
                     close()
@@ -80,11 +79,10 @@ def by_unit(dealt: DataFrame, work: Callable[[dict[str, list]], dict[str, list]]
                 for x in rows:
                     held[x].append(rows[x][k])
         close()
-        kinds.clear()
         yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     arrow = pa.schema([(f.split()[0], {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in schema.split(", ")])
-    ordered = dealt.select("c", "i", "j", *[x for x in columns if x != "alone"]).repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+    ordered = dealt.select("c", "i", "j", *columns).repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
     return ordered.mapInArrow(run, schema)
 
 
