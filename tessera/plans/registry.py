@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tessera.plans import basic, spatial
+
+_MODULES = (basic, spatial)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
