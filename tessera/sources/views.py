@@ -61,7 +61,7 @@ DUCK = {
     "users": "SELECT DISTINCT user_id AS spot, (user_id % 25)::DOUBLE AS x, (user_id // 25)::DOUBLE AS y FROM events",
     "grid": "SELECT a.spot AS u, b.spot AS v FROM users a JOIN users b ON a.spot <> b.spot AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1",
 }
-_NEEDS = {"active": ["activation"], "grid": ["users"]}
+_NEEDS = {"active": ["activation"], "grid": ["users"]}  # in the order they are wanted
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
