@@ -153,11 +153,14 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
 
     Counts are over different surroundings, so copies of a passage count once. p = P(entity | term) comes from how often
     the term stands in surroundings with and without the entity in the whole corpus, the gain in bits is
-    log2(p / P(entity)), with P(entity) its share of all entities' surroundings.
+    log2(p / P(entity)), with P(entity) its share of all entities' surroundings. A term stands alone at least as often as
+    beside any entity.
     """
     near = found.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("x.*")
     pair = near.groupBy("entity", "term").agg(F.count_distinct("around").alias("together")).where(F.col("together") >= SUPPORT)
-    pair = stored(pair, "pairs")
+    # surroundings of any entity bound a term's count from below, which already rules out all common words
+    beside = near.groupBy("term").agg(F.count_distinct("around").alias("beside"))
+    pair = stored(pair.join(beside, "term").where(F.col("together") >= DISCLOSURE * F.col("beside")), "pairs")
     if pair.isEmpty():
         return pair.select("entity", "term")
     # the texts of the few terms left: found again by their hashes among the near words of texts with entities
@@ -171,7 +174,7 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     seen = seen.join(pair.select("term").distinct(), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("alone"))
     entity = near.groupBy("entity").agg(F.count_distinct("around").alias("here"))
     every = near.agg(F.count_distinct("around")).first()[0]
-    p = F.least(F.lit(1.0), F.col("together") / F.greatest("alone", "together"))
+    p = F.least(F.lit(1.0), F.col("together") / F.greatest("alone", "beside"))
     told = pair.join(seen, "term").join(entity, "entity")
     return told.where((p >= DISCLOSURE) & (F.log2(p * F.lit(float(every)) / F.col("here")) >= BITS)).select("entity", "term")
 
