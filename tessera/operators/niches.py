@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,15 +62,27 @@ def seeds(e: DataFrame, quantile: float = 0.6, most: int = 12) -> DataFrame:
 
 
 class _Backbone:
-    """A structure that grows edge by edge inside a component. Edges are rows with i, j, pi, pj, pair, key, rank."""
+    """A structure that grows edge by edge inside a component. at has the edges of each domain."""
 
-    def __init__(self, strong: list, every: list, seed):
-        self.strong, self.every = strong, every
+    def __init__(self, at: dict, by_key: dict, seed):
+        self.at, self.by_key = at, by_key
+        self.who = {e.pair_key: {e.program_i, e.program_j} for e in by_key.values()}
         self.nodes, self.programs, self.pairs, self.keys = {seed.i, seed.j}, {seed.program_i, seed.program_j}, {seed.pair_key}, {seed.edge_key}
 
     def _chosen(self, extra=None, pair=None, nodes=()):
-        near, keys = self.nodes | set(nodes), self.keys | ({extra} if extra else set())
-        return [e for e in self.every if e.edge_key in keys and e.i in near and e.j in near and (pair is None or e.pair_key == pair)]
+        near = self.nodes | set(nodes)
+        return [e for k in sorted(self.keys | ({extra} if extra else set())) if (e := self.by_key[k]).i in near and e.j in near and (pair is None or e.pair_key == pair)]
+
+    def _firm(self, x):
+        """Strong edges of two programs at a domain."""
+        return [e for e in self.at[x] if e.cross and e.is_strong]
+
+    def look_around(self) -> None:
+        """The rim of domains that strong edges lead to, and the pairs of strong edges inside core and rim."""
+        self.rim = {y for x in self.nodes for e in self._firm(x) for y in (e.i, e.j)} - self.nodes
+        near = self.nodes | self.rim
+        inside = {e.edge_key: e.pair_key for x in near for e in self._firm(x) if e.i in near and e.j in near}
+        self.inside = Counter(inside.values())
 
     def _stable(self, chosen: list, nodes: set) -> bool:
         return len(chosen) >= 2 and len({x for e in chosen for x in (e.i, e.j)} & nodes) >= 2
@@ -78,13 +92,12 @@ class _Backbone:
         ends = {c.i, c.j}
         if c.pair_key in self.pairs:
             return ends <= self.nodes
-        rim = {y for e in self.strong for x, y in ((e.i, e.j), (e.j, e.i)) if x in self.nodes and y not in self.nodes}
-        near = self.nodes | ends | rim
-        inside = [e for e in self.strong if e.i in near and e.j in near]
-        support = sum(e.pair_key == c.pair_key for e in inside)
+        near = self.nodes | self.rim | ends
+        local = {e.edge_key: e for x in ends for e in self._firm(x) if e.i in near and e.j in near}.values()
+        new = sum(e.pair_key == c.pair_key for e in local if not {e.i, e.j} <= self.nodes | self.rim)
+        support = self.inside[c.pair_key] + new
         if support >= 2 and not {c.program_i, c.program_j} <= self.programs:
             return True
-        local = [e for e in inside if e.i in ends or e.j in ends]
         kinds = {e.pair_key for e in local}
         return c.pair_key in kinds and len(local) >= 2 and len(self.pairs | kinds) >= 2 and bool(kinds - self.pairs)
 
@@ -93,27 +106,28 @@ class _Backbone:
         known = c.pair_key in self.pairs
         local = [e for e in self._chosen(c.edge_key, nodes=ends) if e.cross and e.is_strong]
         kinds = {e.pair_key for e in local}
-        shares = any(set(c.pair_key.split("|")) & set(p.split("|")) for p in self.pairs)
+        shares = any(self.who[c.pair_key] & self.who[p] for p in self.pairs)
         touching = {e.pair_key for e in local if e.i in self.nodes or e.j in self.nodes}
         new_pair = not known and shares and c.pair_key in kinds and len(kinds) >= 2 and len(touching) >= 2
         new_program = False
         if new_pair:
             for p in {c.program_i, c.program_j} - self.programs:
-                held = [(e, y) for e in self.strong for q, y in ((e.program_i, e.j), (e.program_j, e.i)) if q == p and y in self.nodes]
+                held = [(e, y) for y in self.nodes for e in self._firm(y) if p == (e.program_j if e.i == y else e.program_i)]
                 new_program |= len({y for _, y in held}) >= 2 or any(e.pair_key in self.pairs for e, _ in held)
         before = self._chosen(pair=c.pair_key, nodes=ends)
         was = self._stable(before, self.nodes)
         lifted = known and not was and self._stable(self._chosen(c.edge_key, c.pair_key, ends), self.nodes | ends)
         surplus = (1.0 if len(before) >= 3 else 0.5) if known and was else 0.0
-        repeats = 0 if new_pair or new_program else sum(e.pair_key in self.pairs for e in self.strong if e.i in ends or e.j in ends)
+        repeats = 0 if new_pair or new_program else sum(e.pair_key in self.pairs for e in {e.edge_key: e for x in ends for e in self._firm(x)}.values())
         dense = 1.0 if repeats >= 3 else 0.5 if repeats >= 2 else 0.0
         return GAIN[0] * new_pair + GAIN[1] * new_program + GAIN[2] * lifted - GAIN[3] * surplus - GAIN[4] * dense, new_pair, new_program, lifted
 
     def grow(self) -> None:
         while True:
             best = None
-            for c in self.every:
-                if c.edge_key in self.keys or not {c.i, c.j} & self.nodes or not self._promising(c):
+            self.look_around()
+            for c in {e.edge_key: e for x in self.nodes for e in self.at[x]}.values():
+                if c.edge_key in self.keys or not self._promising(c):
                     continue
                 g = self.gain(c)
                 if g[0] > 0 and (best is None or (-g[0], -c.rank, c.edge_key) < best[0]):
@@ -134,15 +148,15 @@ class _Backbone:
 
     def members(self, rounds: int = 2) -> dict[str, bool]:
         """Domains that join the backbone, with whether they do so by nearness alone."""
-        program = {x: p for e in self.every for x, p in ((e.i, e.program_i), (e.j, e.program_j))}
+        program = {x: e.program_i if e.i == x else e.program_j for x, own in self.at.items() for e in own[:1]}
         own = {program[x] for x in self.nodes}
         held, soft = set(self.nodes), {}
         for _ in range(rounds):
             new = set()
             for x in sorted(set(program) - held):
-                touch = [(e, e.j if e.i == x else e.i) for e in self.every if x in (e.i, e.j) and (e.j if e.i == x else e.i) in held]
+                touch = [(e, e.j if e.i == x else e.i) for e in self.at[x] if (e.j if e.i == x else e.i) in held]
                 firm, loose = [(e, y) for e, y in touch if e.is_strong], {y for e, y in touch if e.proximity_contact}
-                if any(e.cross and e.pair_key not in self.pairs and not set(e.pair_key.split("|")) & own for e, _ in firm):
+                if any(e.cross and e.pair_key not in self.pairs and not self.who[e.pair_key] & own for e, _ in firm):
                     continue
                 around, anchored = {program[y] for _, y in touch}, any(y in self.nodes for _, y in firm)
                 if not touch or not (anchored or len(loose) >= 2 or len(around) >= 2):
@@ -177,7 +191,10 @@ def structures(e: DataFrame, seeded: DataFrame, most: int = 3) -> DataFrame:
         rank = lambda c: group[c].rank(method="average", pct=True)
         group = group.assign(rank=(0.65 * rank("edge_strength") + 0.35 * rank("edge_reliability")).clip(0, 1)).sort_values("edge_key")
         every = list(group.itertuples(index=False))
-        strong = [x for x in every if x.cross and x.is_strong]
+        at, by_key = defaultdict(list), {x.edge_key: x for x in every}
+        for x in every:
+            at[x.i].append(x)
+            at[x.j].append(x)
         starts, seen = [], set()
         for s in sorted((x for x in every if x.seed_rank == x.seed_rank and x.seed_rank is not None), key=lambda x: x.seed_rank):
             if s.pair_key not in seen and len(starts) < most:
@@ -185,7 +202,7 @@ def structures(e: DataFrame, seeded: DataFrame, most: int = 3) -> DataFrame:
                 starts.append(s)
         out = {}
         for s in starts:
-            b = _Backbone(strong, every, s)
+            b = _Backbone(at, by_key, s)
             b.grow()
             members = b.members()
             inner = [x for x in every if x.i in members and x.j in members]

@@ -26,17 +26,17 @@ def query(oracle: str | None = None):
     return add
 
 
-def _members(spark, sf):
+def _members(spark, sf, quantile=0.6):
     """Domains: connected active spots of a program, by program and smallest spot."""
-    a = H.stored(V.active(spark, sf), "active")
+    a = H.stored(V.active(spark, sf, quantile), "active")
     g = H.stored(grid(spark, sf), "grid")
     c = H.components(a.select("program", "spot"), H.stored(_inner(a.select("program", "spot"), g), "inner"))
     m = c.join(a, ["program", "spot"]).select(F.concat_ws("/", "program", F.col("component").cast("string")).alias("domain"), "program", "spot", "value")
     return H.stored(m, "members"), g, a
 
 
-def _domains(spark, sf):
-    m, g, a = _members(spark, sf)
+def _domains(spark, sf, quantile=0.6):
+    m, g, a = _members(spark, sf, quantile)
     d = D.geometry(m, g, V.users(spark, sf)).join(D.prominence(m, a, g), "domain")
     d = d.withColumn("confidence", D.confidence_weight(F.length("program") / 10.0))
     return H.stored(D.reliability(d), "domains"), m, g
@@ -122,8 +122,8 @@ def w16_domain_ids(spark, sf):
     return k.join(base.select("program", "base"), "program").select("domain", F.format_string("D%06d", F.col("base") + F.col("rn")).alias("domain_id"))
 
 
-def _edges(spark, sf):
-    d, m, g = _domains(spark, sf)
+def _edges(spark, sf, quantile=0.6):
+    d, m, g = _domains(spark, sf, quantile)
     graph = H.stored(D.domain_graph(m, g, d), "graph")
     b = D.boundary_spots(m, g).join(V.users(spark, sf), "spot").withColumnRenamed("domain", "group")
     # domains without contact meet through spots within reach of each other; further ones can't be near enough
@@ -148,14 +148,14 @@ def g14_f5_interaction_edges(spark, sf):
 
 @query()
 def g15_w9_seeds(spark, sf):
-    e = H.stored(N.prepared(_edges(spark, sf)[0]), "prepared")
+    e = H.stored(N.prepared(_edges(spark, sf, 0.95)[0]), "prepared")
     return N.seeds(e).select("component", "edge_key", r("seed_score").alias("seed_score"), "seed_rank")
 
 
 @query()
 def g16_g20_niches(spark, sf):
     """Backbones, members, the basic filter and near copies, end to end."""
-    e = H.stored(N.prepared(_edges(spark, sf)[0]), "prepared")
+    e = H.stored(N.prepared(_edges(spark, sf, 0.95)[0]), "prepared")
     s = N.basic_filter(N.structures(e, H.stored(N.seeds(e), "seeds")))
     s = N.deduplicate(H.stored(s, "structures"), ["component"])
     return s.select("component", "pattern", "member_count", "program_count", "pairs", "cross_edges", "strong_edges", r("confidence").alias("confidence"), "fail_reason", "passed")
@@ -163,7 +163,7 @@ def g16_g20_niches(spark, sf):
 
 @query()
 def b2_null_model(spark, sf):
-    e = H.stored(N.prepared(_edges(spark, sf)[0]), "prepared")
+    e = H.stored(N.prepared(_edges(spark, sf, 0.95)[0]), "prepared")
     return N.shuffled(e, 7).groupBy("pair_key").agg(F.count(F.lit(1)).alias("n"))
 
 

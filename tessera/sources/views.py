@@ -43,10 +43,10 @@ def gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_brand").alias("term"), F.col("p_name").alias("gene")).distinct()
 
 
-def active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(program, spot, value) above the 0.6 quantile of its program."""
+def active(spark: SparkSession, sf_dir: str, quantile: float = 0.6) -> DataFrame:
+    """(program, spot, value) above a quantile of its program."""
     a = activation(spark, sf_dir)
-    q = a.groupBy("program").agg(F.percentile("value", F.lit(0.6)).alias("q"))
+    q = a.groupBy("program").agg(F.percentile("value", F.lit(quantile)).alias("q"))
     return a.join(q, "program").where("value > q").drop("q")
 
 
