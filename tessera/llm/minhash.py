@@ -52,8 +52,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, x in zip(np.flatnonzero(some).tolist(), packed, strict=True):
             sketches[k] = x.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(full, pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), lists, pa.array(sketches, pa.binary())],
-            names=["doc_id", "n_shingles", "v", "posts", "sketch"],
+            [rows.column(0), rows.column(2), pa.array(full, pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), lists, pa.array(sketches, pa.binary())],
+            names=["doc_id", "text_key", "n_shingles", "v", "posts", "sketch"],
         )
 
 
@@ -138,7 +138,7 @@ def _bloom(keys: DataFrame, n: int) -> tuple[bytes, int]:
 
 
 def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOCK) -> DataFrame:
-    """Groups of near-duplicate texts: doc_id, n_shingles, component_id, kept and row_key for each row of docs.
+    """Groups of near-duplicate texts: doc_id, n_shingles, component_id, kept and text_key for each row of docs.
 
     Two texts are linked when their sets of distinct five-word shingles have share percent of their union in common.
     Method: every distinct set posts itself under PREFIX of its (coordinate, value) pairs, the smallest in one global
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOC
     Equal sets are one vertex. Null, empty and blank texts have n_shingles 0 and component_id = doc_id. Repeated rows
     stay rows, and a null doc_id is not kept unless nothing else tells it from its group. Only doc_id and text are read.
     """
-    base = stored(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, v binary, posts array<long>, sketch binary"), "sketch")
+    base = stored(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, v binary, posts array<long>, sketch binary"), "sketch")
     sets = base.where("n_shingles > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("posts").alias("posts"), F.first("sketch").alias("sketch"))
     posted = stored(sets, "sets")
     rows = posted.select(F.explode("posts").alias("token"), "v", "sketch")
@@ -168,16 +168,17 @@ def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOC
     grouped = posted.select("v", "rep").join(found, "v", "left").select("v", "rep", F.coalesce("c", "v").alias("c"))
     smallest = grouped.groupBy("c").agg(F.min("rep").alias("component_id"))
     names = grouped.join(smallest, "c").select("v", "component_id")
-    out = base.select("doc_id", "n_shingles", "v").join(names, "v", "left")
+    out = base.select("doc_id", "text_key", "n_shingles", "v").join(names, "v", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_key")
 
 
 def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
     """The rows of docs without all but one document of each near-duplicate group; of repeated rows one stays.
 
-    Rows without words are their own groups and stay. Rows without doc_id stay only when they have no words.
+    Rows without words are their own groups and stay. Rows without doc_id go when their group has a row with one.
     """
-    gone = near_duplicates(docs, share).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    gone = near_duplicates(docs, share).where("NOT kept AND n_shingles > 0 AND (doc_id IS NOT NULL OR component_id IS NOT NULL)")
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
     return left.withColumn("_key", hashed_key("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates(["_key"]).drop("_key")

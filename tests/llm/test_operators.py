@@ -1,0 +1,370 @@
+"""Each operator against a plain version of its contract, over texts chosen to be awkward."""
+
+import collections
+import hashlib
+import json
+import random
+import re
+import zlib
+from pathlib import Path
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from tessera.llm import bpe, clusters, decontam, langid, licenses, lm, minhash, pii, quotes, sharding, vectors
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, v string, digest string, token string"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def texts():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    out = [None, "", " \n\t ", "one", "two words", "a b c d", "A B C D E", "a b c d e", "é É ß 日本語 🙂", "!!!!", "x" * 30000, "to " * 4000]
+    base = [rng.choice(vocabulary) for _ in range(200)]
+    for k in range(40):  # near copies, some over and some under the threshold
+        own = list(base)
+        for _ in range(k // 4):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        out.append(" ".join(own))
+    out += [" ".join(base)] * 5 + ["  ".join(base).upper()]
+    out += [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 120))) for _ in range(60)]
+    out += ["Mail a.b@c.de or +1 (555) 010-9999, card 4111 1111 1111 1111, host 10.0.0.256 and 10.0.0.25.7", "x@y.z_w@q.org"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, ("en", "de", None)[k % 3], "s", None, "clash", "clash", "clash") for k, t in enumerate(texts())]
+    rows += [rows[20], rows[20], (None, "null id " + texts()[20], "en", None, 1, None, None, None), (7, "another text with the same id", None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def key(r):
+    return tuple((x is not None, str(x)) for x in r)
+
+
+def shingle_set(text):
+    w = (text or "").translate(LOW).encode().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_minhash(docs, empty, block):
+    rows = docs.select("doc_id", "text").collect()
+    sets = [shingle_set(r.text) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for k, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[find(k)] = min(least.get(find(k), 1 << 60), r.doc_id)
+    want = sorted(((r.doc_id, len(s), least.get(find(k)) if s else r.doc_id, r.doc_id is not None and (not s or r.doc_id == least[find(k)])) for k, (r, s) in enumerate(zip(rows, sets))), key=key)
+    got = sorted((tuple(r)[:4] for r in minhash.near_duplicates(docs, block=block).collect()), key=key)
+    assert got == want
+    assert minhash.near_duplicates(empty).count() == 0
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in want if r[3]}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
+    got = {r.v: r.c for r in clusters.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in list(root)}
+    assert clusters.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+@pytest.mark.parametrize("pass_bytes", [1 << 20, 400])
+def test_decontamination(spark, docs, empty, pass_bytes):
+    t = texts()
+    long = WORD.findall(t[30])
+    items = [(1, " ".join(long[20:60])), (2, "a b c d"), (10, " ".join(long[40:53])), (4, None), (5, ""), (6, "zz yy xx"), (7, " ".join(long[20:60]).upper())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {}
+    for item, text in items:
+        w = WORD.findall((text or "").translate(LOW))
+        for win in [w[i : i + 13] for i in range(len(w) - 12)] if len(w) >= 13 else [w] if w else []:
+            found.setdefault(tuple(win), set()).add(str(item))
+    want = []
+    for r in docs.collect():
+        w, hit, own = WORD.findall((r.text or "").translate(LOW)), set(), set()
+        for n in {len(x) for x in found}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in found:
+                    hit |= set(range(i, i + n))
+                    own |= found[tuple(w[i : i + n])]
+        want.append((r.doc_id, len(w), len(hit), sorted(own)))
+    got = [tuple(r) for r in decontam.matches(docs, bench, pass_bytes=pass_bytes).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert decontam.matches(empty, bench).count() == 0
+    none = decontam.contaminated(docs, bench.limit(0)).collect()
+    assert len(none) == docs.count() and not any(r.contaminated for r in none)
+    bad = {i for i, n, h, _ in want if h and 20 * h >= n}
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} >= {r.doc_id for r in docs.collect()} - bad
+
+
+def test_proximity():
+    terms = np.array([3, 5, 9], np.uint64)
+    ends, postings = np.array([2, 4, 5]), np.array([0, 50, 3, 90, 52], np.int32)
+    assert decontam.near(terms, ends, postings, np.array([3, 9], np.uint64), 2).tolist() == [52]
+    assert decontam.near(terms, ends, postings, np.array([3, 5, 9], np.uint64), 2).tolist() == []
+
+
+PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def plain_spans(text):
+    out = []
+    for k, (name, pattern) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": name == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and pii.luhn(d), "phone": 10 <= len(d) <= 15}[name]
+            if good:
+                out.append((m.start(), k, m.end(), name))
+    return [(s, e, n) for s, _, e, n in sorted(out)]
+
+
+def test_pii_spans():
+    rng = random.Random(3)
+    for _ in range(20000):
+        text = "".join(rng.choice("a1.@-+ 4_%()2é,00") for _ in range(rng.randrange(60)))
+        assert pii.base_spans(text) == plain_spans(text)
+    pii.base_spans("a@" + "b" * 200000 + " x@y " + "1" * 100000 + "1." * 50000 + "+1(" * 50000)  # in linear time
+
+
+def test_pii(spark, docs, empty):
+    for r, d in ((x, docs) for x in pii.digest(docs).collect()):
+        pass
+    want = sorted((r.doc_id, ",".join(f"{k}:{s}:{e}" for s, e, k in plain_spans(r.text))) for r in docs.where("doc_id IS NOT NULL").collect())
+    assert sorted((r.doc_id, r.spans) for r in pii.digest(docs).collect() if r.doc_id is not None) == want
+    assert pii.digest(empty).count() == 0 and pii.sanitise(empty).count() == 0
+    # a nickname that stands by one address and nowhere else, against words that stand everywhere
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.sample(words, 6)) + " zorblax jo@example.org " + " ".join(rng.sample(words, 6)), 0) for k in range(6)]
+    rows += [(100 + k, " ".join(rng.sample(words, 9)) + f" u{k}@example.org " + " ".join(rng.sample(words, 9)), 0) for k in range(200)]
+    rows += [(1000, "zorblax alone", 13), (1001, " ".join(words), 0)]
+    told = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    found = {r.doc_id: r for r in pii.digest(told).collect()}
+    assert all(found[k].n_term == 1 and "term:" in found[k].spans for k in range(6))
+    assert all(found[k].n_term == 0 for k in found if k >= 100)
+    clean = {r.doc_id: r for r in pii.sanitise(told).collect()}
+    assert "zorblax" not in clean[0].text and "[EMAIL]" in clean[0].text and "[TERM]" in clean[0].text and clean[0].n_chars == len(clean[0].text)
+    assert clean[1000].text == "zorblax alone" and clean[1001].text == " ".join(words)
+
+
+def test_bpe(docs, empty):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = bpe.encode(docs, path, public_tokenizers.PATTERN, ["doc_id", "text"]).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        ids = library.encode_ordinary(r.text or "")
+        assert r.ids == ids and r.n_tokens == len(ids) and bpe.decode(ids, ranks) == (r.text or "").encode()
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert bpe.encode(empty, path, public_tokenizers.PATTERN, ["doc_id"]).count() == 0
+
+
+def test_bpe_random_words():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    words = ["".join(rng.choice(s) for _ in range(rng.randint(1, 40))) for s in ("ab", "then ", "éàüß", "0123456789", "あいう漢字", "aA!? \n") for _ in range(400)]
+    for w, own in zip(words, bpe.replay([w.encode() for w in words], bpe.MergeTable(ranks)), strict=True):
+        assert np.frombuffer(own, "<u4").tolist() == library._encode_single_piece(w.encode())
+
+
+def test_language(spark, docs, empty):
+    rng = random.Random(4)
+    kinds = {"x": ["the", "and", "ing", "ion"], "y": ["sch", "ung", "ein", "ach"], "z": ["ção", "mente", "ñar", "que"]}
+    rows = [(k, " ".join("".join(rng.choice(kinds[s]) for _ in range(2)) for _ in range(rng.randint(3, 60))), s) for k in range(600) for s in [rng.choice("xyz")]]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {k: s for k, _, s in rows}
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(held) > 50 and sum(r.lang_pred == want[r.doc_id] for r in held) / len(held) > 0.98
+    out = langid.identify(docs, ["doc_id", "text", "v"]).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in out)
+    assert langid.identify(empty).count() == 0
+    assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).withColumn("lang", docs.v.substr(99, 1).cast("string")).where("text IS NULL")).collect()} == {"und"}
+
+
+def test_sharding(docs, empty):
+    rows = sharding.shard(docs, 7).collect()
+    assert len(rows) == docs.count()
+    counts = collections.Counter(r.shard for r in rows)
+    assert set(counts) == set(range(7)) and max(counts.values()) - min(counts.values()) <= 1
+    for s, n in counts.items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+    for r in rows:
+        assert r.size >= 16
+    by_id = {r.doc_id: r for r in rows}
+    text = {r.doc_id: (r.text or "").encode() for r in docs.where("doc_id > 10").collect()}
+    assert all(by_id[k].text_crc32 == zlib.crc32(t) and by_id[k].size == len(t) + 16 for k, t in text.items())
+    again = sharding.shard(docs.repartition(2), 7).collect()
+    assert sorted(map(key, again)) == sorted(map(key, rows))
+    assert sharding.shard(empty, 7).count() == 0
+
+
+def test_hypergeometric():
+    rng = random.Random(1)
+    draws = [sharding.hypergeometric(rng, 30, 70, 20) for _ in range(20000)]
+    assert abs(np.mean(draws) - 6) < 0.05 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.12
+    m = sharding.communication_matrix([5, 0, 12, 83], [34, 33, 33], 3)
+    assert [sum(r) for r in m] == [5, 0, 12, 83] and [sum(c) for c in zip(*m)] == [34, 33, 33]
+
+
+def test_uniform_shuffle(spark):
+    """Over seeds, a row's shard and slot are close to uniform."""
+    d = spark.range(40).selectExpr("id AS doc_id", "'t' AS text")
+    seen = np.zeros((40, 4))
+    for seed in range(12):
+        for r in sharding.shard(d, 4, seed).collect():
+            seen[r.doc_id, r.shard] += 1
+    assert seen.sum(axis=0).tolist() == [120.0] * 4 and seen.max() <= 10
+
+
+def test_licenses(spark, empty):
+    mit = licenses.MIT
+    rows = [(1, mit), (2, "Copyright (c) 2020 Jo\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE")), (3, "Released under the MIT Licence\nmore"), (4, "nothing"), (5, None), (6, ""), (7, mit + " and more"), (8, "© 1999 X\n" + licenses.ISC), (1, mit)]
+    got = [(r.doc_id, r.license_id, r.notice_ids) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", licenses.F.lit("clash"))).collect()]
+    want = [(1, "MIT", []), (1, "MIT", []), (2, "MIT", []), (3, None, ["MIT"]), (4, None, []), (5, None, []), (6, None, []), (7, None, []), (8, "ISC", [])]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert licenses.scan(empty).count() == 0
+    own = spark.createDataFrame([("own", "My licence."), ("blank", " "), ("other", "my License")], "license_id string, text string")
+    assert licenses.scan(spark.createDataFrame([(1, "MY LICENSE!")], "doc_id long, text string"), own).first().license_id == "other"
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 16))
+    many = np.concatenate([base + rng.normal(size=base.shape) * s for s in (0.0, 0.02, 0.05, 0.1, 0.15)] + [np.repeat(base[:1], 300, axis=0) + rng.normal(size=(300, 16)) * 0.02])
+    rows = [(k, [float(x) for x in np.float32(v)], int(k % 2)) for k, v in enumerate(many)]
+    rows += [(9000, None, 0), (9001, [0.0] * 16, 0), (9002, [float("nan")] * 16, 0), (9003, [None, 1.0], 0), (9004, rows[0][1], None), (9005, rows[0][1], 0), (9005, rows[0][1], 0), (9006, [1.0, 0.0], 0), (9007, [], 1), (9008, [float(x) * 1e30 for x in rows[0][1]], 0)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumnRenamed("x", "v")
+    good = [(k, np.array(r[1], np.float64)) for k, r in enumerate(rows) if r[2] is not None and r[1] and None not in r[1] and np.isfinite(np.float32(r[1])).all() and any(r[1])]
+    n, root = collections.Counter(), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in good:
+        for b, y in good:
+            if a < b and rows[a][2] == rows[b][2] and len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
+                n[a] += 1
+                n[b] += 1
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    want = sorted((r[0], n[k], rows[find(k)][0], r[0] == rows[find(k)][0]) for k, r in enumerate(rows))
+    for block in (256, 20):
+        got = sorted(tuple(r) for r in vectors.links(e, block=block).collect())
+        assert sum(r[1] for r in got) >= 0.99 * sum(n.values())  # the index may miss links; here it should not
+        assert got == want
+    assert vectors.links(e.limit(0)).count() == 0
+
+
+def test_backoff(spark, docs, empty, monkeypatch):
+    split = re.compile(r"[^\x20\x09-\x0D]+")
+    rows = docs.select("doc_id", "text").collect()
+    w = [split.findall((r.text or "").translate(LOW)) for r in rows]
+    uni, bi = collections.Counter(x for d in w for x in d), collections.Counter(p for d in w for p in zip(d, d[1:]))
+    before, tokens = collections.Counter(), sum(uni.values())
+    for (v, _), n in bi.items():
+        before[v] += n
+
+    def total(d):
+        out = np.log10(uni[d[0]] / tokens) if d else 0.0
+        for v, x in zip(d, d[1:]):
+            out += np.log10(bi[v, x] / before[v]) if bi[v, x] >= 2 else np.log10(0.4 * uni[x] / tokens)
+        return out
+
+    want = sorted(((r.doc_id, len(d), total(d)) for r, d in zip(rows, w)), key=key)
+    for part, block in ((12 << 20, 8 << 20), (20_000, 10_000)):  # one partition and block, and many
+        monkeypatch.setattr(lm, "PART_BYTES", part)
+        monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+        for hot in (1 / 2048, 1 / 20):
+            got = sorted(((r.doc_id, r.n_words, r.log_score) for r in lm.score(docs, hot_share=hot).collect()), key=key)
+            assert [g[:2] for g in got] == [x[:2] for x in want]
+            assert np.allclose(sorted(g[2] for g in got), sorted(x[2] for x in want), atol=1e-5)
+    assert lm.score(empty).count() == 0
+
+
+def test_quotes(spark):
+    rows = [
+        (1, 0, "u", "Shall we meet?\nOn Monday."), (1, 1, "v", "> Shall  we MEET?\nYes."), (1, 2, "w", "> On Monday.\nNo, Tuesday."), (1, 3, "u", ">> Shall we meet?\n> Yes.\nGood."), (1, 4, "v", "> never said\nHm."),
+        (2, 0, "u", None), (2, 1, "v", ""), (2, 1, "v", ""), (3, 5, None, "> > a\nb"), (None, 1, "u", "x"), (4, None, "u", "x"),
+    ]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("hash", licenses.F.lit(1)).withColumn("level", licenses.F.lit(1))
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(d).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 0), (2, 1), (3, 5)}
+    assert [got[1, k].reply_to for k in range(5)] == [None, 0, 0, 1, 3]
+    assert [got[1, k].n_linked for k in range(5)] == [0, 1, 1, 2, 0] and got[1, 3].max_level == 2 and got[3, 5].max_level == 2
+    assert got[1, 3].clean_text == "Good." and got[1, 2].clean_text == "No, Tuesday." and got[2, 1].clean_text == ""
+    for c in (1, 2, 3):
+        own = [r for k, r in got.items() if k[0] == c]
+        assert sorted(r.position for r in own) == list(range(1, len(own) + 1))
+        at = {r.turn: r.position for r in own}
+        assert all(r.reply_to is None or r.root == r.turn or at[r.reply_to] < r.position for r in own)
+    assert quotes.conversations(d.limit(0)).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts())]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, texts()[60])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = {r.doc_id for r in out.collect()}
+    assert 0 not in ids and 9 not in ids and 60 not in ids  # null, no letters, contaminated
+    assert len(ids) < len(rows) and {3, 4} <= ids
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "language ID"
+
+
+def test_registered():
+    from tessera.llm import queries
+
+    assert {int(m[1]) for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 11)) and "pipeline" in queries.QUERIES
+    for name in ("licenses.py", "sharding.py"):  # native main paths
+        source = (Path(queries.__file__).parent / name).read_text()
+        assert not re.search(r"pandas|pyarrow|mapIn|applyIn|\.rdd|udf", source), name
+    assert json.dumps(sorted(queries.ORACLE))
