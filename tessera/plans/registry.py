@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import basic, regions, spatial
+from tessera.plans import basic, cohort, programs, regions, spatial
 
-_MODULES = (basic, spatial, regions)
+_MODULES = (basic, spatial, regions, programs, cohort)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
