@@ -19,9 +19,9 @@ LEAST_COUNT = 2
 #: Words and bigrams with this share of all tokens or more go to every task with their counts: 1 / HOT of them at most.
 HOT = 1 / 2048
 #: Tokens of a block, whose n-grams are packed together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 #: Bytes of text for each partition of the tables.
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 
 _ROW = "part int, kind int, block long, a binary, b binary, c binary, d binary"
 _ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcd")])
