@@ -65,7 +65,7 @@ class _Backbone:
     """A structure that grows edge by edge inside a component. at has the edges of each domain."""
 
     def __init__(self, at: dict, by_key: dict, seed):
-        self.at, self.by_key = at, by_key
+        self.at, self.by_key, self.firm = at, by_key, {}
         self.who = {e.pair_key: {e.program_i, e.program_j} for e in by_key.values()}
         self.nodes, self.programs, self.pairs, self.keys = {seed.i, seed.j}, {seed.program_i, seed.program_j}, {seed.pair_key}, {seed.edge_key}
 
@@ -75,7 +75,9 @@ class _Backbone:
 
     def _firm(self, x):
         """Strong edges of two programs at a domain."""
-        return [e for e in self.at[x] if e.cross and e.is_strong]
+        if x not in self.firm:
+            self.firm[x] = [e for e in self.at[x] if e.cross and e.is_strong]
+        return self.firm[x]
 
     def look_around(self) -> None:
         """The rim of domains that strong edges lead to, and the pairs of strong edges inside core and rim."""
@@ -122,19 +124,28 @@ class _Backbone:
         dense = 1.0 if repeats >= 3 else 0.5 if repeats >= 2 else 0.0
         return GAIN[0] * new_pair + GAIN[1] * new_program + GAIN[2] * lifted - GAIN[3] * surplus - GAIN[4] * dense, new_pair, new_program, lifted
 
+    def _most(self, c) -> float:
+        if c.pair_key in self.pairs:
+            return GAIN[2]
+        return GAIN[0] + GAIN[1] * (not {c.program_i, c.program_j} <= self.programs)
+
     def grow(self) -> None:
         while True:
             best = None
             self.look_around()
-            for c in {e.edge_key: e for x in self.nodes for e in self.at[x]}.values():
-                if c.edge_key in self.keys or not self._promising(c):
+            open_ = {e.edge_key: e for x in self.nodes for e in self.at[x] if e.edge_key not in self.keys}.values()
+            # what a candidate can gain at most decides where the search may end; ranks and keys decide ties
+            for most, low, key, c in sorted(((-self._most(c), -c.rank, c.edge_key, c) for c in open_), key=lambda x: x[:3]):
+                if best and (best[0][0] < most or best[0][0] == most == best[3]):
+                    break
+                if not self._promising(c):
                     continue
                 g = self.gain(c)
-                if g[0] > 0 and (best is None or (-g[0], -c.rank, c.edge_key) < best[0]):
-                    best = (-g[0], -c.rank, c.edge_key), c, g
+                if g[0] > 0 and (best is None or (-g[0], low, key) < best[0]):
+                    best = (-g[0], low, key), c, g, most
             if best is None:
                 return
-            _, c, (_, _, new_program, lifted) = best
+            _, c, (_, _, new_program, lifted), _ = best
             if not (new_program or lifted):
                 ends = {c.i, c.j}
                 held = [e for e in self._chosen(c.edge_key, nodes=ends) if e.cross and e.is_strong and {e.i, e.j} & ends]

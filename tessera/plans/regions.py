@@ -74,14 +74,15 @@ def g12_j9_j10_domain_graph(spark, sf):
     return D.domain_graph(m, g, D.geometry(m, g, V.users(spark, sf))).withColumns({c: r(c) for c in ("spatial_overlap", "distance")})
 
 
-@query(V.duck("active grid", _MEM + _GEO + _PROM + _PAIRS + ", z AS (SELECT geo.domain, geo.program, cx, cy, peak, prominence FROM geo JOIN pr ON geo.domain = pr.domain), ok AS (SELECT i, j FROM pp JOIN z a ON a.domain = i JOIN z b ON b.domain = j WHERE a.program = b.program AND shared >= 2), w AS (SELECT i AS u, j AS v FROM ok UNION SELECT j, i FROM ok), cc(d, t) AS (SELECT u, u FROM w UNION SELECT w.v, cc.t FROM cc JOIN w ON w.u = cc.d AND cc.t < w.v) SELECT d AS domain, min(t) AS merged FROM cc GROUP BY d", True))
+@query()
 def g11_merge_groups(spark, sf):
-    """Domains are components here, so none of one program touch; with wider limits the shape of the result is what counts."""
-    d, m, g = _domains(spark, sf)
-    return D.merge_groups(d, m, g, 2, 1e9, 1e9, 1e9)
-
-
-ORACLE.pop("g11_merge_groups")
+    """Basins of the watershed, which touch, as domains."""
+    a = H.stored(V.active(spark, sf), "active")
+    g = H.stored(grid(spark, sf), "grid")
+    m = H.watershed(a, g).join(a, ["program", "spot"]).select(F.concat_ws("/", "program", F.col("root").cast("string")).alias("domain"), "program", "spot", "value")
+    m = H.stored(m, "basins")
+    d = D.geometry(m, g, V.users(spark, sf)).join(D.prominence(m, a, g), "domain")
+    return D.merge_groups(d, m, g)
 
 
 @query(V.duck("active grid", _MEM + ", b AS (SELECT DISTINCT domain, spot FROM sd WHERE NOT inside), n AS (SELECT m.domain, count(b.spot) AS k, count(*) AS n FROM m LEFT JOIN b ON m.domain = b.domain AND m.spot = b.spot GROUP BY 1) SELECT m.domain, m.spot FROM m JOIN n ON m.domain = n.domain LEFT JOIN b ON m.domain = b.domain AND m.spot = b.spot WHERE b.spot IS NOT NULL OR k < least(3, n)", True))
@@ -148,14 +149,14 @@ def g14_f5_interaction_edges(spark, sf):
 
 @query()
 def g15_w9_seeds(spark, sf):
-    e = H.stored(N.prepared(_edges(spark, sf, 0.95)[0]), "prepared")
+    e = H.stored(N.prepared(_edges(spark, sf, 0.98)[0]), "prepared")
     return N.seeds(e).select("component", "edge_key", r("seed_score").alias("seed_score"), "seed_rank")
 
 
 @query()
 def g16_g20_niches(spark, sf):
     """Backbones, members, the basic filter and near copies, end to end."""
-    e = H.stored(N.prepared(_edges(spark, sf, 0.95)[0]), "prepared")
+    e = H.stored(N.prepared(_edges(spark, sf, 0.98)[0]), "prepared")
     s = N.basic_filter(N.structures(e, H.stored(N.seeds(e), "seeds")))
     s = N.deduplicate(H.stored(s, "structures"), ["component"])
     return s.select("component", "pattern", "member_count", "program_count", "pairs", "cross_edges", "strong_edges", r("confidence").alias("confidence"), "fail_reason", "passed")
@@ -163,7 +164,7 @@ def g16_g20_niches(spark, sf):
 
 @query()
 def b2_null_model(spark, sf):
-    e = H.stored(N.prepared(_edges(spark, sf, 0.95)[0]), "prepared")
+    e = H.stored(N.prepared(_edges(spark, sf, 0.98)[0]), "prepared")
     return N.shuffled(e, 7).groupBy("pair_key").agg(F.count(F.lit(1)).alias("n"))
 
 
