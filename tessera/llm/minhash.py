@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import clusters
-from tessera.llm.common import binaries, hashed_key, steps, stored
+from tessera.llm.common import binaries, flat, hashed_key, steps, stored
 from tessera.llm.words import SPACED, digest, mix, shingles, words
 
 COORDINATES = 64
@@ -18,8 +18,10 @@ COORDINATES = 64
 PREFIX = 20
 #: Of 64 coordinates compared by two bits each, 0.75 similar sets agree on 52 (deviation 3.1).
 AGREE = 37
-#: Next documents of a posting list that each document is compared with.
-AHEAD = 2
+#: Longest posting list that one task compares by itself; longer ones are dealt in pairs of blocks of this many rows.
+LIST = 4096
+#: Pairs that more sets than this post come last in the order, so only sets with little else post them.
+HOT = 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -37,48 +39,136 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, at in steps(batches):
-        hashes, word_at = words(data, at, SPACED)
-        sets = shingles(hashes, word_at)
-        signature = _signatures([x for x in sets if len(x)])
-        named = mix(signature.astype(np.uint64) | (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
-        posts = np.sort(named, axis=1)[:, :PREFIX].astype(np.int64)
-        bits = (mix(named) & np.uint64(3)).astype(np.uint8).reshape(len(named), -1, 4)
-        packed = bits[:, :, 0] | bits[:, :, 1] << 2 | bits[:, :, 2] << 4 | bits[:, :, 3] << 6
+        sets = shingles(*words(data, at, SPACED))
         full = np.array([len(x) for x in sets])
-        some = full > 0
-        count = np.where(some, PREFIX, 0)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(posts.ravel()))
-        sketches: list[bytes | None] = [None] * len(sets)
-        for k, x in zip(np.flatnonzero(some).tolist(), packed, strict=True):
-            sketches[k] = x.tobytes()
+        signatures: list[bytes | None] = [None] * len(sets)
+        for k, x in zip(np.flatnonzero(full).tolist(), _signatures([x for x in sets if len(x)]), strict=True):
+            signatures[k] = x.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), rows.column(2), pa.array(full, pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), lists, pa.array(sketches, pa.binary())],
-            names=["doc_id", "text_key", "n_shingles", "v", "posts", "sketch"],
+            [rows.column(0), rows.column(2), pa.array(full, pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), pa.array(signatures, pa.binary())],
+            names=["doc_id", "text_key", "n_shingles", "v", "signature"],
         )
 
 
+def _named(column: pa.Array) -> np.ndarray:
+    """64-bit names of the (coordinate, value) pairs of signatures, a row for each."""
+    data, at = flat(column)
+    values = data.view("<u4").reshape(len(at) - 1, COORDINATES)
+    return mix(values.astype(np.uint64) | (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
+
+
+def _counted(buckets: int):
+    """(bucket, n): how many pairs of a task's signatures fall into each bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            total += np.bincount((_named(batch.column(0)) & np.uint64(buckets - 1)).astype(np.int64).ravel(), minlength=buckets)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["bucket", "n"])
+
+    return run
+
+
+def _loads(posted: DataFrame) -> np.ndarray:
+    """Upper bounds, by bucket of the pair's name, of how many sets have a pair, in powers of two: at most 4 MiB."""
+    n = posted.count()
+    buckets = 1 << min(22, max(16, (n - 1).bit_length()))
+    rows = posted.select("signature").mapInArrow(_counted(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # one byte a bucket: the exponent of the least power of two that is not below the count
+    rows = rows.select("bucket", F.ceil(F.log2("n")).cast("byte").alias("power")).toArrow()
+    power = np.zeros(buckets, np.uint8)
+    power[rows.column("bucket").to_numpy()] = rows.column("power").to_numpy()
+    return power
+
+
+def _power_of(n: int) -> int:
+    """The greatest exponent of a power of two that is not above n."""
+    return n.bit_length() - 1
+
+
+def _posts(power: np.ndarray, longest: int):
+    """PREFIX postings (token, v, sketch) of each set, with long where the token's list may be longer than longest."""
+    late = np.maximum(power.astype(np.int64) - _power_of(HOT), 0).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2048):
+                rows = batch.slice(low, 2048)
+                named = _named(rows.column(1))
+                bucket = (named & np.uint64(len(power) - 1)).astype(np.int64)
+                first = np.argsort(late[bucket] << np.uint64(58) | named >> np.uint64(6), axis=1)[:, :PREFIX]
+                bits = (mix(named) & np.uint64(3)).astype(np.uint8).reshape(len(named), -1, 4)
+                packed = bits[:, :, 0] | bits[:, :, 1] << 2 | bits[:, :, 2] << 4 | bits[:, :, 3] << 6
+                each = np.repeat(np.arange(rows.num_rows), first.shape[1])
+                at = pa.array(each)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.take_along_axis(named, first, 1).ravel().view(np.int64)), rows.column(0).take(at), binaries(list(packed)).take(at),
+                     pa.array(power[np.take_along_axis(bucket, first, 1).ravel()] > _power_of(longest))],
+                    names=["token", "v", "sketch", "long"],
+                )
+
+    return run
+
+
+def _agree(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which sketches, rows of two 64-bit numbers, have AGREE coordinates or more in common with one."""
+    other = sketches ^ one
+    other = (other | other >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    return np.bitwise_count(other).sum(axis=-1, dtype=np.uint8) <= COORDINATES - AGREE
+
+
+def _forest(sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Joins all rows that agree, directly or through others, after comparing every pair not joined before."""
+    left, out, ahead = np.arange(len(sketches)), [], []
+    while len(left) or ahead:
+        if not ahead:
+            ahead, left = [int(left[0])], left[1:]
+        pivot = ahead.pop()
+        if len(left):
+            agree = _agree(sketches[left], sketches[pivot])
+            if agree.any():
+                found = left[agree].tolist()
+                out += [(pivot, x) for x in found]
+                ahead += found
+                left = left[~agree]
+    return out
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of near rows of one posting list, in rows sorted by list, that agree on enough coordinates."""
-    held = (np.zeros(0, np.int64), np.zeros((0, 16), np.uint8), np.zeros((0, 16), np.uint8))
-    same = np.array([sum(not (x >> k) & 3 for k in (0, 2, 4, 6)) for x in range(256)], np.uint8)
+    """Pairs that join the rows of each posting list, of rows sorted by list; no list is longer than LIST."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    held = pa.RecordBatch.from_pydict({"token": [], "v": [], "sketch": []}, pa.schema([("token", pa.int64()), ("v", pa.binary()), ("sketch", pa.binary())]))
+
+    def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
+        token, sketch = rows.column(0).to_numpy(), flat(rows.column(2))[0].view("<u8").reshape(-1, 2)
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        size = np.diff(np.append(start, len(token)))
+        two = start[size == 2]
+        two = two[_agree(sketch[two], sketch[two + 1])]
+        a, b = two.tolist(), (two + 1).tolist()
+        for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            for x, y in _forest(sketch[at : at + n]):
+                a.append(at + x)
+                b.append(at + y)
+        v = rows.column(1)
+        return pa.RecordBatch.from_arrays([v.take(pa.array(a, pa.int64())), v.take(pa.array(b, pa.int64()))], schema=schema)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        token = np.concatenate((held[0], batch.column(0).to_numpy()))
-        v, sketch = (np.concatenate((held[k], np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 16))) for k in (1, 2))
-        a, b = [], []
-        for ahead in range(1, AHEAD + 1):
-            first = np.flatnonzero(token[:-ahead] == token[ahead:])
-            first = first[first + ahead >= len(held[0])]
-            agree = same[sketch[first] ^ sketch[first + ahead]].sum(axis=1)
-            first = first[agree >= AGREE]
-            a.append(v[first])
-            b.append(v[first + ahead])
-        held = (token[-AHEAD:], v[-AHEAD:], sketch[-AHEAD:])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            pairs = np.unique(np.concatenate((a, b), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([binaries(list(pairs[:, :16])), binaries(list(pairs[:, 16:]))], names=["a", "b"])
+        rows = pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
+        token = rows.column(0).to_numpy()
+        whole = int(np.searchsorted(token, token[-1]))  # the last list may go on in the next batch
+        if whole:
+            yield pairs(rows.slice(0, whole))
+        held = rows.slice(whole)
+    if held.num_rows:
+        yield pairs(held)
+
+
+def _agreeing_blocks(held: dict[str, list]) -> dict[str, list]:
+    found = _forest(np.frombuffer(b"".join(held["sketch"]), "<u8").reshape(-1, 2))
+    return {"a": [held["v"][x] for x, _ in found], "b": [held["v"][y] for _, y in found]}
 
 
 def _linked(held: dict[str, list], share: float) -> dict[str, list]:
@@ -137,26 +227,30 @@ def _bloom(keys: DataFrame, n: int) -> tuple[bytes, int]:
     return bytes(filled), count
 
 
-def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOCK, longest: int = LIST) -> DataFrame:
     """Groups of near-duplicate texts: doc_id, n_shingles, component_id, kept and text_key for each row of docs.
 
     Two texts are linked when their sets of distinct five-word shingles have share percent of their union in common.
-    Method: every distinct set posts itself under PREFIX of its (coordinate, value) pairs, the smallest in one global
-    order; sets with 45 of 64 equal coordinates meet for certain. Rows of a posting list are compared with the next
-    AHEAD, so a list costs rows in proportion to its length; pairs that agree on AGREE coordinates or more join two sets
-    to a cluster. Inside a cluster all pairs are decided on full sets, in pairs of blocks, and leave a spanning forest.
+    Method: every distinct set posts itself under PREFIX of its (coordinate, value) pairs, the first in one global order;
+    sets with 45 of 64 equal coordinates meet for certain. Within a posting list all pairs not yet joined are compared,
+    and those that agree on AGREE coordinates or more are joined to clusters. A list longer than longest is dealt in pairs
+    of blocks, so no task holds it. Inside a cluster all pairs are decided on full sets, again in pairs of blocks, and
+    leave a spanning forest.
 
     Equal sets are one vertex. Null, empty and blank texts have n_shingles 0 and component_id = doc_id. Repeated rows
     stay rows, and a null doc_id is not kept unless nothing else tells it from its group. Only doc_id and text are read.
     """
-    base = stored(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, v binary, posts array<long>, sketch binary"), "sketch")
-    sets = base.where("n_shingles > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("posts").alias("posts"), F.first("sketch").alias("sketch"))
+    base = stored(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, v binary, signature binary"), "sketch")
+    sets = base.where("n_shingles > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     posted = stored(sets, "sets")
-    rows = posted.select(F.explode("posts").alias("token"), "v", "sketch")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Lists longer than a partition are cut by the hash, so no list has to fit one task.
-    ordered = rows.repartitionByRange(parts, "token", F.xxhash64("v", "token")).sortWithinPartitions("token", F.xxhash64("v", "token"))
-    candidates = ordered.select("token", "v", "sketch").mapInArrow(_agreeing, "a binary, b binary").distinct()
+    power = _loads(posted)
+    rows = posted.select("v", "signature").mapInArrow(_posts(power, longest), "token long, v binary, sketch binary, long boolean")
+    short = rows.where("NOT long").select("token", "v", "sketch").repartition("token").sortWithinPartitions("token")
+    candidates = short.mapInArrow(_agreeing, "a binary, b binary")
+    if (power > _power_of(longest)).any():
+        dealt = clusters.blocks(rows.where("long").select("v", "sketch", F.col("token").alias("c")), longest)
+        candidates = candidates.unionByName(clusters.by_unit(dealt, _agreeing_blocks, "a binary, b binary", ["v", "sketch"]))
+    candidates = candidates.distinct()
     members = stored(clusters.components(candidates).join(posted.select("v", "rep"), "v"), "members")
     n = members.count()
     keyed = members.select(F.xxhash64("rep").alias("h"))

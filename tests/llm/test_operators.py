@@ -86,6 +86,23 @@ def test_minhash(docs, empty, block):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in want if r[3]}
 
 
+@pytest.mark.parametrize("longest", [4096, 8])
+def test_minhash_long_lists(spark, longest):
+    """Near copies made of passages that very many unlike texts share are found wherever they stand in the lists."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{k}w{rng.randrange(10**6)}" for _ in range(40)) for k in range(6)]
+    rows = []
+    for k in range(150):
+        a, b = rng.sample(passages, 2)
+        own = [f"d{k}w{j}" for j in range(60)]
+        rows.append((2 * k, f"{a} {' '.join(own)} {b}"))
+        if k % 5 == 0:
+            own[rng.randrange(60)] = "changed"
+            rows.append((2 * k + 1, f"{a} {' '.join(own)} {b}"))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), longest=longest).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
