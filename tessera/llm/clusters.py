@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import flat, stored
 
 #: Members of one block of a cluster; a task holds two blocks at a time.
 BLOCK = 256
+#: Longest posting list that one task compares by itself; longer ones are dealt in pairs of blocks of this many rows.
+LIST = 4096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -103,3 +105,69 @@ def joined(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
             root[max(x, y)] = min(x, y)
             out.append((a, b))
     return out
+
+
+def forest(codes: np.ndarray, agree: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Joins all rows that agree, directly or through others, after comparing every pair not joined before."""
+    left, out, ahead = np.arange(len(codes)), [], []
+    while len(left) or ahead:
+        if not ahead:
+            ahead, left = [int(left[0])], left[1:]
+        pivot = ahead.pop()
+        if len(left):
+            near = agree(codes[left], codes[pivot])
+            if near.any():
+                found = left[near].tolist()
+                out += [(pivot, x) for x in found]
+                ahead += found
+                left = left[~near]
+    return out
+
+
+def in_lists(agree: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int):
+    """For mapInArrow over rows (token, v, code) sorted by token: the pairs (a, b) that join the rows of each list.
+
+    A code is width 64-bit numbers. Only one list is held at a time, so lists must be bounded; see in_blocks.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    inner = pa.schema([("token", pa.int64()), ("v", pa.binary()), ("code", pa.binary())])
+
+    def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
+        token, codes = rows.column(0).to_numpy(), flat(rows.column(2))[0].view("<u8").reshape(-1, width)
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        size = np.diff(np.append(start, len(token)))
+        two = start[size == 2]
+        two = two[agree(codes[two], codes[two + 1])]
+        a, b = two.tolist(), (two + 1).tolist()
+        for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            for x, y in forest(codes[at : at + n], agree):
+                a.append(at + x)
+                b.append(at + y)
+        v = rows.column(1)
+        return pa.RecordBatch.from_arrays([v.take(pa.array(a, pa.int64())), v.take(pa.array(b, pa.int64()))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.RecordBatch.from_arrays(batch.columns, schema=inner)
+            rows = pa.Table.from_batches([held, own] if held else [own]).combine_chunks().to_batches()[0]
+            token = rows.column(0).to_numpy()
+            whole = int(np.searchsorted(token, token[-1]))  # the last list may go on in the next batch
+            if whole:
+                yield pairs(rows.slice(0, whole))
+            held = rows.slice(whole)
+        if held:
+            yield pairs(held)
+
+    return run
+
+
+def in_blocks(agree: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int):
+    """The same for the units of by_unit, with the codes in the column sketch: lists of any length."""
+    def work(held: dict[str, list]) -> dict[str, list]:
+        found = forest(np.frombuffer(b"".join(held["sketch"]), "<u8").reshape(-1, width), agree)
+        return {"a": [held["v"][x] for x, _ in found], "b": [held["v"][y] for _, y in found]}
+
+    return work

@@ -18,8 +18,6 @@ COORDINATES = 64
 PREFIX = 20
 #: Of 64 coordinates compared by two bits each, 0.75 similar sets agree on 52 (deviation 3.1).
 AGREE = 37
-#: Longest posting list that one task compares by itself; longer ones are dealt in pairs of blocks of this many rows.
-LIST = 4096
 #: Pairs that more sets than this post come last in the order, so only sets with little else post them.
 HOT = 1 << 16
 
@@ -117,60 +115,6 @@ def _agree(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.bitwise_count(other).sum(axis=-1, dtype=np.uint8) <= COORDINATES - AGREE
 
 
-def _forest(sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Joins all rows that agree, directly or through others, after comparing every pair not joined before."""
-    left, out, ahead = np.arange(len(sketches)), [], []
-    while len(left) or ahead:
-        if not ahead:
-            ahead, left = [int(left[0])], left[1:]
-        pivot = ahead.pop()
-        if len(left):
-            agree = _agree(sketches[left], sketches[pivot])
-            if agree.any():
-                found = left[agree].tolist()
-                out += [(pivot, x) for x in found]
-                ahead += found
-                left = left[~agree]
-    return out
-
-
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that join the rows of each posting list, of rows sorted by list; no list is longer than LIST."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    held = pa.RecordBatch.from_pydict({"token": [], "v": [], "sketch": []}, pa.schema([("token", pa.int64()), ("v", pa.binary()), ("sketch", pa.binary())]))
-
-    def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
-        token, sketch = rows.column(0).to_numpy(), flat(rows.column(2))[0].view("<u8").reshape(-1, 2)
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        size = np.diff(np.append(start, len(token)))
-        two = start[size == 2]
-        two = two[_agree(sketch[two], sketch[two + 1])]
-        a, b = two.tolist(), (two + 1).tolist()
-        for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            for x, y in _forest(sketch[at : at + n]):
-                a.append(at + x)
-                b.append(at + y)
-        v = rows.column(1)
-        return pa.RecordBatch.from_arrays([v.take(pa.array(a, pa.int64())), v.take(pa.array(b, pa.int64()))], schema=schema)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
-        token = rows.column(0).to_numpy()
-        whole = int(np.searchsorted(token, token[-1]))  # the last list may go on in the next batch
-        if whole:
-            yield pairs(rows.slice(0, whole))
-        held = rows.slice(whole)
-    if held.num_rows:
-        yield pairs(held)
-
-
-def _agreeing_blocks(held: dict[str, list]) -> dict[str, list]:
-    found = _forest(np.frombuffer(b"".join(held["sketch"]), "<u8").reshape(-1, 2))
-    return {"a": [held["v"][x] for x, _ in found], "b": [held["v"][y] for _, y in found]}
-
-
 def _linked(held: dict[str, list], share: float) -> dict[str, list]:
     """A spanning forest of the links among the sets of one unit, from exact intersections."""
     sets = [np.frombuffer(x, np.uint64) for x in held["shingles"]]
@@ -227,7 +171,7 @@ def _bloom(keys: DataFrame, n: int) -> tuple[bytes, int]:
     return bytes(filled), count
 
 
-def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOCK, longest: int = LIST) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOCK, longest: int = clusters.LIST) -> DataFrame:
     """Groups of near-duplicate texts: doc_id, n_shingles, component_id, kept and text_key for each row of docs.
 
     Two texts are linked when their sets of distinct five-word shingles have share percent of their union in common.
@@ -246,10 +190,10 @@ def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOC
     power = _loads(posted)
     rows = posted.select("v", "signature").mapInArrow(_posts(power, longest), "token long, v binary, sketch binary, long boolean")
     short = rows.where("NOT long").select("token", "v", "sketch").repartition("token").sortWithinPartitions("token")
-    candidates = short.mapInArrow(_agreeing, "a binary, b binary")
+    candidates = short.mapInArrow(clusters.in_lists(_agree, 2), "a binary, b binary")
     if (power > _power_of(longest)).any():
         dealt = clusters.blocks(rows.where("long").select("v", "sketch", F.col("token").alias("c")), longest)
-        candidates = candidates.unionByName(clusters.by_unit(dealt, _agreeing_blocks, "a binary, b binary", ["v", "sketch"]))
+        candidates = candidates.unionByName(clusters.by_unit(dealt, clusters.in_blocks(_agree, 2), "a binary, b binary", ["v", "sketch"]))
     candidates = candidates.distinct()
     members = stored(clusters.components(candidates).join(posted.select("v", "rep"), "v"), "members")
     n = members.count()

@@ -22,8 +22,6 @@ BITS = 64
 LEAST_KEY, MOST_KEY = 12, 30
 #: Two codes further apart are not candidates: at the least cosine 4 of 64 bits differ in the mean (deviation 2).
 APART = 16
-#: Next rows of a list that a row is compared with.
-AHEAD = 4
 
 
 def learn(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,31 +81,14 @@ def _coded(models: dict[int, tuple[np.ndarray, np.ndarray]]):
                 sign = np.zeros((len(own), BITS), np.uint8)
                 sign[:, : axes.shape[1]] = (x - mean) @ axes >= 0
                 codes[own] = np.packbits(sign, axis=1, bitorder="little").view("<i8").ravel()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in raw], pa.int32()), pa.array(codes)], names=["v", "label", "dim", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in raw], pa.int32()), pa.array(codes), pa.array([x.tobytes() for x in codes], pa.binary())], names=["v", "label", "dim", "code", "sketch"])
 
     return run
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of near rows of one list, in rows sorted by list and code, whose codes are not far apart."""
-    held = (np.zeros(0, np.int64), np.zeros((0, 16), np.uint8), np.zeros(0, np.int64))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token = np.concatenate((held[0], batch.column(0).to_numpy()))
-        v = np.concatenate((held[1], np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 16)))
-        code = np.concatenate((held[2], batch.column(2).to_numpy()))
-        pairs = []
-        for ahead in range(1, AHEAD + 1):
-            first = np.flatnonzero(token[:-ahead] == token[ahead:])
-            first = first[first + ahead >= len(held[0])]
-            first = first[np.bitwise_count(code[first].view(np.uint64) ^ code[first + ahead].view(np.uint64)) <= APART]
-            pairs.append(np.concatenate((v[first], v[first + ahead]), axis=1))
-        held = (token[-AHEAD:], v[-AHEAD:], code[-AHEAD:])
-        both = np.unique(np.concatenate(pairs), axis=0)
-        if len(both):
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in both[:, k : k + 16]], pa.binary()) for k in (0, 16)], names=["a", "b"])
-
+def _near(codes: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which codes differ from one in APART bits at most."""
+    return np.bitwise_count(codes ^ one).sum(axis=-1, dtype=np.uint8) <= APART
 
 
 def _counted(held: dict[str, list], least: float) -> dict[str, list]:
@@ -131,7 +112,7 @@ def _counted(held: dict[str, list], least: float) -> dict[str, list]:
     return {"a": [v[k] for k in some] + [v[k] for k, _ in forest], "b": [None] * len(some) + [v[k] for _, k in forest], "n": [int(n[k]) for k in some] + [None] * len(forest)}
 
 
-def links(embeddings: DataFrame, least: float = LEAST_COSINE, block: int = clusters.BLOCK) -> DataFrame:
+def links(embeddings: DataFrame, least: float = LEAST_COSINE, block: int = clusters.BLOCK, longest: int = clusters.LIST) -> DataFrame:
     """For each row of embeddings (vec_id, embedding, label): vec_id, n_links, component_id and kept.
 
     Rows are linked when labels are equal and the cosine is least or more. Rows with a null label, or a vector that is
@@ -139,9 +120,10 @@ def links(embeddings: DataFrame, least: float = LEAST_COSINE, block: int = clust
 
     Method: signs of a learned rotation give each distinct vector a 64-bit code. The code is cut into keys of several
     tables, and a vector stands in each table under its key and all keys one bit away, so any two codes that differ by
-    2 bits or fewer in some key meet. Near rows of a list join two vectors to a cluster unless their codes differ in
-    more than APART bits. Inside a cluster all pairs are decided with the original vectors in double precision, in pairs
-    of blocks; equal vectors are one row with a count. Recall is that of the tables; tests measure it.
+    2 bits or fewer in some key meet. Within a list all pairs not yet joined are compared, and those whose codes differ
+    in APART bits at most are joined to clusters; a list longer than longest is dealt in pairs of blocks. Inside a
+    cluster all pairs are decided with the original vectors in double precision, in pairs of blocks; equal vectors are
+    one row with a count. Recall is that of the tables; tests measure it.
     """
     base = stored(embeddings.select("vec_id", "label", "embedding").mapInArrow(_prepare, f"vec_id long, label {embeddings.schema['label'].dataType.simpleString()}, v binary, raw binary"), "vectors")
     fine = base.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.first("label").alias("label"), F.first("raw").alias("raw"))
@@ -152,14 +134,19 @@ def links(embeddings: DataFrame, least: float = LEAST_COSINE, block: int = clust
         sample.setdefault(len(x), []).append(x)
     models = {dim: learn(np.stack(x)) for dim, x in sample.items()}
     width = min(MOST_KEY, max(LEAST_KEY, (fine.count() or 1).bit_length()))
-    coded = fine.select("v", "label", "raw").mapInArrow(_coded(models), f"v binary, label {fine.schema['label'].dataType.simpleString()}, dim int, code long")
+    coded = fine.select("v", "label", "raw").mapInArrow(_coded(models), f"v binary, label {fine.schema['label'].dataType.simpleString()}, dim int, code long, sketch binary")
     tables = BITS // width
     key = lambda t: F.shiftrightunsigned("code", t * width).bitwiseAND(F.lit((1 << width) - 1))
     posts = F.array(*[F.struct(F.lit(t).alias("t"), k.alias("k")) for t in range(tables) for k in (key(t), *(key(t).bitwiseXOR(F.lit(1 << x)) for x in range(width)))])
-    rows = coded.select("v", "code", "label", "dim", F.explode(posts).alias("p")).select(F.xxhash64("label", "dim", "p.t", "p.k").alias("token"), "v", "code")
-    parts = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "token", "code", "v").sortWithinPartitions("token", "code", "v")
-    members = stored(clusters.components(ordered.mapInArrow(_near, "a binary, b binary").distinct()), "members")
+    rows = coded.select("v", "sketch", "label", "dim", F.explode(posts).alias("p")).select(F.xxhash64("label", "dim", "p.t", "p.k").alias("token"), "v", "sketch")
+    crowded = stored(rows.groupBy("token").count().where(F.col("count") > longest).select("token"), "crowded")
+    some = not crowded.isEmpty()
+    short = (rows.join(crowded, "token", "left_anti") if some else rows).select("token", "v", "sketch").repartition("token").sortWithinPartitions("token")
+    candidates = short.mapInArrow(clusters.in_lists(_near, 1), "a binary, b binary")
+    if some:
+        lists = clusters.blocks(rows.join(crowded, "token", "left_semi").select("v", "sketch", F.col("token").alias("c")), longest)
+        candidates = candidates.unionByName(clusters.by_unit(lists, clusters.in_blocks(_near, 1), "a binary, b binary", ["v", "sketch"]))
+    members = stored(clusters.components(candidates.distinct()), "members")
     dealt = clusters.blocks(fine.select("v", "raw", "many").join(members, "v"), block)
     found = stored(clusters.by_unit(dealt, lambda held: _counted(held, least), "a binary, b binary, n long", ["v", "raw", "many", "own"]), "links")
     counts = found.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("n"))

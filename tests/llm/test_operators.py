@@ -312,8 +312,8 @@ def test_vectors(spark):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     want = sorted((r[0], n[k], rows[find(k)][0], r[0] == rows[find(k)][0]) for k, r in enumerate(rows))
-    for block in (256, 20):
-        got = sorted(tuple(r) for r in vectors.links(e, block=block).collect())
+    for block, longest in ((256, 4096), (20, 16)):
+        got = sorted(tuple(r) for r in vectors.links(e, block=block, longest=longest).collect())
         assert sum(r[1] for r in got) >= 0.99 * sum(n.values())  # the index may miss links; here it should not
         assert got == want
     assert vectors.links(e.limit(0)).count() == 0
