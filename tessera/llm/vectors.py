@@ -18,19 +18,26 @@ LEAST_COSINE = 0.98
 SAMPLE = 8192
 ROUNDS = 40
 BITS = 64
-#: Bits of a table's key, by the number of vectors: lists stay short as the tables grow.
-LEAST_KEY, MOST_KEY = 12, 30
-#: Two codes further apart are not candidates: at the least cosine 4 of 64 bits differ in the mean (deviation 2).
+#: Tables at least, whatever the number of vectors: with keys one bit away on both sides, codes that differ in
+#: 3 * TABLES - 1 bits are sure to meet. Longer keys would make shorter lists, but fewer tables.
+TABLES = 5
+#: Two codes further apart are not candidates, unless more flips are measured at the least cosine: in isotropic vectors
+#: 4 of 64 bits differ in the mean (deviation 2).
 APART = 16
+#: Deviations above the mean up to which flipped bits are expected.
+DEVIATIONS = 5
 
 
 def learn(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The mean and a projection (dimension, bits): principal directions, rotated so that signs lose the least."""
+    """The mean and a projection (dimension, bits): principal directions, rotated so that signs lose the least.
+
+    Few vectors have no mean taken off, as it would stand between near ones and turn all their signs apart.
+    """
     dim = sample.shape[1]
     bits = min(BITS, dim)
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
     if len(sample) <= bits:
-        return mean, np.linalg.qr(np.random.default_rng(3).normal(size=(dim, bits)))[0]
+        return np.zeros(dim), np.linalg.qr(np.random.default_rng(3).normal(size=(dim, bits)))[0]
+    mean = sample.mean(axis=0)
     _, _, axes = np.linalg.svd(sample - mean, full_matrices=False)
     axes = axes[:bits].T
     flat = (sample - mean) @ axes
@@ -41,6 +48,25 @@ def learn(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, axes @ turn
 
 
+def flips(sample: np.ndarray, mean: np.ndarray, axes: np.ndarray, least: float) -> int:
+    """Bits in which the codes of two vectors at cosine least are expected to differ at most.
+
+    Measured on the sample's unit vectors, each with a partner in a random direction of the projection's own space.
+    """
+    side = np.random.default_rng(5).normal(size=(len(sample), axes.shape[1])) @ axes.T
+    side -= (side * sample).sum(axis=1, keepdims=True) * sample
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    other = least * sample + np.sqrt(max(0.0, 1 - least * least)) * side
+    n = (((sample - mean) @ axes >= 0) != ((other - mean) @ axes >= 0)).sum(axis=1)
+    return min(axes.shape[1], int(np.ceil(n.mean() + DEVIATIONS * n.std())))
+
+
+def layout(apart: int) -> tuple[int, int]:
+    """(tables, width): codes that differ in apart bits are sure to meet, and in 3 * TABLES - 1 at any rate."""
+    tables = max(TABLES, -(-(apart + 1) // 3))
+    return tables, BITS // tables
+
+
 def _matrix(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]:
     """Vectors as doubles, and which of them can be compared: not null, no null or non-finite component, not zero."""
     out, fine = [], np.zeros(len(column), bool)
@@ -86,9 +112,9 @@ def _coded(models: dict[int, tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def _near(codes: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Which codes differ from one in APART bits at most."""
-    return np.bitwise_count(codes ^ one).sum(axis=-1, dtype=np.uint8) <= APART
+def _near(apart: int):
+    """Which codes differ from one in apart bits at most."""
+    return lambda codes, one: np.bitwise_count(codes ^ one).sum(axis=-1, dtype=np.uint8) <= apart
 
 
 def _counted(held: dict[str, list], least: float) -> dict[str, list]:
@@ -118,10 +144,11 @@ def links(embeddings: DataFrame, least: float = LEAST_COSINE, block: int = clust
     Rows are linked when labels are equal and the cosine is least or more. Rows with a null label, or a vector that is
     null, empty, zero or has null or non-finite components, are linked with nothing; so are vectors of different length.
 
-    Method: signs of a learned rotation give each distinct vector a 64-bit code. The code is cut into keys of several
-    tables, and a vector stands in each table under its key and all keys one bit away, so any two codes that differ by
-    2 bits or fewer in some key meet. Within a list all pairs not yet joined are compared, and those whose codes differ
-    in APART bits at most are joined to clusters; a list longer than longest is dealt in pairs of blocks. Inside a
+    Method: signs of a learned rotation give each distinct vector a 64-bit code. The code is cut into the keys of TABLES
+    tables, or of more where the flips measured at the least cosine ask for it, never of fewer for the sake of size. A
+    vector stands in each table under its key and all keys one bit away, so any two codes that differ by 2 bits or fewer
+    in some key meet. Within a list all pairs not yet joined are compared, and those whose codes differ in APART bits (or
+    the measured flips) at most are joined to clusters; a list longer than longest is dealt in pairs of blocks. Inside a
     cluster all pairs are decided with the original vectors in double precision, in pairs of blocks; equal vectors are
     one row with a count. Recall is that of the tables; tests measure it.
     """
@@ -133,19 +160,20 @@ def links(embeddings: DataFrame, least: float = LEAST_COSINE, block: int = clust
         x = np.frombuffer(r.raw) / np.linalg.norm(np.frombuffer(r.raw))
         sample.setdefault(len(x), []).append(x)
     models = {dim: learn(np.stack(x)) for dim, x in sample.items()}
-    width = min(MOST_KEY, max(LEAST_KEY, (fine.count() or 1).bit_length()))
+    expected = max((flips(np.stack(x), *models[dim], least) for dim, x in sample.items()), default=0)
+    tables, width = layout(expected)
+    near = _near(max(APART, expected))
     coded = fine.select("v", "label", "raw").mapInArrow(_coded(models), f"v binary, label {fine.schema['label'].dataType.simpleString()}, dim int, code long, sketch binary")
-    tables = BITS // width
     key = lambda t: F.shiftrightunsigned("code", t * width).bitwiseAND(F.lit((1 << width) - 1))
     posts = F.array(*[F.struct(F.lit(t).alias("t"), k.alias("k")) for t in range(tables) for k in (key(t), *(key(t).bitwiseXOR(F.lit(1 << x)) for x in range(width)))])
     rows = coded.select("v", "sketch", "label", "dim", F.explode(posts).alias("p")).select(F.xxhash64("label", "dim", "p.t", "p.k").alias("token"), "v", "sketch")
     crowded = stored(rows.groupBy("token").count().where(F.col("count") > longest).select("token"), "crowded")
     some = not crowded.isEmpty()
     short = (rows.join(crowded, "token", "left_anti") if some else rows).select("token", "v", "sketch").repartition("token").sortWithinPartitions("token")
-    candidates = short.mapInArrow(clusters.in_lists(_near, 1), "a binary, b binary")
+    candidates = short.mapInArrow(clusters.in_lists(near, 1), "a binary, b binary")
     if some:
         lists = clusters.blocks(rows.join(crowded, "token", "left_semi").select("v", "sketch", F.col("token").alias("c")), longest)
-        candidates = candidates.unionByName(clusters.by_unit(lists, clusters.in_blocks(_near, 1), "a binary, b binary", ["v", "sketch"]))
+        candidates = candidates.unionByName(clusters.by_unit(lists, clusters.in_blocks(near, 1), "a binary, b binary", ["v", "sketch"]))
     members = stored(clusters.components(candidates.distinct()), "members")
     dealt = clusters.blocks(fine.select("v", "raw", "many").join(members, "v"), block)
     found = stored(clusters.by_unit(dealt, lambda held: _counted(held, least), "a binary, b binary, n long", ["v", "raw", "many", "own"]), "links")

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -319,6 +320,30 @@ def test_vectors(spark):
     assert vectors.links(e.limit(0)).count() == 0
 
 
+def test_vectors_of_many(spark):
+    """Pairs near the least cosine are found among many vectors as among few, with a common mean too."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    mean = unit(rng.normal(size=(1, 64))) * 0.75
+    x = unit(unit(rng.normal(size=(70_000, 64))) + mean)
+    side = rng.normal(size=(4000, 64))
+    side = unit(side - (side * x[:4000]).sum(axis=1, keepdims=True) * x[:4000])
+    y = 0.9805 * x[:4000] + np.sqrt(1 - 0.9805**2) * side
+    table = pa.table({"vec_id": np.concatenate((np.arange(70_000), 100_000 + np.arange(4000))), "label": np.zeros(74_000, np.int32), "embedding": np.concatenate((x, y)).tolist()})
+    got = {r.vec_id: r.component_id for r in vectors.links(spark.createDataFrame(table)).collect()}
+    assert sum(got[100_000 + k] != k for k in range(4000)) == 0
+
+
+def test_vectors_of_two(spark):
+    x = np.random.default_rng(1).normal(size=32)
+    e = spark.createDataFrame([(1, x.tolist(), 0), (2, (x + 0.001).tolist(), 0)], "vec_id long, embedding array<double>, label int")
+    assert [r.component_id for r in vectors.links(e).collect()] == [1, 1]
+
+
+def test_vector_tables():
+    assert vectors.layout(0) == (5, 12) and all(3 * vectors.layout(k)[0] > k and vectors.layout(k)[0] * vectors.layout(k)[1] <= 64 for k in range(65))
+
+
 def test_backoff(spark, docs, empty, monkeypatch):
     split = re.compile(r"[^\x20\x09-\x0D]+")
     rows = docs.select("doc_id", "text").collect()
