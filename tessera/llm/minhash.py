@@ -14,8 +14,11 @@ from tessera.llm.common import binaries, flat, hashed_key, steps, stored
 from tessera.llm.words import SPACED, digest, mix, shingles, words
 
 COORDINATES = 64
-#: Postings a document: its smallest (coordinate, value) hashes in an order that is the same for all documents.
-PREFIX = 20
+#: Sets with this many equal coordinates are sure to meet: at 0.75 a pair has fewer with a chance of 1.4e-6.
+SURE = 31
+#: Postings a document: its smallest (coordinate, value) hashes in an order that is the same for all documents. Of two
+#: sets with SURE in common, so many on each side cannot all be the others, whatever the order.
+PREFIX = COORDINATES - SURE + 1
 #: Of 64 coordinates compared by two bits each, 0.75 similar sets agree on 52 (deviation 3.1).
 AGREE = 37
 #: Pairs that more sets than this post come last in the order, so only sets with little else post them.
@@ -176,7 +179,7 @@ def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOC
 
     Two texts are linked when their sets of distinct five-word shingles have share percent of their union in common.
     Method: every distinct set posts itself under PREFIX of its (coordinate, value) pairs, the first in one global order;
-    sets with 45 of 64 equal coordinates meet for certain. Within a posting list all pairs not yet joined are compared,
+    sets with SURE of 64 equal coordinates meet for certain. Within a posting list all pairs not yet joined are compared,
     and those that agree on AGREE coordinates or more are joined to clusters. A list longer than longest is dealt in pairs
     of blocks, so no task holds it. Inside a cluster all pairs are decided on full sets, again in pairs of blocks, and
     leave a spanning forest.

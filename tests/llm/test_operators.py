@@ -104,6 +104,21 @@ def test_minhash_long_lists(spark, longest):
     assert got == {k: k - k % 2 for k, _ in rows}
 
 
+def test_minhash_hot_template(spark, monkeypatch):
+    """A text that is a template of very many sets and a third more of its own is in the template's group."""
+    monkeypatch.setattr(minhash, "HOT", 16)
+    rng = random.Random(6)
+    template = [f"t{k}" for k in range(300)]
+    rows = []
+    for k in range(120):
+        own = list(template)
+        own[rng.randrange(300)] = f"v{k}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, " ".join(template + [f"d{k}w{j}" for j in range(97)])) for k in range(80)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame([(500, " ".join(template)), *rows], "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
