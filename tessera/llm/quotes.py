@@ -42,8 +42,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     replies come after what they answer and threads stay together.
 
     Only columns conv_id, turn, role and text are read. Rows without conv_id or turn are left out, as they are in no
-    conversation; repeated (conv_id, turn) rows are one message, with the least role and text. Lines that are very
-    common in a conversation are looked up by the first turns that have them, so no list of pairs is made.
+    conversation; repeated (conv_id, turn) rows are one message, with the least role and text. A line counts for every
+    earlier message that said it, and n_linked counts it once. The most often said of a message's quoted lines makes no
+    list of pairs.
     """
     one = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
     base = stored(parsed(one.select("conv_id", "turn", "m.role", "m.text")), "messages")
@@ -56,8 +57,17 @@ def conversations(messages: DataFrame) -> DataFrame:
     both = had.select("conv_id", "hash", "turn", F.lit(None).cast("int").alias("level"), F.lit(0).alias("asks")).unionByName(quoted.select("conv_id", "hash", "turn", "level", F.lit(1).alias("asks")))
     last = F.expr("max(CASE WHEN asks = 0 THEN turn END) OVER (PARTITION BY conv_id, hash ORDER BY turn, asks DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     linked = both.withColumn("source", last).where("asks = 1 AND source IS NOT NULL")
-    votes = linked.groupBy("conv_id", "turn", "source").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_linked"), F.max(F.struct((-F.col("level")).alias("l"), "n", "source")).alias("b")).select("conv_id", "turn", "n_linked", F.col("b.source").alias("linked"))
+    # of the messages that share one line with the asking one, the last to say it is the best; one that shares more also
+    # shares another line than the asking message's most often said, so that line makes no pairs
+    often = had.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.expr("row_number() OVER (PARTITION BY conv_id, turn ORDER BY often DESC, hash)")
+    rarer = quoted.join(often, ["conv_id", "hash"]).withColumn("rank", rank).where("rank > 1")
+    said = had.select("conv_id", "hash", F.col("turn").alias("source"))
+    pair = rarer.join(said, ["conv_id", "hash"]).where("source < turn").select("conv_id", "turn", "source")
+    pair = pair.unionByName(linked.select("conv_id", "turn", "source")).distinct()
+    votes = pair.join(quoted, ["conv_id", "turn"]).join(said, ["conv_id", "source", "hash"]).groupBy("conv_id", "turn", "source").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), "n", "source")).alias("b")).select("conv_id", "turn", F.col("b.source").alias("linked"))
+    best = best.join(linked.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked")), ["conv_id", "turn"])
     previous = F.expr("lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)")
     clean = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
     rows = base.select(

@@ -404,6 +404,33 @@ def test_quotes(spark):
     assert quotes.conversations(d.limit(0)).count() == 0
 
 
+def test_quotes_of_repeated_lines(spark):
+    """A line said in several turns counts for each of them, against plain counting."""
+    rng = random.Random(3)
+    rows = [(1, 0, "A\nB"), (1, 1, "A"), (1, 2, "> A\n> B\nown")]
+    for c in range(2, 12):
+        for t in range(14):
+            quoted = [">" * rng.randint(1, 2) + " " + rng.choice("hhhabcdz") for _ in range(rng.randint(0, 3))]
+            rows.append((c, t, "\n".join(quoted + [rng.choice("hhhabcde") for _ in range(rng.randint(1, 3))])))
+    said, asked = {}, {}
+    for c, t, text in rows:
+        for x in text.split("\n"):
+            if x[0] == ">":
+                own = asked.setdefault((c, t), {})
+                own[x[-1]] = min(own.get(x[-1], 9), x.count(">"))
+            elif x != "own":
+                said.setdefault((c, t), set()).add(x)
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2].reply_to == 0
+    for c, t, _ in rows:
+        own, votes = asked.get((c, t), {}), []
+        for s in range(t):
+            if both := set(own) & said.get((c, s), set()):
+                votes.append((-min(own[x] for x in both), len(both), s))
+        assert got[c, t].reply_to == (max(votes)[2] if votes else t - 1 if t else None)
+        assert got[c, t].n_linked == sum(any(x in said.get((c, s), set()) for s in range(t)) for x in own)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
