@@ -135,11 +135,10 @@ def r5_raw_contrast(spark, sf):
 
 @query("WITH t AS (SELECT p_brand AS program, p_type AS term, count(*)::DOUBLE AS score FROM part GROUP BY 1, 2) SELECT program, round(sum(score) FILTER (term = (SELECT min(term) FROM t)), 6) AS first_term, round(sum(score), 6) AS total, count(DISTINCT term) AS terms FROM t GROUP BY program")
 def m16_term_matrix(spark, sf):
-    """The program by term matrix, pivoted over the terms there are."""
+    """The program by term matrix in its long form, over all terms there are: absent cells are zeros and cost nothing."""
     t = V.load(spark, sf, "part").groupBy(F.col("p_brand").alias("program"), F.col("p_type").alias("term")).agg(F.count(F.lit(1)).cast("double").alias("score"))
-    terms = [x.term for x in t.select("term").distinct().orderBy("term").limit(1000).collect()]
-    m = t.groupBy("program").pivot("term", terms).agg(F.sum("score"))
-    filled = [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in terms]
-    return m.select("program", F.col(f"`{terms[0]}`").alias("first_term"), sum(filled[1:], filled[0]).alias("total"), sum([(c > 0).cast("long") for c in filled[1:]], (filled[0] > 0).cast("long")).alias("terms"))
+    first = t.agg(F.min("term").alias("first"))
+    own = F.sum(F.when(F.col("term") == F.col("first"), F.col("score")))
+    return t.crossJoin(F.broadcast(first)).groupBy("program").agg(F.coalesce(own, F.lit(0.0)).alias("first_term"), F.sum("score").alias("total"), F.count("term").alias("terms"))
 
 

@@ -195,3 +195,10 @@ def test_partition_count_changes_nothing(spark):
         assert sorted(map(tuple, q(spark, SF).collect())) == a
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "3")
+
+
+def test_term_matrix_of_many_terms(spark, tmp_path):
+    from tessera.plans import programs as plans
+
+    spark.range(1200).selectExpr("IF(id < 3, 'a', 'b') AS p_brand", "format_string('%05d', id) AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(tuple(r) for r in plans.m16_term_matrix(spark, str(tmp_path)).collect()) == [("a", 1.0, 3.0, 3), ("b", 0.0, 1197.0, 1197)]
