@@ -9,26 +9,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat, stored
+from tessera.llm.common import flat, give_back, stored
 
 #: Members of one block of a cluster; a task holds two blocks at a time.
 BLOCK = 256
+#: Bytes of members' weight in one block, about; a single member may be larger.
+BLOCK_BYTES = 8 << 20
+#: A vertex with more than this share (1 / HUB) of the rows is met without an exchange by it, in tables of over FEW edges.
+HUB = 1000
+FEW = 20_000
+#: Edges in one file, about.
+FILE_ROWS = 250_000
 #: Longest posting list that one task compares by itself; longer ones are dealt in pairs of blocks of this many rows.
 LIST = 4096
 
 
+def _lowered(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """For rows (u, v): each row with m, the least of u and all its v; and the (u, m) by themselves.
+
+    Minima are combined before the exchange. A vertex with more than most rows gets its minimum by broadcast, so that its
+    rows need not meet in one task; with most a fixed share of all rows, few vertices can have so many.
+    """
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hot = F.broadcast(low.where(F.col("n") > most).select("u", F.col("m").alias("hot")))
+    split = rows.join(hot, "u", "left")
+    rest = split.where(F.col("hot").isNull()).drop("hot").join(low.where(F.col("n") <= most).select("u", "m"), "u")
+    return split.where(F.col("hot").isNotNull()).select("u", "v", F.col("hot").alias("m")).unionByName(rest.select("u", "v", "m")), low.select("u", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, c) for every vertex of edges (a, b): c is the smallest vertex reachable.
 
-    Alternates large-star and small-star steps until the edges are stars. Minima are combined before the exchange,
-    so a vertex with very many edges costs no single task; each round is written to the shared folder.
+    Alternates large-star and small-star steps until the edges are stars; each round is written to the shared folder, in
+    as many files as its edges ask for. A vertex with more than 1 / HUB of the edges is hot; there are 2 * HUB at most.
     """
-    def round_(e: DataFrame) -> DataFrame:
+    def round_(e: DataFrame, n: int) -> DataFrame:
+        most = n // HUB if n > FEW else 0
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        rows, _ = _lowered(both, most)
+        large = rows.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        rows, low = _lowered(large, most)
+        small = rows.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
     def mark(e: DataFrame):
@@ -37,25 +58,52 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     now, last = mark(e), None
     while now != last:
-        e = stored(round_(e), "stars")
+        e = stored(round_(e, now[0]), "stars", 1 + now[0] // FILE_ROWS)
         now, last = mark(e), now
     return e.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("c")).distinct().withColumnRenamed("u", "v"))
 
 
-def blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
+def blocks(members: DataFrame, block: int = BLOCK, weight: str | None = None) -> DataFrame:
     """Deals members (v, c, ...) of clusters into pairs of blocks: adds i, j (i <= j) and own, the row's block.
 
-    A cluster of n members has ceil(n / block) blocks; each pair of blocks is a unit of work of its own, in which every
-    pair of members of the cluster meets at least once.
+    A cluster of n members has ceil(n / block) blocks, or as many as keep a block's weight (bytes) near BLOCK_BYTES; each
+    pair of blocks is a unit of work of its own, in which every pair of members of the cluster meets at least once.
     """
-    sizes = members.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nb"))
-    dealt = members.join(sizes, "c").withColumn("own", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
+    dealt = _numbered(members, ["c"], block, weight)
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
     return dealt.withColumn("p", pair).select("*", "p.i", "p.j").drop("p", "nb")
 
 
+def _numbered(members: DataFrame, by: list[str], block: int, weight: str | None) -> DataFrame:
+    """Adds nb, the blocks of a row's group, and own, the row's block."""
+    heavy = F.sum(F.col(weight) if weight else F.lit(0)) / F.lit(BLOCK_BYTES)
+    sizes = members.groupBy(*by).agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), heavy)).cast("int").alias("nb"))
+    return members.join(sizes, by).withColumn("own", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
+
+
+def hubs(members: DataFrame, block: int = BLOCK, weight: str | None = None) -> DataFrame:
+    """Deals members (v, c, ...) of clusters into blocks that are a unit each (i = j = own); adds nb, the blocks of the
+    cluster, too. Every block also has the cluster's least member, so that what is like it is joined at once."""
+    dealt = _numbered(members, ["c"], block, weight)
+    centre = F.explode(F.when(F.col("v") == F.col("c"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("own")))
+    return dealt.withColumn("own", centre).withColumn("i", F.col("own")).withColumn("j", F.col("own"))
+
+
+def across(members: DataFrame, block: int = BLOCK, weight: str | None = None) -> DataFrame:
+    """Deals members (v, c, part, ...) of clusters, whose parts are joined already, into pairs of blocks so that all pairs
+    meet of which not both are in the cluster's largest part; adds i, j and own. Clusters of one part have no units."""
+    count = members.groupBy("c", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    split = members.join(count.where("parts > 1").drop("parts"), "c").withColumn("side", F.when(F.col("part") == F.col("main"), 0).otherwise(1)).drop("main")
+    dealt = _numbered(split, ["c", "side"], block, weight)
+    both = dealt.groupBy("c").agg(F.max(F.when(F.col("side") == 0, F.col("nb"))).alias("nb_main"), F.max(F.when(F.col("side") == 1, F.col("nb"))).alias("nb_rest"))
+    dealt = dealt.join(both, "c").withColumn("own", F.col("own") + F.col("side") * F.col("nb_main"))
+    other = F.when(F.col("side") == 0, F.sequence(F.col("nb_main"), F.col("nb_main") + F.col("nb_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("nb_main") + F.col("nb_rest") - 1))
+    pair = F.explode(F.transform(other, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    return dealt.withColumn("p", pair).select("*", "p.i", "p.j").drop("p", "nb", "nb_main", "nb_rest", "side")
+
+
 def by_unit(dealt: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, columns: list[str]) -> DataFrame:
-    """Runs work on the rows of each (c, i, j) in turn; a partition streams its units one after the other."""
+    """Runs work on the rows of each (c, i, j) in turn; a partition streams its units one after the other and holds one."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +117,7 @@ def by_unit(dealt: DataFrame, work: Callable[[dict[str, list]], dict[str, list]]
 
         for batch in batches:
             keys = list(zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("c", "i", "j")), strict=True))
-            rows = {x: batch.column(batch.schema.get_field_index(x)).to_pylist() for x in columns}
+            rows = {x: batch.column(batch.schema.get_field_index(x)) for x in columns}
             for k, own in enumerate(keys):
                 if own != key:
                     close()
@@ -79,9 +127,10 @@ def by_unit(dealt: DataFrame, work: Callable[[dict[str, list]], dict[str, list]]
                         for x in out.values():
                             x.clear()
                 for x in rows:
-                    held[x].append(rows[x][k])
+                    held[x].append(rows[x][k].as_py())
         close()
         yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        give_back()
 
     arrow = pa.schema([(f.split()[0], {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in schema.split(", ")])
     ordered = dealt.select("c", "i", "j", *columns).repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")

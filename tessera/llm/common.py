@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,19 +18,25 @@ STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own if driver and executors
+    are one process, else an error, as a folder of the driver's machine would not be shared."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once into the shared folder and reads it back, which cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes df once into the shared folder and reads it back, which cuts lineage and survives lost executors.
+
+    files bounds how many files it takes: for tables known to be small, so that they are not cut into splinters.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,6 +65,14 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
             yield batch.slice(low, high - low), data[at[low] : at[high]], at[low : high + 1] - at[low]
             low = high
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what Arrow and the C library hold free to the system: an idle worker shares the executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def binaries(parts: list[np.ndarray]) -> pa.Array:

@@ -20,6 +20,8 @@ MOST_LANGUAGES = 2000
 #: Texts are handled in steps of this many bytes.
 STEP = 1 << 18
 SCALE = 1 << 20
+#: Counts (texts by n-grams) held at a time.
+CELLS = 1 << 21
 
 
 @lru_cache(1)
@@ -79,8 +81,13 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
                     bound *= np.roll(table, j, axis=1)[rest % k]
                     rest = rest // k
                 own = (number >= low) & (number < low + len(part)) if len(names) > 1 << 14 else slice(None)
-                cells = of[own] * len(part) + number[own] - low
-                out += np.bincount(cells, minlength=n * len(part)).reshape(n, -1).astype(np.float32) @ bound.astype(np.float32)
+                row, cell, bound = of[own], number[own] - low, bound.astype(np.float32)
+                some_rows = max(1, CELLS // len(part))  # and so many texts at a time, however short they are
+                for a in range(0, n, some_rows):
+                    b = min(n, a + some_rows)
+                    x, y = np.searchsorted(row, (a, b))
+                    counts = np.bincount((row[x:y] - a) * len(part) + cell[x:y], minlength=(b - a) * len(part))
+                    out[a:b] += counts.reshape(b - a, -1).astype(np.float32) @ bound
         length = np.linalg.norm(out, axis=1, keepdims=True)
         out /= np.where(length > 0, length, 1)
         yield rows, out, some

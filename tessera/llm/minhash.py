@@ -181,8 +181,8 @@ def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOC
     Method: every distinct set posts itself under PREFIX of its (coordinate, value) pairs, the first in one global order;
     sets with SURE of 64 equal coordinates meet for certain. Within a posting list all pairs not yet joined are compared,
     and those that agree on AGREE coordinates or more are joined to clusters. A list longer than longest is dealt in pairs
-    of blocks, so no task holds it. Inside a cluster all pairs are decided on full sets, again in pairs of blocks, and
-    leave a spanning forest.
+    of blocks, so no task holds it. A cluster is then decided on full sets, in blocks of bounded bytes: first every block
+    by itself and with the cluster's least member; then, where that leaves parts, every pair not both in the largest part.
 
     Equal sets are one vertex. Null, empty and blank texts have n_shingles 0 and component_id = doc_id. Repeated rows
     stay rows, and a null doc_id is not kept unless nothing else tells it from its group. Only doc_id and text are read.
@@ -192,19 +192,32 @@ def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOC
     posted = stored(sets, "sets")
     power = _loads(posted)
     rows = posted.select("v", "signature").mapInArrow(_posts(power, longest), "token long, v binary, sketch binary, long boolean")
-    short = rows.where("NOT long").select("token", "v", "sketch").repartition("token").sortWithinPartitions("token")
-    candidates = short.mapInArrow(clusters.in_lists(_agree, 2), "a binary, b binary")
-    if (power > _power_of(longest)).any():
-        dealt = clusters.blocks(rows.where("long").select("v", "sketch", F.col("token").alias("c")), longest)
+    short = rows.where("NOT long").select("token", "v", "sketch")
+    some = (power > _power_of(longest)).any()
+    if some:  # the table only bounds a list's length; the few (or, in very large inputs, all) that may be long are counted
+        maybe = rows.where("long").select("token", "v", "sketch")
+        crowded = stored(maybe.groupBy("token").count().where(F.col("count") > longest).select("token"), "crowded")
+        short = short.unionByName(maybe.join(crowded, "token", "left_anti").select("token", "v", "sketch"))
+    candidates = short.repartition("token").sortWithinPartitions("token").mapInArrow(clusters.in_lists(_agree, 2), "a binary, b binary")
+    if some:
+        dealt = clusters.blocks(maybe.join(crowded, "token", "left_semi").select("v", "sketch", F.col("token").alias("c")), longest)
         candidates = candidates.unionByName(clusters.by_unit(dealt, clusters.in_blocks(_agree, 2), "a binary, b binary", ["v", "sketch"]))
-    candidates = candidates.distinct()
     members = stored(clusters.components(candidates).join(posted.select("v", "rep"), "v"), "members")
     n = members.count()
     keyed = members.select(F.xxhash64("rep").alias("h"))
     bits, count = _bloom(keyed, n)
     wanted = docs.select("text", F.xxhash64(F.col("doc_id").cast("long")).alias("h")).mapInArrow(_some_shingles(bits, count), "v binary, shingles binary")
     full = wanted.join(members.select("v", "c"), "v").groupBy("v", "c").agg(F.first("shingles").alias("shingles"))
-    links = clusters.by_unit(clusters.blocks(full, block), lambda held: _linked(held, share), "a binary, b binary", ["v", "shingles"])
+    full = stored(full.withColumn("bytes", F.octet_length("shingles")), "full")
+    decided = lambda dealt: clusters.by_unit(dealt, lambda held: _linked(held, share), "a binary, b binary", ["v", "shingles"])
+    near = clusters.hubs(full, block, "bytes")
+    links = stored(decided(near), "links")
+    # clusters of several blocks: what the blocks by themselves have not joined is compared with all the rest
+    apart = near.where("nb > 1").select("v", "c").distinct()
+    if not apart.isEmpty():
+        parts = clusters.components(links.join(apart.select(F.col("v").alias("a")), "a", "left_semi")).select("v", F.col("c").alias("part"))
+        left = full.join(apart.select("v"), "v", "left_semi").join(parts, "v", "left").withColumn("part", F.coalesce("part", "v"))
+        links = links.unionByName(decided(clusters.across(left, block, "bytes")))
     found = clusters.components(links)
     grouped = posted.select("v", "rep").join(found, "v", "left").select("v", "rep", F.coalesce("c", "v").alias("c"))
     smallest = grouped.groupBy("c").agg(F.min("rep").alias("component_id"))

@@ -119,9 +119,12 @@ def test_minhash_hot_template(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(clusters, "FEW", few)
+    monkeypatch.setattr(clusters, "HUB", 20)
     rng = random.Random(1)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000 + k, 2500) for k in range(90)] + [(2500, 1050)]
     got = {r.v: r.c for r in clusters.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = {}
 
