@@ -30,13 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, files: int | None = None, compression: str = "snappy") -> DataFrame:
     """Writes df once into the shared folder and reads it back, which cuts lineage and survives lost executors.
 
     files bounds how many files it takes: for tables known to be small, so that they are not cut into splinters.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -83,3 +83,33 @@ def binaries(parts: list[np.ndarray]) -> pa.Array:
 def hashed_key(*columns: str):
     """128 bits of the columns as a hex string, null apart from every value."""
     return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
+#: Bits of the tables that are sent to every task: half a MiB, whatever they stand for.
+TABLE_BITS = 1 << 22
+
+
+def bit_table(keys: DataFrame, column: str = "h") -> bytes:
+    """A bit for the low bits of each 64-bit number in a column, TABLE_BITS in all: it rules out most other numbers."""
+    bit = F.col(column).bitwiseAND(F.lit(TABLE_BITS - 1))
+    rows = keys.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    filled = bytearray(TABLE_BITS // 8)
+    for r in rows:
+        filled[r.part * 4096 : r.part * 4096 + 4096] = r.bits
+    return bytes(filled)
+
+
+def in_table(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which 64-bit numbers a bit_table (as an array of bytes) may hold."""
+    return (bits[(numbers & np.uint64(TABLE_BITS - 1)).astype(np.int64) >> 3] >> (numbers & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns (capitals don't count)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat, steps, stored
+from tessera.llm.common import bit_table, in_table, steps, stored, unused
 from tessera.llm.words import ALPHANUMERIC, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -83,126 +84,122 @@ def _folded(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def _neighbours(text: str, spans: list[tuple[int, int, str]]) -> list[tuple]:
-    """(entity, term, surroundings, start, end) for the words near each base span; digits and single letters tell nothing."""
-    found = [(m.start(), m.end()) for m in _word.finditer(text)]
-    starts = [a for a, _ in found]
-    from bisect import bisect_left
+def _outside(places: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> list[bool]:
+    """Which places, sorted by start, overlap no span."""
+    out, k, reach = [], 0, 0
+    for a, b in places:
+        while k < len(spans) and spans[k][0] < b:
+            reach = max(reach, spans[k][1])
+            k += 1
+        out.append(reach <= a)
+    return out
 
-    folded, out = _folded(text), []
+
+def _neighbours(text: str, spans: list[tuple[int, int, str]], hashes: np.ndarray) -> list[tuple]:
+    """(entity, term, surroundings) for the words near each base span; digits and single letters tell nothing."""
+    found = [(m.start(), m.end()) for m in _word.finditer(text)]
+    starts, outside, folded, out = [a for a, _ in found], _outside(found, spans), _folded(text), []
+    numbers = hashes.view(np.int64)
     for s, e, kind in spans:
         low, high = bisect_left(starts, s), bisect_left(starts, e)
-        near = [(a, b) for a, b in found[max(0, low - REACH) : low] + found[high : high + REACH] if not any(a < y and b > x for x, y, _ in spans)]
-        terms = [folded[a:b] for a, b in near]
-        entity, around = _hash(f"{kind}:{folded[s:e]}".encode()), _hash(" ".join(terms).encode())
-        out += [(entity, _hash(t.encode()), around, a, b) for t, (a, b) in zip(terms, near, strict=True) if b - a > 1 and not t.isdigit()]
+        near = [k for k in (*range(max(0, low - REACH), low), *range(high, min(len(found), high + REACH))) if outside[k]]
+        entity, around = _hash(f"{kind}:{folded[s:e]}".encode()), _hash(numbers[near].tobytes())
+        out += [(entity, int(numbers[k]), around) for k in near if found[k][1] - found[k][0] > 1 and not text[found[k][0] : found[k][1]].isdigit()]
     return out
 
 
-_FOUND = "key string, base array<struct<start:long,stop:long,kind:string>>, near array<struct<entity:long,term:long,around:long,start:long,stop:long>>"
+_FOUND = "key string, n_words long, base array<struct<start:long,stop:long,kind:string>>, near array<struct<entity:long,term:long,around:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
-_NEAR = pa.list_(pa.struct([(x, pa.int64()) for x in ("entity", "term", "around", "start", "stop")]))
+_NEAR = pa.list_(pa.struct([(x, pa.int64()) for x in ("entity", "term", "around")]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Base spans of each text; only texts that have some give rows for the estimates."""
     for rows, data, at in steps(batches):
         raw, keys, base, near = data.tobytes(), [], [], []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        hashes, word_at = words(data, at, ALPHANUMERIC)
+        for d, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
             text = raw[a:b].decode("utf-8", "replace")
             spans = base_spans(text)
-            keys.append(hashlib.blake2b(raw[a:b], digest_size=16).hexdigest())
+            keys.append(hashlib.md5(raw[a:b]).hexdigest())
             base.append([{"start": s, "stop": e, "kind": k} for s, e, k in spans])
-            near.append([dict(zip(("entity", "term", "around", "start", "stop"), x, strict=True)) for x in _neighbours(text, spans)] if spans else [])
-        yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(keys), pa.array(base, _SPAN), pa.array(near, _NEAR)], names=[*rows.schema.names[:-1], "key", "base", "near"])
+            own = _neighbours(text, spans, hashes[word_at[d] : word_at[d + 1]]) if spans else ()
+            near.append([dict(zip(("entity", "term", "around"), x, strict=True)) for x in own])
+        yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(keys), pa.array(np.diff(word_at)), pa.array(base, _SPAN), pa.array(near, _NEAR)], names=[*rows.schema.names[:-1], "key", "n_words", "base", "near"])
 
 
 def _occurrences(bits: bytes):
-    """(term, count of surroundings) in all texts, for terms that a fixed table of bits may hold, added up by task."""
+    """(key, term, surroundings, start, stop) of the words in all texts that a table of bits may hold and that overlap no
+    base span."""
     filled = np.frombuffer(bits, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at in steps(batches):
-            raw, term, around = data.tobytes(), [], []
+            raw, out = data.tobytes(), []
             hashes, word_at = words(data, at, ALPHANUMERIC)
-            maybe = filled[(hashes & np.uint64(_BITS - 1)).astype(np.int64) >> 3] >> (hashes & np.uint64(7)).astype(np.uint8) & 1
-            some = np.searchsorted(word_at, np.flatnonzero(maybe), "right") - 1
-            for d in np.unique(some).tolist():
-                text = _folded(raw[at[d] : at[d + 1]].decode("utf-8", "replace"))
-                own = [m[0] for m in _word.finditer(text)]
-                for k in (np.flatnonzero(maybe[word_at[d] : word_at[d + 1]])).tolist():
-                    term.append(_hash(own[k].encode()))
-                    around.append(_hash(" ".join(own[max(0, k - REACH) : k + REACH + 1]).encode()))
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(around, pa.int64())], names=["term", "around"])
+            maybe = np.flatnonzero(in_table(filled, hashes))
+            owner = np.searchsorted(word_at, maybe, "right") - 1
+            numbers = hashes.view(np.int64)
+            for d in np.unique(owner).tolist():
+                text = raw[at[d] : at[d + 1]].decode("utf-8", "replace")
+                found = [(m.start(), m.end()) for m in _word.finditer(text)]
+                outside, key, own = _outside(found, base_spans(text)), hashlib.md5(raw[at[d] : at[d + 1]]).hexdigest(), numbers[word_at[d] : word_at[d + 1]]
+                for k in (maybe[owner == d] - word_at[d]).tolist():
+                    if outside[k]:
+                        out.append((key, int(own[k]), _hash(own[max(0, k - REACH) : k + REACH + 1].tobytes()), *found[k]))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["key", "term", "around", "start", "stop"])
 
     return run
 
 
-_BITS = 1 << 22
-
-
-def _fast_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = flat(batch.column(0))
-        hashes, word_at = words(data, at, ALPHANUMERIC)
-        yield pa.RecordBatch.from_arrays([pa.array((hashes[word_at[:-1]] & np.uint64(_BITS - 1)).astype(np.int64))], names=["bit"])
-
-
-def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term) pairs where the term gives the entity away.
+def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """(key, start, stop): every place in the texts of docs of a term that gives some entity away; None if there is none.
 
     Counts are over different surroundings, so copies of a passage count once. p = P(entity | term) comes from how often
     the term stands in surroundings with and without the entity in the whole corpus, the gain in bits is
-    log2(p / P(entity)), with P(entity) its share of all entities' surroundings. A term stands alone at least as often as
-    beside any entity.
+    log2(p / P(entity)), with P(entity) the share of the corpus's words that stand near the entity. A term stands alone at
+    least as often as beside any entity.
     """
-    near = found.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("x.*")
-    pair = near.groupBy("entity", "term").agg(F.count_distinct("around").alias("together")).where(F.col("together") >= SUPPORT)
+    near = found.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*").distinct()
+    pair = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= SUPPORT)
     # surroundings of any entity bound a term's count from below, which already rules out all common words
     beside = near.groupBy("term").agg(F.count_distinct("around").alias("beside"))
     pair = stored(pair.join(beside, "term").where(F.col("together") >= DISCLOSURE * F.col("beside")), "pairs")
     if pair.isEmpty():
-        return pair.select("entity", "term")
-    # the texts of the few terms left: found again by their hashes among the near words of texts with entities
-    spelled = docs.select("text").mapInArrow(_spell, "term long, word string").distinct().join(pair.select("term").distinct(), "term")
-    at = spelled.select("word").mapInArrow(_fast_hash, "bit long")
-    rows = at.groupBy(F.floor(F.col("bit") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("bits")).collect()
-    filled = bytearray(_BITS // 8)  # half a MiB, however many terms there are
-    for r in rows:
-        filled[r.part * 4096 : r.part * 4096 + 4096] = r.bits
-    seen = docs.select("text").mapInArrow(_occurrences(bytes(filled)), "term long, around long")
-    seen = seen.join(pair.select("term").distinct(), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("alone"))
-    entity = near.groupBy("entity").agg(F.count_distinct("around").alias("here"))
-    every = near.agg(F.count_distinct("around")).first()[0]
+        return None
+    terms = pair.select("term").distinct()
+    places = docs.select("text").mapInArrow(_occurrences(bit_table(terms, "term")), "key string, term long, around long, start long, stop long")
+    places = stored(places.join(terms, "term", "left_semi").distinct(), "places")
+    seen = places.select("term", "around").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("alone"))
+    entity = near.select("entity", "around").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("here"))
+    words_in_all = found.agg(F.sum("n_words")).first()[0]
     p = F.least(F.lit(1.0), F.col("together") / F.greatest("alone", "beside"))
-    told = pair.join(seen, "term").join(entity, "entity")
-    return told.where((p >= DISCLOSURE) & (F.log2(p * F.lit(float(every)) / F.col("here")) >= BITS)).select("entity", "term")
+    by_chance = F.least(F.lit(1.0), F.col("here") * F.lit(2.0 * REACH + 1) / F.lit(float(words_in_all)))
+    told = pair.join(seen, "term").join(entity, "entity").where((p >= DISCLOSURE) & (F.log2(p / by_chance) >= BITS))
+    return places.join(told.select("term").distinct(), "term", "left_semi").select("key", "start", "stop")
 
 
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, data, at in steps(batches):
-        raw, out = data.tobytes(), {}
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            text = raw[a:b].decode("utf-8", "replace")
-            if spans := base_spans(text):
-                folded = _folded(text)
-                for _, term, _, s, e in _neighbours(text, spans):
-                    out[term] = folded[s:e]
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.string())], names=["term", "word"])
+def _terms(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Base spans (doc_id, key, base) of each row, and the spans of disclosing terms (key, terms) by text."""
+    found = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, " + _FOUND), "spans")
+    told = disclosing(found, docs)
+    if told is not None:
+        told = stored(told.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", F.lit("term").alias("kind")))).alias("terms")), "terms")
+    return found.select("doc_id", "key", "base"), told
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, terms) for each row of docs: base spans, and spans of disclosing terms beside them.
+    """(doc_id, key, base, terms) for each row of docs: base spans, and spans of disclosing terms wherever they stand.
 
-    Null and empty texts have no spans. Spans are in code points. Repeated rows each get their spans; other columns are
-    not read. A term is marked only beside the entity it discloses, so a text without personal data is left alone.
+    Null and empty texts have no spans. Spans are in code points. Repeated rows each get their spans; an empty table gives
+    no rows; other columns are not read. A term inside a base span is not marked again. key is the MD5 of the text.
     """
-    found = stored(docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, " + _FOUND), "spans")
-    told = disclosing(found, docs)
-    near = found.where(F.size("near") > 0).select("key", F.explode(F.array_distinct("near")).alias("x")).select("key", "x.*")
-    terms = near.join(told, ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", F.lit("term").alias("kind")))).alias("terms"))
+    found, terms = _terms(docs)
     none = F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>")
-    return found.drop("near").join(terms, "key", "left").select("doc_id", "key", "base", F.coalesce("terms", none).alias("terms"))
+    if terms is None:
+        return found.withColumn("terms", none)
+    return found.join(terms, "key", "left").select("doc_id", "key", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def spelled(spans: str):
@@ -211,14 +208,25 @@ def spelled(spans: str):
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts by kind, the digest of the base spans, and all spans as text."""
+    """doc_id, counts by kind, the digest of the base spans, all spans as text and their number.
+
+    One row for each row of docs, repeated ones included. Null and empty texts have no spans: counts are 0, spans is empty
+    and base_sha256 that of nothing. Where spans start together, base kinds come first, in the order of KINDS.
+    """
     place = F.array(*[F.lit(x) for x in (*KINDS, "term")])
-    both = F.transform(F.array_sort(F.transform(F.concat("base", "terms"), lambda x: F.struct(x["start"].alias("start"), F.array_position(place, x["kind"]).alias("o"), x["stop"].alias("stop"), x["kind"].alias("kind")))), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind")))
-    found = find(docs).withColumn("every", both)
+
+    def order(x):
+        return F.struct(x["start"].alias("start"), F.array_position(place, x["kind"]).alias("o"), x["stop"].alias("stop"), x["kind"].alias("kind"))
+
+    found = find(docs).withColumn("every", F.array_sort(F.transform(F.concat("base", "terms"), order)))
+
     def count(kind: str):
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(spelled("base").cast("binary"), 256).alias("base_sha256"), spelled("every").alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    return found.select(
+        "doc_id", *map(count, KINDS), F.sha2(spelled("base").cast("binary"), 256).alias("base_sha256"), spelled("every").alias("spans"),
+        F.size("terms").cast("long").alias("n_term"), F.size("every").cast("long").alias("n_spans"),
+    )
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -238,40 +246,23 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with base spans replaced by their kinds and disclosing terms generalised in text, and n_chars of the new text."""
+    """docs with base spans replaced by their kinds and disclosing terms generalised in text, and n_chars of the new text.
+
+    Null texts stay null and empty ones empty; every other column, whatever its name, and the number of rows stay.
+    """
     names, fields = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    told = find(docs).where(F.size("terms") > 0).select("key", "terms").dropDuplicates(["key"])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in steps(batches):
-            raw = data.tobytes()
-            key = [hashlib.blake2b(raw[a:b], digest_size=16).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            texts, k = rows.column(rows.schema.get_field_index("text")).to_pylist(), rows.schema.get_field_index("text")
-            clean = [x if x is None else redacted(x, base_spans(x)) for x in texts]
-            yield pa.RecordBatch.from_arrays([*rows.columns[:k], pa.array(clean, pa.string()), *rows.columns[k + 1 :], pa.array(key), rows.column(k).cast(pa.string())], names=[*names, "_key", "_was"])
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index("_was")
-            was, terms = batch.column(k).to_pylist(), batch.column(batch.schema.get_field_index("terms")).to_pylist()
-            clean = [redacted(x, base_spans(x) + [(t["start"], t["stop"], "term") for t in own]) for x, own in zip(was, terms, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if x == "text" else batch.column(batch.schema.get_field_index(x)) for x in names], names=names)
-
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in names)
-    if told.isEmpty():
-        out = docs.mapInArrow(_redact_only(names), schema)
-    else:
-        both = docs.mapInArrow(keyed, schema + ", _key string, _was string").join(told, F.col("_key") == told["key"], "left")
-        plain = both.where(F.col("terms").isNull()).select(*names)
-        out = plain.unionByName(both.where(F.col("terms").isNotNull()).mapInArrow(again, schema))
+    key, terms = unused(names, "key", "terms")
+    _, told = _terms(docs)
+    rows, some = docs, told is not None
+    if some:
+        rows = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(told.select(F.col("key").alias(key), F.col("terms").alias(terms)), key, "left")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step, _, _ in steps(batches):
+            texts = step.column(step.schema.get_field_index("text")).to_pylist()
+            more = step.column(step.schema.get_field_index(terms)).to_pylist() if some else [None] * len(texts)
+            new = [x if x is None else redacted(x, base_spans(x) + [(t["start"], t["stop"], "term") for t in own or ()]) for x, own in zip(texts, more, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if x == "text" else step.column(step.schema.get_field_index(x)) for x in names], names=names)
+
+    out = rows.select(*names, *[terms] * some).mapInArrow(clean, ", ".join(f"`{c}` {fields[c]}" for c in names))
     return out.withColumn("n_chars", F.length("text").cast(fields["n_chars"])) if "n_chars" in names else out
-
-
-def _redact_only(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index("text")
-            clean = [x if x is None else redacted(x, base_spans(x)) for x in batch.column(k).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(clean, pa.string()), *batch.columns[k + 1 :]], names=names)
-
-    return run
