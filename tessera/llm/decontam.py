@@ -2,49 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import steps, stored
+from tessera.llm.common import bit_table, in_table, steps, stored, unused
 from tessera.llm.words import ALPHANUMERIC, words
 
 WINDOW = 13
-#: Benchmark text that one pass of the index serves; larger benchmarks are searched in as many passes as they fill.
-PASS_BYTES = 8 << 20
+#: Words on each side of a window's rarest term within which all its other terms make a proximity match.
+REACH = 2 * WINDOW
+#: Windows that are searched in a segment at a time.
+CHUNK = 8192
+_SEGMENT = "segment long, doc_ids array<long>, lengths binary, terms binary, ends binary, postings binary"
 
 
-def _terms_bloom(terms: np.ndarray) -> np.ndarray:
-    """A table of bits over the terms' low bits, eight times as many as terms."""
-    bits = max(16, int(8 * len(terms)).bit_length())
-    filled = np.zeros(1 << bits, bool)
-    filled[(terms & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-    return filled
-
-
-def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
+def build_index(docs: DataFrame) -> DataFrame:
     """Segments of a positional inverted index over whole texts, one row each.
 
     A segment holds the documents of one step of text: doc_ids, lengths (words by document), the sorted distinct terms,
     the end of each term's postings, and the postings, which are word positions in the segment in ascending order. The
-    positions of two documents are at least two apart. With terms given, only those are posted; lengths count all words.
+    positions of two documents are at least two apart. Every word is posted.
     """
-    kept = None if terms is None else np.unique(terms)
-    bloom = None if kept is None else _terms_bloom(kept)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = TaskContext.get().partitionId() << 32
         for rows, data, at in steps(batches):
             hashes, word_at = words(data, at, ALPHANUMERIC)
             length = np.diff(word_at)
             place = np.arange(len(hashes)) + np.repeat(np.arange(len(length)), length)
-            if kept is not None:
-                maybe = np.flatnonzero(bloom[(hashes & np.uint64(len(bloom) - 1)).astype(np.int64)])
-                found = np.searchsorted(kept, hashes[maybe])
-                maybe = maybe[kept[np.minimum(found, len(kept) - 1)] == hashes[maybe]] if len(kept) else maybe[:0]
-                hashes, place = hashes[maybe], place[maybe]
             order = np.argsort(hashes, kind="stable")
             hashes, place = hashes[order], place[order]
             first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
@@ -52,39 +42,67 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
             one = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
             ids = rows.column(rows.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.to_pylist()], pa.list_(pa.int64())), one(length, "<i4"), one(hashes[first], "<u8"), one(ends, "<i8"), one(place, "<i4")],
-                names=["doc_ids", "lengths", "terms", "ends", "postings"],
+                [pa.array([segment], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), one(length, "<i4"), one(hashes[first], "<u8"), one(ends, "<i4"), one(place, "<i4")],
+                names=["segment", "doc_ids", "lengths", "terms", "ends", "postings"],
             )
+            segment += 1
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SEGMENT)
+
+
+def _windows(size: int):
+    """(wid, item, terms, n) of all windows of items: the hashes of their words in order, and how many differ."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in steps(batches, limit=1 << 18):
+            hashes, word_at = words(data, at, ALPHANUMERIC)
+            ids = rows.column(rows.schema.get_field_index("item")).to_pylist()
+            wid, item, terms, n = [], [], [], []
+            for own, low, high in zip(ids, word_at[:-1].tolist(), word_at[1:].tolist(), strict=True):
+                for k in range(max(1, high - low - size + 1) if high > low else 0):
+                    w = hashes[low + k : min(high, low + k + size)]
+                    item.append(own)
+                    terms.append(w.astype("<u8").tobytes())
+                    wid.append(int.from_bytes(hashlib.blake2b(terms[-1] + repr(own).encode(), digest_size=8).digest(), "little", signed=True))
+                    n.append(len(np.unique(w)))
+            yield pa.RecordBatch.from_arrays([pa.array(wid, pa.int64()), pa.array(item, pa.string()), pa.array(terms, pa.binary()), pa.array(n, pa.int32())], names=["wid", "item", "terms", "n"])
+
+    return run
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_ids array<long>, lengths binary, terms binary, ends binary, postings binary")
+
+def _segment_terms(bits: bytes):
+    """(term, segment, n) of the terms of segments that a table of bits may hold: how often each stands there."""
+    filled = np.frombuffer(bits, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment, terms, ends in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                terms, ends = np.frombuffer(terms, "<u8"), np.frombuffer(ends, "<i4").astype(np.int64)
+                keep = in_table(filled, terms)
+                yield pa.RecordBatch.from_arrays([pa.array(terms[keep].view(np.int64)), pa.array(np.full(keep.sum(), segment, np.int64)), pa.array(np.diff(ends, prepend=0)[keep])], names=["term", "segment", "n"])
+
+    return run
 
 
 class Windows:
-    """All windows of some items: term numbers in a table, one row a window, -1 beyond a short item's words."""
-
-    def __init__(self, items: list[tuple], size: int = WINDOW):
-        data = b"".join((text or "").encode() for _, text in items)
-        at = np.cumsum([0, *(len((text or "").encode()) for _, text in items)])
-        hashes, word_at = words(np.frombuffer(data, np.uint8), at, ALPHANUMERIC)
-        self.items = [x for x, _ in items]
-        self.terms, number = np.unique(hashes, return_inverse=True)
-        rows, owner = [], []
-        for k, (low, high) in enumerate(zip(word_at[:-1].tolist(), word_at[1:].tolist(), strict=True)):
-            n = high - low
-            if n >= size:
-                rows.append(np.lib.stride_tricks.sliding_window_view(number[low:high], size))
-            elif n:
-                rows.append(np.concatenate((number[low:high], np.full(size - n, -1)))[None, :])
-            owner += [k] * (max(1, n - size + 1) if n else 0)
-        self.owner = np.array(owner, np.int64)
-        self.table = np.concatenate(rows).astype(np.int64) if rows else np.zeros((0, size), np.int64)
-
-
-def phrases(terms: np.ndarray, ends: np.ndarray, postings: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of windows and start positions of all exact occurrences in a segment.
-
-    For each window the lists of its terms are intersected after taking off the offsets, the rarest list first: its
-    places give the candidate starts, and each further list, rarest first, keeps those that it has at its offset.
+    """Some windows as term numbers in a table: one row a window, -1 beyond a short window's words, and their items."""
+
+    def __init__(self, items: list[str], terms: list[bytes]):
+        self.items, self.owner = np.unique(np.array(items, object), return_inverse=True)
+        size = np.array([len(x) // 8 for x in terms], np.int64)
+        self.terms, number = np.unique(np.frombuffer(b"".join(terms), "<u8"), return_inverse=True)
+        self.table = np.full((len(terms), int(size.max())), -1, np.int64)
+        self.table[np.arange(self.table.shape[1]) < size[:, None]] = number
+        self.size = size
+
+
+def search(terms: np.ndarray, ends: np.ndarray, postings: np.ndarray, base: np.ndarray, windows: Windows, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Exact occurrences in a segment as rows of windows and start positions, and proximity matches as rows and positions
+    of the rarest term.
+
+    For each window the list of its rarest term gives the places. Exact: the offset is taken off, and the other lists,
+    rarest first, keep the starts that they have at their own offsets. Proximity: the other lists, in the same order, keep
+    the places of the rarest term that they have a posting near, at most reach words away in the same document. base has
+    the first position of each document, and the end.
     """
     n = len(windows.terms)
     at = np.searchsorted(terms, windows.terms)
@@ -94,123 +112,119 @@ def phrases(terms: np.ndarray, ends: np.ndarray, postings: np.ndarray, windows:
     count = np.where(here, starts[np.minimum(at + 1, len(terms))] - low, 0)
     table = windows.table
     size = np.where(table >= 0, count[table], np.iinfo(np.int64).max)
-    row = np.flatnonzero(size.min(axis=1) > 0) if len(table) else np.zeros(0, np.int64)
+    row = np.flatnonzero(size.min(axis=1) > 0)
     if not len(row):
-        return row, row
+        return row, row, row, row
     order = np.argsort(size[row], axis=1, kind="stable")
     rare = table[row, order[:, 0]]
-    # windows that are anchored on the same place of the same item share their candidates until the lists differ
     many = count[rare]
     which = np.repeat(np.arange(len(row)), many)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-    start = postings[low[rare][which] + inside].astype(np.int64) - order[which, 0]
+    place = postings[low[rare][which] + inside].astype(np.int64)
     key = (np.repeat(np.arange(len(terms)), np.diff(starts)) << 32) | postings
-    number = np.where(here, at, 0)
+    number = np.where(here, at, 0) << 32
+    exact, start = which, place - order[which, 0]
+    doc = np.searchsorted(base, place, "right") - 1
+    near, first, last = which, np.maximum(place - reach, base[doc]), np.minimum(place + reach, base[doc + 1] - 1)
     for k in range(1, table.shape[1]):
-        col = order[which, k]
-        term = table[row[which], col]
-        open_ = term >= 0
-        want = (number[np.maximum(term, 0)] << 32) | (start + col).clip(0)
+        col = order[exact, k]
+        term = table[row[exact], col]
+        want = number[np.maximum(term, 0)] | (start + col).clip(0)
         found = np.searchsorted(key, want)
-        keep = ~open_ | ((key[np.minimum(found, len(key) - 1)] == want) & (start >= 0))
-        which, start = which[keep], start[keep]
-        if not len(which):
-            break
+        keep = (term < 0) | ((key[np.minimum(found, len(key) - 1)] == want) & (start >= 0))
+        exact, start = exact[keep], start[keep]
+        term = table[row[near], order[near, k]]
+        own = number[np.maximum(term, 0)]
+        keep = (term < 0) | (np.searchsorted(key, own | last, "right") > np.searchsorted(key, own | first))
+        near, first, last, place = near[keep], first[keep], last[keep], place[keep]
     keep = start >= 0
-    return row[which[keep]], start[keep]
-
+    return row[exact[keep]], start[keep], row[near], place
 
-def near(terms: np.ndarray, ends: np.ndarray, postings: np.ndarray, query: np.ndarray, reach: int) -> np.ndarray:
-    """Positions of the query's rarest term that have every other query term within reach words: a proximity match."""
-    at = np.searchsorted(terms, query)
-    if not len(terms) or (at >= len(terms)).any() or (terms[np.minimum(at, len(terms) - 1)] != query).any():
-        return np.zeros(0, np.int64)
-    starts = np.concatenate(([0], ends))
-    lists = sorted((postings[starts[x] : starts[x + 1]].astype(np.int64) for x in at), key=len)
-    own = lists[0]
-    for other in lists[1:]:
-        own = own[np.searchsorted(other, own + reach, "right") > np.searchsorted(other, own - reach, "left")]
-    return own
 
-
-def _hits(windows: Windows, size: int):
+def _hits(reach: int):
+    """(segment, ordinal, spans, items, near) by document with a match in one chunk of windows: merged spans of hit words as
+    pairs of numbers, the items with exact occurrences and those with proximity matches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                length = np.frombuffer(r["lengths"], "<i4").astype(np.int64)
-                base = np.concatenate(([0], np.cumsum(length + 1)))
-                row, start = phrases(np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["ends"], "<i8"), np.frombuffer(r["postings"], "<i4"), windows)
-                span = np.zeros(base[-1] + 1, np.int32)
-                used = (windows.table[row] >= 0).sum(axis=1)
-                np.add.at(span, start, 1)
-                np.add.at(span, start + used, -1)
-                hit = np.concatenate(([0], np.cumsum(np.cumsum(span)[:-1] > 0))) if len(row) else np.zeros(base[-1] + 1, np.int64)
-                doc = np.searchsorted(base, start, "right") - 1
-                items: list[list] = [[] for _ in length]
-                for d, k in np.unique(np.stack((doc, windows.owner[row]), axis=1), axis=0).tolist() if len(row) else ():
-                    items[d].append(windows.items[k])
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                base = np.concatenate(([0], np.cumsum(np.frombuffer(r["lengths"], "<i4").astype(np.int64) + 1)))
+                windows = Windows([x["item"] for x in r["windows"]], [x["terms"] for x in r["windows"]])
+                row, start, near_row, place = search(np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["ends"], "<i4"), np.frombuffer(r["postings"], "<i4"), base, windows, reach)
+                doc, near_doc = np.searchsorted(base, start, "right") - 1, np.searchsorted(base, place, "right") - 1
+                step = np.zeros(base[-1] + 1, np.int32)
+                np.add.at(step, start, 1)
+                np.add.at(step, start + windows.size[row], -1)
+                hit = np.cumsum(step) > 0
+                edge = np.flatnonzero(np.diff(hit, prepend=False))
+                own = {d: ([], [], []) for d in np.unique(np.concatenate((doc, near_doc))).tolist()}
+                for d, s, e in zip((np.searchsorted(base, edge[::2], "right") - 1).tolist(), edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    own[d][0].append({"s": s, "e": e})
+                for which, (docs, rows) in enumerate(((doc, row), (near_doc, near_row)), 1):
+                    for d, x in np.unique(np.stack((docs, windows.owner[rows]), axis=1), axis=0).tolist() if len(rows) else ():
+                        own[d][which].append(windows.items[x])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(length, pa.int64()), pa.array(hit[base[1:]] - hit[base[:-1]], pa.int64()), pa.array([sorted({str(x) for x in own}) for own in items], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "n_hit", "items"],
+                    [pa.array([r["segment"]] * len(own), pa.int64()), pa.array(list(own), pa.int64()), pa.array([x[0] for x in own.values()], _SPANS), *(pa.array([x[w] for x in own.values()], pa.list_(pa.string())) for w in (1, 2))],
+                    names=["segment", "ordinal", "spans", "items", "near"],
                 )
 
     return run
 
 
-def _several(index: DataFrame, groups: list[list[tuple]], size: int) -> DataFrame:
-    """For benchmarks of several passes: covered positions are joined by document row before they are counted."""
-    def marked(windows: Windows):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    length = np.frombuffer(r["lengths"], "<i4").astype(np.int64)
-                    base = np.concatenate(([0], np.cumsum(length + 1)))
-                    row, start = phrases(np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["ends"], "<i8"), np.frombuffer(r["postings"], "<i4"), windows)
-                    used = (windows.table[row] >= 0).sum(axis=1)
-                    doc = np.searchsorted(base, start, "right") - 1
-                    for d, s, u, k in zip(doc.tolist(), (start - base[doc]).tolist(), used.tolist(), windows.owner[row].tolist(), strict=True):
-                        yield pa.RecordBatch.from_pydict({"segment": [r["segment"]], "ordinal": [d], "s": [s], "e": [s + u], "item": [str(windows.items[k])]})
-        return run
-
-    index = stored(index.withColumn("segment", F.monotonically_increasing_id()), "segments")
-    spans = None
-    for items in groups:
-        own = index.mapInArrow(marked(Windows(items, size)), "segment long, ordinal long, s long, e long, item string")
-        spans = own if spans is None else spans.unionByName(own)
-    cover = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("s", "e"))), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-        lambda x, y: F.struct((x["n"] + F.greatest(F.lit(0).cast("long"), y["e"] - F.greatest(y["s"], x["to"]))).alias("n"), F.greatest(x["to"], y["e"]).alias("to")),
-    )
-    found = spans.groupBy("segment", "ordinal").agg(cover["n"].alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    every = index.select("segment", "doc_ids", "lengths").mapInArrow(_ordinals, "segment long, ordinal long, doc_id long, n_words long")
-    return every.join(found, ["segment", "ordinal"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+_SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
 def _ordinals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
-            n = len(r["doc_ids"])
-            yield pa.RecordBatch.from_arrays([pa.array([r["segment"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(np.frombuffer(r["lengths"], "<i4"), pa.int64())], names=["segment", "ordinal", "doc_id", "n_words"])
+        for segment, ids, lengths in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([segment] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(ids, pa.int64()), pa.array(np.frombuffer(lengths, "<i4").astype(np.int64))], names=["segment", "ordinal", "doc_id", "n_words"])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """For each row of docs: doc_id, n_words, n_hit, items (sorted item ids as text).
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: int = REACH, chunk: int = CHUNK) -> DataFrame:
+    """For each row of docs: doc_id, n_words, n_hit, items and near_items (sorted item ids as text).
 
     A word is hit when it lies in an occurrence of a window: size consecutive words of a benchmark item, or all words of
-    a shorter one. Null and empty texts have no words and no hits, items without words have no windows, repeated rows
-    and repeated items are each taken as they are, and an empty benchmark hits nothing. The index is written to the
-    shared folder once, with the postings of the benchmark's terms.
+    a shorter one. items have a window that occurs; near_items have one of whose rarest term some place has all its other
+    terms within reach words, in any order: a proximity match, which every exact one is as long as reach is not below size.
+    Null and empty texts have no words and no hits, items without words have no windows, repeated rows and repeated items
+    are each taken as they are, and an empty benchmark hits nothing.
+
+    The index of all words is written to the shared folder once. The benchmark is never collected: its windows are joined
+    to the segments that have their rarest term in the corpus, and searched there, chunk windows at a time.
     """
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // pass_bytes))
-    if parts == 1:
-        items = [tuple(r) for r in benchmark.select("item_id", "text").collect()]  # at most pass_bytes of text
-        windows = Windows(items, size)
-        return stored(build_index(docs, windows.terms), "index").mapInArrow(_hits(windows, size), "doc_id long, n_words long, n_hit long, items array<string>")
-    index = stored(build_index(docs), "index")
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    groups = [[tuple(r) for r in benchmark.where(part == k).select("item_id", "text").collect()] for k in range(parts)]
-    return _several(index, groups, size)
+    index = stored(build_index(docs), "index", compression="zstd")
+    every = index.select("segment", "doc_ids", "lengths").mapInArrow(_ordinals, "segment long, ordinal long, doc_id long, n_words long")
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    windows = stored(items.mapInArrow(_windows(size), "wid long, item string, terms binary, n int").dropDuplicates(["wid"]), "windows")
+    posted = windows.select("wid", "n", "terms").mapInArrow(_apart, "wid long, n int, term long")
+    terms = posted.select("term").distinct()
+    lists = index.select("segment", "terms", "ends").mapInArrow(_segment_terms(bit_table(terms, "term")), "term long, segment long, n long")
+    lists = stored(lists.join(terms, "term", "left_semi"), "lists")
+    often = lists.groupBy("term").agg(F.sum("n").alias("often"))
+    rare = posted.join(often, "term").groupBy("wid", "n").agg(F.min(F.struct("often", "term")).alias("rare"), F.count(F.lit(1)).alias("known"))
+    # a window has a place in the segments that have its rarest term; one with an unknown term has none
+    met = rare.where("known = n").select("wid", F.col("rare.term").alias("term")).join(lists.select("term", "segment"), "term").select("wid", "segment")
+    parts = met.groupBy("segment").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("parts"))
+    dealt = met.join(parts, "segment").withColumn("part", F.pmod(F.xxhash64("wid"), F.col("parts"))).join(windows.select("wid", "item", "terms"), "wid")
+    packed = stored(dealt.groupBy("segment", "part").agg(F.collect_list(F.struct("item", "terms")).alias("windows")), "packed")
+    found = index.join(packed, "segment").select("segment", "lengths", "terms", "ends", "postings", "windows").mapInArrow(_hits(reach), "segment long, ordinal long, spans array<struct<s:long,e:long>>, items array<string>, near array<string>")
+    cover = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("spans"))), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
+        lambda x, y: F.struct((x["n"] + F.greatest(F.lit(0).cast("long"), y["e"] - F.greatest(y["s"], x["to"]))).alias("n"), F.greatest(x["to"], y["e"]).alias("to")),
+    )
+    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    found = found.groupBy("segment", "ordinal").agg(cover["n"].alias("n_hit"), names("items").alias("items"), names("near").alias("near_items"))
+    none = F.array().cast("array<string>")
+    return every.join(found, ["segment", "ordinal"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(wid, n, term) for the distinct terms of windows."""
+    for batch in batches:
+        own = [np.unique(np.frombuffer(x, "<u8")).view(np.int64) for x in batch.column(2).to_pylist()]
+        each = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in own]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(1).take(each), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["wid", "n", "term"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
@@ -219,12 +233,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated; rows without a doc_id are judged by their text as all others are."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(found, "_key", "left_anti").drop("_key")
+    """The rows of docs that are not contaminated, with all their columns, whatever these are called.
+
+    Rows are judged by their text alone, so a null or repeated doc_id changes nothing; null and empty texts stay.
+    """
+    key, bad = unused(docs.columns, "key", "bad")
+    told = contaminated(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark)
+    found = stored(told.where("contaminated").select(F.col("doc_id").alias(bad)).distinct(), "contaminated")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(found, F.col(key) == F.col(bad), "left_anti").select(*docs.columns)
 
 
 def items_sha256(items: str = "items"):
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)
-

@@ -33,7 +33,7 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_sha256().alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_sha256().alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
 def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
