@@ -10,294 +10,260 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import steps, stored
+from tessera.llm.common import give_back, steps, stored
 from tessera.llm.words import _ODD, SPACED, mix, words
 
+ORDER = 3
 ALPHA = 0.4
-#: A bigram seen less often than this backs off to its second word.
-LEAST_COUNT = 2
-#: Words and bigrams with this share of all tokens or more go to every task with their counts: 1 / HOT of them at most.
-HOT = 1 / 2048
-#: Tokens of a block, whose n-grams are packed together.
-BLOCK_BYTES = 5 << 20
-#: Bytes of text for each partition of the tables.
-PART_BYTES = 8 << 20
+#: An n-gram of two words or more that is seen less often than this backs off. A text's own n-grams are in the counts, so
+#: with 1 nothing would ever back off; 2 asks for one other place.
+LEAST = 2
+#: Bytes of text in a block, whose n-grams are counted before any exchange (a longer text is a block by itself).
+BLOCK_BYTES = 3 << 20
+#: Bytes of text for each part of the count tables; a part has about 3 * PART_BYTES / 7 distinct n-grams of each block's.
+PART_BYTES = 2 << 20
 
-_ROW = "part int, kind int, block long, a binary, b binary, c binary, d binary"
-_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcd")])
-COUNT, ENTRY, SUM, DOCS = 0, 1, 2, 3
+_ROW = "block long, part long, n long, size int, a binary, b binary, c binary"
+_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("size", pa.int32()), *((x, pa.binary()) for x in "abc")])
 
 
-def _six(x: np.ndarray) -> bytes:
-    """The low 48 bits, which tell words apart here."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
+
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The width low bytes of 64-bit numbers, byte by byte, so that equal high bytes stand together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-def _eight(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+
+def _numbers(data: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8)[: n * width].reshape(width, n).T
     return out.view("<u8").ravel()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """doc_ids, words as 48-bit numbers and word offsets of blocks of whole texts."""
-    ids, hashes, counts, size = [], [], [], 0
-    for rows, data, at in steps(batches):
+def _squeezed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _plain(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, codec="zstd", asbytes=True)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes], np.ndarray, np.ndarray]]:
+    """(block, doc_ids, texts, word hashes, word offsets) of blocks of whole texts.
+
+    A block's number depends on its task, its place there and its words, so that a second reading of the same texts gives
+    the same blocks, and one that differs gives others.
+    """
+    task, place = TaskContext.get().partitionId(), 0
+    ids, texts, hashes, counts, size = [], [], [], [], 0
+
+    def block():
+        h, at = np.concatenate(hashes), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        name = mix(np.array([task << 32 | place], np.uint64) + mix(h + np.arange(len(h), dtype=np.uint64)).sum() + np.uint64(len(ids)))
+        return int(name.view(np.int64)[0]), ids, texts, h, at
+
+    for rows, data, at in steps(batches, limit=BLOCK_BYTES // 2):
         h, word_at = words(data, at, SPACED)
         ids += rows.column(rows.schema.get_field_index("doc_id")).to_pylist()
-        hashes.append(h >> np.uint64(16))
+        texts.append((data.tobytes(), np.diff(at)))
+        hashes.append(h)
         counts.append(np.diff(word_at))
         size += len(data)
-        if size >= BLOCK_BYTES:
-            yield ids, np.concatenate(hashes), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-            ids, hashes, counts, size = [], [], [], 0
+        if size >= BLOCK_BYTES // 2:
+            yield block()
+            ids, texts, hashes, counts, size, place = [], [], [], [], 0, place + 1
     if ids:
-        yield ids, np.concatenate(hashes), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        yield block()
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in rows], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
+def _grams(h: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n from 1 to order: 64-bit names of the n-grams that end at each word; those that would begin before their text
+    are not real (see _real)."""
+    out, total = [], np.zeros(len(h), np.uint64)
+    for n in range(1, order + 1):
+        total[n - 1 :] += h[: len(h) - n + 1] * _ODD[n]
+        out.append(mix(total + _ODD[n + 20]))
+    return out
 
 
-def _cuts(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(part, low, high) of the runs of a sorted array."""
-    if len(part):
-        low = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
-        yield from zip(part[low].tolist(), low.tolist(), [*low[1:].tolist(), len(part)], strict=True)
+def _place(at: np.ndarray) -> np.ndarray:
+    """Each word's number in its text, from 0."""
+    n = np.diff(at)
+    return np.arange(at[-1]) - np.repeat(at[:-1], n)
 
 
-def _grouped(work):
-    """Runs work on the rows of one part after the other, in partitions sorted by part and kind."""
+def _cells(names: np.ndarray, parts: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(part, low, high, 48 bits below the part) of the runs of sorted names; parts are ranges of names of equal width."""
+    wide = np.uint64(parts)
+    low, high = names & np.uint64(0xFFFFFFFF), names >> np.uint64(32)
+    part = (high * wide + (low * wide >> np.uint64(32)) >> np.uint64(32)).astype(np.int64)
+    below = names * wide >> np.uint64(16)
+    start = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1)) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(part)], strict=False):
+        yield int(part[a]), a, b, below[a:b]
+
+
+def _counted(order: int, parts: int):
+    """Rows by block and part: the block's distinct n-grams in the part, in order, and how often each stands in the block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-        for batch in batches:
-            columns = [batch.column(k) for k in range(batch.num_columns)]
-            for i in range(batch.num_rows):
-                row = [c[i].as_py() for c in columns]
-                if row[0] != at:
-                    if rows:
-                        yield from work(at, rows)
-                    at, rows = row[0], []
-                rows.append(row)
-        if rows:
-            yield from work(at, rows)
+        for block, _, _, h, at in _blocks(batches):
+            place = _place(at)
+            names, count = np.unique(np.concatenate([g[place >= n] for n, g in enumerate(_grams(h, at, order))]), return_counts=True)
+            rows = []
+            for part, a, b, below in _cells(names, parts):
+                data = _planes(np.diff(below, prepend=np.uint64(0)), 6) + _planes(count[a:b], 4)
+                rows.append((block, part, b - a, len(data), _squeezed(data), None, None))
+                if len(rows) >= 512:
+                    yield _packed(rows)
+                    rows = []
+            yield _packed(rows)
+        give_back()
 
     return run
 
 
-def _by_part(df: DataFrame, work, schema: str = _ROW, parts: int | None = None) -> DataFrame:
-    dealt = df.repartition(parts, "part") if parts else df.repartition("part")
-    return dealt.sortWithinPartitions("part", "kind", "block").mapInArrow(_grouped(work), schema)
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by part: the same rows, with the counts of all blocks in place of the block's own."""
+    held: list[tuple] = []
+
+    def close() -> pa.RecordBatch:
+        names, counts = [], []
+        for _, _, n, size, a in held:
+            data = _plain(a, size)
+            names.append(np.cumsum(_numbers(data, n, 6), dtype=np.uint64))
+            counts.append(_numbers(data[6 * n :], n, 4).astype(np.int64))
+        _, at = np.unique(np.concatenate(names), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)[at]
+        rows, low = [], 0
+        for block, part, n, _, _ in held:
+            rows.append((block, part, n, 8 * n, _squeezed(_planes(total[low : low + n], 8)), None, None))
+            low += n
+        return _packed(rows)
+
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(4)]
+        for k, row in enumerate(zip(*columns, strict=True)):
+            if held and row[1] != held[0][1]:
+                yield close()
+                held.clear()
+            held.append((*row, batch.column(4)[k].as_py()))
+    if held:
+        yield close()
+    give_back()
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block with its texts, their lengths and doc_ids (a null one marked)."""
+    for block, ids, texts, h, _ in _blocks(batches):
+        data = b"".join(x for x, _ in texts)
+        own = np.array([0 if x is None else x for x in ids], "<i8").tobytes() + np.array([x is None for x in ids]).tobytes()
+        yield _packed([(block, -1, len(ids), len(data), _squeezed(data), np.concatenate([x for _, x in texts]).astype("<i8").tobytes(), own)])
+
+
+def _scored(order: int, alpha: float, least: int):
+    """For rows sorted by block, the texts first and then the counts by part: (doc_id, n_words, score, single) by document.
+
+    score lacks the number of words in the corpus: single says how many words of the text are to be divided by it.
+    """
+    def close(texts: tuple, counts: list[tuple]) -> pa.RecordBatch:
+        _, _, n, size, a, b, c = texts
+        data = np.frombuffer(_plain(a, size), np.uint8)
+        h, at = words(data, np.concatenate(([0], np.cumsum(np.frombuffer(b, "<i8")))), SPACED)
+        place, grams = _place(at), _grams(h, at, order)
+        real = [place >= k for k in range(order)]
+        names, where = np.unique(np.concatenate([g[x] for g, x in zip(grams, real, strict=True)]), return_inverse=True)
+        total = np.concatenate([_numbers(_plain(r[4], r[3]), r[2], 8) for r in counts]).astype(np.int64) if counts else np.zeros(0, np.int64)
+        if len(total) != len(names):
+            raise ValueError("the texts were not the same when they were read again; write them to a table first")
+        held, low = [], 0
+        for x in real:
+            own = np.zeros(len(h), np.int64)
+            m = int(x.sum())
+            own[x] = total[where[low : low + m]]
+            held.append(own)
+            low += m
+        score, done, factor = np.zeros(len(h)), np.zeros(len(h), bool), np.log10(alpha)
+        most = np.minimum(place + 1, order)  # the longest n-gram that ends here
+        for k in range(order, 1, -1):
+            seen = ~done & (held[k - 1] >= least)
+            some = np.flatnonzero(seen)
+            score[some] = np.log10(held[k - 1][some] / held[k - 2][some - 1]) + factor * (most[some] - k)
+            done |= seen
+        some = np.flatnonzero(~done)
+        score[some] = np.log10(held[0][some]) + factor * (most[some] - 1)
+        doc = np.repeat(np.arange(n), np.diff(at))
+        ids, none = np.frombuffer(c, "<i8", n), np.frombuffer(c, bool, n, 8 * n)
+        sums, single = np.bincount(doc, weights=score, minlength=n), np.bincount(doc[~done], minlength=n)
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=none), pa.array(np.diff(at)), pa.array(sums), pa.array(single)], names=["doc_id", "n_words", "score", "single"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, counts = None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = tuple(batch.column(x)[k].as_py() for x in range(7))
+                if texts and row[0] != texts[0]:
+                    yield close(texts, counts)
+                    texts, counts = None, []
+                if row[1] < 0:
+                    texts = row
+                elif texts:
+                    counts.append(row)
+                else:
+                    raise ValueError("the texts were not the same when they were read again; write them to a table first")
+        if texts:
+            yield close(texts, counts)
+        give_back()
 
-def _where(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of x in a sorted table, and which of them are there."""
-    at = np.minimum(np.searchsorted(table, x), max(0, len(table) - 1))
-    return at, table[at] == x if len(table) else np.zeros(len(x), bool)
+    return run
 
 
-def score(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST_COUNT, hot_share: float = HOT) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
     """doc_id, n_words, log_score (base 10, of the whole text) and mean_log_score for each row of docs.
 
-    Words are runs of characters other than ASCII white space, A to Z in lower case. A word w after v scores
-    count(v w) / count(v before some word) when count(v w) is at least `least`, else alpha * count(w) / tokens; a first
-    word scores count(w) / tokens. Counts are over all rows, the scored text included. Null, empty and blank texts have
-    0 words and score 0, mean null. Repeated rows count as often as they stand there.
-
-    Three passes read the texts: unigram counts; counts of pairs of hot words; and all bigrams, packed by block and by
-    a hash of the first word, or of both words where the first is hot. A partition of the bigram table thus has both
-    counts that a bigram's score needs, and no word or pair that fills a partition by itself: pairs that are hot score
-    in place. Bigrams below `least` go on to the partition of the unigram table with their second word. Sums by document
-    and partition come together at the end, by block.
+    Words are runs of characters other than ASCII white space, A to Z in lower case. A word w after a context of
+    order - 1 words, or of as many as its text has before it, scores count(context w) / count(context) when
+    count(context w) is at least `least`, else alpha times its score after the context without the first word; without a
+    context, count(w) / words of the corpus. Counts are over all rows, the scored text included. Null, empty and blank
+    texts have 0 words and score 0, mean null; an empty table gives no rows. Repeated rows count as often as they stand
+    there. Only doc_id and text are read, and a null doc_id stays null.
+
+    Relational: a block of texts is exploded into its n-grams, which are counted there first. The distinct ones go to the
+    parts of the count table, ranges of their hashes, where the counts of all blocks are added, and the sums come back to
+    the blocks in the same order. However often an n-gram stands in the corpus, it is one entry a block, so no key is hot.
+    The texts are read twice and must come in the same partitions and order both times, as a table's do; if not, it is an
+    error. 48 bits below the part tell the n-grams of a part apart.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // PART_BYTES))
-    whole = np.uint64(parts)
-
-    def count_words(batches):
-        for _, h, _ in _blocks(batches):
-            w, n = np.unique(h, return_counts=True)
-            part = (mix(w) % whole).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            w, n, part = w[order], n[order], part[order]
-            yield _packed([(p, COUNT, 0, _six(w[a:b]), n[a:b].astype("<u4").tobytes()) for p, a, b in _cuts(part)])
-
-    def add_words(part, rows):
-        w, n = np.concatenate([_eight(r[3]) for r in rows]), np.concatenate([np.frombuffer(r[4], "<u4") for r in rows]).astype(np.int64)
-        w, at = np.unique(w, return_inverse=True)
-        yield _packed([(part, COUNT, 0, _six(w), np.bincount(at, weights=n).astype("<i8").tobytes())])
-
-    table = stored(_by_part(docs.mapInArrow(count_words, _ROW), add_words), "unigrams")
-
-    def top(limit):
-        def run(batches):
-            for batch in batches:
-                for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    w, n = _eight(a), np.frombuffer(b, "<i8")
-                    yield pa.RecordBatch.from_arrays([pa.array(w[n >= limit].astype(np.int64)), pa.array(n[n >= limit]), pa.array(np.full((n >= limit).sum(), 0, np.int64))], names=["w", "n", "total"])
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([n.sum()], pa.int64())], names=["w", "n", "total"])
-        return run
-
-    counts = table.select("a", "b")
-    tokens = counts.mapInArrow(top(1 << 62), "w long, n long, total long").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    bound = max(2.0, hot_share * tokens)
-    found = sorted((r.w, r.n) for r in counts.mapInArrow(top(bound), "w long, n long, total long").where("w >= 0").collect())  # 1 / hot_share at most
-    hot, hot_n = np.array([w for w, _ in found], np.uint64), np.array([n for _, n in found], np.float64)
-
-    def count_hot(batches):
-        totals = np.zeros((len(hot) + 1) * (len(hot) + 1), np.int64)
-        for _, h, at in _blocks(batches):
-            number, here = _where(hot, h)
-            number = np.where(here, number, len(hot))
-            first = np.ones(len(h) + 1, bool)[: len(h)]
-            first[:] = False
-            first[at[:-1][at[:-1] < at[1:]]] = True
-            second = np.flatnonzero(~first)
-            totals += np.bincount(number[second - 1] * (len(hot) + 1) + number[second], minlength=len(totals))
-        some = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[some])], names=["pair", "n"])
-
-    pairs = docs.mapInArrow(count_hot, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = stored(pairs, "pairs")
-    side = len(hot) + 1
-    before = np.zeros(side)
-    for r in pairs.groupBy(F.floor(F.col("pair") / side).cast("int").alias("v")).agg(F.sum("n").alias("n")).collect():
-        before[r.v] = r.n
-    cut = pairs.where(f"n >= {bound} AND pair % {side} < {len(hot)} AND pair < {side * len(hot)}").collect()  # 1 / hot_share at most
-    cut = sorted((r.pair, r.n) for r in cut)
-    known, known_n = np.array([p for p, _ in cut], np.int64), np.array([n for _, n in cut], np.float64)
-    lift = np.log10(alpha / max(1, tokens))
-
-    def spread(batches):
-        task = TaskContext.get().partitionId()
-        for k, (ids, h, at) in enumerate(_blocks(batches)):
-            block = task << 32 | k
-            n = np.diff(at)
-            doc = np.repeat(np.arange(len(ids)), n)
-            number, here = _where(hot, h)
-            total = np.zeros(len(ids))
-            first = at[:-1][n > 0]
-            lead = np.zeros(len(h), bool)
-            lead[first] = True
-            second = np.flatnonzero(~lead)
-            v, w, of = h[second - 1], h[second], doc[second]
-            both = here[second - 1] & here[second]
-            pair = np.where(both, number[second - 1] * side + number[second], -1)
-            place, is_known = _where(known, pair)
-            is_known &= both
-            if is_known.any():
-                total += np.bincount(of[is_known], weights=np.log10(known_n[place[is_known]] / before[number[second - 1][is_known]]), minlength=len(ids))
-            v, w, of, v_hot = v[~is_known], w[~is_known], of[~is_known], here[second - 1][~is_known]
-            part = (np.where(v_hot, mix(v * _ODD[0] + w), mix(v)) % whole).astype(np.int64)
-            order = np.lexsort((of, w, v, part))
-            v, w, of, part = v[order], w[order], of[order], part[order]
-            rows = []
-            for p, a, b in _cuts(part):
-                start = np.concatenate(([0], np.flatnonzero(v[a + 1 : b] != v[a : b - 1]) + 1))
-                rows.append((p, ENTRY, block, _six(v[a:b][start]), np.diff(np.append(start, b - a)).astype("<u4").tobytes(), _six(w[a:b]), of[a:b].astype("<u4" if len(ids) > 65536 else "<u2").tobytes()))
-            # first words: unigrams without the factor, marked by a kind of their own
-            w = h[first]
-            part = (mix(w) % whole).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            for p, a, b in _cuts(part[order]):
-                rows.append((p, SUM, block, _six(w[order][a:b]), doc[first][order][a:b].astype("<u4").tobytes(), b"1"))
-            rows.append((int(mix(np.array([block], np.uint64))[0] % whole), DOCS, block, np.array([-1 if x is None else x for x in ids], "<i8").tobytes(), n.astype("<u4").tobytes(), total.astype("<f8").tobytes(), np.array([x is None for x in ids]).tobytes()))
-            yield _packed(rows)
-
-    def count_pairs(part, rows):
-        """Scores of the bigrams of a partition; those that back off go on to their second word's partition."""
-        out = [tuple(r) for r in rows if r[1] != ENTRY]
-        rows = [r for r in rows if r[1] == ENTRY]
-        if rows:
-            v = np.concatenate([np.repeat(_eight(r[3]), np.frombuffer(r[4], "<u4")) for r in rows])
-            w = np.concatenate([_eight(r[5]) for r in rows])
-            size = np.array([len(r[5]) // 6 for r in rows])
-            of = np.concatenate([np.frombuffer(r[6], "<u2" if len(r[6]) == 2 * s else "<u4").astype(np.int64) for r, s in zip(rows, size, strict=True)])
-            row = np.repeat(np.arange(len(rows)), size)
-            number, here = _where(hot, v)
-            _, at, n = np.unique(mix(v * _ODD[0] + w * _ODD[1]), return_inverse=True, return_counts=True)
-            n = n[at]
-            _, at, context = np.unique(v, return_inverse=True, return_counts=True)
-            context = np.where(here, before[number], context[at])
-            seen = n >= least
-            value = np.log10(n / context)
-            w_number, w_here = _where(hot, w)
-            value = np.where(seen, value, np.where(w_here, lift + np.log10(hot_n[w_number]) if len(hot) else 0.0, 0.0))
-            place = row << 32 | of
-            done = seen | w_here
-            names, at = np.unique(place[done], return_inverse=True)
-            sums = np.bincount(at, weights=value[done], minlength=len(names))
-            for k, a, b in _cuts(names >> 32):
-                out.append((int(part), DOCS, rows[k][2], None, (names[a:b] & 0xFFFFFFFF).astype("<u4").tobytes(), sums[a:b].astype("<f8").tobytes()))
-            w, row, of = w[~done], row[~done], of[~done]
-            to = (mix(w) % whole).astype(np.int64)
-            order = np.lexsort((row, to))
-            w, row, of, to = w[order], row[order], of[order], to[order]
-            block = np.array([r[2] for r in rows], "<i8")
-            for p, a, b in _cuts(to):
-                start = np.concatenate(([0], np.flatnonzero(row[a + 1 : b] != row[a : b - 1]) + 1))
-                lengths = np.diff(np.append(start, b - a)).astype("<u4")
-                small = "<u4" if len(of[a:b]) and of[a:b].max() > 65535 else "<u2"
-                out.append((p, ENTRY, part, _six(w[a:b]), block[row[a:b][start]].tobytes(), lengths.tobytes(), of[a:b].astype(small).tobytes()))
-        yield _packed(out)
-
-    def count_single(part, rows):
-        """Scores of first words and of bigrams that back off, from the partition of the unigram table."""
-        out = [tuple(r) for r in rows if r[1] == DOCS]
-        table_w, table_n = next(((_eight(r[3]), np.frombuffer(r[4], "<i8")) for r in rows if r[1] == COUNT), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for r in rows:
-            if r[1] in (ENTRY, SUM):
-                w = _eight(r[3])
-                at, _ = _where(table_w, w)
-                value = np.log10(table_n[at])
-                if r[1] == SUM:
-                    blocks.setdefault(r[2], []).append((np.frombuffer(r[4], "<u4").astype(np.int64), value - np.log10(tokens)))
-                    continue
-                of = np.frombuffer(r[6], "<u2" if len(r[6]) == 2 * len(w) else "<u4").astype(np.int64)
-                ends = np.concatenate(([0], np.cumsum(np.frombuffer(r[5], "<u4").astype(np.int64)))).tolist()
-                for block, a, b in zip(np.frombuffer(r[4], "<i8").tolist(), ends[:-1], ends[1:], strict=True):
-                    blocks.setdefault(block, []).append((of[a:b], value[a:b] + lift))
-        for block, some in blocks.items():
-            names, at = np.unique(np.concatenate([x for x, _ in some]), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([x for _, x in some]), minlength=len(names))
-            out.append((int(part), DOCS, block, None, names.astype("<u4").tobytes(), sums.astype("<f8").tobytes()))
-        yield _packed(out)
-
-    def total_up(batches):
-        """Rows sorted by block, the one with the documents first."""
-        held = None
-
-        def close():
-            ids, n, total, none = held
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=none), pa.array(n.astype(np.int64)), pa.array(np.round(total, 6) + 0.0)], names=["doc_id", "n_words", "log_score"])
-
-        for batch in batches:
-            columns = [batch.column(k) for k in (3, 4, 5, 6)]
-            for i in range(batch.num_rows):
-                a, b, c, d = (x[i].as_py() for x in columns)
-                if a is not None:
-                    if held:
-                        yield from close()
-                    held = np.frombuffer(a, "<i8"), np.frombuffer(b, "<u4"), np.frombuffer(c, "<f8").copy(), np.frombuffer(d, bool)
-                else:
-                    held[2][np.frombuffer(b, "<u4")] += np.frombuffer(c, "<f8")
-        if held:
-            yield from close()
-
-    entries = _by_part(docs.mapInArrow(spread, _ROW), count_pairs)
-    sums = _by_part(entries.unionByName(table), count_single)
-    last = sums.repartition("block").sortWithinPartitions("block", F.col("a").isNull(), "part", "kind")
-    out = last.mapInArrow(total_up, "doc_id long, n_words long, log_score double")
-    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)))
-
-
-#: The same scores in DuckDB's SQL.
-ORACLE = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-t AS (SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
-n AS (SELECT count(*) AS n FROM t), u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
-b AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w), k AS (SELECT v, sum(c) AS c FROM b GROUP BY v),
-s AS (SELECT t.r, sum(CASE WHEN t.v IS NULL THEN log10(u.c / n.n) WHEN b.c >= 2 THEN log10(b.c / k.c) ELSE log10(0.4::DOUBLE * u.c / n.n) END) AS s
-FROM t JOIN u ON t.w = u.w LEFT JOIN b ON t.v = b.v AND t.w = b.w LEFT JOIN k ON t.v = k.v, n GROUP BY t.r)
-SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 3) AS log_score, CASE WHEN len(ws) > 0 THEN round(s / len(ws), 4) END AS mean_log_score FROM d LEFT JOIN s ON d.r = s.r"""
+    entries = docs.mapInArrow(_counted(order, max(1, -(-size // PART_BYTES))), _ROW)
+    sums = entries.repartition("part").sortWithinPartitions("part", "block").mapInArrow(_added, _ROW)
+    both = docs.mapInArrow(_texts, _ROW).unionByName(sums).repartition("block").sortWithinPartitions("block", "part")
+    found = stored(both.mapInArrow(_scored(order, alpha, least), "doc_id long, n_words long, score double, single long"), "scores")
+    total = max(1, found.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
+    out = found.select("doc_id", "n_words", (F.col("score") - F.col("single") * F.lit(float(np.log10(total)))).alias("log_score"))
+    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+
+
+#: The same scores in DuckDB's SQL, for order 3, alpha 0.4 and least 2.
+ORACLE = r"""WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+t AS (
+  SELECT r, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u
+  FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+n AS (SELECT count(*) AS n FROM t),
+c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS c FROM t WHERE u IS NOT NULL GROUP BY u, v, w),
+s AS (
+  SELECT t.r, sum(CASE
+    WHEN c3.c >= 2 THEN log10(c3.c / b.c)
+    WHEN c2.c >= 2 THEN log10(c2.c / a.c) + CASE WHEN t.u IS NULL THEN 0 ELSE log10(0.4::DOUBLE) END
+    ELSE log10(c1.c / n.n) + log10(0.4::DOUBLE) * ((t.v IS NOT NULL)::INT + (t.u IS NOT NULL)::INT) END) AS s
+  FROM t JOIN c1 ON t.w = c1.w LEFT JOIN c2 ON t.v = c2.v AND t.w = c2.w LEFT JOIN c3 ON t.u = c3.u AND t.v = c3.v AND t.w = c3.w
+  LEFT JOIN c1 a ON t.v = a.w LEFT JOIN c2 b ON t.u = b.v AND t.v = b.w, n GROUP BY t.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 3) AS log_score, CASE WHEN len(ws) > 0 THEN round(s / len(ws), 4) END AS mean_log_score
+FROM d LEFT JOIN s ON d.r = s.r"""

@@ -6,6 +6,7 @@ import json
 import random
 import re
 import time
+import uuid
 import zlib
 from pathlib import Path
 
@@ -426,28 +427,38 @@ def test_backoff(spark, docs, empty, monkeypatch):
     split = re.compile(r"[^\x20\x09-\x0D]+")
     rows = docs.select("doc_id", "text").collect()
     w = [split.findall((r.text or "").translate(LOW)) for r in rows]
-    uni, bi = collections.Counter(x for d in w for x in d), collections.Counter(p for d in w for p in zip(d, d[1:]))
-    before, tokens = collections.Counter(), sum(uni.values())
-    for (v, _), n in bi.items():
-        before[v] += n
-
-    def total(d):
-        out = np.log10(uni[d[0]] / tokens) if d else 0.0
-        for v, x in zip(d, d[1:]):
-            out += np.log10(bi[v, x] / before[v]) if bi[v, x] >= 2 else np.log10(0.4 * uni[x] / tokens)
-        return out
-
-    want = sorted(((r.doc_id, len(d), total(d)) for r, d in zip(rows, w)), key=key)
-    for part, block in ((12 << 20, 8 << 20), (20_000, 10_000)):  # one partition and block, and many
+    count = collections.Counter(tuple(d[i : i + n]) for d in w for n in (1, 2, 3, 4) for i in range(len(d) - n + 1))
+    tokens = sum(map(len, w))
+
+    def one(context, x, least):
+        if not context:
+            return count[x,] / tokens
+        if count[*context, x] >= least:
+            return count[*context, x] / count[context]
+        return 0.4 * one(context[1:], x, least)
+
+    for part, block, order, least in ((2 << 20, 8 << 20, 3, 2), (20_000, 10_000, 3, 2), (20_000, 10_000, 2, 1), (9_000, 70_000, 4, 3)):  # one part and block, and many
         monkeypatch.setattr(lm, "PART_BYTES", part)
         monkeypatch.setattr(lm, "BLOCK_BYTES", block)
-        for hot in (1 / 2048, 1 / 20):
-            got = sorted(((r.doc_id, r.n_words, r.log_score) for r in lm.score(docs, hot_share=hot).collect()), key=key)
-            assert [g[:2] for g in got] == [x[:2] for x in want]
-            assert np.allclose(sorted(g[2] for g in got), sorted(x[2] for x in want), atol=1e-5)
+        total = [sum(np.log10(one(tuple(d[max(0, i - order + 1) : i]), d[i], least)) for i in range(len(d))) for d in w]
+        want = sorted(((r.doc_id, len(d), t) for r, d, t in zip(rows, w, total)), key=key)
+        got = sorted(((r.doc_id, r.n_words, r.log_score) for r in lm.score(docs, order, least=least).collect()), key=key)
+        assert [g[:2] for g in got] == [x[:2] for x in want]
+        assert np.allclose(sorted(g[2] for g in got), sorted(x[2] for x in want), atol=1e-5)
     assert lm.score(empty).count() == 0
 
 
+def test_backoff_of_changing_texts(spark):
+    """Texts that differ at the second reading are an error and no wrong score."""
+    def other(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f"a {uuid.uuid4()}" for _ in range(b.num_rows)])], names=["doc_id", "text"])
+
+    changing = spark.range(100).mapInArrow(other, "doc_id long, text string")
+    with pytest.raises(Exception, match="not the same"):
+        lm.score(changing).collect()
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Shall we meet?\nOn Monday."), (1, 1, "v", "> Shall  we MEET?\nYes."), (1, 2, "w", "> On Monday.\nNo, Tuesday."), (1, 3, "u", ">> Shall we meet?\n> Yes.\nGood."), (1, 4, "v", "> never said\nHm."),
