@@ -23,6 +23,9 @@ BLOCK_BYTES = 3 << 20
 #: Bytes of text for each part of the count tables; a part has about 3 * PART_BYTES / 7 distinct n-grams of each block's.
 PART_BYTES = 2 << 20
 
+#: Tasks of an exchange at most; beyond it a task has several parts, one after the other.
+MOST_TASKS = 50_000
+
 _ROW = "block long, part long, n long, size int, a binary, b binary, c binary"
 _ARROW = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("size", pa.int32()), *((x, pa.binary()) for x in "abc")])
 
@@ -237,9 +240,11 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    entries = docs.mapInArrow(_counted(order, max(1, -(-size // PART_BYTES))), _ROW)
-    sums = entries.repartition("part").sortWithinPartitions("part", "block").mapInArrow(_added, _ROW)
-    both = docs.mapInArrow(_texts, _ROW).unionByName(sums).repartition("block").sortWithinPartitions("block", "part")
+    parts = max(1, -(-size // PART_BYTES))
+    tasks = min(parts, MOST_TASKS)  # as many as there are parts, so that no task has many of them by chance
+    entries = docs.mapInArrow(_counted(order, parts), _ROW)
+    sums = entries.repartition(tasks, "part").sortWithinPartitions("part", "block").mapInArrow(_added, _ROW)
+    both = docs.mapInArrow(_texts, _ROW).unionByName(sums).repartition(tasks, "block").sortWithinPartitions("block", "part")
     found = stored(both.mapInArrow(_scored(order, alpha, least), "doc_id long, n_words long, score double, single long"), "scores")
     total = max(1, found.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
     out = found.select("doc_id", "n_words", (F.col("score") - F.col("single") * F.lit(float(np.log10(total)))).alias("log_score"))
