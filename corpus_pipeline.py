@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontam, langid, minhash, pii
 from tessera.llm.common import shared_dir, table
@@ -16,28 +17,42 @@ LEAST_SCORE = 0.02
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and those like no language; the others get the language that was predicted."""
-    found = langid.identify(docs, docs.columns).where(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}")
-    return found.withColumn("lang", found["lang_pred"]).select(*docs.columns)
+    """Rejects texts without letters and those like no language; the others get the language that was predicted.
+
+    Null, empty and blank texts are rejected, repeated rows are each judged by their text, and an empty table stays empty.
+    """
+    # the operator's own columns by names that documents can have, too
+    plain = docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
+    found = langid.identify(plain, ["row"]).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.select(*[(F.col("lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one with the least doc_id, of repeated rows one.
+
+    Null and empty texts are groups of their own; an empty table stays empty, and other columns are kept as they are.
+    """
     return minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold benchmark passages."""
+    """Without the documents that hold benchmark passages: one word in 20 or more lies in a window of an item.
+
+    Null and empty texts stay, as do all documents if the benchmark is empty; repeated rows share their text's fate.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With personal data and the terms that disclose it taken out of the texts."""
+    """With personal data and the terms that disclose it taken out of the texts; no row goes.
+
+    Null texts stay null and empty ones empty; repeated rows are changed alike, and n_chars is that of the new text.
+    """
     return pii.sanitise(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with digests of the ids and of what they decode to."""
+    """Token ids of each text, with digests of the ids and of what they decode to; null counts as empty."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id", "lang", "source"])
 
 
@@ -49,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("BPE", tokens),
 ]
 
-#: SQL can't express the first, second and last stage; tests hold the stages against plain versions.
+#: SQL can't express the first, second and last stage; tests/llm holds every stage against a plain version.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import clusters
-from tessera.llm.common import binaries, flat, hashed_key, steps, stored
+from tessera.llm.common import binaries, flat, hashed_key, steps, stored, unused
 from tessera.llm.words import SPACED, digest, mix, shingles, words
 
 COORDINATES = 64
@@ -232,7 +232,8 @@ def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
 
     Rows without words are their own groups and stay. Rows without doc_id go when their group has a row with one.
     """
+    doc, key = unused(docs.columns, "gone", "key")
     gone = near_duplicates(docs, share).where("NOT kept AND n_shingles > 0 AND (doc_id IS NOT NULL OR component_id IS NOT NULL)")
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
-    return left.withColumn("_key", hashed_key("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates(["_key"]).drop("_key")
+    gone = stored(gone.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct(), "gone")
+    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
+    return left.withColumn(key, hashed_key("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates([key]).drop(key)
