@@ -97,8 +97,9 @@ def _outside(places: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -
 
 def _neighbours(text: str, spans: list[tuple[int, int, str]], hashes: np.ndarray) -> list[tuple]:
     """(entity, term, surroundings) for the words near each base span; digits and single letters tell nothing."""
-    found = [(m.start(), m.end()) for m in _word.finditer(text)]
-    starts, outside, folded, out = [a for a, _ in found], _outside(found, spans), _folded(text), []
+    folded, out = _folded(text), []
+    found = [(m.start(), m.end()) for m in _word.finditer(folded)]
+    starts, outside = [a for a, _ in found], _outside(found, spans)
     numbers = hashes.view(np.int64)
     for s, e, kind in spans:
         low, high = bisect_left(starts, s), bisect_left(starts, e)
@@ -142,7 +143,7 @@ def _occurrences(bits: bytes):
             numbers = hashes.view(np.int64)
             for d in np.unique(owner).tolist():
                 text = raw[at[d] : at[d + 1]].decode("utf-8", "replace")
-                found = [(m.start(), m.end()) for m in _word.finditer(text)]
+                found = [(m.start(), m.end()) for m in _word.finditer(_folded(text))]
                 outside, key, own = _outside(found, base_spans(text)), hashlib.md5(raw[at[d] : at[d + 1]]).hexdigest(), numbers[word_at[d] : word_at[d + 1]]
                 for k in (maybe[owner == d] - word_at[d]).tolist():
                     if outside[k]:
