@@ -21,10 +21,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and blank texts are rejected, repeated rows are each judged by their text, and an empty table stays empty.
     """
-    # the operator's own columns by names that documents can have, too
-    plain = docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
-    found = langid.identify(plain, ["row"]).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return found.select(*[(F.col("lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
+    # by names that are not the operator's own, which documents may have, too
+    names = [c if c in ("doc_id", "text", "lang") else f"column_{k}" for k, c in enumerate(docs.columns)]
+    found = langid.identify(docs.toDF(*names), names).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.select(*[F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

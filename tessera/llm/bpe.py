@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import steps
+from tessera.llm.common import small_batches, steps
 
 #: Distinct words whose ids a worker keeps from block to block; beyond it all are dropped and encoded again when met.
 MOST_WORDS = 300_000
@@ -187,6 +187,7 @@ def encode(docs: DataFrame, path: str, pattern: str, carried: list[str], ids: bo
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    small_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     return docs.select(*dict.fromkeys([*carried, "text"])).mapInArrow(run, schema)

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat, give_back, stored
+from tessera.llm.common import discard, flat, give_back, stored
 
 #: Members of one block of a cluster; a task holds two blocks at a time.
 BLOCK = 256
 #: Bytes of members' weight in one block, about; a single member may be larger.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: A vertex with more than this share (1 / HUB) of the rows is met without an exchange by it, in tables of over FEW edges.
 HUB = 1000
 FEW = 20_000
@@ -37,8 +37,8 @@ def _lowered(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return split.where(F.col("hot").isNotNull()).select("u", "v", F.col("hot").alias("m")).unionByName(rest.select("u", "v", "m")), low.select("u", "m")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, c) for every vertex of edges (a, b): c is the smallest vertex reachable.
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """(v, c) for every vertex of edges (a, b): c is the smallest vertex reachable. files: of the first table of edges.
 
     Alternates large-star and small-star steps until the edges are stars; each round is written to the shared folder, in
     as many files as its edges ask for. A vertex with more than 1 / HUB of the edges is hot; there are 2 * HUB at most.
@@ -55,10 +55,12 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
 
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", files)
     now, last = mark(e), None
     while now != last:
-        e = stored(round_(e, now[0]), "stars", 1 + now[0] // FILE_ROWS)
+        new = stored(round_(e, now[0]), "stars", 1 + now[0] // FILE_ROWS)
+        discard(e)
+        e = new
         now, last = mark(e), now
     return e.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("c")).distinct().withColumnRenamed("u", "v"))
 

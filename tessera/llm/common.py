@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numeric step handles at a time (one longer text is one step).
 STEP_BYTES = 2 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, files: int | None = None, compression: str = "snappy") -> DataFrame:
     """Writes df once into the shared folder and reads it back, which cuts lineage and survives lost executors.
 
-    files bounds how many files it takes: for tables known to be small, so that they are not cut into splinters.
+    files bounds how many files it takes: for tables known to be small, so that they are not cut into splinters. The last
+    step that makes df then has as many tasks, so it must be a light one.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(files) if files else df).write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote. Nothing that is still to be evaluated may read them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session, unless it asks for fewer: a batch of texts is held whole,
+    on both sides, by each of an executor's workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

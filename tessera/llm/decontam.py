@@ -11,12 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bit_table, in_table, steps, stored, unused
+from tessera.llm.common import bit_table, discard, in_table, small_batches, steps, stored, unused
 from tessera.llm.words import ALPHANUMERIC, words
 
 WINDOW = 13
 #: Words on each side of a window's rarest term within which all its other terms make a proximity match.
 REACH = 2 * WINDOW
+#: Documents in one file of what is contaminated, at most.
+FILE_ROWS = 250_000
 #: Windows that are searched in a segment at a time.
 CHUNK = 8192
 _SEGMENT = "segment long, doc_ids array<long>, lengths binary, terms binary, ends binary, postings binary"
@@ -193,30 +195,37 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: in
     The index of all words is written to the shared folder once. The benchmark is never collected: its windows are joined
     to the segments that have their rarest term in the corpus, and searched there, chunk windows at a time.
     """
+    small_batches(docs.sparkSession)
     index = stored(build_index(docs), "index", compression="zstd")
+    few = 1 + index.count() // 256
     every = index.select("segment", "doc_ids", "lengths").mapInArrow(_ordinals, "segment long, ordinal long, doc_id long, n_words long")
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    windows = stored(items.mapInArrow(_windows(size), "wid long, item string, terms binary, n int").dropDuplicates(["wid"]), "windows")
+    windows = stored(items.mapInArrow(_windows(size), "wid long, item string, terms binary, n int").dropDuplicates(["wid"]), "windows", few)
     posted = windows.select("wid", "n", "terms").mapInArrow(_apart, "wid long, n int, term long")
     terms = posted.select("term").distinct()
     lists = index.select("segment", "terms", "ends").mapInArrow(_segment_terms(bit_table(terms, "term")), "term long, segment long, n long")
-    lists = stored(lists.join(terms, "term", "left_semi"), "lists")
+    lists = stored(lists.join(terms, "term", "left_semi").repartition(few), "lists")
     often = lists.groupBy("term").agg(F.sum("n").alias("often"))
     rare = posted.join(often, "term").groupBy("wid", "n").agg(F.min(F.struct("often", "term")).alias("rare"), F.count(F.lit(1)).alias("known"))
     # a window has a place in the segments that have its rarest term; one with an unknown term has none
     met = rare.where("known = n").select("wid", F.col("rare.term").alias("term")).join(lists.select("term", "segment"), "term").select("wid", "segment")
     parts = met.groupBy("segment").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("parts"))
     dealt = met.join(parts, "segment").withColumn("part", F.pmod(F.xxhash64("wid"), F.col("parts"))).join(windows.select("wid", "item", "terms"), "wid")
-    packed = stored(dealt.groupBy("segment", "part").agg(F.collect_list(F.struct("item", "terms")).alias("windows")), "packed")
+    packed = stored(dealt.groupBy("segment", "part").agg(F.collect_list(F.struct("item", "terms")).alias("windows")), "packed", few)
+    discard(windows, lists)
     found = index.join(packed, "segment").select("segment", "lengths", "terms", "ends", "postings", "windows").mapInArrow(_hits(reach), "segment long, ordinal long, spans array<struct<s:long,e:long>>, items array<string>, near array<string>")
     cover = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
         lambda x, y: F.struct((x["n"] + F.greatest(F.lit(0).cast("long"), y["e"] - F.greatest(y["s"], x["to"]))).alias("n"), F.greatest(x["to"], y["e"]).alias("to")),
     )
     names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    found = found.groupBy("segment", "ordinal").agg(cover["n"].alias("n_hit"), names("items").alias("items"), names("near").alias("near_items"))
+    found = stored(found.groupBy("segment", "ordinal").agg(cover["n"].alias("n_hit"), names("items").alias("items"), names("near").alias("near_items")), "found")
+    discard(packed)
     none = F.array().cast("array<string>")
-    return every.join(found, ["segment", "ordinal"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+    out = every.join(found, ["segment", "ordinal"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+    out = stored(out, "matches")
+    discard(index, found)
+    return out
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +248,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     key, bad = unused(docs.columns, "key", "bad")
     told = contaminated(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark)
-    found = stored(told.where("contaminated").select(F.col("doc_id").alias(bad)).distinct(), "contaminated")
+    found = stored(told.where("contaminated").select(F.col("doc_id").alias(bad)).distinct(), "contaminated", 1 + docs.count() // FILE_ROWS)
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
     return keyed.join(found, F.col(key) == F.col(bad), "left_anti").select(*docs.columns)
 

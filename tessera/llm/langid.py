@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import steps
+from tessera.llm.common import small_batches, steps
 
 DIMENSIONS = 512
 GRAM = 3
@@ -154,5 +154,6 @@ def identify(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
 
     A null doc_id has no fold: such a row is predicted and not learned from.
     """
+    small_batches(docs.sparkSession)
     prototypes = learn(docs.where(fold() != 2))
     return predict(docs, prototypes, carried or ["doc_id"])

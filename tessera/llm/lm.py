@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import give_back, steps, stored
+from tessera.llm.common import give_back, small_batches, steps, stored
 from tessera.llm.words import _ODD, SPACED, mix, words
 
 ORDER = 3
@@ -238,6 +238,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     The texts are read twice and must come in the same partitions and order both times, as a table's do; if not, it is an
     error. 48 bits below the part tell the n-grams of a part apart.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // PART_BYTES))

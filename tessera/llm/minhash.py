@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import clusters
-from tessera.llm.common import binaries, flat, hashed_key, steps, stored, unused
+from tessera.llm.common import binaries, discard, flat, hashed_key, small_batches, steps, stored, unused
 from tessera.llm.words import SPACED, digest, mix, shingles, words
 
 COORDINATES = 64
@@ -21,6 +21,8 @@ SURE = 31
 PREFIX = COORDINATES - SURE + 1
 #: Of 64 coordinates compared by two bits each, 0.75 similar sets agree on 52 (deviation 3.1).
 AGREE = 37
+#: Sets of one block of a cluster at most; their bytes are bounded, too.
+BLOCK = 1024
 #: Pairs that more sets than this post come last in the order, so only sets with little else post them.
 HOT = 1 << 16
 
@@ -70,9 +72,8 @@ def _counted(buckets: int):
     return run
 
 
-def _loads(posted: DataFrame) -> np.ndarray:
-    """Upper bounds, by bucket of the pair's name, of how many sets have a pair, in powers of two: at most 4 MiB."""
-    n = posted.count()
+def _loads(posted: DataFrame, n: int) -> np.ndarray:
+    """Upper bounds, by bucket of the pair's name, of how many of n sets have a pair, in powers of two: at most 4 MiB."""
     buckets = 1 << min(22, max(16, (n - 1).bit_length()))
     rows = posted.select("signature").mapInArrow(_counted(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     # one byte a bucket: the exponent of the least power of two that is not below the count
@@ -114,8 +115,10 @@ def _posts(power: np.ndarray, longest: int):
 def _agree(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Which sketches, rows of two 64-bit numbers, have AGREE coordinates or more in common with one."""
     other = sketches ^ one
-    other = (other | other >> np.uint64(1)) & np.uint64(0x5555555555555555)
-    return np.bitwise_count(other).sum(axis=-1, dtype=np.uint8) <= COORDINATES - AGREE
+    other |= other >> np.uint64(1)
+    other &= np.uint64(0x5555555555555555)
+    differ = np.bitwise_count(other)
+    return differ[..., 0] + differ[..., 1] <= COORDINATES - AGREE
 
 
 def _linked(held: dict[str, list], share: float) -> dict[str, list]:
@@ -174,7 +177,7 @@ def _bloom(keys: DataFrame, n: int) -> tuple[bytes, int]:
     return bytes(filled), count
 
 
-def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOCK, longest: int = clusters.LIST) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = 75, block: int = BLOCK, longest: int = clusters.LIST) -> DataFrame:
     """Groups of near-duplicate texts: doc_id, n_shingles, component_id, kept and text_key for each row of docs.
 
     Two texts are linked when their sets of distinct five-word shingles have share percent of their union in common.
@@ -187,38 +190,41 @@ def near_duplicates(docs: DataFrame, share: int = 75, block: int = clusters.BLOC
     Equal sets are one vertex. Null, empty and blank texts have n_shingles 0 and component_id = doc_id. Repeated rows
     stay rows, and a null doc_id is not kept unless nothing else tells it from its group. Only doc_id and text are read.
     """
+    small_batches(docs.sparkSession)
     base = stored(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, v binary, signature binary"), "sketch")
     sets = base.where("n_shingles > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     posted = stored(sets, "sets")
-    power = _loads(posted)
+    n = posted.count()
+    few = 1 + n // clusters.FILE_ROWS
+    power = _loads(posted, n)
     rows = posted.select("v", "signature").mapInArrow(_posts(power, longest), "token long, v binary, sketch binary, long boolean")
     short = rows.where("NOT long").select("token", "v", "sketch")
     some = (power > _power_of(longest)).any()
     if some:  # the table only bounds a list's length; the few (or, in very large inputs, all) that may be long are counted
         maybe = rows.where("long").select("token", "v", "sketch")
-        crowded = stored(maybe.groupBy("token").count().where(F.col("count") > longest).select("token"), "crowded")
+        crowded = stored(maybe.groupBy("token").count().where(F.col("count") > longest).select("token"), "crowded", few)
         short = short.unionByName(maybe.join(crowded, "token", "left_anti").select("token", "v", "sketch"))
     candidates = short.repartition("token").sortWithinPartitions("token").mapInArrow(clusters.in_lists(_agree, 2), "a binary, b binary")
     if some:
         dealt = clusters.blocks(maybe.join(crowded, "token", "left_semi").select("v", "sketch", F.col("token").alias("c")), longest)
         candidates = candidates.unionByName(clusters.by_unit(dealt, clusters.in_blocks(_agree, 2), "a binary, b binary", ["v", "sketch"]))
-    members = stored(clusters.components(candidates).join(posted.select("v", "rep"), "v"), "members")
-    n = members.count()
+    members = stored(clusters.components(candidates, few).join(posted.select("v", "rep"), "v"), "members", few)
     keyed = members.select(F.xxhash64("rep").alias("h"))
-    bits, count = _bloom(keyed, n)
+    bits, count = _bloom(keyed, members.count())
     wanted = docs.select("text", F.xxhash64(F.col("doc_id").cast("long")).alias("h")).mapInArrow(_some_shingles(bits, count), "v binary, shingles binary")
     full = wanted.join(members.select("v", "c"), "v").groupBy("v", "c").agg(F.first("shingles").alias("shingles"))
     full = stored(full.withColumn("bytes", F.octet_length("shingles")), "full")
     decided = lambda dealt: clusters.by_unit(dealt, lambda held: _linked(held, share), "a binary, b binary", ["v", "shingles"])
     near = clusters.hubs(full, block, "bytes")
-    links = stored(decided(near), "links")
+    links = stored(decided(near).repartition(few), "links")
     # clusters of several blocks: what the blocks by themselves have not joined is compared with all the rest
-    apart = near.where("nb > 1").select("v", "c").distinct()
+    apart, more = near.where("nb > 1").select("v", "c").distinct(), links
     if not apart.isEmpty():
-        parts = clusters.components(links.join(apart.select(F.col("v").alias("a")), "a", "left_semi")).select("v", F.col("c").alias("part"))
+        parts = clusters.components(links.join(apart.select(F.col("v").alias("a")), "a", "left_semi"), few).select("v", F.col("c").alias("part"))
         left = full.join(apart.select("v"), "v", "left_semi").join(parts, "v", "left").withColumn("part", F.coalesce("part", "v"))
-        links = links.unionByName(decided(clusters.across(left, block, "bytes")))
-    found = clusters.components(links)
+        more = links.unionByName(decided(clusters.across(left, block, "bytes")))
+    found = clusters.components(more, few)
+    discard(members, links, full)
     grouped = posted.select("v", "rep").join(found, "v", "left").select("v", "rep", F.coalesce("c", "v").alias("c"))
     smallest = grouped.groupBy("c").agg(F.min("rep").alias("component_id"))
     names = grouped.join(smallest, "c").select("v", "component_id")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bit_table, in_table, steps, stored, unused
+from tessera.llm.common import bit_table, discard, in_table, small_batches, steps, stored, unused
 from tessera.llm.words import ALPHANUMERIC, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -28,6 +28,8 @@ _digits = re.compile(r"[^0-9]+")
 
 #: Words on each side of an entity that may disclose it.
 REACH = 8
+#: Documents for each file of the small tables.
+FILE_ROWS = 250_000
 #: Different surroundings in which a term must stand by an entity before its estimate counts.
 SUPPORT = 3
 #: A term discloses an entity when at least this share of its different surroundings has the entity ...
@@ -155,7 +157,7 @@ def _occurrences(bits: bytes):
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(key, start, stop): every place in the texts of docs of a term that gives some entity away; None if there is none.
+    """(key, terms): by text, the spans of every place of a term that gives some entity away; None if there is none.
 
     Counts are over different surroundings, so copies of a passage count once. p = P(entity | term) comes from how often
     the term stands in surroundings with and without the entity in the whole corpus, the gain in bits is
@@ -166,28 +168,32 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     pair = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= SUPPORT)
     # surroundings of any entity bound a term's count from below, which already rules out all common words
     beside = near.groupBy("term").agg(F.count_distinct("around").alias("beside"))
-    pair = stored(pair.join(beside, "term").where(F.col("together") >= DISCLOSURE * F.col("beside")), "pairs")
+    few = 1 + found.count() // FILE_ROWS
+    pair = stored(pair.join(beside, "term").where(F.col("together") >= DISCLOSURE * F.col("beside")), "pairs", few)
     if pair.isEmpty():
+        discard(pair)
         return None
     terms = pair.select("term").distinct()
     places = docs.select("text").mapInArrow(_occurrences(bit_table(terms, "term")), "key string, term long, around long, start long, stop long")
-    places = stored(places.join(terms, "term", "left_semi").distinct(), "places")
+    places = stored(places.join(terms, "term", "left_semi").distinct(), "places", few)
     seen = places.select("term", "around").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("alone"))
     entity = near.select("entity", "around").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("here"))
     words_in_all = found.agg(F.sum("n_words")).first()[0]
     p = F.least(F.lit(1.0), F.col("together") / F.greatest("alone", "beside"))
     by_chance = F.least(F.lit(1.0), F.col("here") * F.lit(2.0 * REACH + 1) / F.lit(float(words_in_all)))
     told = pair.join(seen, "term").join(entity, "entity").where((p >= DISCLOSURE) & (F.log2(p / by_chance) >= BITS))
-    return places.join(told.select("term").distinct(), "term", "left_semi").select("key", "start", "stop")
+    told = places.join(told.select("term").distinct(), "term", "left_semi")
+    told = told.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", F.lit("term").alias("kind")))).alias("terms"))
+    out = stored(told, "terms", few)
+    discard(pair, places)
+    return out
 
 
 def _terms(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Base spans (doc_id, key, base) of each row, and the spans of disclosing terms (key, terms) by text."""
+    small_batches(docs.sparkSession)
     found = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, " + _FOUND), "spans")
-    told = disclosing(found, docs)
-    if told is not None:
-        told = stored(told.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", F.lit("term").alias("kind")))).alias("terms")), "terms")
-    return found.select("doc_id", "key", "base"), told
+    return found, disclosing(found, docs)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -199,7 +205,7 @@ def find(docs: DataFrame) -> DataFrame:
     found, terms = _terms(docs)
     none = F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>")
     if terms is None:
-        return found.withColumn("terms", none)
+        return found.select("doc_id", "key", "base", none.alias("terms"))
     return found.join(terms, "key", "left").select("doc_id", "key", "base", F.coalesce("terms", none).alias("terms"))
 
 
@@ -253,7 +259,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     names, fields = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     key, terms = unused(names, "key", "terms")
-    _, told = _terms(docs)
+    found, told = _terms(docs)
+    discard(found)
     rows, some = docs, told is not None
     if some:
         rows = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(told.select(F.col("key").alias(key), F.col("terms").alias(terms)), key, "left")
