@@ -23,8 +23,9 @@ PREFIX = COORDINATES - SURE + 1
 AGREE = 37
 #: Sets of one block of a cluster at most; their bytes are bounded, too.
 BLOCK = 1024
-#: Pairs that more sets than this post come last in the order, so only sets with little else post them.
-HOT = 1 << 16
+#: Pairs that more sets than this have come last in the order, so only sets with little else post them; PREFIX holds for
+#: any order, so this changes how long lists get and no result.
+HOT = clusters.LIST
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
