@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,10 @@ from tessera.llm.common import discard, flat, give_back, stored
 BLOCK = 256
 #: Bytes of members' weight in one block, about; a single member may be larger.
 BLOCK_BYTES = 4 << 20
-#: A vertex with more than this share (1 / HUB) of the rows is met without an exchange by it, in tables of over FEW edges.
+#: A vertex with more than this share (1 / HUB) of the rows is met without an exchange by it.
 HUB = 1000
-FEW = 20_000
+#: Edges, counted first, that one task joins by itself in some 20 MB.
+HERE = 250_000
 #: Edges in one file, about.
 FILE_ROWS = 250_000
 #: Longest posting list that one task compares by itself; longer ones are dealt in pairs of blocks of this many rows.
@@ -37,14 +39,34 @@ def _lowered(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return split.where(F.col("hot").isNotNull()).select("u", "v", F.col("hot").alias("m")).unionByName(rest.select("u", "v", "m")), low.select("u", "m")
 
 
+def _joined_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, c) for the vertices of edges that one task holds: roots take the least root they meet until none changes."""
+    rows = list(batches)
+    if not sum(x.num_rows for x in rows):
+        return
+    ends = pa.chunked_array([x.column(k) for k in (0, 1) for x in rows])
+    names = ends.unique()
+    names = names.take(pc.sort_indices(names))
+    u, v = np.split(pc.index_in(ends, value_set=names).to_numpy(), 2)
+    low, last = np.arange(len(names)), None
+    while last is None or (low != last).any():
+        last, least = low.copy(), np.minimum(low[u], low[v])
+        np.minimum.at(low, last[u], least)
+        np.minimum.at(low, last[v], least)
+        while (low[low] != low).any():
+            low = low[low]
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(low))], names=["v", "c"])
+
+
 def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(v, c) for every vertex of edges (a, b): c is the smallest vertex reachable. files: of the first table of edges.
 
     Alternates large-star and small-star steps until the edges are stars; each round is written to the shared folder, in
     as many files as its edges ask for. A vertex with more than 1 / HUB of the edges is hot; there are 2 * HUB at most.
+    Up to HERE edges need no rounds: one task joins them, with the same result.
     """
     def round_(e: DataFrame, n: int) -> DataFrame:
-        most = n // HUB if n > FEW else 0
+        most = n // HUB
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rows, _ = _lowered(both, most)
         large = rows.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -57,6 +79,10 @@ def components(edges: DataFrame, files: int | None = None) -> DataFrame:
 
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", files)
     now, last = mark(e), None
+    if now[0] <= HERE:
+        out = stored(e.coalesce(1).mapInArrow(_joined_here, f"v {e.dtypes[0][1]}, c {e.dtypes[0][1]}"), "components")
+        discard(e)
+        return out
     while now != last:
         new = stored(round_(e, now[0]), "stars", 1 + now[0] // FILE_ROWS)
         discard(e)

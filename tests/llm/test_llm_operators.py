@@ -121,9 +121,9 @@ def test_minhash_hot_template(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
-@pytest.mark.parametrize("few", [20_000, 0])
-def test_components(spark, monkeypatch, few):
-    monkeypatch.setattr(clusters, "FEW", few)
+@pytest.mark.parametrize("here", [250_000, 0])
+def test_components(spark, monkeypatch, here):
+    monkeypatch.setattr(clusters, "HERE", here)
     monkeypatch.setattr(clusters, "HUB", 20)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000 + k, 2500) for k in range(90)] + [(2500, 1050)]
