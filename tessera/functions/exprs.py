@@ -147,3 +147,55 @@ def ladder(x, *steps: tuple[float, str], otherwise: str) -> Column:
     for bound, label in steps:
         out = F.when(_c(x) >= bound, label) if out is None else out.when(_c(x) >= bound, label)
     return out.otherwise(otherwise)
+
+
+def saturated(value, median, mean) -> Column:
+    """v / (v + c) with c the row's median, its mean where that is not positive, and 1e-8 at least."""
+    c = F.greatest(F.lit(1e-8), F.when(_c(median) > 0, _c(median)).otherwise(_c(mean)))
+    return _c(value) / (_c(value) + c)
+
+
+# Symbols that say little, and the prefixes of haemoglobin genes.
+LOW_INFORMATION = r"^(AC|AL|AP|LINC|LOC|RP[0-9]|CTD|DEPRECATED_|MIR|SNORD|SNORA|RNU|C\d+orf\d+|[A-Z]\d{5,}(?:\.\d+)?)"
+HAEMOGLOBIN = ("HBA", "HBB", "HBD", "HBG", "HBM", "HBQ")
+
+
+def symbol_quality(genes) -> Column:
+    """(score, odd20, odd5, haemoglobin10) of an array of gene symbols in rank order; empty names don't count."""
+    named = F.filter(_c(genes), lambda g: g != "")
+
+    def share(n: int, rule) -> Column:
+        first = F.slice(named, 1, n)
+        return F.size(F.filter(first, rule)) / F.greatest(F.lit(1), F.size(first))
+
+    odd20, odd5 = share(20, lambda g: g.rlike(LOW_INFORMATION)), share(5, lambda g: g.rlike(LOW_INFORMATION))
+    blood = share(10, lambda g: g.rlike("^(" + "|".join(HAEMOGLOBIN) + ")"))
+    return F.struct(clamp01(1 - 0.75 * odd20 - odd5 - 0.5 * blood).alias("score"), odd20.alias("odd20"), odd5.alias("odd5"), blood.alias("haemoglobin10"))
+
+
+def phrase(items) -> Column:
+    """a, b and c: an array of texts as a phrase, blank ones left out."""
+    some = F.filter(F.transform(_c(items), lambda x: F.trim(x)), lambda x: x != "")
+    n = F.size(some)
+    many = F.concat(F.array_join(F.slice(some, 1, F.greatest(F.lit(1), n - 1)), ", "), F.lit(" and "), F.element_at(some, -1))
+    return F.when(n == 0, "").when(n == 1, F.get(some, F.lit(0))).otherwise(many)
+
+
+def state_text(label, leading, supported, state) -> Column:
+    """A sentence on a state of support: focused, co_supported, mixed, or weak for all others."""
+    named = F.coalesce(F.nullif(F.concat(F.upper(F.substring(F.trim(_c(label)), 1, 1)), F.lower(F.expr("substring(trim({0}), 2)".format(label)))), F.lit("")), F.lit("State"))
+    lead, axes = _c(leading), _c(supported)
+    ticked = F.array_join(F.transform(axes, lambda a: F.concat(F.lit("`"), a, F.lit("`"))), ", ")
+    focused = F.when(lead.isNotNull(), F.concat(F.lit(" support is concentrated around `"), lead, F.lit("`, with limited co-support elsewhere."))).otherwise(" support is concentrated without a clearly named leading axis.")
+    two = F.concat(F.lit(" support is co-supported by `"), F.get(axes, F.lit(0)), F.lit("` and `"), F.get(axes, F.lit(1)), F.lit("`, rather than concentrated on a single axis."))
+    weak = F.lit(" support remains broad but weak, without a strongly consolidated axis.")
+    shared = F.when(F.size(axes) >= 2, two).when(lead.isNotNull(), F.concat(F.lit(" support is co-supported around `"), lead, F.lit("` and another aligned axis."))).otherwise(weak)
+    mixed = F.when(F.size(axes) > 0, F.concat(F.lit(" support is distributed across multiple supported axes ("), ticked, F.lit("), indicating a mixed state."))).otherwise(" support is distributed across multiple axes, indicating a mixed state.")
+    rest = F.when(_c(state) == "focused", focused).when(_c(state) == "co_supported", shared).when(_c(state) == "mixed", mixed).otherwise(weak)
+    return F.concat(named, rest)
+
+
+def reliability_class(support, representatives, top_share) -> Column:
+    """high, medium or low: how far an axis's burden rests on several representative programs."""
+    s, n, t = _c(support), _c(representatives), _c(top_share)
+    return F.when((s >= 0.45) & (n >= 3) & (t <= 0.60), "high").when((s >= 0.25) & (n >= 1) & (t <= 0.80), "medium").otherwise("low")

@@ -30,10 +30,11 @@ def scores(cells: DataFrame, neighbours: DataFrame, n_spots: int, n_genes: int,
 
     The neighbours leave out the spot itself. Ranks are over all genes with 0 for absent cells, but only stored cells
     are joined: a spot's absent genes share one rank, so a sum of logarithms over the neighbours is that of their zeros
-    plus corrections at stored cells. Genes that no neighbour has score 0 and are left out, which holds for exp2 alone.
+    plus corrections at stored cells. Genes that no neighbour has are left out: they have support 0 and so score 0 under
+    exp2, and ln 2 under softplus.
     """
-    if how != "exp2":
-        raise ValueError("only exp2 gives 0 to genes without support, so only it stays sparse")
+    if how not in ("exp2", "softplus"):
+        raise ValueError(f"unknown projection: {how}")
     ranks = ranks_with_zeros(cells, n_genes)
     zero = F.log((F.col("zeros") + 1) / 2.0)
     # a spot without absent genes has no rank of zeros and never needs one
@@ -50,7 +51,8 @@ def scores(cells: DataFrame, neighbours: DataFrame, n_spots: int, n_genes: int,
     region = (F.col("lift") + F.col("base")) / F.col("n")
     support = F.least(F.lit(1.0), F.col("have") / F.col("n") / F.col("overall"))
     raw = (region - F.col("background")) / F.log(F.lit(2.0)) * support
-    return both.select("spot", "gene", (F.pow(F.lit(2.0), F.greatest(raw, F.lit(0.0))) - 1).alias("score"), support.alias("support"))
+    score = F.pow(F.lit(2.0), F.greatest(raw, F.lit(0.0))) - 1 if how == "exp2" else F.log1p(F.exp(raw))
+    return both.select("spot", "gene", score.alias("score"), support.alias("support"))
 
 
 def sparsify(scored: DataFrame, top: int) -> DataFrame:

@@ -16,6 +16,26 @@ from tessera.operators.graph import components, stored
 GAIN = (1.0, 0.8, 0.4, 0.5, 0.3)
 
 
+def epsilon(distances: DataFrame, mode: str = "spot_spacing", spacing: float | None = None, fixed: float | None = None, multiplier: float = 1.5, quantile: float = 0.25) -> tuple[float, str]:
+    """The contact distance for edges with a column distance, and the rule it comes from.
+
+    spot_spacing: a multiple of the spots' spacing, which must be positive; fixed: the given one, or the lower quartile of
+    the distances; else a quantile of the distances. Distances that are negative or not finite don't count; without any it
+    is 0.
+    """
+    fine = distances.where("distance >= 0 AND distance < double('Infinity')")
+    q = fine.agg(F.percentile("distance", F.lit(0.25 if mode == "fixed" else min(1.0, max(0.0, quantile))))).first()[0]
+    if q is None:
+        return 0.0, "empty_distance"
+    if mode == "spot_spacing":
+        if not spacing or not 0 < spacing < float("inf"):
+            raise ValueError("spot_spacing needs the spacing of the spots")
+        return max(0.0, multiplier * spacing), "spot_spacing"
+    if mode == "fixed":
+        return (float(q), "fixed_default_q25") if fixed is None else (max(0.0, fixed), "fixed")
+    return float(q), "distance_quantile"
+
+
 def edges(graph: DataFrame, domains: DataFrame, near: DataFrame, epsilon: float, blend: float = 0.5) -> DataFrame:
     """Interaction edges with strengths.
 

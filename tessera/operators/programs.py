@@ -137,15 +137,19 @@ def redundant(programs: DataFrame, genes: float = 0.2, spots: float = 0.5) -> Da
     return programs.repartition(1).mapInPandas(passed, "program string, status string, primary string")
 
 
-def log_factorials(n: int) -> list[float]:
-    return [0.0, *np.cumsum(np.log(np.arange(1, n + 1))).tolist()]
+def log_factorial(n):
+    """ln n! of a whole-number column: a short table, and from 16 on Stirling's series, which is exact to 1e-12 there."""
+    x = n.cast("double")
+    table = F.array(*[F.lit(v) for v in [0.0, *np.cumsum(np.log(np.arange(1, 16))).tolist()]])
+    series = x * F.log(x) - x + 0.5 * F.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5)))
+    return F.when(x < 16, F.get(table, n.cast("int"))).otherwise(series)
 
 
 def over_representation(programs: DataFrame, terms: DataFrame, universe: DataFrame, least: int = 5, fdr: float = 0.2) -> DataFrame:
     """Terms of each program with overlap, enrichment, p-value (hypergeometric upper tail), fdr by program and score.
 
     programs are (program, gene), terms (term, gene), universe (gene); all distinct. The tail sums logs of binomials
-    from a table of log factorials that is as long as the universe and goes along as one literal array.
+    from log factorials worked out in place, so a universe can have any size.
     """
     inside = lambda d: d.join(universe, "gene", "left_semi")
     programs, terms = inside(programs), inside(terms)
@@ -154,18 +158,14 @@ def over_representation(programs: DataFrame, terms: DataFrame, universe: DataFra
     size_t = terms.groupBy("term").agg(F.count(F.lit(1)).alias("term_size"))
     hits = programs.join(terms, "gene").groupBy("program", "term").agg(F.count(F.lit(1)).alias("overlap"), F.array_join(F.array_sort(F.collect_list("gene")), "|").alias("genes"))
     h = hits.where(F.col("overlap") >= least).join(size_p, "program").join(size_t, "term")
-    table = F.array(*[F.lit(v) for v in log_factorials(n)]) if n <= 2000 else None
-    if table is None:
-        raise ValueError("universes over 2,000 genes need the table as a column; pass it in pieces")
-    lf = lambda i: F.get(F.col("_lf"), i.cast("int"))
-    choose = lambda a, b: lf(a) - lf(b) - lf(a - b)
+    choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
     k, t, p, big = F.col("overlap"), F.col("term_size"), F.col("program_size"), F.lit(n)
     first = F.greatest(k, t + p - big)
     tail = F.aggregate(
         F.sequence(first, F.greatest(first, F.least(t, p))), F.lit(0.0),
         lambda s, i: s + F.exp(choose(t, i) + choose(big - t, p - i) - choose(big, p)),
     )
-    h = h.withColumn("_lf", table).withColumn("p_value", F.least(F.lit(1.0), tail)).drop("_lf").withColumn("_p", F.round("p_value", 12))
+    h = h.withColumn("p_value", F.least(F.lit(1.0), tail)).withColumn("_p", F.round("p_value", 12))
     h = S.benjamini_hochberg(h, "_p", ["program"]).drop("_p")
     effect = F.greatest(F.lit(0.0), F.log2(k * n / (t * p)))
     h = h.withColumn("effect", effect)
@@ -217,3 +217,19 @@ def best_matches(final: DataFrame, repeats: DataFrame) -> DataFrame:
     both = a.join(b, "gene").groupBy("program", "run", "component").agg(F.count(F.lit(1)).alias("n")).join(na, "program").join(nb, ["run", "component"])
     j = both.withColumn("jaccard", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 9))
     return S.top_k(j, ["program", "run"], [F.desc("jaccard"), "component"], 1, "_r").select("program", "run", "component", "jaccard")
+
+
+def latent_losses(vectors: DataFrame) -> DataFrame:
+    """(label, n, hinge, off_diagonal) of vectors (label, embedding): the mean of max(0, 1 - deviation) over dimensions, and
+    the squared covariances of different dimensions over their number. Sums of products are combined before the exchange."""
+    x = vectors.select("label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (F.get("x", i) * F.get("x", j)).alias("xy"))
+    dims = F.sequence(F.lit(0), F.size("x") - 1)
+    products = x.select("label", F.explode(F.flatten(F.transform(dims, lambda i: F.transform(F.sequence(i, F.size("x") - 1), lambda j: cell(i, j))))).alias("p"))
+    second = products.groupBy("label", "p.i", "p.j").agg(F.avg("p.xy").alias("xy"), F.count(F.lit(1)).alias("n"))
+    mean = x.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    both = second.join(mean, ["label", "i"]).join(mean.select("label", F.col("i").alias("j"), F.col("m").alias("mj")), ["label", "j"])
+    cov = F.col("xy") - F.col("m") * F.col("mj")
+    same = F.col("i") == F.col("j")
+    hinge = F.avg(F.when(same, F.greatest(F.lit(0.0), 1 - F.sqrt(F.greatest(F.lit(0.0), cov)))))
+    return both.groupBy("label").agg(F.max("n").alias("n"), hinge.alias("hinge"), (2 * F.sum(F.when(~same, cov * cov).otherwise(0.0)) / F.count_if(same)).alias("off_diagonal"))

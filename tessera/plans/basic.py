@@ -138,15 +138,14 @@ def a16_a17_value_counts(spark, sf):
     return c.withColumn("share", r(F.col("n") / F.sum("n").over(Window.partitionBy("nation"))))
 
 
-_PAIR = V.duck("names", ", n AS (SELECT count(*)::DOUBLE AS n FROM customer), g AS (SELECT DISTINCT gene FROM names), t AS (SELECT gene FROM g ORDER BY gene LIMIT 8), k AS (SELECT names.* FROM names JOIN t USING (gene)), s AS (SELECT gene, sum(value) AS s, sum(value * value) AS ss FROM k GROUP BY gene), c AS (SELECT a.gene AS a, b.gene AS b, sum(a.value * b.value) AS sab FROM k a JOIN k b ON a.spot = b.spot AND a.gene < b.gene GROUP BY 1, 2) SELECT a, b, round(greatest(0, least(1, (sab / n - x.s / n * y.s / n) / sqrt((x.ss / n - (x.s / n) ** 2) * (y.ss / n - (y.s / n) ** 2)))), 6) AS corr FROM c JOIN s x ON c.a = x.gene JOIN s y ON c.b = y.gene, n")
+_PAIR = V.duck("names", ", n AS (SELECT count(*)::DOUBLE AS n FROM customer), g AS (SELECT DISTINCT gene FROM names), k AS (SELECT * FROM names), s AS (SELECT gene, sum(value) AS s, sum(value * value) AS ss FROM k GROUP BY gene), c AS (SELECT a.gene AS a, b.gene AS b, sum(a.value * b.value) AS sab FROM k a JOIN k b ON a.spot = b.spot AND a.gene < b.gene GROUP BY 1, 2) SELECT a, b, round(greatest(0, least(1, (sab / n - x.s / n * y.s / n) / sqrt((x.ss / n - (x.s / n) ** 2) * (y.ss / n - (y.s / n) ** 2)))), 6) AS corr FROM c JOIN s x ON c.a = x.gene JOIN s y ON c.b = y.gene, n")
 
 
 @query(_PAIR)
 def a20_dense_correlation(spark, sf):
     """Pairs meet through the spots they share; single sums carry the rest, so absent cells cost nothing."""
     e, n = V.names(spark, sf), F.lit(float(V.spots(spark, sf).count()))
-    few = e.select("gene").distinct().orderBy("gene").limit(8)
-    k = e.join(F.broadcast(few), "gene")
+    k = e
     s = k.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     c = k.alias("a").join(k.alias("b"), "spot").where("a.gene < b.gene").groupBy(F.col("a.gene").alias("a"), F.col("b.gene").alias("b")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("sab"))
     x, y = s.select(F.col("gene").alias("a"), F.col("s").alias("sa"), F.col("ss").alias("saa")), s.select(F.col("gene").alias("b"), F.col("s").alias("sb"), F.col("ss").alias("sbb"))

@@ -83,11 +83,11 @@ def g24_trimmed_terms(spark, sf):
     return M.trimmed_terms(h, V.gene_sets(spark, sf))
 
 
-@query("WITH c AS (SELECT (vec_id % 3)::BIGINT AS run, label::BIGINT AS component, vec_id % 40 AS gene FROM embeddings GROUP BY 1, 2, 3), f AS (SELECT 'P' || (vec_id % 7) AS program, vec_id % 40 AS gene FROM embeddings WHERE vec_id % 5 < 2 GROUP BY 1, 2), na AS (SELECT program, count(*) AS na FROM f GROUP BY 1), nb AS (SELECT run, component, count(*) AS nb FROM c GROUP BY 1, 2), j AS (SELECT program, run, component, round(count(*) / (any_value(na) + any_value(nb) - count(*)), 9) AS jaccard FROM f JOIN c USING (gene) JOIN na USING (program) JOIN nb USING (run, component) GROUP BY 1, 2, 3) SELECT program, run, component, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY program, run ORDER BY jaccard DESC, component) AS i FROM j) WHERE i = 1")
+@query("WITH c AS (SELECT (vec_id % 3)::BIGINT AS run, label::BIGINT AS component, vec_id % 40 AS gene FROM embeddings GROUP BY 1, 2, 3), f AS (SELECT 'P' || (vec_id % 7) AS program, vec_id % 40 AS gene FROM embeddings WHERE label < 5 GROUP BY 1, 2), na AS (SELECT program, count(*) AS na FROM f GROUP BY 1), nb AS (SELECT run, component, count(*) AS nb FROM c GROUP BY 1, 2), j AS (SELECT program, run, component, round(count(*) / (any_value(na) + any_value(nb) - count(*)), 9) AS jaccard FROM f JOIN c USING (gene) JOIN na USING (program) JOIN nb USING (run, component) GROUP BY 1, 2, 3) SELECT program, run, component, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY program, run ORDER BY jaccard DESC, component) AS i FROM j) WHERE i = 1")
 def j19_b3_best_matches(spark, sf):
     e = V.load(spark, sf, "embeddings")
     c = e.select((F.col("vec_id") % 3).alias("run"), F.col("label").cast("long").alias("component"), (F.col("vec_id") % 40).alias("gene")).distinct()
-    f = e.where("vec_id % 5 < 2").select(F.concat(F.lit("P"), (F.col("vec_id") % 7).cast("string")).alias("program"), (F.col("vec_id") % 40).alias("gene")).distinct()
+    f = e.where("label < 5").select(F.concat(F.lit("P"), (F.col("vec_id") % 7).cast("string")).alias("program"), (F.col("vec_id") % 40).alias("gene")).distinct()
     return M.best_matches(f, c)
 
 
@@ -116,11 +116,14 @@ def m1_pca(spark, sf):
     return M.pca(latent(spark, sf), 5).select("spot", F.transform("pc", lambda x: F.round(F.abs(x), 4)).alias("pc"))
 
 
-@query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS mean, round(var_pop(embedding[1]::DOUBLE), 6) AS variance, round(greatest(0, 1 - stddev_pop(embedding[1]::DOUBLE)), 6) AS hinge, round(covar_pop(embedding[1]::DOUBLE, embedding[2]::DOUBLE) ** 2, 6) AS cov2 FROM embeddings GROUP BY label")
+@query("""WITH e AS (SELECT label, vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT label, i, avg(x) AS mean, greatest(0, 1 - stddev_pop(x)) AS hinge, count(*) AS n FROM e GROUP BY 1, 2),
+c AS (SELECT a.label, a.i, b.i AS j, covar_pop(a.x, b.x) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2, 3),
+k AS (SELECT label, sum(cov * cov) AS off FROM c GROUP BY 1)
+SELECT m.label, any_value(m.n) AS n, round(avg(hinge), 6) AS hinge, round(2 * any_value(off) / count(*), 6) AS off_diagonal FROM m JOIN k USING (label) GROUP BY 1""")
 def m4_latent_losses(spark, sf):
-    """Variance hinge and squared covariance of latent dimensions, as aggregates."""
-    e = V.load(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r(F.avg("a")).alias("mean"), r(F.var_pop("a")).alias("variance"), r(F.greatest(F.lit(0.0), 1 - F.stddev_pop("a"))).alias("hinge"), r(F.pow(F.covar_pop("a", "b"), 2)).alias("cov2"))
+    """Variance hinge and off-diagonal covariance of all latent dimensions by label."""
+    return M.latent_losses(V.load(spark, sf, "embeddings").select("label", "embedding")).select("label", "n", r("hinge").alias("hinge"), r("off_diagonal").alias("off_diagonal"))
 
 
 @query(V.duck("names", ", lab AS (SELECT DISTINCT event_type AS program, user_id AS spot FROM events WHERE value > 200), nb AS (SELECT program, count(*)::DOUBLE AS active, (SELECT count(*) FROM customer) - count(*)::DOUBLE AS inactive FROM lab GROUP BY 1), tt AS (SELECT gene, sum(value) AS t FROM names GROUP BY 1), ii AS (SELECT program, gene, sum(value) AS s FROM names JOIN lab USING (spot) GROUP BY 1, 2) SELECT program, gene, round(s / active - CASE WHEN inactive > 0 THEN (t - s) / inactive ELSE 0 END, 6) AS contrast FROM ii JOIN tt USING (gene) JOIN nb USING (program)"))

@@ -16,10 +16,12 @@ from tessera.operators import graph as H
 from tessera.operators import niches as N
 from tessera.operators import programs as M
 from tessera.operators import spatial as P
+from tessera.sources import bundles as B
 from tessera.sources import tables as T
 
 SF = "/root/testdata/sf0.001"
-TWINS = ["p8_gene_qc_top", "flagship_gss", "j11_nearest", "g6_watershed", "r4_j18_over_representation", "j14_j15_w8_comparable", "w10_cumulative_cut", "f20_vector_similarity", "u2_u3_union_except"]
+TWINS = ["p8_gene_qc_top", "flagship_gss", "j11_nearest", "g6_watershed", "r4_j18_over_representation", "j14_j15_w8_comparable", "w10_cumulative_cut", "f20_vector_similarity", "u2_u3_union_except",
+         "a27_topology", "m4_latent_losses", "f19_texts", "s6_merged_axes", "m8_head_consistency"]
 
 
 def plain(v):
@@ -70,6 +72,68 @@ def test_scalars(spark):
     assert one(spark, X.cosine_distance(F.array(F.lit(0.0)), F.array(F.lit(0.0)))) == 0.0
 
 
+def test_texts(spark):
+    t = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    assert [one(spark, X.phrase(t(*v))) for v in ((), ("a",), ("a", " ", "b"), ("a", "b", "c"))] == ["", "a", "a and b", "a, b and c"]
+    q = one(spark, X.symbol_quality(t("LINC1", "ACTB", "HBA1", "TP53", "")))
+    assert (q.odd5, q.haemoglobin10) == (0.5, 0.25) and q.score == pytest.approx(max(0, 1 - 0.375 - 0.5 - 0.125))
+
+
+def test_log_factorial(spark):
+    for n in (0, 1, 15, 16, 2001, 10**7):
+        assert one(spark, M.log_factorial(F.lit(n))) == pytest.approx(math.lgamma(n + 1), rel=1e-13, abs=1e-11)
+
+
+def test_over_representation_of_a_large_universe(spark):
+    """20,000 genes: the hypergeometric tail against sums of exact binomials."""
+    genes = spark.range(20_000).selectExpr("id AS gene")
+    programs, terms = genes.where("gene < 100").selectExpr("'p' AS program", "gene"), genes.where("gene % 9 = 0 OR gene > 19900").selectExpr("'t' AS term", "gene")
+    h = M.over_representation(programs, terms, genes).first()
+    t, p, k = terms.count(), 100, h.overlap
+    want = sum(math.comb(t, i) * math.comb(20_000 - t, p - i) for i in range(k, p + 1)) / math.comb(20_000, p)
+    assert k == 12 and h.p_value == pytest.approx(want, rel=1e-8)
+
+
+def test_epsilon(spark):
+    d = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (5.0,), (-1.0,), (float("inf"),), (float("nan"),)], "distance double")
+    assert N.epsilon(d, "fixed") == (1.75, "fixed_default_q25") and N.epsilon(d, "fixed", fixed=-1.0) == (0.0, "fixed")
+    assert N.epsilon(d, "spot_spacing", 2.0) == (3.0, "spot_spacing") and N.epsilon(d, "quantile", quantile=2.0) == (5.0, "distance_quantile")
+    assert N.epsilon(d.limit(0)) == (0.0, "empty_distance")
+    with pytest.raises(ValueError):
+        N.epsilon(d, "spot_spacing")
+
+
+def test_stage_inputs(spark, tmp_path):
+    at = str(tmp_path)
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{at}/b/{name}.parquet")
+    with pytest.raises(FileNotFoundError):
+        B.assemble(spark, f"{at}/b")
+    write("programs", [("p", "g")], "program string, gene string")
+    write("activation", [("p", 7, 1.0)], "program string, spot long, value double")
+    write("spots", [(7, 0), (8, 1)], "spot long, idx long")
+    with pytest.raises(FileNotFoundError, match="qc"):
+        B.assemble(spark, f"{at}/b")
+    assert B.assemble(spark, f"{at}/b", 2, need_qc=False).qc is None
+    with pytest.raises(ValueError, match="neighbours"):
+        B.assemble(spark, f"{at}/b", 3, need_qc=False)
+    write("spots", [(8, 0), (9, 1)], "spot long, idx long")
+    with pytest.raises(ValueError, match="unknown spots"):
+        B.assemble(spark, f"{at}/b", need_qc=False)
+    write("spots", [(7, 0), (7, 1)], "spot long, idx long")
+    with pytest.raises(ValueError, match="each once"):
+        B.assemble(spark, f"{at}/b", need_qc=False)
+    assert B.locate(spark, f"{at}/x", "b") == f"{at}/b" and B.locate(spark, f"{at}/x", "c", manifest={"inputs": {"c_path": f"{at}/b"}}) == f"{at}/b"
+    for told in ({"override": f"{at}/none"}, {}):
+        with pytest.raises(FileNotFoundError):
+            B.locate(spark, f"{at}/x", "c", **told)
+    assert B.listed(spark, f"{at}/none", "b", "m") == []
+    (tmp_path / "a.json").write_text('[{"k": " x ", "v": 1}, {"k": "x", "v": 2}, {"k": ""}, {"v": 3}]')
+    rows, told = B.read_records(spark, f"{at}/a.json", "k string, v int", "k")
+    assert [tuple(r) for r in rows.collect()] == [("x", 2)] and told["available"]
+    with pytest.raises(FileNotFoundError):
+        B.read_records(spark, f"{at}/none.json", "k string", "k", required=True)
+
+
 def test_statistics(spark):
     q = S.quantiles(spark.createDataFrame([("g", v) for v in (1.0, 2.0, 4.0, 10.0)] + [("n", float("nan"))], "g string, v double"), "v", "g")
     assert {r.g: r.p75 for r in q.collect()} == {"g": 5.5, "n": 0.0}
