@@ -21,7 +21,7 @@ HUB = 1000
 #: Edges, counted first, that one task joins by itself in some 20 MB.
 HERE = 250_000
 #: Edges in one file, about.
-FILE_ROWS = 250_000
+FILE_ROWS = 20_000
 #: Longest posting list that one task compares by itself; longer ones are dealt in pairs of blocks of this many rows.
 LIST = 4096
 

@@ -102,11 +102,6 @@ def binaries(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in parts], pa.binary())
 
 
-def hashed_key(*columns: str):
-    """128 bits of the columns as a hex string, null apart from every value."""
-    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
-
-
 #: Bits of the tables that are sent to every task: half a MiB, whatever they stand for.
 TABLE_BITS = 1 << 22
 

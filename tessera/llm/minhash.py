@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import clusters
-from tessera.llm.common import binaries, discard, flat, hashed_key, small_batches, steps, stored, unused
+from tessera.llm.common import binaries, discard, flat, small_batches, steps, stored, unused
 from tessera.llm.words import SPACED, digest, mix, shingles, words
 
 COORDINATES = 64
@@ -239,8 +239,10 @@ def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
 
     Rows without words are their own groups and stay. Rows without doc_id go when their group has a row with one.
     """
-    doc, key = unused(docs.columns, "gone", "key")
+    key, bad = unused(docs.columns, "key", "gone")
+    named = lambda text: F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text.cast("string")).cast("binary"))
     gone = near_duplicates(docs, share).where("NOT kept AND n_shingles > 0 AND (doc_id IS NOT NULL OR component_id IS NOT NULL)")
-    gone = stored(gone.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct(), "gone")
-    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
-    return left.withColumn(key, hashed_key("doc_id", F.coalesce("text", F.lit("")))).dropDuplicates([key]).drop(key)
+    gone = stored(gone.select(named(F.col("text_key")).alias(bad)).distinct(), "gone", 1 + docs.count() // clusters.FILE_ROWS)
+    # both steps deal the texts by the same key, so they are exchanged once
+    left = docs.withColumn(key, named(F.xxhash64(F.coalesce("text", F.lit(""))))).repartition(key)
+    return left.join(gone, F.col(key) == F.col(bad), "left_anti").dropDuplicates([key]).drop(key)
