@@ -32,7 +32,38 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_2, BSD_3 = _BSD + _BSD_END, _BSD + _BSD_THIRD + _BSD_END
+BSD_0 = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 KNOWN = (
+    ("BSD-2-Clause", BSD_2), ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_2), ("BSD-3-Clause", BSD_3), ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_3),
+    ("0BSD", BSD_0), ("0BSD", "BSD Zero Clause License\n" + BSD_0), ("Unlicense", UNLICENSE), ("BSL-1.0", BOOST),
     ("MIT", MIT), ("MIT", "MIT License\n" + MIT), ("MIT", "The MIT License\n" + MIT), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
     ("ISC", ISC), ("ISC", "ISC License\n" + ISC), ("Zlib", ZLIB), ("Zlib", "zlib License\n" + ZLIB),
     ("Apache-2.0", APACHE_HEADER), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -40,6 +71,8 @@ KNOWN = (
 )
 #: Catalogues up to this many texts are sent to every task; larger ones are joined by exchange.
 MOST_SENT = 10_000
+#: Keys over which the copies of one text with notices are dealt.
+SALTS = 16
 #: Lines without this word, in lower case with c for s, cannot be a notice; catalogue texts of one line must have it.
 MARK = "licen"
 
@@ -70,12 +103,20 @@ def catalogue(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     return known.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def read_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """(license_id, text) from a folder of licence texts, a file each, named by its id with or without an ending .txt: for
+    the long licences, whose texts are not in this module."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.txt)?$", 1)
+    return spark.read.text(folder, wholetext=True).select(name.alias("license_id"), F.col("value").alias("text"))
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """For each row of docs: doc_id, digest of the canonical text, license_id of a whole-text match, and notice_ids.
 
     notice_ids are the sorted licences whose notice is one whole line of the text, found by the same digests. Null,
     empty and blank texts have the digest of nothing and match nothing. Repeated rows each get their result, and other
-    columns are not read. The documents side of every join keeps its rows where they are unless the catalogue is large.
+    columns are not read. The catalogue is sent to all tasks if it is small, so whole texts are matched where they are; the
+    notices of texts with such lines come back by a salted exchange of digests.
     """
     spark = docs.sparkSession
     table = catalogue(spark, known)
@@ -84,12 +125,16 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.contains(F.translate(x, UPPER, LOWER), F.lit(MARK)))
     rows = docs.select("doc_id", digest(text).alias("digest"), F.array_distinct(F.transform(lines, digest)).alias("lines"))
-    whole = rows.join(sent, "digest", "left")
+    whole = rows.join(sent, "digest", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     some = whole.where(F.size("lines") > 0).select("digest", F.explode(F.array_distinct("lines")).alias("line")).distinct()
     other = table.select(F.col("digest").alias("line"), F.col("license_id").alias("notice"))
     found = some.join(F.broadcast(other) if small else other, "line").groupBy("digest").agg(F.array_sort(F.collect_set("notice")).alias("notice_ids"))
+    # only texts with lines have a key that others have, dealt over SALTS keys where a text has very many copies
+    at = lambda n: F.concat_ws(":", "digest", n.cast("string"))
+    found = found.select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("n"), "digest", "notice_ids").select(at(F.col("n")).alias("key"), "notice_ids")
+    keyed = whole.withColumn("key", F.when(F.size("lines") > 0, at(F.col("salt"))).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))))
     none = F.array().cast("array<string>")
-    return whole.join(found, "digest", "left").select("doc_id", "digest", "license_id", F.coalesce("notice_ids", none).alias("notice_ids"))
+    return keyed.join(found, "key", "left").select("doc_id", "digest", "license_id", F.coalesce("notice_ids", none).alias("notice_ids"))
 
 
 def oracle_sql() -> str:
