@@ -19,8 +19,10 @@ WINDOW = 13
 REACH = 2 * WINDOW
 #: Documents in one file of what is contaminated, at most.
 FILE_ROWS = 250_000
-#: Windows that are searched in a segment at a time.
-CHUNK = 8192
+#: Windows of an item that go together, and such runs that are searched in a segment at a time.
+RUN, CHUNK = 64, 128
+#: Bytes of runs, counted first, that may be sent to every task in place of an exchange of the index.
+SENT_BYTES = 32 << 20
 _SEGMENT = "segment long, doc_ids array<long>, lengths binary, terms binary, ends binary, postings binary"
 
 
@@ -52,21 +54,22 @@ def build_index(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SEGMENT)
 
 
-def _windows(size: int):
-    """(wid, item, terms, n) of all windows of items: the hashes of their words in order, and how many differ."""
+def _runs(size: int):
+    """(run, item, terms) of the words of items, as hashes: RUN windows that follow one another, or fewer at an item's end.
+
+    The words that windows share are there once; the last size - 1 words of a run begin the next one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in steps(batches, limit=1 << 18):
+        for rows, data, at in steps(batches, limit=1 << 20):
             hashes, word_at = words(data, at, ALPHANUMERIC)
             ids = rows.column(rows.schema.get_field_index("item")).to_pylist()
-            wid, item, terms, n = [], [], [], []
+            name, item, terms = [], [], []
             for own, low, high in zip(ids, word_at[:-1].tolist(), word_at[1:].tolist(), strict=True):
-                for k in range(max(1, high - low - size + 1) if high > low else 0):
-                    w = hashes[low + k : min(high, low + k + size)]
+                for k in range(low, max(low + 1, high - size + 1) if high > low else low, RUN):
                     item.append(own)
-                    terms.append(w.astype("<u8").tobytes())
-                    wid.append(int.from_bytes(hashlib.blake2b(terms[-1] + repr(own).encode(), digest_size=8).digest(), "little", signed=True))
-                    n.append(len(np.unique(w)))
-            yield pa.RecordBatch.from_arrays([pa.array(wid, pa.int64()), pa.array(item, pa.string()), pa.array(terms, pa.binary()), pa.array(n, pa.int32())], names=["wid", "item", "terms", "n"])
+                    terms.append(hashes[k : min(high, k + RUN + size - 1)].astype("<u8").tobytes())
+                    name.append(int.from_bytes(hashlib.blake2b(terms[-1] + repr(own).encode(), digest_size=8).digest(), "little", signed=True))
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(item, pa.string()), pa.array(terms, pa.binary())], names=["run", "item", "terms"])
 
     return run
 
@@ -86,15 +89,18 @@ def _segment_terms(bits: bytes):
 
 
 class Windows:
-    """Some windows as term numbers in a table: one row a window, -1 beyond a short window's words, and their items."""
+    """The windows of some runs as term numbers in a table: one row a window, -1 beyond a short one's words, and their items."""
 
-    def __init__(self, items: list[str], terms: list[bytes]):
-        self.items, self.owner = np.unique(np.array(items, object), return_inverse=True)
-        size = np.array([len(x) // 8 for x in terms], np.int64)
+    def __init__(self, items: list[str], terms: list[bytes], size: int = WINDOW):
+        length = np.array([len(x) // 8 for x in terms], np.int64)
+        many = np.maximum(1, length - size + 1)
+        self.items, owner = np.unique(np.array(items, object), return_inverse=True)
+        self.owner = np.repeat(owner, many)
         self.terms, number = np.unique(np.frombuffer(b"".join(terms), "<u8"), return_inverse=True)
-        self.table = np.full((len(terms), int(size.max())), -1, np.int64)
-        self.table[np.arange(self.table.shape[1]) < size[:, None]] = number
-        self.size = size
+        self.size = np.repeat(np.minimum(length, size), many)
+        first = np.repeat(np.cumsum(length) - length - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        at = np.arange(int(self.size.max()))
+        self.table = np.where(at < self.size[:, None], number[np.minimum(first[:, None] + at, len(number) - 1)], -1)
 
 
 def search(terms: np.ndarray, ends: np.ndarray, postings: np.ndarray, base: np.ndarray, windows: Windows, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +149,7 @@ def search(terms: np.ndarray, ends: np.ndarray, postings: np.ndarray, base: np.n
     return row[exact[keep]], start[keep], row[near], place
 
 
-def _hits(reach: int):
+def _hits(size: int, reach: int):
     """(segment, ordinal, spans, items, near) by document with a match in one chunk of windows: merged spans of hit words as
     pairs of numbers, the items with exact occurrences and those with proximity matches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +157,7 @@ def _hits(reach: int):
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
                 base = np.concatenate(([0], np.cumsum(np.frombuffer(r["lengths"], "<i4").astype(np.int64) + 1)))
-                windows = Windows([x["item"] for x in r["windows"]], [x["terms"] for x in r["windows"]])
+                windows = Windows([x["item"] for x in r["windows"]], [x["terms"] for x in r["windows"]], size)
                 row, start, near_row, place = search(np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["ends"], "<i4"), np.frombuffer(r["postings"], "<i4"), base, windows, reach)
                 doc, near_doc = np.searchsorted(base, start, "right") - 1, np.searchsorted(base, place, "right") - 1
                 step = np.zeros(base[-1] + 1, np.int32)
@@ -192,28 +198,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: in
     Null and empty texts have no words and no hits, items without words have no windows, repeated rows and repeated items
     are each taken as they are, and an empty benchmark hits nothing.
 
-    The index of all words is written to the shared folder once. The benchmark is never collected: its windows are joined
-    to the segments that have their rarest term in the corpus, and searched there, chunk windows at a time.
+    The index of all words is written to the shared folder once. The benchmark is never collected: runs of its windows are
+    joined to the segments that have some window's rarest term in the corpus, and searched there, chunk runs at a time.
     """
     small_batches(docs.sparkSession)
     index = stored(build_index(docs), "index", compression="zstd")
     few = 1 + index.count() // 256
     every = index.select("segment", "doc_ids", "lengths").mapInArrow(_ordinals, "segment long, ordinal long, doc_id long, n_words long")
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    windows = stored(items.mapInArrow(_windows(size), "wid long, item string, terms binary, n int").dropDuplicates(["wid"]), "windows", few)
-    posted = windows.select("wid", "n", "terms").mapInArrow(_apart, "wid long, n int, term long")
+    runs = stored(items.mapInArrow(_runs(size), "run long, item string, terms binary").dropDuplicates(["run"]), "runs", few)
+    posted = runs.select("run", "terms").mapInArrow(_apart(size), "run long, place int, n int, term long")
     terms = posted.select("term").distinct()
     lists = index.select("segment", "terms", "ends").mapInArrow(_segment_terms(bit_table(terms, "term")), "term long, segment long, n long")
     lists = stored(lists.join(terms, "term", "left_semi").repartition(few), "lists")
     often = lists.groupBy("term").agg(F.sum("n").alias("often"))
-    rare = posted.join(often, "term").groupBy("wid", "n").agg(F.min(F.struct("often", "term")).alias("rare"), F.count(F.lit(1)).alias("known"))
+    rare = posted.join(often, "term").groupBy("run", "place", "n").agg(F.min(F.struct("often", "term")).alias("rare"), F.count(F.lit(1)).alias("known"))
     # a window has a place in the segments that have its rarest term; one with an unknown term has none
-    met = rare.where("known = n").select("wid", F.col("rare.term").alias("term")).join(lists.select("term", "segment"), "term").select("wid", "segment")
+    met = rare.where("known = n").select("run", F.col("rare.term").alias("term")).distinct().join(lists.select("term", "segment"), "term").select("run", "segment").distinct()
     parts = met.groupBy("segment").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("parts"))
-    dealt = met.join(parts, "segment").withColumn("part", F.pmod(F.xxhash64("wid"), F.col("parts"))).join(windows.select("wid", "item", "terms"), "wid")
-    packed = stored(dealt.groupBy("segment", "part").agg(F.collect_list(F.struct("item", "terms")).alias("windows")), "packed", few)
-    discard(windows, lists)
-    found = index.join(packed, "segment").select("segment", "lengths", "terms", "ends", "postings", "windows").mapInArrow(_hits(reach), "segment long, ordinal long, spans array<struct<s:long,e:long>>, items array<string>, near array<string>")
+    dealt = met.join(parts, "segment").withColumn("part", F.pmod(F.xxhash64("run"), F.col("parts"))).join(runs, "run")
+    packed = dealt.groupBy("segment", "part").agg(F.sum(F.octet_length("terms") + 64).alias("bytes"), F.collect_list(F.struct("item", "terms")).alias("windows"))
+    packed = stored(packed, "packed", few)
+    discard(runs, lists)
+    small = (packed.agg(F.sum("bytes")).first()[0] or 0) <= SENT_BYTES
+    both = index.join(F.broadcast(packed) if small else packed, "segment").select("segment", "lengths", "terms", "ends", "postings", "windows")
+    found = both.mapInArrow(_hits(size, reach), "segment long, ordinal long, spans array<struct<s:long,e:long>>, items array<string>, near array<string>")
     cover = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
         lambda x, y: F.struct((x["n"] + F.greatest(F.lit(0).cast("long"), y["e"] - F.greatest(y["s"], x["to"]))).alias("n"), F.greatest(x["to"], y["e"]).alias("to")),
@@ -228,12 +237,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: in
     return out
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(wid, n, term) for the distinct terms of windows."""
-    for batch in batches:
-        own = [np.unique(np.frombuffer(x, "<u8")).view(np.int64) for x in batch.column(2).to_pylist()]
-        each = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in own]))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(1).take(each), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["wid", "n", "term"])
+def _apart(size: int):
+    """(run, place, n, term) for the n distinct terms of each window of runs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(data, "<u8")
+                own = [np.unique(h[k : k + size]).view(np.int64) for k in range(max(1, len(h) - size + 1))]
+                n = [len(x) for x in own]
+                place, many, term = np.repeat(np.arange(len(own)), n).astype(np.int32), np.repeat(n, n).astype(np.int32), np.concatenate(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), name)), pa.array(place), pa.array(many), pa.array(term)], names=["run", "place", "n", "term"])
+
+    return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:

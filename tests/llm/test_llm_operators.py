@@ -146,8 +146,10 @@ def test_components(spark, monkeypatch, here):
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-@pytest.mark.parametrize("chunk", [8192, 3])
-def test_decontamination(spark, docs, empty, chunk):
+@pytest.mark.parametrize(("chunk", "run", "sent"), [(128, 64, 1 << 20), (2, 3, 0)])
+def test_decontamination(spark, docs, empty, monkeypatch, chunk, run, sent):
+    monkeypatch.setattr(decontam, "RUN", run)
+    monkeypatch.setattr(decontam, "SENT_BYTES", sent)
     t = texts()
     long = WORD.findall(t[30])
     mixed = long[70:78][::-1] + long[78:83]
