@@ -54,16 +54,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     with the logarithm of their length.
     """
     by = [c for c in nodes.columns if c != "spot"]
+    def mark(d: DataFrame):
+        return d.agg(F.bit_xor(F.xxhash64(*by, "spot", "component"))).first()[0]
+
     now = stored(nodes.withColumn("component", F.col("spot")), "components")
+    last = mark(now)
     while True:
         near = edges.join(now.withColumnRenamed("spot", "v"), [*by, "v"]).groupBy(*by, F.col("u").alias("spot")).agg(F.min("component").alias("m"))
         spread = now.join(near, [*by, "spot"], "left").select(*by, "spot", F.least("component", "m").alias("component"))
         jump = spread.select(*by, F.col("spot").alias("component"), F.col("component").alias("next"))
         new = stored(spread.join(jump, [*by, "component"]).select(*by, "spot", F.col("next").alias("component")), "components")
-        mark = lambda d: d.agg(F.bit_xor(F.xxhash64(*by, "spot", "component"))).first()[0]
-        if mark(new) == mark(now):
+        seen = mark(new)
+        if seen == last:
             return new
-        now = new
+        now, last = new, seen
 
 
 def smooth(values: DataFrame, edges: DataFrame, alpha: float = 0.6, steps: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import exprs as X
 from tessera.functions import stats as S
 from tessera.operators import genes as G
+from tessera.operators import graph as H
 from tessera.sources import views as V
 
 QUERIES: dict = {}
@@ -45,8 +46,8 @@ def a4_gene_activity(spark, sf):
 
 @query(V.duck("expression", _ACT + " SELECT * FROM (SELECT e.spot, e.gene, e.value, row_number() OVER (PARTITION BY e.spot ORDER BY e.value DESC, e.gene) AS rank_in_spot, support, round(idf, 6) AS idf FROM expression e JOIN g3 ON e.gene = g3.gene WHERE value > 0) WHERE rank_in_spot <= 5"))
 def p8_gene_qc_top(spark, sf):
-    e, n = V.expression(spark, sf), V.spots(spark, sf).count()
-    return G.top_genes(e, G.gated(G.activity(e, n), n), 5).withColumn("idf", r("idf"))
+    e, n = H.stored(V.expression(spark, sf), "cells"), V.spots(spark, sf).count()  # read once for each gate
+    return G.top_genes(e, G.gated(H.stored(G.activity(e, n), "activity"), n), 5).withColumn("idf", r("idf"))
 
 
 @query(V.duck("expression", "SELECT gene, count(*) FILTER (value > 0) AS n FROM expression GROUP BY gene HAVING count(*) FILTER (value > 0) >= 300"))
