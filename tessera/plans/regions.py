@@ -49,10 +49,11 @@ _REL = ", sc AS (SELECT coalesce(quantile_cont(prominence, 0.9), 1) AS s FROM pr
 _PAIRS = ", tc AS (SELECT least(a.domain, b.domain) AS i, greatest(a.domain, b.domain) AS j, count(*) AS shared FROM grid g JOIN m a ON g.u = a.spot JOIN m b ON g.v = b.spot WHERE g.u < g.v AND a.domain <> b.domain GROUP BY 1, 2), ov AS (SELECT a.domain AS i, b.domain AS j, count(*) AS overlap FROM m a JOIN m b ON a.spot = b.spot AND a.domain < b.domain GROUP BY 1, 2), pp AS (SELECT coalesce(tc.i, ov.i) AS i, coalesce(tc.j, ov.j) AS j, coalesce(shared, 0) AS shared, coalesce(overlap, 0) AS overlap FROM tc FULL JOIN ov ON tc.i = ov.i AND tc.j = ov.j)"
 
 
-@query(V.duck("active grid", _MEM + _GEO + " SELECT domain, n, round(cx, 6) AS cx, round(cy, 6) AS cy, internal, boundary, round(density, 6) AS density, round(compactness, 6) AS compactness, round(boundary_ratio, 6) AS boundary_ratio, round(leaf_ratio, 6) AS leaf_ratio, round(elongation, 2) AS elongation FROM geo WHERE elongation < 1000", True))
+@query(V.duck("active grid", _MEM + _GEO + " SELECT domain, n, round(cx, 6) AS cx, round(cy, 6) AS cy, internal, boundary, round(density, 6) AS density, round(compactness, 6) AS compactness, round(boundary_ratio, 6) AS boundary_ratio, round(leaf_ratio, 6) AS leaf_ratio, round(least(elongation, 1000), 2) AS elongation FROM geo", True))
 def a11_a12_geometry(spark, sf):
     m, g, _ = _members(spark, sf)
-    d = D.geometry(m, g, V.users(spark, sf)).where("elongation < 1000")
+    # spots on a line have no width: from 1,000 on the ratio is that of rounding errors
+    d = D.geometry(m, g, V.users(spark, sf)).withColumn("elongation", F.least(F.lit(1000.0), "elongation"))
     return d.select("domain", "n", *[r(c).alias(c) for c in ("cx", "cy")], "internal", "boundary", *[r(c).alias(c) for c in ("density", "compactness", "boundary_ratio", "leaf_ratio")], r("elongation", 2).alias("elongation"))
 
 
