@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import basic, cohort, evidence, labels, programs, regions, spatial
+from tessera.plans import atlas, basic, cohort, evidence, labels, programs, regions, spatial
 
-_MODULES = (basic, spatial, regions, programs, cohort, labels, evidence)
+_MODULES = (basic, spatial, regions, programs, cohort, labels, evidence, atlas)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
