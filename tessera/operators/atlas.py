@@ -143,6 +143,7 @@ def assembly_matrix(niches: DataFrame, members: DataFrame, domains: DataFrame, p
     niches are (sample, niche, member_count, confidence, cohesion, pair_count, cross_edges), members (sample, niche, domain,
     program), domains (sample, domain, program, the four roles), pairs (sample, niche, left, right) of backbone programs.
     Programs stand in a strip by their first domain in the sample; a program's role is the first of its highest means.
+    Shares have three digits, ties up.
     """
     order = domains.groupBy("sample", "program").agg(F.min("domain").alias("first"))
     order = order.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "program"))), lambda x: x["program"]).alias("order"))
@@ -151,7 +152,7 @@ def assembly_matrix(niches: DataFrame, members: DataFrame, domains: DataFrame, p
     best = F.greatest(*[F.col(c) / F.col("n") for c in STRIP_ROLES])
     anchor = F.coalesce(*[F.when(F.col(c) / F.col("n") == best, F.lit(c)) for c in STRIP_ROLES])
     by_program = by_program.withColumn("anchor", anchor)
-    roles = F.create_map(*[x for c in STRIP_ROLES for x in (F.lit(c), F.round(F.sum(c) / F.sum("n"), 9))])  # whatever the order of the sum
+    roles = F.create_map(*[x for c in STRIP_ROLES for x in (F.lit(c), F.round(F.round(F.sum(c) / F.sum("n"), 9), 3))])  # whatever the order of the sum
     whole = by_program.groupBy("sample", "niche").agg(
         F.map_from_entries(F.collect_list(F.struct("program", "n"))).alias("counts"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("programs"), roles.alias("roles"),
     )
@@ -164,7 +165,7 @@ def assembly_matrix(niches: DataFrame, members: DataFrame, domains: DataFrame, p
     at = lambda i: F.coalesce(F.get("ranked", F.lit(i))["label"], F.lit(""))
     n = n.withColumns({"dominant_pair": at(0), "secondary_pair": at(1), "programs": F.coalesce("programs", F.lit(0))})
     share = lambda p: F.coalesce(F.try_element_at("counts", p) / F.col("total"), F.lit(0.0))
-    strip = F.array_join(F.transform("order", lambda p: F.concat(p, F.lit("="), F.format_string("%.3f", share(p)))), ";")
+    strip = F.array_join(F.transform("order", lambda p: F.concat(p, F.lit("="), F.format_string("%.3f", F.round(share(p), 3)))), ";")
     n = n.withColumn("roles", F.coalesce("roles", F.create_map(F.lit(""), F.lit(0.0))))
     return n.select(
         "sample", "niche", "member_count", "confidence", "cohesion", "programs", F.coalesce(strip, F.lit("")).alias("program_strip"),

@@ -62,22 +62,28 @@ def edges(graph: DataFrame, domains: DataFrame, near: DataFrame, epsilon: float,
     return e.select("i", "j", "program_i", "program_j", "boundary_contact", "overlap_contact", "proximity_contact", "edge_reliability", "edge_strength", strong.alias("is_strong"))
 
 
-def prepared(e: DataFrame) -> DataFrame:
-    """Adds keys, cross and the seed score: 0.65 strength rank and 0.35 reliability rank among strong edges of two programs."""
+def prepared(e: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds keys, cross and the seed score: 0.65 strength rank and 0.35 reliability rank among strong edges of two programs.
+
+    Ranks are within by, the columns that tell graphs apart.
+    """
     e = e.withColumn("edge_key", X.unordered_key("i", "j", "||")).withColumn("pair_key", X.unordered_key("program_i", "program_j")).withColumn("cross", F.col("program_i") != F.col("program_j"))
     e = e.withColumn("eligible", F.col("cross") & F.col("is_strong"))
     for value, name in (("edge_strength", "rs"), ("edge_reliability", "rr")):
-        e = S.percentile_rank(e, value, ["eligible"], name)
+        e = S.percentile_rank(e, value, [*by, "eligible"], name)
     return e.withColumn("seed_score", F.when(F.col("eligible"), X.clamp01(0.65 * F.col("rs") + 0.35 * F.col("rr"))).otherwise(0.0)).drop("rs", "rr")
 
 
-def seeds(e: DataFrame, quantile: float = 0.6, most: int = 12) -> DataFrame:
-    """The best seeds of each component of the graph of eligible edges: (component, edge_key, seed_score, seed_rank)."""
-    good = stored(e.where("eligible"), "eligible")
-    bound = good.agg(F.percentile("seed_score", F.lit(quantile))).first()[0]
+def seeds(e: DataFrame, quantile: float = 0.6, most: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
+    """The best seeds of each component of the graph of eligible edges: (component, edge_key, seed_score, seed_rank).
+
+    The least score of a seed is a quantile of the scores within by.
+    """
+    good = stored(e.where("eligible").withColumn("_of", F.concat_ws("|", *by)), "eligible")
+    bounds = good.groupBy("_of").agg(F.percentile("seed_score", F.lit(quantile)).alias("_bound"))
     ways = good.select(F.col("i").alias("u"), F.col("j").alias("v")).unionByName(good.select(F.col("j").alias("u"), F.col("i").alias("v")))
     part = components(ways.select(F.col("u").alias("spot")).distinct(), stored(ways, "ways"))
-    s = good.where(F.col("seed_score") >= F.lit(bound)).join(part.withColumnRenamed("spot", "i"), "i")
+    s = good.join(bounds, "_of").where("seed_score >= _bound").drop("_of", "_bound").join(part.withColumnRenamed("spot", "i"), "i")
     return S.top_k(s, ["component"], [F.desc("seed_score"), F.desc("edge_strength"), F.desc("edge_reliability"), "edge_key"], most, "seed_rank")
 
 
@@ -304,3 +310,53 @@ def shuffled(e: DataFrame, seed: int) -> DataFrame:
     a = e.where("eligible").withColumn("p", F.row_number().over(w))
     b = e.where("eligible").select("program_j", F.col("j").alias("to")).withColumn("p", F.row_number().over(Window.partitionBy("program_j").orderBy(F.xxhash64(F.lit(seed), "to"))))
     return a.join(b, ["program_j", "p"]).where("i <> to").withColumn("j", F.col("to")).drop("p", "to").withColumn("edge_key", X.unordered_key("i", "j", "||")).dropDuplicates(["edge_key"])
+
+
+def rearranged(e: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """iterations graphs in one table, told apart by the column iteration and by a prefix of their domains' names.
+
+    In each the second ends of all eligible edges are dealt anew over these edges, with their programs; other edges stay.
+    Edges that become loops go, and of edges that become one the one with the least old key stays. The order comes from
+    hashes, so reruns are equal. A graph's eligible edges are sorted by one task.
+    """
+    x = e.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    w = Window.partitionBy("iteration")
+    good = x.where("eligible")
+    ends = good.select("iteration", F.col("j").alias("to"), F.col("program_j").alias("to_program"), F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "iteration", "edge_key"), "edge_key")).alias("_at"))
+    dealt = good.withColumn("_at", F.row_number().over(w.orderBy("edge_key"))).join(ends, ["iteration", "_at"]).where("i <> to")
+    dealt = dealt.withColumns({"j": F.col("to"), "program_j": F.col("to_program")}).drop("_at", "to", "to_program").withColumn("_key", X.unordered_key("i", "j", "||"))
+    dealt = S.top_k(dealt, ["iteration", "_key"], ["edge_key"], 1, "_first").drop("_first", "_key")
+    both = dealt.unionByName(x.where("NOT eligible"))
+    name = lambda c: F.concat_ws("#", F.lpad(F.col("iteration").cast("string"), 6, "0"), c)
+    return both.withColumns({"i": name("i"), "j": name("j")}).drop("edge_key", "pair_key", "cross", "eligible", "seed_score")
+
+
+def random_baseline(e: DataFrame, observed: DataFrame, iterations: int = 24, seed: int = 3024, overlap: float = 0.50,
+                    backbone: int = 1, programs: int = 1, least: float = 0.70, every: bool = False) -> DataFrame:
+    """observed with random_rate, non_random_score and random_passed: how often rearranged graphs have a structure alike.
+
+    e is prepared, observed are structures that pass the basic filter. A rearranged structure that passes (any, with every) is alike where
+    the Jaccard of the backbones' program pairs is overlap or more, and the counts of backbone edges and of programs
+    differ by no more than given. All iterations grow at once, as they are components of one table.
+    """
+    x = stored(prepared(rearranged(e, iterations, seed), ("iteration",)), "rearranged")
+    found = structures(x, stored(seeds(x, by=("iteration",)), "seeds"))
+    found = found if every else basic_filter(found).where("passed")
+
+    def tokens(s: DataFrame, name: str, *keys) -> DataFrame:
+        pairs = F.filter(F.split("pairs", ";"), lambda p: p != "")
+        edges = F.size(F.filter(F.split("backbone_keys", ";"), lambda k: k != ""))
+        s = s.select(*keys, F.array_distinct(pairs).alias("p"), F.struct(F.size(F.array_distinct(pairs)).alias("pairs"), edges.alias("edges"), F.col("program_count").alias("programs")).alias(name))
+        return s.select("*", F.explode("p").alias("token")).drop("p")
+
+    o = stored(observed, "observed")
+    a = tokens(o, "a", "component", "pattern")
+    b = tokens(stored(found, "random"), "b", F.substring_index("component", "#", 1).alias("iteration"), F.col("pattern").alias("other"))
+    met = a.join(b, "token").groupBy("component", "pattern", "iteration", "other").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    alike = met.where(
+        (F.col("n") / (F.col("a.pairs") + F.col("b.pairs") - F.col("n")) >= overlap) & (F.abs(F.col("a.edges") - F.col("b.edges")) <= backbone)
+        & (F.abs(F.col("a.programs") - F.col("b.programs")) <= programs)
+    )
+    hits = alike.groupBy("component", "pattern").agg(F.count_distinct("iteration").alias("_hits"))
+    o = o.join(hits, ["component", "pattern"], "left").withColumn("random_rate", F.coalesce("_hits", F.lit(0)) / F.lit(float(iterations))).drop("_hits")
+    return o.withColumn("non_random_score", X.clamp01(1 - F.col("random_rate"))).withColumn("random_passed", F.col("non_random_score") >= least)

@@ -147,13 +147,13 @@ od AS (SELECT sample, list(program ORDER BY f, program) AS od FROM (SELECT sampl
 mr AS (SELECT mb.sample, mb.niche, mb.program, {', '.join(f'coalesce({c}, 0) AS {c}' for c in A.STRIP_ROLES)} FROM mb LEFT JOIN dm USING (sample, domain)),
 bp AS (SELECT sample, niche, program, count(*) AS n, {', '.join(f'sum({c}) / count(*) AS {c}' for c in A.STRIP_ROLES)} FROM mr GROUP BY 1, 2, 3),
 an AS (SELECT *, CASE greatest({', '.join(A.STRIP_ROLES)}) {' '.join(f"WHEN {c} THEN '{c}'" for c in A.STRIP_ROLES)} END AS anchor FROM bp),
-rl AS (SELECT sample, niche, count(DISTINCT program) AS programs, count(*) AS total, {" || ';' || ".join(f"'{c}=' || printf('%.3f', round({_MEAN(c)}, 3))" for c in A.STRIP_ROLES)} AS role_strip FROM mr GROUP BY 1, 2),
+rl AS (SELECT sample, niche, count(DISTINCT program) AS programs, count(*) AS total, {" || ';' || ".join(f"'{c}=' || round({_MEAN(c)}::DECIMAL(18, 9), 3)::VARCHAR" for c in A.STRIP_ROLES)} AS role_strip FROM mr GROUP BY 1, 2),
 ps AS (SELECT DISTINCT c_mktsegment AS sample, concat('N', c_custkey % 40) AS niche, concat('P', c_custkey % 23) AS l, concat('P', (c_custkey + 40) % 23) AS r FROM customer),
 pn AS (SELECT sample, niche, count(*) AS pair_count FROM ps GROUP BY 1, 2),
 lb AS (SELECT ps.sample, ps.niche, least(a.anchor, b.anchor) || '↔' || greatest(a.anchor, b.anchor) AS label, count(*) AS n FROM ps JOIN an a ON a.sample = ps.sample AND a.niche = ps.niche AND a.program = l
   JOIN an b ON b.sample = ps.sample AND b.niche = ps.niche AND b.program = r GROUP BY 1, 2, 3),
 tp AS (SELECT sample, niche, list(label ORDER BY n DESC, label) AS t FROM lb GROUP BY 1, 2),
-st AS (SELECT rl.sample, rl.niche, string_agg(u.p || '=' || printf('%.3f', round(coalesce(an.n / total, 0), 3)), ';' ORDER BY u.i) AS program_strip FROM rl JOIN
+st AS (SELECT rl.sample, rl.niche, string_agg(u.p || '=' || round(coalesce(an.n / total, 0)::DECIMAL(18, 9), 3)::VARCHAR, ';' ORDER BY u.i) AS program_strip FROM rl JOIN
   (SELECT sample, unnest(od) AS p, unnest(range(len(od))) AS i FROM od) u ON u.sample = rl.sample LEFT JOIN an ON an.sample = rl.sample AND an.niche = rl.niche AND an.program = u.p GROUP BY 1, 2),
 al AS (SELECT n.*, programs, program_strip, role_strip, coalesce(t[1], '') AS dominant_pair, coalesce(t[2], '') AS secondary_pair, coalesce(pair_count, 0) AS pair_count
   FROM n JOIN rl USING (sample, niche) JOIN st USING (sample, niche) LEFT JOIN pn USING (sample, niche) LEFT JOIN tp USING (sample, niche))

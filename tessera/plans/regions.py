@@ -163,6 +163,14 @@ def g16_g20_niches(spark, sf):
     return s.select("component", "pattern", "member_count", "program_count", "pairs", "cross_edges", "strong_edges", r("confidence").alias("confidence"), "fail_reason", "passed")
 
 
+@query()
+def b2_random_baseline(spark, sf):
+    """Structures, and how often 24 rearranged graphs have one alike; all of them, as few of these tables' pass the filter."""
+    e = H.stored(N.prepared(_edges(spark, sf, 0.98)[0]), "prepared")
+    s = N.structures(e, H.stored(N.seeds(e), "seeds"))
+    return N.random_baseline(e, s, every=True).select("component", "pattern", r("random_rate").alias("random_rate"), r("non_random_score").alias("non_random_score"), "random_passed")
+
+
 @query()
 def b2_null_model(spark, sf):
     e = H.stored(N.prepared(_edges(spark, sf, 0.98)[0]), "prepared")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tessera.functions import exprs as X
 from tessera.functions import stats as S
+from tessera.operators import atlas as A
 from tessera.operators import domains as D
 from tessera.operators import genes as G
 from tessera.operators import graph as H
@@ -21,7 +22,8 @@ from tessera.sources import tables as T
 
 SF = "/root/testdata/sf0.001"
 TWINS = ["p8_gene_qc_top", "flagship_gss", "j11_nearest", "g6_watershed", "r4_j18_over_representation", "j14_j15_w8_comparable", "w10_cumulative_cut", "f20_vector_similarity", "u2_u3_union_except",
-         "a27_topology", "m4_latent_losses", "f19_texts", "s6_merged_axes", "m8_head_consistency"]
+         "a27_topology", "m4_latent_losses", "f19_texts", "s6_merged_axes", "m8_head_consistency",
+         "r13_domain_profiles", "r13_niche_profiles", "r17_assembly_matrix", "w17_top_by_axis", "m12_stage_diagnostics", "m13_matched_labels", "m13_recommended_k"]
 
 
 def plain(v):
@@ -266,3 +268,65 @@ def test_term_matrix_of_many_terms(spark, tmp_path):
 
     spark.range(1200).selectExpr("IF(id < 3, 'a', 'b') AS p_brand", "format_string('%05d', id) AS p_type").write.parquet(f"{tmp_path}/part.parquet")
     assert sorted(tuple(r) for r in plans.m16_term_matrix(spark, str(tmp_path)).collect()) == [("a", 1.0, 3.0, 3), ("b", 0.0, 1197.0, 1197)]
+
+
+def _graph(spark, n=24, programs=4):
+    rng = random.Random(5)
+    rows = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(5 * n)) if a != b}
+    rows = [(f"d{a:02}", f"d{b:02}", f"p{a % programs}", f"p{b % programs}", True, False, rng.random() < 0.5, rng.random(), rng.random(), rng.random() < 0.8) for a, b in sorted(rows)]
+    return N.prepared(spark.createDataFrame(rows, "i string, j string, program_i string, program_j string, boundary_contact boolean, overlap_contact boolean, proximity_contact boolean, "
+                                                  "edge_reliability double, edge_strength double, is_strong boolean")).cache()
+
+
+def test_rearranged_graphs(spark):
+    """Every iteration deals the same second ends, without loops or double edges, each with its own program."""
+    e = _graph(spark)
+    x = N.rearranged(e, 3, 7).collect()
+    good, rest = [r for r in e.collect() if r.eligible], [r for r in e.collect() if not r.eligible]
+    program = {r.j: r.program_j for r in good}
+    seen = []
+    for k in range(3):
+        mine = [r for r in x if r.iteration == k]
+        assert all(r.i.startswith(f"{k:06}#") and r.j.startswith(f"{k:06}#") for r in mine)
+        plain_rows = [(r.i[7:], r.j[7:], r.program_j, r.edge_strength) for r in mine]
+        kept = {r.edge_strength for r in rest}
+        assert sorted(p for p in plain_rows if p[3] in kept) == sorted((r.i, r.j, r.program_j, r.edge_strength) for r in rest)
+        dealt = [p for p in plain_rows if p[3] not in kept]
+        assert all(a != b and program[b] == q for a, b, q, _ in dealt)
+        assert len({frozenset(p[:2]) for p in dealt}) == len(dealt) <= len(good)
+        seen.append(sorted(dealt))
+    assert seen[0] != seen[1] != seen[2]
+    assert sorted(map(str, N.rearranged(e, 3, 7).collect())) == sorted(map(str, x))
+
+
+def test_random_baseline(spark):
+    """Rates of structures against a plain count over the same rearranged structures."""
+    e = _graph(spark)
+    s = N.structures(e, H.stored(N.seeds(e), "seeds"))
+    got = {(r.component, r.pattern): r for r in N.random_baseline(e, s, iterations=4, seed=9, every=True).collect()}
+    x = H.stored(N.prepared(N.rearranged(e, 4, 9), ("iteration",)), "x")
+    other = N.structures(x, H.stored(N.seeds(x, by=("iteration",)), "seeds")).collect()
+    pairs, edges = lambda r: set(r.pairs.split(";")), lambda r: len(r.backbone_keys.split(";"))
+    rows = s.collect()
+    assert rows and other and len(got) == len(rows)
+    for r in rows:
+        hits = {o.component[:6] for o in other if len(pairs(r) & pairs(o)) / len(pairs(r) | pairs(o)) >= 0.5 and abs(edges(r) - edges(o)) <= 1 and abs(r.program_count - o.program_count) <= 1}
+        g = got[r.component, r.pattern]
+        assert g.random_rate == len(hits) / 4 and g.random_passed == (1 - len(hits) / 4 >= 0.7)
+
+
+def test_profiles_of_empty_and_missing(spark):
+    """A domain without a program's row has no axes, a niche without members no row, and weightless members count alike."""
+    d = spark.sql("SELECT 's' AS sample, 'd' AS domain, 'p' AS program, CAST(NULL AS boolean) AS qc_pass, CAST(NULL AS double) AS spots, 0D AS density, 0D AS boundary_ratio, 0D AS elongation, "
+                  "CAST(NULL AS double) AS pieces, 0D AS reliability, 0D AS mixed")
+    p = spark.createDataFrame([], "sample string, program string, confidence double, a double, b double, " + ", ".join(f"{c} double" for c in A.ROLES))
+    got = A.domain_profiles(d, p, ["a", "b"])
+    one = got.first()
+    assert (one.qc_pass, one.eligible, one.a, one.size_support, one.confidence) == (False, False, 0, 0, 0)
+    n = spark.sql("SELECT 's' AS sample, x AS niche, 2L AS member_count, 1L AS backbone_count, 1L AS program_count, 0D AS contact, 0D AS overlap, 0D AS proximity, 0D AS reliability, 0D AS interaction, "
+                  "true AS passed FROM VALUES ('n'), ('empty') AS t(x)")
+    m = spark.sql("SELECT 's' AS sample, 'n' AS niche, x AS domain, false AS backbone FROM VALUES ('d'), ('unknown') AS t(x)")
+    e = spark.createDataFrame([], "sample string, i string, j string, strength double")
+    rows = A.niche_profiles(n, m, got, e, ["a", "b"]).collect()
+    assert [r.niche for r in rows] == ["n"] and rows[0].dominant_share == 0.5 and rows[0].member_edges == 0
+    assert A.domain_profiles(d.limit(0), p, ["a", "b"]).count() == 0
