@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import atlas as A
-from tessera.plans.basic import r
+from tessera.plans import basic
 from tessera.sources import views as V
 
 QUERIES: dict = {}
@@ -39,6 +39,16 @@ _NICHES = {
 }
 
 
+def r(c):
+    """Six digits by way of nine, so that a sum a last bit below a tie rounds like the tie."""
+    return basic.r(basic.r(c, 9))
+
+
+def _round(x: str, name: str) -> str:
+    """The same in DuckDB."""
+    return f"round(({x})::DECIMAL(18, 9), 6)::DOUBLE AS {name}"
+
+
 def _expr(columns: dict[str, str]) -> list[str]:
     return [f"{e} AS {c}" for c, e in columns.items()]
 
@@ -93,7 +103,7 @@ _AXES = [*_COMPONENTS, *A.ROLES]
 _SHAPE = ["source_confidence", "size_support", "compact_support", "boundary_support", "elongated_support", "confidence"]
 
 
-@query(f"{_PROFILE} SELECT sample, domain, program, qc_pass, qc_pass AS eligible, {', '.join(f'round({c}, 6) AS {c}' for c in [*_SHAPE, *_AXES])} FROM dp")
+@query(f"{_PROFILE} SELECT sample, domain, program, qc_pass, qc_pass AS eligible, {', '.join(_round(c, c) for c in [*_SHAPE, *_AXES])} FROM dp")
 def r13_domain_profiles(spark, sf):
     p = _domain_profiles(spark, sf)
     return p.select("sample", "domain", "program", "qc_pass", "eligible", *[r(c).alias(c) for c in [*_SHAPE, *_AXES]])
@@ -125,8 +135,8 @@ o3 AS (SELECT *, {_CLAMP('0.40 * tie + 0.25 * backbone_fraction + 0.20 * reliabi
   {_CLAMP('0.45 * interaction + 0.30 * cf + 0.15 * (1 - exp(-member_count / 6.0::DOUBLE)) + 0.10 * reliability')} AS niche_confidence FROM o2),
 o4 AS (SELECT *, {', '.join(f'{_CLAMP(f"0.82 * b_{c} + 0.18 * b_{c} * {_CLAMP(f"0.55 * s_{c} + 0.25 * balance + 0.20 * multi")}")} AS {c}' for c in _COMPONENTS)},
   {', '.join(f'{_CLAMP(f"0.78 * b_{c} + 0.22 * {s}")} AS {c}' for c, s in _SIGNAL.items())} FROM o3)
-SELECT sample, niche, member_count, program_count, member_edges, {', '.join(f'round({c}, 6) AS {c}' for c in [*_ORGANISED, *_AXES])}, passed AND niche_confidence > 0 AS eligible,
-  round({_EVEN(_COMPONENTS)}, 6) AS component_diversity, round({_EVEN(A.ROLES)}, 6) AS role_diversity, {_MIX(_COMPONENTS)}[1] AS dominant_component, {_MIX(_COMPONENTS)}[2] AS secondary_component,
+SELECT sample, niche, member_count, program_count, member_edges, {', '.join(_round(c, c) for c in [*_ORGANISED, *_AXES])}, passed AND niche_confidence > 0 AS eligible,
+  {_round(_EVEN(_COMPONENTS), 'component_diversity')}, {_round(_EVEN(A.ROLES), 'role_diversity')}, {_MIX(_COMPONENTS)}[1] AS dominant_component, {_MIX(_COMPONENTS)}[2] AS secondary_component,
   {_MIX(A.ROLES)}[1] AS dominant_role, {_MIX(A.ROLES)}[2] AS secondary_role FROM o4""")
 def r13_niche_profiles(spark, sf):
     m = _members(spark, sf)
@@ -172,7 +182,7 @@ def r17_assembly_matrix(spark, sf):
 
 @query(f"""{_PROFILE}, lg AS (UNPIVOT (SELECT sample, domain AS object, confidence, {', '.join(_AXES)} FROM dp) ON {', '.join(_AXES)} INTO NAME axis VALUE score),
 rk AS (SELECT *, score * confidence AS contribution, row_number() OVER (PARTITION BY sample, axis ORDER BY round(score * confidence, 9) DESC, round(score, 9) DESC, round(confidence, 9) DESC, object) AS rank FROM lg)
-SELECT sample, axis, rank, object, round(score, 6) AS score, round(contribution, 6) AS contribution FROM rk WHERE rank <= 5""")
+SELECT sample, axis, rank, object, {_round('score', 'score')}, {_round('contribution', 'contribution')} FROM rk WHERE rank <= 5""")
 def w17_top_by_axis(spark, sf):
     p = _domain_profiles(spark, sf).withColumnRenamed("domain", "object")
     return A.top_by_axis(p, _AXES, "confidence", 5).withColumns({"score": r("score"), "contribution": r("contribution")})
