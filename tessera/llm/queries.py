@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, licenses, lm, minhash, pii, quotes, sharding, vectors
+from tessera.llm import bpe, decontam, fim, langid, licenses, lm, minhash, pii, quality, quotes, sharding, vectors, yinyang
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -59,5 +59,26 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_canonical_digest, op2_hypergeometric, op3_iterative_quantisation, op4_disclosure, op5_positional_index, op6_merge_replay, op7_quotation_linking, op8_hyperdimensional, op9_stupid_backoff, op10_minhash_join)} | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {"op1_canonical_digest": licenses.oracle_sql(), "op9_stupid_backoff": lm.ORACLE}
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.coalesce(quality.fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op13_lookaround(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_canonical_digest, op2_hypergeometric, op3_iterative_quantisation, op4_disclosure, op5_positional_index, op6_merge_replay,
+        op7_quotation_linking, op8_hyperdimensional, op9_stupid_backoff, op10_minhash_join, op11_yinyang, op12_random_indexing, op13_lookaround,
+    )
+} | {"pipeline": corpus_pipeline.run}
+ORACLE: dict[str, str] = {
+    "op1_canonical_digest": licenses.oracle_sql(), "op9_stupid_backoff": lm.ORACLE, "op11_yinyang": yinyang.oracle_sql(), "op13_lookaround": fim.ORACLE,
+}
