@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -12,7 +14,7 @@ from tessera.functions import exprs as X
 from tessera.functions import stats as S
 from tessera.operators.graph import components, stored
 
-#: Weights of a candidate's gain in a backbone: new pair, new program, better supported pair, redundancy, dense repeats.
+#: Weights of an edge's gain in a backbone: new pair, new program, better supported pair, redundancy, dense repeats.
 GAIN = (1.0, 0.8, 0.4, 0.5, 0.3)
 
 
@@ -87,180 +89,206 @@ def seeds(e: DataFrame, quantile: float = 0.6, most: int = 12, by: tuple[str, ..
     return S.top_k(s, ["component"], [F.desc("seed_score"), F.desc("edge_strength"), F.desc("edge_reliability"), "edge_key"], most, "seed_rank")
 
 
-class _Backbone:
-    """A structure that grows edge by edge inside a component. at has the edges of each domain."""
-
-    def __init__(self, at: dict, by_key: dict, seed):
-        self.at, self.by_key, self.firm = at, by_key, {}
-        self.who = {e.pair_key: {e.program_i, e.program_j} for e in by_key.values()}
-        self.nodes, self.programs, self.pairs, self.keys = {seed.i, seed.j}, {seed.program_i, seed.program_j}, {seed.pair_key}, {seed.edge_key}
-
-    def _chosen(self, extra=None, pair=None, nodes=()):
-        near = self.nodes | set(nodes)
-        return [e for k in sorted(self.keys | ({extra} if extra else set())) if (e := self.by_key[k]).i in near and e.j in near and (pair is None or e.pair_key == pair)]
-
-    def _firm(self, x):
-        """Strong edges of two programs at a domain."""
-        if x not in self.firm:
-            self.firm[x] = [e for e in self.at[x] if e.cross and e.is_strong]
-        return self.firm[x]
-
-    def look_around(self) -> None:
-        """The rim of domains that strong edges lead to, and the pairs of strong edges inside core and rim."""
-        self.rim = {y for x in self.nodes for e in self._firm(x) for y in (e.i, e.j)} - self.nodes
-        near = self.nodes | self.rim
-        inside = {e.edge_key: e.pair_key for x in near for e in self._firm(x) if e.i in near and e.j in near}
-        self.inside = Counter(inside.values())
-
-    def _stable(self, chosen: list, nodes: set) -> bool:
-        return len(chosen) >= 2 and len({x for e in chosen for x in (e.i, e.j)} & nodes) >= 2
-
-    def _promising(self, c) -> bool:
-        """A known pair must lie inside; a new pair must have support around the core or make a second pair there."""
-        ends = {c.i, c.j}
-        if c.pair_key in self.pairs:
-            return ends <= self.nodes
-        near = self.nodes | self.rim | ends
-        local = {e.edge_key: e for x in ends for e in self._firm(x) if e.i in near and e.j in near}.values()
-        new = sum(e.pair_key == c.pair_key for e in local if not {e.i, e.j} <= self.nodes | self.rim)
-        support = self.inside[c.pair_key] + new
-        if support >= 2 and not {c.program_i, c.program_j} <= self.programs:
-            return True
-        kinds = {e.pair_key for e in local}
-        return c.pair_key in kinds and len(local) >= 2 and len(self.pairs | kinds) >= 2 and bool(kinds - self.pairs)
-
-    def gain(self, c) -> tuple[float, bool, bool, bool]:
-        ends = {c.i, c.j}
-        known = c.pair_key in self.pairs
-        local = [e for e in self._chosen(c.edge_key, nodes=ends) if e.cross and e.is_strong]
-        kinds = {e.pair_key for e in local}
-        shares = any(self.who[c.pair_key] & self.who[p] for p in self.pairs)
-        touching = {e.pair_key for e in local if e.i in self.nodes or e.j in self.nodes}
-        new_pair = not known and shares and c.pair_key in kinds and len(kinds) >= 2 and len(touching) >= 2
-        new_program = False
-        if new_pair:
-            for p in {c.program_i, c.program_j} - self.programs:
-                held = [(e, y) for y in self.nodes for e in self._firm(y) if p == (e.program_j if e.i == y else e.program_i)]
-                new_program |= len({y for _, y in held}) >= 2 or any(e.pair_key in self.pairs for e, _ in held)
-        before = self._chosen(pair=c.pair_key, nodes=ends)
-        was = self._stable(before, self.nodes)
-        lifted = known and not was and self._stable(self._chosen(c.edge_key, c.pair_key, ends), self.nodes | ends)
-        surplus = (1.0 if len(before) >= 3 else 0.5) if known and was else 0.0
-        repeats = 0 if new_pair or new_program else sum(e.pair_key in self.pairs for e in {e.edge_key: e for x in ends for e in self._firm(x)}.values())
-        dense = 1.0 if repeats >= 3 else 0.5 if repeats >= 2 else 0.0
-        return GAIN[0] * new_pair + GAIN[1] * new_program + GAIN[2] * lifted - GAIN[3] * surplus - GAIN[4] * dense, new_pair, new_program, lifted
-
-    def _most(self, c) -> float:
-        if c.pair_key in self.pairs:
-            return GAIN[2]
-        return GAIN[0] + GAIN[1] * (not {c.program_i, c.program_j} <= self.programs)
-
-    def grow(self) -> None:
-        while True:
-            best = None
-            self.look_around()
-            open_ = {e.edge_key: e for x in self.nodes for e in self.at[x] if e.edge_key not in self.keys}.values()
-            # what a candidate can gain at most decides where the search may end; ranks and keys decide ties
-            for most, low, key, c in sorted(((-self._most(c), -c.rank, c.edge_key, c) for c in open_), key=lambda x: x[:3]):
-                if best and (best[0][0] < most or best[0][0] == most == best[3]):
-                    break
-                if not self._promising(c):
-                    continue
-                g = self.gain(c)
-                if g[0] > 0 and (best is None or (-g[0], low, key) < best[0]):
-                    best = (-g[0], low, key), c, g, most
-            if best is None:
-                return
-            _, c, (_, _, new_program, lifted), _ = best
-            if not (new_program or lifted):
-                ends = {c.i, c.j}
-                held = [e for e in self._chosen(c.edge_key, nodes=ends) if e.cross and e.is_strong and {e.i, e.j} & ends]
-                anchors = {x for e in held for x in (e.i, e.j)} & self.nodes
-                if len(anchors) < 2 or not any(e.pair_key in self.pairs for e in held):
-                    return
-            self.nodes |= {c.i, c.j}
-            self.programs |= {c.program_i, c.program_j}
-            self.pairs.add(c.pair_key)
-            self.keys.add(c.edge_key)
+def diverse(seeded: DataFrame, most: int = 3) -> DataFrame:
+    """Of a component's seeds, in order of rank, the first of each pair of programs, and of these most."""
+    first = S.top_k(seeded, ["component", "pair_key"], ["seed_rank"], 1, "_of_pair").drop("_of_pair")
+    return S.top_k(first, ["component"], ["seed_rank"], most, "start")
+
+
+def regions(e: DataFrame, starts: DataFrame) -> DataFrame:
+    """The edges around each start, with its key as seed and whether their ends are inner ones (in_i, in_j).
+
+    Inner domains are a start's two ends and those that eligible edges join to them; context domains lie outside and are
+    joined by eligible edges to two inner ones or more. Edges are all those of e between these domains, eligible or not.
+    """
+    good = e.where("eligible").select("i", "j")
+    ways = stored(good.select(F.col("i").alias("u"), F.col("j").alias("v")).unionByName(good.select(F.col("j").alias("u"), F.col("i").alias("v"))), "ways")
+    ends = starts.select(F.col("edge_key").alias("seed"), F.explode(F.array("i", "j")).alias("node"))
+    inner = stored(ends.unionByName(ends.join(ways, ends.node == ways.u).select("seed", F.col("v").alias("node"))).distinct(), "inner")
+    rim = inner.join(ways, inner.node == ways.u).groupBy("seed", F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    nodes = inner.withColumn("in", F.lit(True)).unionByName(rim.join(inner, ["seed", "node"], "left_anti").select("seed", "node", F.lit(False).alias("in")))
+    nodes = stored(nodes, "regions")
+    side = lambda c: nodes.select("seed", F.col("node").alias(c), F.col("in").alias(f"in_{c}"))
+    return e.join(side("i"), "i").join(side("j"), ["seed", "j"])
+
+
+class _Region:
+    """The edges around one start, and the backbone and members that grow from it.
+
+    The backbone gains most, step by step: 1.0 for an edge of a new pair of programs, 0.8 more if it brings a program that two domains
+    of the backbone or more have an edge to, or 0.4 for a second edge of a known pair, less 0.3 or 0.15 where three or
+    two edges at its ends have known pairs. That is what the rule comes to on eligible edges alone: an open edge of a new
+    pair always has a selected one beside it, so it stands in a local skeleton of two pairs, and always carries on the
+    pattern; further edges of a pair gain nothing. So an edge's gain changes only by the events in _enter and _meet, which
+    put the edges concerned into a queue anew; an edge whose gain fell meanwhile goes back when its turn comes.
+    """
+
+    def __init__(self, edges: list, seed: str):
+        self.edges = edges
+        self.program = {x: p for e in edges for x, p in ((e.i, e.program_i), (e.j, e.program_j))}
+        self.inner = {x for e in edges for x, inside in ((e.i, e.in_i), (e.j, e.in_j)) if inside}
+        firm = [e for e in edges if e.eligible and e.in_i and e.in_j]
+        start = next(e for e in firm if e.edge_key == seed)
+        near, pairs = defaultdict(set), defaultdict(set)
+        for e in firm:
+            near[e.i].add(e.j)
+            near[e.j].add(e.i)
+            pairs[e.i].add(e.pair_key)
+            pairs[e.j].add(e.pair_key)
+        own = {start.program_i, start.program_j}
+
+        def fits(e) -> bool:
+            """Shares a program with the seed, or both ends have further edges and two pairs or more meet there."""
+            return bool({e.program_i, e.program_j} & own) or bool(near[e.i] - {e.j} and near[e.j] - {e.i} and len(pairs[e.i] | pairs[e.j]) >= 2)
+
+        self.kept, self.firm_count = [e for e in firm if fits(e)], len(firm)
+        rank = lambda c: pd.Series([getattr(e, c) for e in self.kept]).rank(method="average", pct=True)
+        self.rank = dict(zip((e.edge_key for e in self.kept), (0.65 * rank("edge_strength") + 0.35 * rank("edge_reliability")).clip(0, 1), strict=True))
+        self.at, self.of_pair = defaultdict(list), defaultdict(list)
+        for e in self.kept:
+            self.at[e.i].append(e)
+            self.at[e.j].append(e)
+            self.of_pair[e.pair_key].append(e)
+        self.nodes, self.programs, self.keys, self.pairs = set(), set(), set(), Counter()
+        self.anchors, self.repeats, self.queue = defaultdict(set), Counter(), []
+        self._take(start)
+        while self.queue:
+            low, _, _, c = heapq.heappop(self.queue)
+            gain = self.gain(c)
+            if gain == -low:
+                self._take(c)
+            else:
+                self._offer(c)
+
+    def gain(self, c) -> float:
+        if c.edge_key in self.keys:
+            return 0.0
+        if c.pair_key not in self.pairs:
+            return GAIN[0] + GAIN[1] * any(len(self.anchors[p]) >= 2 for p in {c.program_i, c.program_j} - self.programs)
+        if self.pairs[c.pair_key] > 1 or not {c.i, c.j} <= self.nodes:
+            return 0.0
+        n = self.repeats[c.i] + self.repeats[c.j] - 1  # c stands at both ends
+        return GAIN[2] - GAIN[4] * (1.0 if n >= 3 else 0.5 if n == 2 else 0.0)
+
+    def _offer(self, c) -> None:
+        if (gain := self.gain(c)) > 0:
+            heapq.heappush(self.queue, (-gain, -self.rank[c.edge_key], c.edge_key, c))
+
+    def _take(self, c) -> None:
+        self.keys.add(c.edge_key)
+        self.programs |= {c.program_i, c.program_j}
+        self.pairs[c.pair_key] += 1
+        if self.pairs[c.pair_key] == 1:
+            self._meet(c.pair_key)
+        for x in (c.i, c.j):
+            if x not in self.nodes:
+                self._enter(x)
+
+    def _meet(self, pair: str) -> None:
+        """A pair is known from now on: its edges count as repeats, and those between domains of the backbone may be its second."""
+        for e in self.of_pair[pair]:
+            self.repeats[e.i] += 1
+            self.repeats[e.j] += 1
+            if e.i in self.nodes and e.j in self.nodes:
+                self._offer(e)
+
+    def _enter(self, x: str) -> None:
+        """A domain joins: its edges are open, and it is an anchor of the programs at their other ends."""
+        self.nodes.add(x)
+        for e in self.at[x]:
+            p = e.program_j if e.i == x else e.program_i
+            if x in self.anchors[p]:
+                continue
+            self.anchors[p].add(x)
+            if len(self.anchors[p]) == 2 and p not in self.programs:
+                for y in self.anchors[p]:
+                    for f in self.at[y]:
+                        if p in (f.program_i, f.program_j):
+                            self._offer(f)
+        for e in self.at[x]:
+            self._offer(e)
 
     def members(self, rounds: int = 2) -> dict[str, bool]:
-        """Domains that join the backbone, with whether they do so by nearness alone."""
-        program = {x: e.program_i if e.i == x else e.program_j for x, own in self.at.items() for e in own[:1]}
-        own = {program[x] for x in self.nodes}
+        """The backbone's domains and those of the region that join them, with whether they do so by nearness alone."""
+        at = defaultdict(list)
+        for e in self.edges:
+            at[e.i].append((e, e.j))
+            at[e.j].append((e, e.i))
+        own = {self.program[x] for x in self.nodes}
         held, soft = set(self.nodes), {}
         for _ in range(rounds):
             new = set()
-            for x in sorted(set(program) - held):
-                touch = [(e, e.j if e.i == x else e.i) for e in self.at[x] if (e.j if e.i == x else e.i) in held]
-                firm, loose = [(e, y) for e, y in touch if e.is_strong], {y for e, y in touch if e.proximity_contact}
-                if any(e.cross and e.pair_key not in self.pairs and not self.who[e.pair_key] & own for e, _ in firm):
+            for x in set(self.program) - held:
+                touch = [(e, y) for e, y in at[x] if y in held]
+                strong, loose = [(e, y) for e, y in touch if e.is_strong], {y for e, y in touch if e.proximity_contact}
+                if any(e.cross and e.pair_key not in self.pairs and not {e.program_i, e.program_j} & own for e, _ in strong):
                     continue
-                around, anchored = {program[y] for _, y in touch}, any(y in self.nodes for _, y in firm)
+                around, anchored = {self.program[y] for _, y in touch}, any(y in self.nodes for _, y in strong)
                 if not touch or not (anchored or len(loose) >= 2 or len(around) >= 2):
                     continue
-                if not firm and (len(loose) < 2 or len(around) < 2):
+                if not strong and (len(loose) < 2 or len(around) < 2):
                     continue
-                if program[x] not in own and len(around) < 2 and not anchored:
+                if self.program[x] not in own and len(around) < 2 and not anchored:
                     continue
                 new.add(x)
-                soft[x] = not firm
+                soft[x] = not strong
             if not new:
                 break
             held |= new
         return {x: soft.get(x, False) for x in held}
 
+    def row(self, seed) -> dict:
+        members = self.members()
+        inner = [e for e in self.edges if e.i in members and e.j in members]
+        mean = lambda c: math.fsum(getattr(e, c) for e in inner) / len(inner)
+        text = lambda x: ";".join(sorted(x))
+        return {
+            "component": seed.component, "pattern": "::".join(map(text, (self.nodes, self.pairs, self.keys))), "seeds": 1, "member_count": len(members), "backbone_count": len(self.nodes),
+            "program_count": len({self.program[x] for x in members}), "pairs": text(self.pairs), "backbone_nodes": text(self.nodes), "member_nodes": text(members), "backbone_keys": text(self.keys),
+            "strong_keys": text(e.edge_key for e in inner if e.is_strong), "cross_edges": sum(e.cross for e in inner), "strong_edges": sum(e.is_strong for e in inner), "internal_edges": len(inner),
+            "contact_fraction": mean("boundary_contact"), "overlap_fraction": mean("overlap_contact"), "proximity_fraction": mean("proximity_contact"), "mean_strength": mean("edge_strength"),
+            "mean_reliability": mean("edge_reliability"), "seed": seed.seed, "seed_rank": seed.seed_rank, "seed_keys": seed.seed, "soft_nodes": text(x for x, near in members.items() if near),
+            "context_nodes": text(set(self.program) - self.inner), "region_edges": self.firm_count, "consistent_edges": len(self.kept),
+        }
+
+
+_STRUCTURE = (
+    "component string, pattern string, seeds long, member_count long, backbone_count long, program_count long, pairs string, backbone_nodes string, member_nodes string, backbone_keys string, strong_keys string, "
+    "cross_edges long, strong_edges long, internal_edges long, contact_fraction double, overlap_fraction double, proximity_fraction double, mean_strength double, mean_reliability double, seed string, seed_rank long, "
+    "seed_keys string, soft_nodes string, context_nodes string, region_edges long, consistent_edges long"
+)
+
 
 def structures(e: DataFrame, seeded: DataFrame, most: int = 3) -> DataFrame:
-    """One row for each canonical structure of a component, grown from diverse seeds one after the other.
+    """One row for each canonical structure of a component, grown from diverse seeds.
 
-    A component is one group: each step depends on those before, and components are those of a sample's strong edges.
+    e is prepared, seeded as seeds() gives it. Each start grows by itself inside its region (see regions and _Region), so a
+    group holds the edges around one start, not a component. Starts that come to the same backbone are one row: that with
+    the most members, of equal ones the seed of the best rank; seeds counts them and seed_keys names them. region_edges
+    counts the eligible edges of the inner domains, consistent_edges those that fit the seed, in which the backbone grows.
     """
-    part = stored(seeded.select("component").distinct().join(seeded.select("component", "edge_key", "seed_rank", "seed_score", "pair_key"), "component"), "seeds")
-    good = e.where("eligible")
-    ways = good.select(F.col("i").alias("u"), F.col("j").alias("v")).unionByName(good.select(F.col("j").alias("u"), F.col("i").alias("v")))
-    node = components(ways.select(F.col("u").alias("spot")).distinct(), stored(ways, "ways"))
-    # edges of a component: those with an end in it; context beyond comes along once
-    ends = node.select(F.col("spot").alias("x"), "component")
-    mine = e.join(ends.withColumnRenamed("x", "i"), "i").unionByName(e.join(ends.withColumnRenamed("x", "j"), "j").select(*e.columns, "component")).dropDuplicates(["component", "edge_key"])
-    mine = mine.join(part.select("component").distinct(), "component", "left_semi").join(part.select("component", "edge_key", "seed_rank"), ["component", "edge_key"], "left")
+    starts = stored(diverse(seeded, most), "starts")
+    told = starts.select(F.col("edge_key").alias("seed"), "component", "seed_rank")
+    near = regions(e, starts).join(told, "seed")
 
     def grown(group: pd.DataFrame) -> pd.DataFrame:
-        rank = lambda c: group[c].rank(method="average", pct=True)
-        group = group.assign(rank=(0.65 * rank("edge_strength") + 0.35 * rank("edge_reliability")).clip(0, 1)).sort_values("edge_key")
         every = list(group.itertuples(index=False))
-        at, by_key = defaultdict(list), {x.edge_key: x for x in every}
-        for x in every:
-            at[x.i].append(x)
-            at[x.j].append(x)
-        starts, seen = [], set()
-        for s in sorted((x for x in every if x.seed_rank == x.seed_rank and x.seed_rank is not None), key=lambda x: x.seed_rank):
-            if s.pair_key not in seen and len(starts) < most:
-                seen.add(s.pair_key)
-                starts.append(s)
-        out = {}
-        for s in starts:
-            b = _Backbone(at, by_key, s)
-            b.grow()
-            members = b.members()
-            inner = [x for x in every if x.i in members and x.j in members]
-            cross = [x for x in inner if x.cross]
-            mean = lambda c: sum(getattr(x, c) for x in inner) / len(inner)
-            key = "::".join(";".join(sorted(x)) for x in (b.nodes, b.pairs, b.keys))
-            if key in out:
-                out[key]["seeds"] += 1
-                continue
-            out[key] = {
-                "component": group.component.iloc[0], "pattern": key, "seeds": 1, "member_count": len(members), "backbone_count": len(b.nodes), "program_count": len({p for x in inner for p in (x.program_i, x.program_j)}),
-                "pairs": ";".join(sorted(b.pairs)), "backbone_nodes": ";".join(sorted(b.nodes)), "member_nodes": ";".join(sorted(members)), "backbone_keys": ";".join(sorted(b.keys)),
-                "strong_keys": ";".join(sorted(x.edge_key for x in inner if x.is_strong)), "cross_edges": len(cross), "strong_edges": sum(x.is_strong for x in inner), "internal_edges": len(inner),
-                "proximity_fraction": mean("proximity_contact"), "mean_strength": mean("edge_strength"), "mean_reliability": mean("edge_reliability"),
-            }
-        return pd.DataFrame(list(out.values()), columns=[c.split()[0] for c in _STRUCTURE.split(", ")])
-
-    return mine.groupBy("component").applyInPandas(grown, _STRUCTURE)
-
-
-_STRUCTURE = "component string, pattern string, seeds long, member_count long, backbone_count long, program_count long, pairs string, backbone_nodes string, member_nodes string, backbone_keys string, strong_keys string, cross_edges long, strong_edges long, internal_edges long, proximity_fraction double, mean_strength double, mean_reliability double"
+        return pd.DataFrame([_Region(every, every[0].seed).row(every[0])])
+
+    rows = stored(near.groupBy("seed").applyInPandas(grown, _STRUCTURE), "grown")
+    w = Window.partitionBy("component", "pattern")
+    every = rows.withColumns({"seeds": F.count(F.lit(1)).over(w), "seed_keys": F.array_join(F.array_sort(F.collect_list("seed").over(w)), ";")})
+    return S.top_k(every, ["component", "pattern"], [F.desc("member_count"), "seed_rank"], 1, "_first").drop("_first")
+
+
+def memberships(s: DataFrame) -> DataFrame:
+    """(component, pattern, domain, is_backbone, by_proximity, provenance) for the members of structures: seed ends, backbone, attached or mixed."""
+    has = lambda c, x: F.array_contains(F.split(c, ";"), x)
+    m = s.select("component", "pattern", "seed", "backbone_nodes", "soft_nodes", F.explode(F.split("member_nodes", ";")).alias("domain"))
+    m = m.withColumns({"is_backbone": has("backbone_nodes", m.domain), "by_proximity": has("soft_nodes", m.domain)})
+    ends = F.array_contains(F.split("seed", r"\|\|"), m.domain)
+    why = F.when(ends, F.concat(F.lit("seed:"), "seed")).when(F.col("is_backbone"), "backbone").when(F.col("by_proximity"), "member_collection:mixed").otherwise("member_collection:attached")
+    return m.select("component", "pattern", "domain", "is_backbone", "by_proximity", why.alias("provenance"))
 
 
 def basic_filter(s: DataFrame) -> DataFrame:

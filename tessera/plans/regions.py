@@ -150,30 +150,41 @@ def g14_f5_interaction_edges(spark, sf):
 
 @query()
 def g15_w9_seeds(spark, sf):
-    e = H.stored(N.prepared(_edges(spark, sf, 0.98)[0]), "prepared")
+    e = H.stored(N.prepared(_edges(spark, sf)[0]), "prepared")
     return N.seeds(e).select("component", "edge_key", r("seed_score").alias("seed_score"), "seed_rank")
 
 
+def _structures(spark, sf):
+    e = H.stored(N.prepared(_edges(spark, sf)[0]), "prepared")
+    return e, H.stored(N.structures(e, H.stored(N.seeds(e), "seeds")), "structures")
+
+
 @query()
 def g16_g20_niches(spark, sf):
     """Backbones, members, the basic filter and near copies, end to end."""
-    e = H.stored(N.prepared(_edges(spark, sf, 0.98)[0]), "prepared")
-    s = N.basic_filter(N.structures(e, H.stored(N.seeds(e), "seeds")))
-    s = N.deduplicate(H.stored(s, "structures"), ["component"])
-    return s.select("component", "pattern", "member_count", "program_count", "pairs", "cross_edges", "strong_edges", r("confidence").alias("confidence"), "fail_reason", "passed")
+    s = N.deduplicate(H.stored(N.basic_filter(_structures(spark, sf)[1]), "filtered"), ["component"])
+    return s.select(
+        "component", "pattern", "member_count", "backbone_count", "program_count", "pairs", "cross_edges", "strong_edges", r("contact_fraction").alias("contact_fraction"), r("overlap_fraction").alias("overlap_fraction"),
+        r("proximity_fraction").alias("proximity_fraction"), "seed_keys", "context_nodes", "region_edges", "consistent_edges", r("confidence").alias("confidence"), "fail_reason", "passed",
+    )
+
+
+@query()
+def g19_memberships(spark, sf):
+    """The members of all structures, and how each came in."""
+    return N.memberships(_structures(spark, sf)[1])
 
 
 @query()
 def b2_random_baseline(spark, sf):
     """Structures, and how often 24 rearranged graphs have one alike; all of them, as few of these tables' pass the filter."""
-    e = H.stored(N.prepared(_edges(spark, sf, 0.98)[0]), "prepared")
-    s = N.structures(e, H.stored(N.seeds(e), "seeds"))
+    e, s = _structures(spark, sf)
     return N.random_baseline(e, s, every=True).select("component", "pattern", r("random_rate").alias("random_rate"), r("non_random_score").alias("non_random_score"), "random_passed")
 
 
 @query()
 def b2_null_model(spark, sf):
-    e = H.stored(N.prepared(_edges(spark, sf, 0.98)[0]), "prepared")
+    e = H.stored(N.prepared(_edges(spark, sf)[0]), "prepared")
     return N.shuffled(e, 7).groupBy("pair_key").agg(F.count(F.lit(1)).alias("n"))
 
 
