@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.stats import top_k
 from tessera.operators import graph as H
 from tessera.operators import gss as L
+from tessera.operators import neighbours as B
 from tessera.operators import spatial as P
 from tessera.plans.basic import r
 from tessera.sources import views as V
@@ -176,12 +177,27 @@ def b1_stability(spark, sf):
     return out.groupBy("spot").agg(r(F.avg("jaccard")).alias("stability"))
 
 
-@query("WITH " + _LAT.lstrip(", ") + _KNN.format("lat", 4) + ", e AS (SELECT a.spot AS u, b.spot AS v, greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS weight FROM lat a JOIN lat b ON b.spot = a.spot + 1), w AS (SELECT spot AS u, other AS v, exp(-0.5 * d2) AS weight, 1 AS k FROM k UNION ALL SELECT other, spot, exp(-0.5 * d2), 1 FROM k UNION ALL SELECT u, v, weight, 2 FROM e UNION ALL SELECT v, u, weight, 2 FROM e) SELECT u, v, round(max(weight), 6) AS weight, CASE bit_or(k) WHEN 1 THEN 'spatial' WHEN 2 THEN 'expression' ELSE 'both' END AS kind FROM w GROUP BY u, v")
-def m2_a26_hybrid_edges(spark, sf):
-    from tessera.functions import exprs as X
+_NEAR = (
+    ", sims AS (SELECT a.spot, b.spot AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim FROM lat a JOIN lat b ON a.spot <> b.spot),"
+    " en AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spot ORDER BY sim DESC, other) AS slot FROM sims) WHERE slot <= {})"
+)
+
+
+@query("WITH " + _LAT.lstrip(", ") + _NEAR.format(15) + " SELECT spot, other, round(sim, 6) AS sim, slot FROM en")
+def m2_expression_neighbours(spark, sf):
+    """The 15 most similar spots of each in 64 dimensions."""
+    return B.cosine_nearest(latent(spark, sf), 15).withColumn("sim", r("sim"))
+
 
+_HYBRID = (
+    ", w AS (SELECT spot AS u, other AS v, exp(-0.5 * d2 / {width}) AS s, NULL::DOUBLE AS e FROM k UNION ALL SELECT spot, other, NULL, greatest(0, least(1, (sim + 1) / 2)) FROM en SEMI JOIN k USING (spot, other)),"
+    " g AS (SELECT u, v, coalesce(max(s), 0) AS w_spatial, coalesce(max(e), 0) AS w_expr FROM (SELECT * FROM w UNION ALL SELECT v, u, s, e FROM w) GROUP BY u, v)"
+    " SELECT u, v, round(w_spatial, 6) AS w_spatial, round(w_expr, 6) AS w_expr, CASE WHEN w_spatial > 0 AND w_expr > 0 THEN 'both' WHEN w_spatial > 0 THEN 'spatial_only' WHEN w_expr > 0 THEN 'expr_only' ELSE 'none' END AS kind FROM g"
+)
+
+
+@query("WITH " + _LAT.lstrip(", ") + _KNN.format("lat", 11) + _NEAR.format(15) + _HYBRID.format(width="(SELECT power(median(sqrt(d2)), 2) FROM k WHERE d2 > 0)"))
+def m2_a26_hybrid_edges(spark, sf):
+    """11 nearest spots in the plane, weighted, and those of the 15 most similar spots that are among them."""
     s = latent(spark, sf)
-    spatial = P.nearest(s, 4, 2.0).select(F.col("spot").alias("u"), F.col("other").alias("v"), X.gaussian_weight(F.sqrt("d2"), F.lit(1.0)).alias("weight"))
-    nxt = s.select((F.col("spot") - 1).alias("u"), F.col("spot").alias("v"), F.col("vec").alias("vb"))
-    expr = s.select(F.col("spot").alias("u"), F.col("vec").alias("va")).join(nxt, "u").select("u", "v", F.greatest(F.lit(0.0), X.cosine("va", "vb")).alias("weight"))
-    return H.union_edges(spatial, expr).withColumn("weight", r("weight"))
+    return B.expression_graph(s.select("spot", "x", "y"), s.select("spot", "vec"), weighted=True).withColumns({c: r(c) for c in ("w_spatial", "w_expr")})
