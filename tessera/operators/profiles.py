@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
 from tessera.functions import stats as S
+from tessera.operators.graph import stored
 
 ROLES = ("interface_like", "scaffold_like", "node_like", "companion_like")
 
@@ -64,21 +67,146 @@ def burden(scores: DataFrame, weights: DataFrame, damp: dict[str, float] | None
     return scores.join(w, ["sample", "object"]).groupBy("sample", "axis").agg(F.sum(F.col("score") * F.col("share") * factor).alias("burden"), F.sum(F.col("score") * F.col("cshare") * factor).alias("weighted"))
 
 
-def comparable(profiles: DataFrame, top: int, weights: tuple[float, float] = (0.65, 0.35)) -> DataFrame:
+#: Blocks of objects at most: that many summaries come to the driver and go to every task. Objects of a block, but for that.
+BLOCKS, BLOCK = 1024, 8
+#: Objects that the cuts are made from at most, and blocks that each object meets first.
+SAMPLE, FIRST = 20_000, 3
+#: Similarities count to nine digits; what rounding can hide is below this.
+_SLACK = 4e-9
+
+
+def _axes(f: pd.DataFrame, weights: tuple[float, float]) -> np.ndarray:
+    """Objects as points whose distance on an axis is what it takes from a similarity; confidence, which is bounded by itself, counts a little."""
+    parts = [np.array(f[c].tolist(), np.float64).reshape(len(f), -1) for c in ("component", "role")]
+    parts = [x * (w / max(1, x.shape[1])) for x, w in zip(parts, weights, strict=True)]
+    return np.nan_to_num(np.concatenate([*parts, 0.3 * np.sqrt(np.clip(f["confidence"].to_numpy(np.float64), 0, 1))[:, None]], axis=1))
+
+
+def _tree(x: np.ndarray, leaves: int) -> tuple | None:
+    """(axis, cut, left, right), halves cut where they spread most, down to leaves of equal shares of the points."""
+    if leaves < 2 or len(x) < 2:
+        return None
+    axis = int(x.std(axis=0).argmax())
+    cut = float(np.quantile(x[:, axis], (leaves // 2) / leaves, method="lower"))
+    low = x[:, axis] <= cut
+    return axis, cut, _tree(x[low], leaves // 2), _tree(x[~low], leaves - leaves // 2)
+
+
+def _leaf(x: np.ndarray, tree: tuple | None, name: int = 1) -> np.ndarray:
+    if tree is None:
+        return np.full(len(x), name, np.int64)
+    axis, cut, left, right = tree
+    low, out = x[:, axis] <= cut, np.empty(len(x), np.int64)
+    out[low], out[~low] = _leaf(x[low], left, 2 * name), _leaf(x[~low], right, 2 * name + 1)
+    return out
+
+
+def _blocked(p: DataFrame, weights: tuple[float, float]) -> DataFrame:
+    """p with block: the leaf of a tree that is made from SAMPLE objects at most, those with the least hashes."""
+    leaves = max(1, min(BLOCKS, p.count() // BLOCK))
+    some = p.orderBy(F.xxhash64("sample", "object")).limit(SAMPLE).collect()
+    tree = _tree(_axes(pd.DataFrame([r.asDict() for r in some], columns=p.columns), weights), leaves) if some else None
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema.fields)
+    return stored(p.mapInPandas(lambda frames: (f.assign(block=_leaf(_axes(f, weights), tree)) for f in frames), f"{schema}, block long"), "blocks")
+
+
+class _Boxes:
+    """For each block the bounds of its objects on all axes, their largest confidence, and how many there are by sample."""
+
+    def __init__(self, p: DataFrame, weights: tuple[float, float]):
+        n = p.agg(F.max(F.size("component")).alias("c"), F.max(F.size("role")).alias("r")).first()
+        self.sizes, self.weights = (max(0, n.c or 0), max(0, n.r or 0)), weights
+        axes = [F.get(c, F.lit(k)).cast("double") for c, m in zip(("component", "role"), self.sizes, strict=True) for k in range(m)]
+        bounds = [f(x) for x in axes for f in (F.min, F.max)]
+        rows = p.groupBy("block").agg(F.max("confidence").alias("confidence"), F.array(*bounds).alias("b"), F.count(F.lit(1)).alias("n")).orderBy("block").collect()
+        self.block = np.array([r.block for r in rows], np.int64)
+        self.confidence, self.n = np.array([r.confidence for r in rows], np.float64), np.array([r.n for r in rows], np.int64)
+        b = np.array([[np.nan if x is None else x for x in r.b] for r in rows], np.float64).reshape(len(rows), sum(self.sizes), 2)
+        self.low, self.high = b[:, :, 0], b[:, :, 1]
+
+    def most(self, f: pd.DataFrame) -> np.ndarray:
+        """The largest similarity that each object can have with one of each block."""
+        x = np.array([[*c, *r] for c, r in zip(f["component"], f["role"], strict=True)], np.float64).reshape(len(f), -1)
+        gap = np.maximum(0, np.maximum(self.low[None] - x[:, None], x[:, None] - self.high[None]))
+        c, r = self.sizes
+        like = [np.clip(1 - part.mean(axis=2), 0, 1) if part.shape[2] else np.zeros(part.shape[:2]) for part in (gap[:, :, :c], gap[:, :, c : c + r])]
+        factor = np.sqrt(np.maximum(0, f["confidence"].to_numpy(np.float64)[:, None] * self.confidence[None]))
+        most = np.clip((self.weights[0] * like[0] + self.weights[1] * like[1]) * factor, 0, 1)
+        return np.where(np.isnan(most), 1.0, most)
+
+
+def _asked(boxes: _Boxes, names: list[str], first: int | None):
+    """(names..., target): the blocks that each object is compared with. With first, the most promising ones; without, those
+    besides (first of them are done) whose bound reaches the least similarity wanted."""
+    def run(frames):
+        for f in frames:
+            for low in range(0, len(f), 256):
+                part = f.iloc[low : low + 256]
+                most = boxes.most(part)
+                order = np.argsort(-most, axis=1, kind="stable")
+                if first is not None:
+                    rows, cols = np.divmod(np.arange(len(part) * min(first, order.shape[1])), min(first, order.shape[1]))
+                    target = order[rows, cols]
+                else:
+                    skip = part["done"].to_numpy(np.int64)
+                    rank = np.empty_like(order)
+                    np.put_along_axis(rank, order, np.arange(order.shape[1])[None], axis=1)
+                    rows, target = np.nonzero((most >= part["least"].to_numpy(np.float64)[:, None] - _SLACK) & (rank >= skip[:, None]))
+                yield part.iloc[rows][names].assign(target=boxes.block[target])
+
+    return run
+
+
+def comparable(profiles: DataFrame, top: int, weights: tuple[float, float] = (0.65, 0.35), looks: list[int] | None = None) -> DataFrame:
     """Pairs of objects of different samples by similarity, with ranks within either and the first few of each kept.
 
-    profiles are (sample, object, component array, role array, confidence). Samples of a cohort are tens and objects of
-    a sample tens, so all pairs across samples are the question itself; each side meets the other by an unequal join.
+    profiles are (sample, object, component array, role array, confidence). Exact, without looking at all pairs: objects
+    are cut into at most BLOCKS blocks of near ones, and a block's bounds on the axes and on confidence say how similar its
+    objects can be to an object at most. Each object first meets its FIRST most promising blocks, then all others that may
+    hold one as similar as the last it would keep. rank_b asks how many objects come before a in the order of b: that takes
+    one more meeting, of each b that was kept and the blocks that may hold an object as similar to it as any it was kept
+    with. looks, if given, gets how many pairs were compared, how many there are, and the former step by step.
     """
-    a = profiles.select(*[F.col(c).alias(c + "_a") for c in profiles.columns])
-    b = profiles.select(*[F.col(c).alias(c + "_b") for c in profiles.columns])
-    p = a.join(F.broadcast(b) if profiles.limit(20_001).count() <= 20_000 else b, F.col("sample_a") != F.col("sample_b"))
-    p = p.withColumn("component_similarity", F.round(X.l1_similarity("component_a", "component_b"), 9)).withColumn("role_similarity", F.round(X.l1_similarity("role_a", "role_b"), 9))
-    p = p.withColumn("similarity", F.round(X.clamp01((weights[0] * F.col("component_similarity") + weights[1] * F.col("role_similarity")) * F.sqrt(F.col("confidence_a") * F.col("confidence_b"))), 9))
-    order = [F.desc("similarity"), F.desc("component_similarity"), F.desc("role_similarity")]
-    p = p.withColumn("rank_a", F.row_number().over(Window.partitionBy("sample_a", "object_a").orderBy(*order, "sample_b", "object_b")).cast("long"))
-    p = p.withColumn("rank_b", F.row_number().over(Window.partitionBy("sample_b", "object_b").orderBy(*order, "sample_a", "object_a")).cast("long"))
-    return p.where(F.col("rank_a") <= top).select("sample_a", "object_a", "sample_b", "object_b", "similarity", "component_similarity", "role_similarity", "rank_a", "rank_b")
+    names = ["sample", "object", "component", "role", "confidence"]
+    p = _blocked(profiles.select(*names), weights)
+    boxes = _Boxes(p, weights)
+    kinds = {f.name: f.dataType.simpleString() for f in p.schema.fields}
+    if not len(boxes.block):
+        ends = ", ".join(f"{c}_{side} {kinds[c]}" for side in "ab" for c in ("sample", "object"))
+        return profiles.sparkSession.createDataFrame([], f"{ends}, similarity double, component_similarity double, role_similarity double, rank_a long, rank_b long")
+    head = ", ".join(f"{c} {kinds[c]}" for c in names) + ", least double, target long"
+    asks = lambda d, first: d.mapInPandas(_asked(boxes, [*names, "least"], first), head)
+    seen: list[DataFrame] | None = None if looks is None else []
+    order = [F.desc("similarity"), F.desc("component_similarity"), F.desc("role_similarity"), "sample_b", "object_b"]
+    mine = Window.partitionBy("sample_a", "object_a").orderBy(*order)
+    kept = lambda d: d.withColumn("rank_a", F.row_number().over(mine).cast("long")).where(F.col("rank_a") <= top)
+    one = stored(kept(_met(asks(p.select(*names, F.lit(-1.0).alias("least")), FIRST), p, weights, seen)).drop("rank_a"), "first")
+    found = one.groupBy(F.col("sample_a").alias("sample"), F.col("object_a").alias("object")).agg(F.when(F.count(F.lit(1)) >= top, F.min("similarity")).alias("least"))
+    open_ = p.join(found, ["sample", "object"], "left").select(*names, F.coalesce("least", F.lit(-1.0)).alias("least"), F.lit(FIRST).alias("done"))
+    pairs = stored(kept(one.unionByName(_met(asks(open_, None), p, weights, seen))), "pairs")
+    # the other side: those before a in the order of b
+    hubs = pairs.groupBy(F.col("sample_b").alias("sample"), F.col("object_b").alias("object")).agg(F.min("similarity").alias("least"))
+    back = _met(asks(p.join(hubs, ["sample", "object"]).select(*names, "least", F.lit(0).alias("done")), None), p, weights, seen, True)
+    turned = back.withColumn("rank_b", F.row_number().over(mine).cast("long"))
+    turned = turned.select(F.col("sample_b").alias("sample_a"), F.col("object_b").alias("object_a"), F.col("sample_a").alias("sample_b"), F.col("object_a").alias("object_b"), "rank_b")
+    if looks is not None:
+        looks += [sum(each := [d.count() for d in seen]), int(boxes.n.sum()) ** 2, *each]
+    out = pairs.join(turned, ["sample_a", "object_a", "sample_b", "object_b"])
+    return out.select("sample_a", "object_a", "sample_b", "object_b", "similarity", "component_similarity", "role_similarity", "rank_a", "rank_b")
+
+
+def _met(asked: DataFrame, p: DataFrame, weights: tuple[float, float], looks: list[DataFrame] | None, all_: bool = False) -> DataFrame:
+    """The pairs of asked objects (with least, the similarity that they look for) and those of their target blocks, with
+    similarities; with all_, those that reach it. What confidence alone keeps below it isn't compared. looks gets the pairs."""
+    names = ["sample", "object", "component", "role", "confidence"]
+    a = asked.select(*[F.col(c).alias(f"{c}_a") for c in names], "least", F.col("target").alias("block"))
+    b = p.select(*[F.col(c).alias(f"{c}_b") for c in names], "block")
+    m = a.join(b, "block").where((F.col("sample_a") != F.col("sample_b")) & (F.sqrt(F.col("confidence_a") * F.col("confidence_b")) >= F.col("least") - _SLACK))
+    if looks is not None:
+        looks.append(m)
+    m = m.withColumn("component_similarity", F.round(X.l1_similarity("component_a", "component_b"), 9)).withColumn("role_similarity", F.round(X.l1_similarity("role_a", "role_b"), 9))
+    m = m.withColumn("similarity", F.round(X.clamp01((weights[0] * F.col("component_similarity") + weights[1] * F.col("role_similarity")) * F.sqrt(F.col("confidence_a") * F.col("confidence_b"))), 9))
+    return (m.where(F.col("similarity") >= F.col("least")) if all_ else m).select("sample_a", "object_a", "sample_b", "object_b", "similarity", "component_similarity", "role_similarity")
 
 
 def nearest_samples(pairs: DataFrame, top: int = 3) -> DataFrame:
