@@ -28,6 +28,11 @@ APART = 16
 DEVIATIONS = 5
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two, so that products of tiny or huge components neither vanish nor overflow; no digit is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def learn(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The mean and a projection (dimension, bits): principal directions, rotated so that signs lose the least.
 
@@ -101,7 +106,7 @@ def _coded(models: dict[int, tuple[np.ndarray, np.ndarray]]):
             for dim in {len(x) for x in raw}:
                 own = [k for k, x in enumerate(raw) if len(x) == dim]
                 x = np.stack([raw[k] for k in own])
-                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x = _scaled(x)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 mean, axes = models.get(dim) or learn(np.zeros((0, dim)))
                 sign = np.zeros((len(own), BITS), np.uint8)
@@ -119,10 +124,10 @@ def _near(apart: int):
 
 def _counted(held: dict[str, list], least: float) -> dict[str, list]:
     """For one unit: a spanning forest of its links, and for each vector how many rows it is linked with."""
-    x = np.stack([np.frombuffer(r) for r in held["raw"]])
+    x = _scaled(np.stack([np.frombuffer(r) for r in held["raw"]]))
     own, many = np.array(held["own"]), np.array(held["many"])
     _, i, j = held["unit"]
-    u = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
     cosine = u @ u.T
     for a, b in np.argwhere(np.abs(cosine - least) < 1e-12).tolist():  # in plain order where the last digit decides
         cosine[a, b] = np.dot(x[a], x[b]) / np.sqrt(np.dot(x[a], x[a]) * np.dot(x[b], x[b]))
@@ -157,8 +162,8 @@ def links(embeddings: DataFrame, least: float = LEAST_COSINE, block: int = clust
     fine = stored(fine, "distinct")
     sample: dict[int, list[np.ndarray]] = {}
     for r in fine.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("raw").collect():
-        x = np.frombuffer(r.raw) / np.linalg.norm(np.frombuffer(r.raw))
-        sample.setdefault(len(x), []).append(x)
+        x = _scaled(np.frombuffer(r.raw))
+        sample.setdefault(len(x), []).append(x / np.linalg.norm(x))
     models = {dim: learn(np.stack(x)) for dim, x in sample.items()}
     expected = max((flips(np.stack(x), *models[dim], least) for dim, x in sample.items()), default=0)
     tables, width = layout(expected)
