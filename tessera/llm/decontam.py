@@ -23,7 +23,8 @@ FILE_ROWS = 250_000
 RUN, CHUNK = 64, 128
 #: Bytes of runs, counted first, that may be sent to every task in place of an exchange of the index.
 SENT_BYTES = 32 << 20
-_SEGMENT = "segment long, doc_ids array<long>, lengths binary, terms binary, ends binary, postings binary"
+#: Places of rarest terms, or pairs of a document and a window, that are looked at at a time.
+PLACES = 1 << 18
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     A segment holds the documents of one step of text: doc_ids, lengths (words by document), the sorted distinct terms,
     the end of each term's postings, and the postings, which are word positions in the segment in ascending order. The
-    positions of two documents are at least two apart. Every word is posted.
+    positions of two documents are at least two apart. Every word is posted. doc_id may be text or binary; else it is a long.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 32
@@ -46,12 +47,18 @@ def build_index(docs: DataFrame) -> DataFrame:
             one = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
             ids = rows.column(rows.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([segment], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), one(length, "<i4"), one(hashes[first], "<u8"), one(ends, "<i4"), one(place, "<i4")],
+                [pa.array([segment], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), one(length, "<i4"), one(hashes[first], "<u8"), one(ends, "<i4"), one(place, "<i4")],
                 names=["segment", "doc_ids", "lengths", "terms", "ends", "postings"],
             )
             segment += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SEGMENT)
+    kind = _kind(docs)
+    return docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").mapInArrow(run, f"segment long, doc_ids array<{kind}>, lengths binary, terms binary, ends binary, postings binary")
+
+
+def _kind(docs: DataFrame) -> str:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return kind if kind in ("string", "binary") else "long"
 
 
 def _runs(size: int):
@@ -89,64 +96,92 @@ def _segment_terms(bits: bytes):
 
 
 class Windows:
-    """The windows of some runs as term numbers in a table: one row a window, -1 beyond a short one's words, and their items."""
+    """The distinct windows of some runs as term numbers in a table: one row a window, -1 beyond a short one's words.
+
+    items are the names of the items; the numbers of those that hold window k are owner[first[k] : first[k + 1]].
+    """
 
     def __init__(self, items: list[str], terms: list[bytes], size: int = WINDOW):
         length = np.array([len(x) // 8 for x in terms], np.int64)
         many = np.maximum(1, length - size + 1)
         self.items, owner = np.unique(np.array(items, object), return_inverse=True)
-        self.owner = np.repeat(owner, many)
         self.terms, number = np.unique(np.frombuffer(b"".join(terms), "<u8"), return_inverse=True)
-        self.size = np.repeat(np.minimum(length, size), many)
+        part = np.repeat(np.minimum(length, size), many)
         first = np.repeat(np.cumsum(length) - length - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        at = np.arange(int(self.size.max()))
-        self.table = np.where(at < self.size[:, None], number[np.minimum(first[:, None] + at, len(number) - 1)], -1)
-
-
-def search(terms: np.ndarray, ends: np.ndarray, postings: np.ndarray, base: np.ndarray, windows: Windows, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(int(part.max()))
+        table = np.where(at < part[:, None], number[np.minimum(first[:, None] + at, len(number) - 1)], -1)
+        self.table, which = np.unique(table, axis=0, return_inverse=True)
+        self.size = (self.table >= 0).sum(axis=1)
+        held = np.unique(np.stack((which.ravel(), np.repeat(owner, many)), axis=1), axis=0)
+        self.owner, self.first = held[:, 1], np.searchsorted(held[:, 0], np.arange(len(self.table) + 1))
+
+    def held(self, docs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The distinct pairs of a document and an item that holds one of its windows, as docs * items + item."""
+        n = len(self.items)
+        out = np.zeros(0, np.int64)
+        pairs = np.unique(docs * np.int64(len(self.table)) + rows)
+        docs, rows = pairs // len(self.table), pairs % len(self.table)
+        many = self.first[rows + 1] - self.first[rows]
+        before = np.concatenate(([0], np.cumsum(many)))
+        for low in range(0, int(before[-1]), PLACES):
+            g = np.arange(low, min(low + PLACES, int(before[-1])))
+            k = np.searchsorted(before, g, "right") - 1
+            out = np.unique(np.concatenate((out, docs[k] * n + self.owner[self.first[rows[k]] + g - before[k]])))
+        return out
+
+
+def searched(terms: np.ndarray, ends: np.ndarray, postings: np.ndarray, base: np.ndarray, windows: Windows, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Exact occurrences in a segment as rows of windows and start positions, and proximity matches as rows and positions
     of the rarest term.
 
     For each window the list of its rarest term gives the places. Exact: the offset is taken off, and the other lists,
     rarest first, keep the starts that they have at their own offsets. Proximity: the other lists, in the same order, keep
     the places of the rarest term that they have a posting near, at most reach words away in the same document. base has
-    the first position of each document, and the end.
+    the first position of each document, and the end. PLACES places are taken at a time, of however many windows or of a
+    part of one's list, so what is held does not grow with how often a term stands in the segment.
     """
     n = len(windows.terms)
     at = np.searchsorted(terms, windows.terms)
     here = (at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == windows.terms) if len(terms) else np.zeros(n, bool)
-    starts = np.concatenate(([0], ends))
+    starts = np.concatenate(([0], ends)).astype(np.int64)
     low = np.where(here, starts[np.minimum(at, len(terms))], 0)
     count = np.where(here, starts[np.minimum(at + 1, len(terms))] - low, 0)
     table = windows.table
     size = np.where(table >= 0, count[table], np.iinfo(np.int64).max)
     row = np.flatnonzero(size.min(axis=1) > 0)
     if not len(row):
-        return row, row, row, row
+        return
     order = np.argsort(size[row], axis=1, kind="stable")
     rare = table[row, order[:, 0]]
-    many = count[rare]
-    which = np.repeat(np.arange(len(row)), many)
-    inside = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-    place = postings[low[rare][which] + inside].astype(np.int64)
+    before = np.concatenate(([0], np.cumsum(count[rare])))
     key = (np.repeat(np.arange(len(terms)), np.diff(starts)) << 32) | postings
     number = np.where(here, at, 0) << 32
-    exact, start = which, place - order[which, 0]
-    doc = np.searchsorted(base, place, "right") - 1
-    near, first, last = which, np.maximum(place - reach, base[doc]), np.minimum(place + reach, base[doc + 1] - 1)
-    for k in range(1, table.shape[1]):
-        col = order[exact, k]
-        term = table[row[exact], col]
-        want = number[np.maximum(term, 0)] | (start + col).clip(0)
-        found = np.searchsorted(key, want)
-        keep = (term < 0) | ((key[np.minimum(found, len(key) - 1)] == want) & (start >= 0))
-        exact, start = exact[keep], start[keep]
-        term = table[row[near], order[near, k]]
-        own = number[np.maximum(term, 0)]
-        keep = (term < 0) | (np.searchsorted(key, own | last, "right") > np.searchsorted(key, own | first))
-        near, first, last, place = near[keep], first[keep], last[keep], place[keep]
-    keep = start >= 0
-    return row[exact[keep]], start[keep], row[near], place
+    for begin in range(0, int(before[-1]), PLACES):
+        g = np.arange(begin, min(begin + PLACES, int(before[-1])))
+        which = np.searchsorted(before, g, "right") - 1
+        place = postings[low[rare][which] + g - before[which]].astype(np.int64)
+        exact, start = which, place - order[which, 0]
+        doc = np.searchsorted(base, place, "right") - 1
+        near, first, last = which, np.maximum(place - reach, base[doc]), np.minimum(place + reach, base[doc + 1] - 1)
+        for k in range(1, table.shape[1]):
+            col = order[exact, k]
+            term = table[row[exact], col]
+            want = number[np.maximum(term, 0)] | (start + col).clip(0)
+            found = np.searchsorted(key, want)
+            keep = (term < 0) | ((key[np.minimum(found, len(key) - 1)] == want) & (start >= 0))
+            exact, start = exact[keep], start[keep]
+            term = table[row[near], order[near, k]]
+            own = number[np.maximum(term, 0)]
+            keep = (term < 0) | (np.searchsorted(key, own | last, "right") > np.searchsorted(key, own | first))
+            near, first, last, place = near[keep], first[keep], last[keep], place[keep]
+        keep = start >= 0
+        yield row[exact[keep]], start[keep], row[near], place
+
+
+def search(*args) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All that searched() finds, at once."""
+    parts = list(searched(*args)) or [(np.zeros(0, np.int64),) * 4]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _hits(size: int, reach: int):
@@ -158,19 +193,21 @@ def _hits(size: int, reach: int):
                 r = batch.slice(k, 1).to_pylist()[0]
                 base = np.concatenate(([0], np.cumsum(np.frombuffer(r["lengths"], "<i4").astype(np.int64) + 1)))
                 windows = Windows([x["item"] for x in r["windows"]], [x["terms"] for x in r["windows"]], size)
-                row, start, near_row, place = search(np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["ends"], "<i4"), np.frombuffer(r["postings"], "<i4"), base, windows, reach)
-                doc, near_doc = np.searchsorted(base, start, "right") - 1, np.searchsorted(base, place, "right") - 1
                 step = np.zeros(base[-1] + 1, np.int32)
-                np.add.at(step, start, 1)
-                np.add.at(step, start + windows.size[row], -1)
+                held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+                for row, start, near_row, place in searched(np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["ends"], "<i4"), np.frombuffer(r["postings"], "<i4"), base, windows, reach):
+                    np.add.at(step, start, 1)
+                    np.add.at(step, start + windows.size[row], -1)
+                    for which, (rows, at) in enumerate(((row, start), (near_row, place))):
+                        held[which] = np.union1d(held[which], windows.held(np.searchsorted(base, at, "right") - 1, rows))
                 hit = np.cumsum(step) > 0
                 edge = np.flatnonzero(np.diff(hit, prepend=False))
-                own = {d: ([], [], []) for d in np.unique(np.concatenate((doc, near_doc))).tolist()}
+                own = {d: ([], [], []) for d in np.unique(np.concatenate(held) // len(windows.items)).tolist()}
                 for d, s, e in zip((np.searchsorted(base, edge[::2], "right") - 1).tolist(), edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     own[d][0].append({"s": s, "e": e})
-                for which, (docs, rows) in enumerate(((doc, row), (near_doc, near_row)), 1):
-                    for d, x in np.unique(np.stack((docs, windows.owner[rows]), axis=1), axis=0).tolist() if len(rows) else ():
-                        own[d][which].append(windows.items[x])
+                for which, pairs in enumerate(held, 1):
+                    for x in pairs.tolist():
+                        own[x // len(windows.items)][which].append(windows.items[x % len(windows.items)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["segment"]] * len(own), pa.int64()), pa.array(list(own), pa.int64()), pa.array([x[0] for x in own.values()], _SPANS), *(pa.array([x[w] for x in own.values()], pa.list_(pa.string())) for w in (1, 2))],
                     names=["segment", "ordinal", "spans", "items", "near"],
@@ -186,7 +223,7 @@ def _ordinals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for segment, ids, lengths in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([segment] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(ids, pa.int64()), pa.array(np.frombuffer(lengths, "<i4").astype(np.int64))], names=["segment", "ordinal", "doc_id", "n_words"])
+            yield pa.RecordBatch.from_arrays([pa.array([segment] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(ids, batch.schema.field(1).type.value_type), pa.array(np.frombuffer(lengths, "<i4").astype(np.int64))], names=["segment", "ordinal", "doc_id", "n_words"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: int = REACH, chunk: int = CHUNK) -> DataFrame:
@@ -204,7 +241,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: in
     small_batches(docs.sparkSession)
     index = stored(build_index(docs), "index", compression="zstd")
     few = 1 + index.count() // 256
-    every = index.select("segment", "doc_ids", "lengths").mapInArrow(_ordinals, "segment long, ordinal long, doc_id long, n_words long")
+    every = index.select("segment", "doc_ids", "lengths").mapInArrow(_ordinals, f"segment long, ordinal long, doc_id {_kind(docs)}, n_words long")
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
     runs = stored(items.mapInArrow(_runs(size), "run long, item string, terms binary").dropDuplicates(["run"]), "runs", few)
     posted = runs.select("run", "terms").mapInArrow(_apart(size), "run long, place int, n int, term long")
@@ -262,9 +299,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows are judged by their text alone, so a null or repeated doc_id changes nothing; null and empty texts stay.
     """
     key, bad = unused(docs.columns, "key", "bad")
-    told = contaminated(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark)
+    name = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))  # 128 bits, so that no other text's fate is met by chance
+    told = contaminated(docs.select(name.alias("doc_id"), "text"), benchmark)
     found = stored(told.where("contaminated").select(F.col("doc_id").alias(bad)).distinct(), "contaminated", 1 + docs.count() // FILE_ROWS)
-    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn(key, name)
     return keyed.join(found, F.col(key) == F.col(bad), "left_anti").select(*docs.columns)
 
 

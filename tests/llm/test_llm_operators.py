@@ -677,3 +677,48 @@ def test_registered():
         source = (Path(queries.__file__).parent / name).read_text()
         assert not re.search(r"pandas|pyarrow|mapIn|applyIn|\.rdd|udf", source), name
     assert json.dumps(sorted(queries.ORACLE))
+
+
+def test_one_word_texts(spark):
+    """A long text of one word against items of that word: every place of every window is a match, of which few are held at a time."""
+    import tracemalloc
+
+    n = 700_000  # 2 MiB of text, all of one segment
+    word = np.array([77], "<u8")
+    windows = decontam.Windows(["x", "y", "y"], [np.repeat(word, 76).tobytes()] * 2 + [np.repeat(word, 5).tobytes()])
+    assert len(windows.table) == 2  # equal windows are searched once
+    tracemalloc.start()
+    begun, seen = time.time(), 0
+    for row, _, near, _ in decontam.searched(word, np.array([n]), np.arange(n, dtype=np.int32), np.array([0, n + 1]), windows, decontam.REACH):
+        seen += len(row)
+        assert len(near) <= decontam.PLACES
+    assert seen == n - 12 + n - 4 and time.time() - begun < 10
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    docs = spark.createDataFrame([(1, "to " * n), (2, "to be " * 100_000), (3, "to go")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "to " * 76), (2, "be to " * 38), (3, "to to " * 40)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.matches(docs, bench).collect()}
+    assert got == {1: (n, n, ["1", "3"]), 2: (200_000, 200_000, ["2"]), 3: (2, 0, [])}
+
+
+def test_decontamination_by_slices(spark, docs, monkeypatch):
+    """However few places are taken at a time, the result is the same."""
+    t = texts()
+    bench = spark.createDataFrame([(1, t[30]), (2, "to " * 20), (3, "a b c d"), (4, "to " * 9)], "item_id long, text string")
+    want = sorted(map(str, decontam.matches(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "PLACES", 64)
+    assert sorted(map(str, decontam.matches(docs, bench).collect())) == want
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e-310, 1e200])
+def test_vectors_of_any_size(spark, size):
+    """Components whose squares vanish or overflow link as the same vectors at usual size do."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(100, 16))
+    near = np.concatenate([base, base[:50] + rng.normal(size=(50, 16)) * 0.05, base[:5]])
+    frame = lambda x: spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    want = sorted(map(tuple, vectors.links(frame(near)).collect()))
+    assert sum(r[1] for r in want) > 50
+    assert sorted(map(tuple, vectors.links(frame(near * size)).collect())) == want
+    mixed = sorted(map(tuple, vectors.links(frame(np.concatenate([near[:100] * size, near[100:]]))).collect()))
+    assert mixed == want
