@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import stored
+
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
 
@@ -15,6 +17,64 @@ def quantiles(df: DataFrame, value: str, *by: str) -> DataFrame:
     return q.select(*by, *[F.coalesce(F.col("q")[k], F.lit(0.0)).alias(f"p{round(100 * x)}") for k, x in enumerate(QUANTILES)])
 
 
+#: Values of a group that one task may sort, and bins that a longer group is cut into by a pass.
+HELD, BINS = 100_000, 4096
+#: Rows of a table that may be sent to all tasks.
+SENT_ROWS = 100_000
+
+
+def quantile(df: DataFrame, value: str, q: float, by: list[str] | None = None, held: int = HELD) -> DataFrame:
+    """(by..., quantile): the exact quantile of the finite values by linear interpolation, for groups of any size.
+
+    Groups of at most held values are sorted. In a longer one the two order statistics around the quantile are selected: a
+    pass counts the values by BINS bins between the least and the greatest, the bin that holds the wanted rank becomes the
+    next range, and so on until its values are few or all equal. A pass exchanges bins, and values only if the groups are too
+    many to be sent to all tasks.
+    """
+    by = by or []
+    fine = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v) AND abs(_v) < double('Infinity')")
+    n = fine.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")).where("_n > 0")
+    most = n.agg(F.max("_n")).first()[0] or 0
+    if most <= held:
+        return fine.groupBy(*by).agg(F.percentile("_v", F.lit(q)).alias("quantile")).where("quantile IS NOT NULL")
+    at = F.col("_n").cast("double") - 1
+    at = F.lit(float(q)) * at
+    ranks = F.array_distinct(F.array(F.floor(at), F.ceil(at)))
+    place = n.select(*by, at.alias("_at"), F.explode(ranks).alias("_k"), "_low", "_high", F.lit(0).cast("long").alias("_before"), F.col("_n").alias("_size"))
+    place = stored(place, "places")
+    for step in range(100):
+        if place.where((F.col("_low") < F.col("_high")) & (F.col("_size") > held)).isEmpty():
+            break
+        open_ = place.where((F.col("_low") < F.col("_high")) & (F.col("_size") > held))
+        # two passes by magnitude, which tell octaves and parts of one; then evenly, in halves, so that no range overflows
+        low, high, v = (_magnitude(F.col(c)) if step < 2 else F.col(c) / 2 for c in ("_low", "_high", "_v"))
+        share = F.when(high > low, (v - low) / (high - low)).otherwise(F.when(F.col("_v") > F.col("_low"), 1.0).otherwise(0.0))
+        inside = _beside(fine, open_, by).where(F.col("_v").between(F.col("_low"), F.col("_high"))).withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(share * BINS)))
+        key = [*by, "_k"]
+        bins = inside.groupBy(*key, "_at", "_before", "_bin").agg(F.count(F.lit(1)).alias("_size"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        upto = F.sum("_size").over(Window.partitionBy(*key).orderBy("_bin"))
+        found = bins.withColumn("_to", F.col("_before") + upto).where("_to > _k AND _to - _size <= _k").select(*by, "_at", "_k", "_low", "_high", (F.col("_to") - F.col("_size")).alias("_before"), "_size")
+        place = stored(place.where((F.col("_low") == F.col("_high")) | (F.col("_size") <= held)).unionByName(found), "places")
+    few = _beside(fine, place.where("_low < _high"), by).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+    order = F.row_number().over(Window.partitionBy(*by, "_k").orderBy("_v"))
+    picked = few.withColumn("_r", F.col("_before") + order - 1).where("_r = _k").select(*by, "_at", "_k", "_v")
+    both = picked.unionByName(place.where("_low = _high").select(*by, "_at", "_k", F.col("_low").alias("_v")))
+    weight = F.when(F.floor("_at") == F.ceil("_at"), 1.0).otherwise(1 - F.abs(F.col("_at") - F.col("_k")))
+    return both.groupBy(*by).agg(F.sum(weight * F.col("_v")).alias("quantile"))
+
+
+def _magnitude(v: Column) -> Column:
+    """A number that grows with v by one for each doubling, from the least double on."""
+    size = F.when(v == 0, 0.0).otherwise(F.log2(F.abs(v)) + 1075)
+    return F.when(v < 0, -size).otherwise(size)
+
+
+def _beside(values: DataFrame, places: DataFrame, by: list[str]) -> DataFrame:
+    """Values with the places of their group: at most two, which go to all tasks unless there are very many groups."""
+    small = places.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    return values.join(F.broadcast(places) if small else places, by) if by else values.join(F.broadcast(places))
+
+
 def average_rank(by: list[str], order: Column) -> Column:
     """Rank from 1 with the mean for ties."""
     w = Window.partitionBy(*by)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
+from tessera.functions import stats as S
 from tessera.operators import spatial
 from tessera.operators.graph import stored
 
@@ -113,7 +114,7 @@ def _search(targets: DataFrame, points: DataFrame, blocks: DataFrame, by: list[s
     kinds = {f.name: f.dataType.simpleString() for f in targets.schema.fields}
     find = _best(wanted)
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return find(key, left, right).assign(**dict(zip(by, key, strict=False)))[[*by, "key", "other", "sim"]]
 
     schema = "".join(f"{c} {kinds[c]}, " for c in by) + "key binary, other long, sim double"
@@ -182,7 +183,8 @@ def gated(expression: DataFrame, near: DataFrame, points: DataFrame, mode: str,
     if mode == "spatial_knn":
         return e.where("held").drop("held")
     if not radius or radius <= 0:
-        radius = near.where("d2 > 0").agg(F.percentile(F.sqrt("d2"), F.lit(0.9))).first()[0] or 0.0
+        found = S.quantile(near.where("d2 > 0").select(F.sqrt("d2").alias("d")), "d", 0.9).first()
+        radius = found[0] if found else 0.0
     a, b = points.select("spot", "x", "y"), points.select(F.col("spot").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     apart = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
     inside = (apart <= radius) & F.lit(radius > 0)
@@ -196,7 +198,9 @@ def hybrid_edges(near: DataFrame, expression: DataFrame, weighted: bool = False,
     expression are (spot, other, sim) with (sim + 1) / 2. An edge that a graph has twice has the larger weight, or the mean;
     one that it lacks has 0. kind says which weights are positive: both, spatial_only, expr_only or none.
     """
-    width = near.where("d2 > 0").agg(F.percentile(F.sqrt("d2"), F.lit(0.5))).first()[0] if weighted else None
+    width = None
+    if weighted and (found := S.quantile(near.where("d2 > 0").select(F.sqrt("d2").alias("d")), "d", 0.5).first()):
+        width = found[0]
     s = near.select("spot", "other", (X.gaussian_weight(F.sqrt("d2"), F.lit(max(width or 1.0, 1e-6))) if weighted else F.lit(1.0)).alias("w_spatial"), F.lit(None).cast("double").alias("w_expr"))
     e = expression.select("spot", "other", F.lit(None).cast("double").alias("w_spatial"), X.clamp01((F.col("sim") + 1) / 2).alias("w_expr"))
     every = s.unionByName(e)

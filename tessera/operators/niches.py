@@ -26,7 +26,7 @@ def epsilon(distances: DataFrame, mode: str = "spot_spacing", spacing: float | N
     is 0.
     """
     fine = distances.where("distance >= 0 AND distance < double('Infinity')")
-    q = fine.agg(F.percentile("distance", F.lit(0.25 if mode == "fixed" else min(1.0, max(0.0, quantile))))).first()[0]
+    q = _one(S.quantile(fine, "distance", 0.25 if mode == "fixed" else min(1.0, max(0.0, quantile))))
     if q is None:
         return 0.0, "empty_distance"
     if mode == "spot_spacing":
@@ -38,6 +38,11 @@ def epsilon(distances: DataFrame, mode: str = "spot_spacing", spacing: float | N
     return float(q), "distance_quantile"
 
 
+def _one(q: DataFrame) -> float | None:
+    row = q.first()
+    return None if row is None else row[0]
+
+
 def edges(graph: DataFrame, domains: DataFrame, near: DataFrame, epsilon: float, blend: float = 0.5) -> DataFrame:
     """Interaction edges with strengths.
 
@@ -58,9 +63,9 @@ def edges(graph: DataFrame, domains: DataFrame, near: DataFrame, epsilon: float,
     e = e.withColumn("edge_reliability", F.sqrt(F.col("ri") * F.col("rj"))).withColumn("f", (1 - blend) + blend * F.col("edge_reliability"))
     e = e.withColumn("contact", X.clamp01(X.rational(ratio) * F.col("f"))).withColumn("overlap", X.clamp01(F.col("spatial_overlap") * F.col("f"))).withColumn("soft", X.clamp01(F.col("soft") * F.col("f")))
     e = stored(e.withColumn("edge_strength", (F.col("contact") + 2 * F.col("overlap") + F.col("soft")) / 4), "interactions")
-    q = e.agg(F.percentile(F.when(F.col("boundary_contact") & (F.col("contact") > 0), F.col("contact")), F.lit(0.8)).alias("c"), F.percentile(F.when(F.col("overlap_contact"), F.col("overlap")), F.lit(0.8)).alias("o")).first()
+    c, o = _one(S.quantile(e.where("boundary_contact AND contact > 0"), "contact", 0.8)), _one(S.quantile(e.where("overlap_contact"), "overlap", 0.8))
     bound = lambda v: float("inf") if v is None else max(0.08, v)
-    strong = (F.col("boundary_contact") & (F.col("contact") >= bound(q.c))) | (F.col("overlap_contact") & (F.col("overlap") >= bound(q.o)))
+    strong = (F.col("boundary_contact") & (F.col("contact") >= bound(c))) | (F.col("overlap_contact") & (F.col("overlap") >= bound(o)))
     return e.select("i", "j", "program_i", "program_j", "boundary_contact", "overlap_contact", "proximity_contact", "edge_reliability", "edge_strength", strong.alias("is_strong"))
 
 
@@ -82,7 +87,7 @@ def seeds(e: DataFrame, quantile: float = 0.6, most: int = 12, by: tuple[str, ..
     The least score of a seed is a quantile of the scores within by.
     """
     good = stored(e.where("eligible").withColumn("_of", F.concat_ws("|", *by)), "eligible")
-    bounds = good.groupBy("_of").agg(F.percentile("seed_score", F.lit(quantile)).alias("_bound"))
+    bounds = S.quantile(good, "seed_score", quantile, ["_of"]).withColumnRenamed("quantile", "_bound")
     ways = good.select(F.col("i").alias("u"), F.col("j").alias("v")).unionByName(good.select(F.col("j").alias("u"), F.col("i").alias("v")))
     part = components(ways.select(F.col("u").alias("spot")).distinct(), stored(ways, "ways"))
     s = good.join(bounds, "_of").where("seed_score >= _bound").drop("_of", "_bound").join(part.withColumnRenamed("spot", "i"), "i")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import stats as S
 from tessera.operators.graph import stored
 
 
@@ -55,7 +56,7 @@ def nearest(points: DataFrame, k: int, radius: float, by: list[str] | None = Non
 def spacing(neighbours: DataFrame, quantile: float = 0.5) -> DataFrame:
     """One row: a quantile of the distance to the nearest other."""
     first = neighbours.where("d2 > 0").groupBy("spot").agg(F.sqrt(F.min("d2")).alias("d"))
-    return first.agg(F.percentile("d", F.lit(quantile)).alias("spacing"))
+    return S.quantile(first, "d", quantile).agg(F.max("quantile").alias("spacing"))
 
 
 def neighbour_qc(points: DataFrame, neighbours: DataFrame, radius: float) -> DataFrame:
