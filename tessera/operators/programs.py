@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,69 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
 from tessera.functions import stats as S
-
-def _factors(x: np.ndarray, k: int, seed: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative factors of x by hierarchical least squares from a seeded start."""
-    rng = np.random.default_rng(seed)
-    scale = math.sqrt(max(x.mean(), 1e-12) / k)
-    w, h = np.abs(rng.normal(size=(x.shape[0], k))) * scale, np.abs(rng.normal(size=(k, x.shape[1]))) * scale
-    for _ in range(rounds):
-        for side in range(2):
-            m, other = (w, h.T) if side == 0 else (h.T, w)
-            a, g = other.T @ other, (x if side == 0 else x.T) @ other
-            for j in range(k):
-                m[:, j] = np.maximum(1e-12, m[:, j] + (g[:, j] - m @ a[:, j]) / max(a[j, j], 1e-12))
-    return w, h
-
-
-def factorise(cells: DataFrame, runs: int, ranks: tuple[int, ...], seed: int = 2024, rounds: int = 60) -> DataFrame:
-    """(run, component, gene, weight) of several seeded factorisations, run side by side.
-
-    Each run takes one sample's matrix as a whole, as its loss does; runs, and samples if there are more, are groups of
-    their own. Weights of a component sum to 1.
-    """
-    def fitted(group: pd.DataFrame) -> pd.DataFrame:
-        run = int(group.run.iloc[0])
-        m = group.pivot_table(index="spot", columns="gene", values="value", fill_value=0.0).sort_index().sort_index(axis=1)
-        _, h = _factors(m.to_numpy(float), ranks[run % len(ranks)], seed + 17 * run, rounds)
-        h = h / np.maximum(h.sum(axis=1, keepdims=True), 1e-12)
-        k, g = h.shape
-        return pd.DataFrame({"run": run, "component": np.repeat(np.arange(k), g), "gene": np.tile(m.columns.to_numpy(), k), "weight": h.ravel()})
-
-    each = cells.select("spot", "gene", "value", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    return each.groupBy("run").applyInPandas(fitted, "run long, component long, gene string, weight double")
-
-
-def template_genes(weights: DataFrame, quantile: float = 0.8, least: int = 15, most: int = 300) -> DataFrame:
-    """The genes of each component at its quantile of positive weights or above, between least and most of them."""
-    by = ["run", "component"]
-    q = weights.where("weight > 0").groupBy(*by).agg(F.percentile("weight", F.lit(quantile)).alias("q"))
-    ranked = S.top_k(weights.where("weight > 0"), by, [F.desc("weight"), "gene"], most, "rank").join(q, by)
-    return ranked.where((F.col("weight") >= F.col("q")) | (F.col("rank") <= least)).drop("q")
-
-
-def leaders(sets: DataFrame, least: float = 0.3) -> DataFrame:
-    """(id, leader): greedy clusters of templates, each joining the best earlier leader that is similar enough.
-
-    sets are (id, score, genes). Templates of all runs are few hundred, and each choice depends on those before.
-    """
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        if not len(rows):
-            return
-        rows = rows.sort_values(["score", "id"], ascending=[False, True])
-        heads, out = [], []
-        for r in rows.itertuples():
-            own = set(r.genes)
-            best = max(((len(own & g) / len(own | g), -k) for k, (_, g) in enumerate(heads)), default=(0.0, 0))
-            if best[0] >= least:
-                out.append((r.id, heads[-best[1]][0]))
-            else:
-                heads.append((r.id, own))
-                out.append((r.id, r.id))
-        yield pd.DataFrame(out, columns=["id", "leader"])
-
-    return sets.repartition(1).mapInPandas(chosen, "id string, leader string")
+from tessera.operators.graph import stored
+from tessera.operators.templates import leaders
 
 
 def activate(cells: DataFrame, weights: DataFrame) -> DataFrame:
@@ -114,27 +50,27 @@ def decide(scores: DataFrame) -> DataFrame:
 
 
 def redundant(programs: DataFrame, genes: float = 0.2, spots: float = 0.5) -> DataFrame:
-    """(program, status, primary): a greedy pass by confidence; alike in genes and spots is redundant.
+    """(sample if there is one, program, status, primary): a greedy pass by confidence; alike in genes and spots is redundant.
 
-    programs are (program, confidence, genes, spots); of a sample they are tens.
+    programs are (program, confidence, genes, spots), of each sample by itself if they have the column. A program goes to
+    the first retained one of those before it that it is like. Programs meet by common genes, so one without genes is
+    like no other, and the pass is by rounds.
     """
-    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        if not len(rows):
-            return
-        jac = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-        kept, out = [], []
-        for r in rows.sort_values(["confidence", "program"], ascending=[False, True]).itertuples():
-            g, s = set(r.genes), set(r.spots)
-            hit = next(((p, jac(s, t)) for p, h, t in kept if jac(g, h) >= genes and jac(s, t) >= spots), None)
-            if hit is None:
-                kept.append((r.program, g, s))
-                out.append((r.program, "retained_primary", r.program))
-            else:
-                out.append((r.program, "merged_duplicate" if hit[1] >= 0.8 else "redundant_variant", hit[0]))
-        yield pd.DataFrame(out, columns=["program", "status", "primary"])
-
-    return programs.repartition(1).mapInPandas(passed, "program string, status string, primary string")
+    by = ["sample"] * ("sample" in programs.columns)
+    p = stored(programs.select(*by, F.col("program").alias("id"), "confidence", F.array_distinct("genes").alias("genes"), F.array_distinct("spots").alias("spots")), "programs")
+    t = p.select(*by, "id", "confidence", F.explode("genes").alias("gene"))
+    o = t.withColumnsRenamed({"id": "other", "confidence": "before"})
+    met = t.join(o, [*by, "gene"]).where((F.col("before") > F.col("confidence")) | ((F.col("before") == F.col("confidence")) & (F.col("other") < F.col("id"))))
+    both = met.groupBy(*by, "id", "other", "before").agg(F.count(F.lit(1)).alias("n"))
+    own, others = p.drop("confidence"), p.select(*by, F.col("id").alias("other"), F.col("genes").alias("g2"), F.col("spots").alias("s2"))
+    both = both.join(own, [*by, "id"]).join(others, [*by, "other"])
+    on = F.size(F.array_intersect("spots", "s2"))
+    every = F.size("spots") + F.size("s2") - on
+    both = both.withColumn("likeness", F.when(every > 0, on / F.greatest(F.lit(1), every)).otherwise(1.0))
+    alike = stored(both.where((F.col("n") / (F.size("genes") + F.size("g2") - F.col("n")) >= genes) & (F.col("likeness") >= spots)).select(*by, "id", "other", "before", "likeness"), "alike")
+    lead = leaders(p.select(*by, "id"), alike, by, [F.desc("before"), "other"]).withColumnRenamed("leader", "other")
+    status = F.when(F.col("id") == F.col("other"), "retained_primary").when(F.col("likeness") >= 0.8, "merged_duplicate").otherwise("redundant_variant")
+    return lead.join(alike, [*by, "id", "other"], "left").select(*by, F.col("id").alias("program"), status.alias("status"), F.col("other").alias("primary"))
 
 
 def log_factorial(n):

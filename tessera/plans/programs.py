@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph as H
 from tessera.operators import programs as M
+from tessera.operators import templates as L
 from tessera.plans.basic import r
 from tessera.plans.spatial import latent
 from tessera.sources import views as V
@@ -91,16 +92,27 @@ def j19_b3_best_matches(spark, sf):
     return M.best_matches(f, c)
 
 
+def _samples(spark, sf):
+    """(sample, spot, gene, value): the spots' cells, market segments as samples."""
+    return V.names(spark, sf).join(V.spots(spark, sf).select("spot", "sample"), "spot")
+
+
+@query()
+def m5_factorisation(spark, sf):
+    """Ranks 12, 16 and 24 of every sample's evidence: first and last loss, steps, and how many weights are positive."""
+    blocks, genes, sizes = L.matrix_blocks(L.encode(_samples(spark, sf)))
+    state = L.fitted(blocks, sizes, [0, 1, 2], rounds=40)
+    n = L.weights(state, genes).groupBy("sample", "run").agg(F.count_if(F.col("weight") > 0).alias("positive"), F.count_distinct("component").alias("k"))
+    loss = L.losses(state)
+    return loss.join(n, ["sample", "run"]).select("sample", "run", "k", "positive", F.size("losses").alias("steps"), r(loss.losses[0], 4).alias("first"), r(F.element_at("losses", -1), 4).alias("last"))
+
+
 @query()
 def m5_m6_templates(spark, sf):
-    """Factorisations, template genes, leaders, and the consensus share of runs in which a gene stands."""
-    w = H.stored(M.factorise(V.names(spark, sf), 4, (6, 8), rounds=20), "factors")
-    g = H.stored(M.template_genes(w, least=8, most=30), "genes")
-    ident = F.concat_ws("/", "run", "component")
-    sets = g.groupBy(ident.alias("id")).agg(F.sum("weight").alias("score"), F.collect_set("gene").alias("genes"))
-    lead = M.leaders(sets.withColumn("score", F.round("score", 6)))
-    runs = F.lit(4.0)
-    return g.withColumn("id", ident).join(lead, "id").groupBy("leader", "gene").agg((F.count(F.lit(1)) / runs).alias("frequency"), r(F.avg("weight"), 4).alias("weight")).where("frequency >= 0.25")
+    """Templates of every sample by reruns and consensus, each gene with its tier."""
+    t, g, _ = L.discover(L.encode(_samples(spark, sf)), rounds=40, least_genes=5)
+    t = t.select("sample", "program", "runs", "run_support", "members", "genes", "scaffold", r("evidence", 4).alias("evidence"))
+    return g.select("sample", "program", "gene", r("weight", 4).alias("weight"), r("frequency", 4).alias("frequency"), "tier").join(t, ["sample", "program"])
 
 
 @query()

@@ -17,6 +17,7 @@ from tessera.operators import graph as H
 from tessera.operators import niches as N
 from tessera.operators import programs as M
 from tessera.operators import spatial as P
+from tessera.operators import templates as L
 from tessera.sources import bundles as B
 from tessera.sources import tables as T
 
@@ -229,7 +230,7 @@ def test_over_representation(spark):
 def test_factorisation(spark):
     rng = random.Random(1)
     cells = [(s, f"g{k}", float(rng.randint(1, 5))) for s in range(30) for k in range(12) if (s < 15) == (k < 6)]
-    w = M.factorise(spark.createDataFrame(cells, "spot long, gene string, value double"), 2, (2,), rounds=40)
+    w = L.factorise(spark.createDataFrame(cells, "spot long, gene string, value double"), 2, (2,), rounds=40)
     got = {(r.run, r.component, r.gene): r.weight for r in w.collect()}
     assert min(got.values()) >= 0
     for run in range(2):
