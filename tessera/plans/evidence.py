@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
@@ -13,7 +14,9 @@ from tessera.operators import niches as N
 from tessera.operators import spatial as P
 from tessera.plans.basic import r
 from tessera.plans.spatial import grid
+from tessera.sources import arrays as Y
 from tessera.sources import bundles as B
+from tessera.sources import commits as K
 from tessera.sources import views as V
 
 QUERIES: dict = {}
@@ -245,3 +248,44 @@ def r19_reliability(spark, sf):
     bal = F.col("c_acctbal")
     s = V.load(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg((F.avg(bal) / 10000).alias("s"), F.count_if(bal > 9000).alias("n"), (F.max(bal) / F.sum(F.when(bal > 0, bal))).alias("t"))
     return s.select("k", X.reliability_class("s", "n", "t").alias("reliability"))
+
+
+@query("SELECT n_name AS name, count(c_custkey) AS customers, round(sum(c_acctbal), 2) AS balance, true AS whole FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def s12_s13_committed_bundle(spark, sf):
+    """Two tables committed at once, then once more while the second write fails: the first stays, whole by its digests."""
+    at = _folder(spark)
+    nation, customer = V.load(spark, sf, "nation").select("n_nationkey", "n_name"), V.load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    K.commit(spark, at, {"nation": nation, "customer": customer}, {"nation": "tsv"})
+    try:
+        K.commit(spark, at, {"nation": nation.limit(0), "customer": customer.withColumn("c_acctbal", F.raise_error(F.lit("a write that fails")).cast("double"))})
+    except PySparkException:
+        pass
+    b = K.bundle(spark, at)
+    whole = b.checked().agg(F.min("whole")).first()[0]
+    both = b.table("nation").join(b.table("customer"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return both.groupBy(F.col("n_name").alias("name")).agg(F.count("c_custkey").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.lit(whole).alias("whole"))
+
+
+@query("SELECT c_mktsegment AS sample, 'market.' || c_mktsegment || '.programs.csv' AS file, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
+def s14_export_tree(spark, sf):
+    """Bundles of all samples exported as text, read back by the catalogue."""
+    at, c = _folder(spark), V.load(spark, sf, "customer")
+    for (sample,) in sorted(c.select("c_mktsegment").distinct().collect()):
+        own = c.where(F.col("c_mktsegment") == sample).select("c_custkey", "c_acctbal")
+        own.write.parquet(f"{at}/in/market/{sample}/program_bundle/programs.parquet")
+        own.write.parquet(f"{at}/in/market/{sample}/program_bundle/qc/programs.parquet")
+    told = K.export(spark, f"{at}/in", f"{at}/out", {"program": {"programs.parquet", "qc/programs.parquet", "absent.json"}})
+    paths = [r.export for r in told.collect()]
+    rows = spark.read.schema("c_custkey long, c_acctbal double").csv(paths, header=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    sample = F.element_at(F.split("file", r"\."), 2)
+    return rows.groupBy(sample.alias("sample"), "file").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query("SELECT vec_id - (SELECT min(vec_id) FROM embeddings) AS idx, len(embedding) AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def s4_array_scan(spark, sf):
+    """The latent matrix as array files, read back by row ranges."""
+    e, at = V.load(spark, sf, "embeddings"), _folder(spark)
+    first = e.agg(F.min("vec_id")).first()[0]
+    Y.write_npy(e.select((F.col("vec_id") - F.lit(first)).alias("idx"), F.col("embedding").alias("values")), f"{at}/latent", 4)
+    total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return Y.read_npy(spark, f"{at}/latent").select("idx", F.size("values").alias("width"), F.round(total, 4).alias("total"))
