@@ -69,24 +69,54 @@ def ancestors(parents: DataFrame, rounds: int = 64) -> DataFrame:
     return found
 
 
+def linkage(sim: np.ndarray, least: float) -> list[int]:
+    """For each item the first one of its group: average linkage, cut where the mean similarity falls under least.
+
+    By chains of nearest neighbours: a chain goes on to the most similar group until two are each other's, which merge. With
+    averages that gives the same tree as taking the best pair of all each time, in quadratic time.
+    """
+    n = len(sim)
+    sim, size, root, alive = sim.astype(np.float64), np.ones(n), np.arange(n), np.ones(n, bool)
+    np.fill_diagonal(sim, -np.inf)
+    chain: list[int] = []
+    for _ in range(n - 1):
+        while True:
+            if not chain:
+                chain = [int(np.flatnonzero(alive)[0])]
+            own = chain[-1]
+            near = int(sim[own].argmax())
+            if len(chain) > 1 and sim[own, chain[-2]] >= sim[own, near]:
+                near = chain[-2]
+                break
+            chain.append(near)
+        a, b = sorted(chain[-2:])
+        del chain[-2:]
+        if sim[a, b] >= least:
+            root[root == b] = a
+        # what merges below the cut keeps its groups apart, but is one group for the rest of the tree
+        mixed = (size[a] * sim[a] + size[b] * sim[b]) / (size[a] + size[b])
+        sim[a], sim[:, a] = mixed, mixed
+        sim[a, a], sim[b], sim[:, b], alive[b] = -np.inf, -np.inf, -np.inf, False
+        size[a] += size[b]
+    return root.tolist()
+
+
 def linked(similar: DataFrame, terms: DataFrame, least: float) -> DataFrame:
     """(term, group): average linkage over the terms of a source, cut where the mean similarity falls under least.
 
-    Terms of one source's shown annotations are tens to hundreds, and each merge depends on those before.
+    The terms of one source's shown annotations are one group, a matrix of their similarities.
     """
     rows = terms.select("source", "term").join(similar.groupBy(F.col("a").alias("term")).agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("near")), "term", "left")
 
     def grouped(g: pd.DataFrame) -> pd.DataFrame:
         names = sorted(g.term)
-        near = {r.term: dict(r.near) if r.near is not None else {} for r in g.itertuples()}
-        sim = np.array([[near[a].get(b, near[b].get(a, 0.0)) if a != b else 0.0 for b in names] for a in names])
-        groups = [[k] for k in range(len(names))]
-        while len(groups) > 1:
-            best, a, b = max((sim[np.ix_(x, y)].mean(), -i, -j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
-            if best < least:
-                break
-            groups[-a] += groups.pop(-b)
-        return pd.DataFrame([(g.source.iloc[0], names[k], names[min(x)]) for x in groups for k in x], columns=["source", "term", "group"])
+        at = {t: k for k, t in enumerate(names)}
+        sim = np.zeros((len(names), len(names)))
+        for r in g.itertuples():
+            for other, s in (r.near or {}).items():
+                if other in at and other != r.term:
+                    sim[at[r.term], at[other]] = sim[at[other], at[r.term]] = s
+        return pd.DataFrame([(g.source.iloc[0], names[k], names[x]) for k, x in enumerate(linkage(sim, least))], columns=["source", "term", "group"])
 
     return rows.groupBy("source").applyInPandas(grouped, "source string, term string, group string")
 

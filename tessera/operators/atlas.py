@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,16 +205,73 @@ def stage_diagnostics(candidate: DataFrame, refined: DataFrame, refinement: Data
     )
 
 
+def assignment(gain: np.ndarray) -> list[int]:
+    """The column of each row, each once, with the largest sum of whole-numbered gains; of equal ones the first in order.
+
+    Rows are added one by one, each along the shortest path of reduced costs to a free column; the duals then mark the cells
+    that any best assignment can use, and rows in turn take the first of these that leaves the others one.
+    """
+    cost = int(gain.max(initial=0)) - gain.astype(np.int64)
+    n = len(cost)
+    of_row, of_column = np.full(n, -1), np.full(n, -1)
+    u, v = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for start in range(n):
+        far, last, done = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n, bool)
+        row, base, end = start, 0, -1
+        while end < 0:
+            reach = base + cost[row] - u[row] - v
+            nearer = ~done & (reach < far)
+            far[nearer], last[nearer] = reach[nearer], row
+            c = int(np.where(done, np.iinfo(np.int64).max, far).argmin())
+            done[c], base = True, far[c]
+            row, end = int(of_column[c]), c if of_column[c] < 0 else -1
+        u[start] += base
+        for c in np.flatnonzero(done):
+            v[c] -= base - far[c]
+            if of_column[c] >= 0:
+                u[of_column[c]] += base - far[c]
+        c = end
+        while c >= 0:
+            row = int(last[c])
+            of_column[c], of_row[row], c = row, c, int(of_row[row])
+    tight = cost - u[:, None] - v[None] == 0
+
+    def moved(row: int, column: int, fixed: int) -> bool:
+        """Gives row the column, if the row that has it finds another way to the one that becomes free."""
+        free, holder = int(of_row[row]), int(of_column[column])
+        came, queue = {free: -1}, [free]  # columns reached from the free one, and the row that would take each
+        for c in queue:
+            for r in np.flatnonzero(tight[:, c]):
+                d = int(of_row[r])
+                if r > fixed and d not in came:
+                    came[d] = c
+                    queue.append(d)
+        if column not in came:
+            return False
+        c, r = column, holder
+        while c != free:
+            to = came[c]
+            of_row[r], nxt = to, int(of_column[to])
+            of_column[to], c, r = r, to, nxt
+        of_row[row], of_column[column] = column, row
+        return True
+
+    for row in range(n):
+        for column in np.flatnonzero(tight[row]):
+            if column == of_row[row] or (of_column[column] > row and moved(row, int(column), row)):
+                break
+    return of_row.tolist()
+
+
 def matched_labels(labels: DataFrame, k: int) -> DataFrame:
     """Adds matched: label_b renamed to the values of label_a so that most rows agree; both run from 0 to k - 1.
 
-    The table of counts, k by k, comes to the driver; k is 8 at most, so that every assignment can be tried.
+    The table of counts, k by k, comes to the driver.
     """
-    if k > 8:
-        raise ValueError("assignments are tried one by one: k is 8 at most")
-    n = {(x.label_a, x.label_b): x.n for x in labels.groupBy("label_a", "label_b").agg(F.count(F.lit(1)).alias("n")).collect()}
-    best = max(permutations(range(k)), key=lambda to: (sum(n.get((a, b), 0) for b, a in enumerate(to)), [-a for a in to]))
-    return labels.withColumn("matched", F.array(*[F.lit(a) for a in best])[F.col("label_b").cast("int")])
+    n = np.zeros((k, k), np.int64)
+    for x in labels.groupBy("label_a", "label_b").agg(F.count(F.lit(1)).alias("n")).collect():
+        n[x.label_b, x.label_a] = x.n
+    return labels.withColumn("matched", F.array(*[F.lit(a) for a in assignment(n)])[F.col("label_b").cast("int")])
 
 
 def recommended_k(scores: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,13 +48,62 @@ def reach(edges: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Edges of a group that one task joins by itself.
+HERE = 250_000
+
+
+def joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ends of edges, and for each the smallest that it is joined with: least labels spread and jump until none changes."""
+    names, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            return names, names[label]
+        label = new
+
+
+def components(nodes: DataFrame, edges: DataFrame, here: int = HERE) -> DataFrame:
     """(by..., spot, component): the smallest spot reachable; edges have the columns by, u, v in both directions.
 
-    Smallest labels spread over edges and then jump over their own labels, so chains take a number of rounds that grows
-    with the logarithm of their length.
+    Edges of different by never meet. Those of one, up to here of them, are joined by one task after one exchange; larger
+    graphs by rounds of joins. Spots without edges are their own components; edges to spots that are no nodes join nothing.
     """
     by = [c for c in nodes.columns if c != "spot"]
+    kind = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+    end = nodes.select(*by, F.col("spot").alias("u"))
+    ties = edges.where("u < v").join(end, [*by, "u"], "left_semi").join(end.withColumnRenamed("u", "v"), [*by, "v"], "left_semi")
+    ties = stored(ties.select(*by, "u", "v").distinct(), "ties")
+    large = ties.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > here).select(*by, F.lit(True).alias("_large"))
+    large = stored(large, "large")
+    some = not large.isEmpty()
+    schema = "".join(f"{c} {kind[c]}, " for c in by) + f"spot {kind['spot']}, component {kind['spot']}"
+
+    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        spot, component = joined(group["u"].to_numpy(), group["v"].to_numpy())
+        return pd.DataFrame({**{c: [k] * len(spot) for c, k in zip(by, key, strict=False)}, "spot": spot, "component": component})
+
+    if some and not by:
+        found = _rounds(nodes, both_ways(ties), by)
+    else:
+        rest = ties.join(large, by, "left_anti") if some else ties
+        found = rest.withColumn("_all", F.lit(True)).groupBy(*by or ["_all"]).applyInPandas(one, schema)
+        if some:
+            big = ties.join(large, by, "left_semi")
+            both = big.unionByName(big.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+            found = found.unionByName(_rounds(nodes.join(large, by, "left_semi"), stored(both, "ways"), by))
+    found = found.withColumnRenamed("component", "_c")
+    return stored(nodes.join(found, [*by, "spot"], "left").select(*by, "spot", F.coalesce("_c", "spot").alias("component")), "components")
+
+
+def _rounds(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """Smallest labels spread over edges and then jump over their own labels, so chains take a number of rounds that grows
+    with the logarithm of their length."""
     def mark(d: DataFrame):
         return d.agg(F.bit_xor(F.xxhash64(*by, "spot", "component"))).first()[0]
 
