@@ -672,8 +672,8 @@ def test_pipeline(spark, folder):
 def test_registered():
     from tessera.llm import queries
 
-    assert {int(m[1]) for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 11)) and "pipeline" in queries.QUERIES
-    for name in ("licenses.py", "sharding.py"):  # native main paths
+    assert {int(m[1]) for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 14)) and "pipeline" in queries.QUERIES
+    for name in ("licenses.py", "sharding.py", "fim.py"):  # native main paths, and one that is so by choice
         source = (Path(queries.__file__).parent / name).read_text()
         assert not re.search(r"pandas|pyarrow|mapIn|applyIn|\.rdd|udf", source), name
     assert json.dumps(sorted(queries.ORACLE))
