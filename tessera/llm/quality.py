@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import give_back, small_batches, steps
-from tessera.llm.words import _INVERSE, ALPHANUMERIC, _power, mix
+from tessera.llm.words import ALPHANUMERIC, _power, mix
 
 #: Word vectors: components, and non-zero ones of a word's random index vector.
 DIMENSIONS, NONZERO = 32, 4
