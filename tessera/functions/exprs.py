@@ -185,6 +185,7 @@ def state_text(label, leading, supported, state) -> Column:
     """A sentence on a state of support: focused, co_supported, mixed, or weak for all others."""
     named = F.coalesce(F.nullif(F.concat(F.upper(F.substring(F.trim(_c(label)), 1, 1)), F.lower(F.expr("substring(trim({0}), 2)".format(label)))), F.lit("")), F.lit("State"))
     lead, axes = _c(leading), _c(supported)
+    # fixed values: the sentences are output texts
     ticked = F.array_join(F.transform(axes, lambda a: F.concat(F.lit("`"), a, F.lit("`"))), ", ")
     focused = F.when(lead.isNotNull(), F.concat(F.lit(" support is concentrated around `"), lead, F.lit("`, with limited co-support elsewhere."))).otherwise(" support is concentrated without a clearly named leading axis.")
     two = F.concat(F.lit(" support is co-supported by `"), F.get(axes, F.lit(0)), F.lit("` and `"), F.get(axes, F.lit(1)), F.lit("`, rather than concentrated on a single axis."))

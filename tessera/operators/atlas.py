@@ -129,6 +129,7 @@ def niche_profiles(niches: DataFrame, members: DataFrame, domains: DataFrame, ed
 def contact_hint(first, second, programs, pairs, cross) -> Column:
     """How the parts of a niche touch, from its role pairs and counts."""
     first, second, programs, pairs, cross = (F.col(c) for c in (first, second, programs, pairs, cross))
+    # fixed values: names and thresholds of the kinds of contact
     return (
         F.when(first.contains("scaffold_like") & first.contains("interface_like"), "scaffold_attached_interface").when(first.contains("node_like"), "node_focal")
         .when((pairs >= 4) | (cross >= 6), "mixed_mesh").when((programs <= 2) & (pairs <= 1), "compact_contact")

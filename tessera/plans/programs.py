@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graph as H
 from tessera.operators import programs as M
 from tessera.operators import templates as L
 from tessera.plans.basic import r
