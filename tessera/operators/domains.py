@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
+from tessera.operators import spatial
 from tessera.operators.graph import components, stored
 
 
@@ -123,3 +124,28 @@ def owners(members: DataFrame) -> DataFrame:
     w = Window.partitionBy("spot")
     m = members.select("spot", "domain").withColumn("rn", F.row_number().over(w.orderBy("domain"))).withColumn("domains", F.count(F.lit(1)).over(w))
     return m.where("rn = 1").select("spot", "domain", "domains")
+
+
+def alpha_boundary(points: DataFrame, radius: float) -> DataFrame:
+    """(domain, u, v): the boundary of each domain's alpha complex, as pairs of its spots, u before v.
+
+    points are (domain, spot, x, y). An edge is on the boundary if just one of the two circles of the radius through its
+    ends is empty of the domain's other spots: then it belongs to one triangle whose own circle is smaller. So no
+    triangulation is made: ends meet in grid cells, and circles meet the spots that may lie in them, as joins. Spots on a
+    circle, as on a lattice, are not in it; of spots at one place each has its edges; a domain without three spots that
+    are near enough has none.
+    """
+    pairs = spatial.within(points, points, 2 * radius, ["domain"]).where("spot < other AND d2 > 0")
+    a = points.select("domain", "spot", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = points.select("domain", F.col("spot").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    e = pairs.join(a, ["domain", "spot"]).join(b, ["domain", "other"])
+    off = F.sqrt(F.greatest(F.lit(0.0), radius * radius / F.col("d2") - 0.25))  # of the edge's length, from its middle
+    centre = [F.struct(F.lit(s).alias("side"), ((F.col("ax") + F.col("bx")) / 2 - s * off * (F.col("by") - F.col("ay"))).alias("cx"), ((F.col("ay") + F.col("by")) / 2 + s * off * (F.col("bx") - F.col("ax"))).alias("cy")) for s in (-1, 1)]
+    circles = stored(e.select("domain", F.col("spot").alias("u"), F.col("other").alias("v"), F.explode(F.array(*centre)).alias("c")).select("domain", "u", "v", "c.*"), "circles")
+    near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
+    cells = circles.select("*", near.alias("n")).select("domain", "u", "v", "side", "cx", "cy", (F.floor(F.col("cx") / radius) + F.col("n.i")).alias("gx"), (F.floor(F.col("cy") / radius) + F.col("n.j")).alias("gy"))
+    held = points.select("domain", "spot", "x", "y", F.floor(F.col("x") / radius).alias("gx"), F.floor(F.col("y") / radius).alias("gy"))
+    inside = F.pow(F.col("x") - F.col("cx"), F.lit(2)) + F.pow(F.col("y") - F.col("cy"), F.lit(2)) < radius * radius * (1 - 1e-9)
+    full = cells.join(held, ["domain", "gx", "gy"]).where(inside & (F.col("spot") != F.col("u")) & (F.col("spot") != F.col("v"))).select("domain", "u", "v", "side").distinct()
+    empty = circles.join(full, ["domain", "u", "v", "side"], "left_anti")
+    return empty.groupBy("domain", "u", "v").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")

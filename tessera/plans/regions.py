@@ -124,6 +124,21 @@ def w16_domain_ids(spark, sf):
     return k.join(base.select("program", "base"), "program").select("domain", F.format_string("D%06d", F.col("base") + F.col("rn")).alias("domain_id"))
 
 
+_ALPHA = (
+    ", pt AS (SELECT DISTINCT m.domain, m.spot, u.x, u.y FROM m JOIN users u ON u.spot = m.spot), pr AS (SELECT a.domain, a.spot AS u, b.spot AS v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS zy, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2"
+    " FROM pt a JOIN pt b ON a.domain = b.domain AND a.spot < b.spot), ci AS (SELECT domain, u, v, s, (ax + bx) / 2 - s * sqrt(greatest(0, 1.07::DOUBLE * 1.07 / d2 - 0.25)) * (zy - ay) AS cx, (ay + zy) / 2 + s * sqrt(greatest(0, 1.07::DOUBLE * 1.07 / d2 - 0.25)) * (bx - ax) AS cy"
+    " FROM pr, (VALUES (-1), (1)) t(s) WHERE d2 > 0 AND d2 <= 4 * 1.07 * 1.07), fu AS (SELECT DISTINCT ci.domain, u, v, s FROM ci JOIN pt ON pt.domain = ci.domain AND pt.spot <> u AND pt.spot <> v WHERE (x - cx) ** 2 + (y - cy) ** 2 < 1.07::DOUBLE * 1.07 * (1 - 1e-9))"
+    " SELECT domain, u, v FROM ci ANTI JOIN fu USING (domain, u, v, s) GROUP BY domain, u, v HAVING count(*) = 1"
+)
+
+
+@query(V.duck("active grid", _MEM + _ALPHA, True))
+def g25_alpha_boundary(spark, sf):
+    """The outlines of all domains, triangles of circles up to 1.07 spacings."""
+    m, _, _ = _members(spark, sf)
+    return D.alpha_boundary(m.select("domain", "spot").distinct().join(V.users(spark, sf), "spot"), 1.07)
+
+
 def _edges(spark, sf, quantile=0.6):
     d, m, g = _domains(spark, sf, quantile)
     graph = H.stored(D.domain_graph(m, g, d), "graph")

@@ -73,9 +73,11 @@ def promote(df: DataFrame, path: str, **options: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A bounded table as text; numbers with four digits after the point, bars in cells as slashes."""
+    """A bounded table as text; numbers with four digits after the point, bars in cells as slashes. More rows than most are an error."""
     cells = [F.coalesce(F.format_string("%.4f", F.col(c).cast("double")) if t in ("double", "float") else F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("/")), F.lit("")).alias(c) for c, t in df.dtypes]
-    rows = df.select(*cells).limit(most).collect()
+    rows = df.select(*cells).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; export the table as text instead")
     line = lambda x: "| " + " | ".join(x) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(list(r)) for r in rows)])
 
