@@ -142,15 +142,16 @@ def assembly_matrix(niches: DataFrame, members: DataFrame, domains: DataFrame, p
 
     niches are (sample, niche, member_count, confidence, cohesion, pair_count, cross_edges), members (sample, niche, domain,
     program), domains (sample, domain, program, the four roles), pairs (sample, niche, left, right) of backbone programs.
-    Programs stand in a strip by their first domain in the sample; a program's role is the first of its highest means.
+    Programs stand in a strip by their first domain in the sample; a program's role is the first of its highest means, which
+    count to nine digits, as the last ones of a sum depend on its order.
     Shares have three digits, ties up.
     """
     order = domains.groupBy("sample", "program").agg(F.min("domain").alias("first"))
     order = order.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "program"))), lambda x: x["program"]).alias("order"))
     m = members.join(domains.select("sample", "domain", *STRIP_ROLES), ["sample", "domain"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in STRIP_ROLES})
     by_program = m.groupBy("sample", "niche", "program").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in STRIP_ROLES])
-    best = F.greatest(*[F.col(c) / F.col("n") for c in STRIP_ROLES])
-    anchor = F.coalesce(*[F.when(F.col(c) / F.col("n") == best, F.lit(c)) for c in STRIP_ROLES])
+    mean = lambda c: F.round(F.col(c) / F.col("n"), 9)
+    anchor = F.coalesce(*[F.when(mean(c) == F.greatest(*map(mean, STRIP_ROLES)), F.lit(c)) for c in STRIP_ROLES])
     by_program = by_program.withColumn("anchor", anchor)
     roles = F.create_map(*[x for c in STRIP_ROLES for x in (F.lit(c), F.round(F.round(F.sum(c) / F.sum("n"), 9), 3))])  # whatever the order of the sum
     whole = by_program.groupBy("sample", "niche").agg(
