@@ -339,9 +339,9 @@ def deduplicate(s: DataFrame, by: list[str], margin: float = 0.03) -> DataFrame:
 
 def shuffled(e: DataFrame, seed: int) -> DataFrame:
     """A null model: the second ends of eligible edges in another order, within each group of edges; loops are left out."""
-    w = Window.partitionBy("program_j").orderBy("edge_key")
-    a = e.where("eligible").withColumn("p", F.row_number().over(w))
-    b = e.where("eligible").select("program_j", F.col("j").alias("to")).withColumn("p", F.row_number().over(Window.partitionBy("program_j").orderBy(F.xxhash64(F.lit(seed), "to"))))
+    good = stored(e.where("eligible"), "eligible")
+    a = S.numbered(good, ["program_j"], [F.col("edge_key")], "p")
+    b = S.numbered(good.select("program_j", F.col("j").alias("to"), F.xxhash64(F.lit(seed), "j").alias("_h")), ["program_j"], [F.col("_h"), F.col("to")], "p").drop("_h")
     return a.join(b, ["program_j", "p"]).where("i <> to").withColumn("j", F.col("to")).drop("p", "to").withColumn("edge_key", X.unordered_key("i", "j", "||")).dropDuplicates(["edge_key"])
 
 
@@ -350,13 +350,14 @@ def rearranged(e: DataFrame, iterations: int, seed: int) -> DataFrame:
 
     In each the second ends of all eligible edges are dealt anew over these edges, with their programs; other edges stay.
     Edges that become loops go, and of edges that become one the one with the least old key stays. The order comes from
-    hashes, so reruns are equal. A graph's eligible edges are sorted by one task.
+    hashes, so reruns are equal. Edges are numbered by ranges, so no task holds a graph's.
     """
     x = e.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    w = Window.partitionBy("iteration")
-    good = x.where("eligible")
-    ends = good.select("iteration", F.col("j").alias("to"), F.col("program_j").alias("to_program"), F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "iteration", "edge_key"), "edge_key")).alias("_at"))
-    dealt = good.withColumn("_at", F.row_number().over(w.orderBy("edge_key"))).join(ends, ["iteration", "_at"]).where("i <> to")
+    good = S.numbered(e.where("eligible").withColumn("_all", F.lit(0)), ["_all"], [F.col("edge_key")], "_at").drop("_all")
+    good = stored(good.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))), "eligible")
+    ends = good.select("iteration", F.col("j").alias("to"), F.col("program_j").alias("to_program"), "edge_key", F.xxhash64(F.lit(seed), "iteration", "edge_key").alias("_h"))
+    ends = S.numbered(ends, ["iteration"], [F.col("_h"), F.col("edge_key")], "_at").drop("_h", "edge_key")
+    dealt = good.join(ends, ["iteration", "_at"]).where("i <> to")
     dealt = dealt.withColumns({"j": F.col("to"), "program_j": F.col("to_program")}).drop("_at", "to", "to_program").withColumn("_key", X.unordered_key("i", "j", "||"))
     dealt = S.top_k(dealt, ["iteration", "_key"], ["edge_key"], 1, "_first").drop("_first", "_key")
     both = dealt.unionByName(x.where("NOT eligible"))
