@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions import stats as S
 from tessera.operators.graph import stored
 
-#: Spots of a block in the mean, and of a slice of it that is dense at a time.
-ROWS, SLICE = 512, 128
+#: Spots of a block in the mean, and of a slice of it that is dense at a time; an eighth of these with more than FEW_GENES.
+ROWS, SLICE, FEW_GENES = 4096, 1024, 1024
 #: Bytes of states that are sent to all tasks; larger ones are joined by exchange.
 SENT_BYTES = 64 << 20
 SWEEPS = 500
@@ -51,7 +51,7 @@ def matrix_blocks(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return pd.DataFrame({"sample": [group["sample"].iloc[0]], "block": [int(group["block"].iloc[0])], "spots": [spot.tolist()], "payload": [payload]})
 
     kind = c.schema["spot"].dataType.simpleString()
-    dealt = c.join(sizes, "sample").withColumn("block", F.pmod(F.xxhash64("spot"), F.ceil(F.col("spots") / ROWS))).join(genes, ["sample", "gene"])
+    dealt = c.join(sizes, "sample").withColumn("block", F.pmod(F.xxhash64("spot"), F.ceil(F.col("spots") / F.when(F.col("genes") <= FEW_GENES, ROWS).otherwise(max(1, ROWS // 8))))).join(genes, ["sample", "gene"])
     blocks = dealt.select("sample", "block", "spot", "at", "value", "genes").groupBy("sample", "block").applyInPandas(packed, f"sample string, block long, spots array<{kind}>, payload binary")
     return stored(blocks, "blocks"), genes, sizes
 
@@ -59,26 +59,40 @@ def matrix_blocks(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _slices(block: tuple) -> Iterator[np.ndarray]:
     """The dense rows of a block, some at a time."""
     ends, at, value, genes = block
-    for low in range(0, len(ends) - 1, SLICE):
-        own = ends[low : low + SLICE + 1]
+    rows = SLICE if genes <= FEW_GENES else max(1, SLICE // 8)
+    for low in range(0, len(ends) - 1, rows):
+        own = ends[low : low + rows + 1]
         x = np.zeros((len(own) - 1, genes))
         x[np.repeat(np.arange(len(own) - 1), np.diff(own)), at[own[0] : own[-1]]] = value[own[0] : own[-1]]
         yield x
 
 
 def nonnegative(g: np.ndarray, a: np.ndarray, l1: float = 0.0, l2: float = 0.0) -> np.ndarray:
-    """Rows x >= 0 with the least x a x / 2 - g x + l1 sum(x) + l2 x x / 2, component by component until nothing moves."""
-    a, x = a + l2 * np.eye(len(a)), np.zeros_like(g)
-    for _ in range(SWEEPS):
-        moved = 0.0
+    """Rows x >= 0 with the least x a x / 2 - g x + l1 sum(x) + l2 x x / 2, component by component until nothing moves.
+
+    Rows are independent, so one that no longer moves is left out of further sweeps.
+    """
+    a = a + l2 * np.eye(len(a))
+    # a component is one run of memory, not a stride
+    done, at = np.zeros((g.shape[1], len(g))), np.arange(len(g))
+    x, b = done.copy(), np.ascontiguousarray(g.T) - l1
+    most = 1e-300
+    for sweep in range(SWEEPS):
+        moved = np.zeros(len(at))
         for j in range(len(a)):
             if a[j, j] > 0:
-                new = np.maximum(0, x[:, j] + (g[:, j] - l1 - x @ a[:, j]) / a[j, j])
-                moved = max(moved, float(np.abs(new - x[:, j]).max(initial=0)))
-                x[:, j] = new
-        if moved <= 1e-11 * max(1e-300, float(x.max(initial=0))):
+                new = np.maximum(0, x[j] + (b[j] - a[j] @ x) / a[j, j])
+                np.maximum(moved, np.abs(new - x[j]), out=moved)
+                x[j] = new
+        most = max(most, float(x.max(initial=0)))
+        still = moved > 1e-11 * most
+        if not still.any():
             break
-    return x
+        if sweep % 4 == 3 and still.sum() < 0.8 * len(at):
+            done[:, at[~still]] = x[:, ~still]
+            at, x, b = at[still], x[:, still], b[:, still]
+    done[:, at] = x
+    return np.ascontiguousarray(done.T)
 
 
 # Steps of a factorisation: what a block adds to the sums, and what a state becomes of them.
