@@ -2,18 +2,95 @@
 
 from __future__ import annotations
 
+import math
+import random
+from pathlib import Path
+
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import stats as S
 from tessera.operators import atlas as A
+from tessera.operators import programs as M
+from tessera.operators import spatial as P
+from tessera.operators import templates as L
 
 
 def test_anchor_of_tied_roles(spark):
     """A role's mean is the same whatever the order of its sum, so the first of tied roles is the anchor."""
-    low, high = [0.3, 0.2, 0.1], [0.1, 0.2, 0.3]  # their sums differ in the last bit
-    assert low[0] + low[1] + low[2] != high[0] + high[1] + high[2]
-    rows = [(s, f"D{k}", "P0", x, y, 0.0, 0.0) for s, a, b in (("s", low, high), ("t", high, low)) for k, (x, y) in enumerate(zip(a, b, strict=True))]
+    values, names, rows = [0.1, 0.2, 0.3, 0.4, 0.7, 0.6, 0.9], [f"s{k}" for k in range(30)], []
+    for k, s in enumerate(names):  # two roles have equal values, each in an order of its own, so their sums differ in the last bit
+        rng = random.Random(k)
+        one, two = (rng.sample(values, len(values)) for _ in "12")
+        rows += [(s, f"D{i}", "P0", x, y, 0.0, 0.0) for i, (x, y) in enumerate(zip(one, two, strict=True))]
     d = spark.createDataFrame(rows, "sample string, domain string, program string, scaffold_like double, interface_like double, node_like double, companion_like double").coalesce(1)
-    n = spark.createDataFrame([(s, "N", 3, 0.5, 0.5, 1, 1) for s in "st"], "sample string, niche string, member_count long, confidence double, cohesion double, pair_count long, cross_edges long")
-    pairs = spark.createDataFrame([(s, "N", "P0", "P0") for s in "st"], "sample string, niche string, left string, right string")
+    n = spark.createDataFrame([(s, "N", 3, 0.5, 0.5, 1, 1) for s in names], "sample string, niche string, member_count long, confidence double, cohesion double, pair_count long, cross_edges long")
+    pairs = spark.createDataFrame([(s, "N", "P0", "P0") for s in names], "sample string, niche string, left string, right string")
     got = A.assembly_matrix(n, d.select("sample", F.lit("N").alias("niche"), "domain", "program"), d, pairs).select("dominant_pair").distinct().collect()
     assert [r[0] for r in got] == ["↔".join([A.STRIP_ROLES[0]] * 2)]
+
+
+def test_directed_distance_of_large_groups(spark):
+    """Groups are compared whole or by grid cells with the same distances, also where a's spots are far from b's."""
+    rng = random.Random(3)
+    at = {"a": (0, 40), "b": (30, 60), "c": (500, 510), "d": (7, 7)}
+    rows = [(g, 1000 * k + i, float(rng.randint(low, high)), float(rng.randint(low, high))) for k, (g, (low, high)) in enumerate(at.items()) for i in range(60)]
+    members = spark.createDataFrame(rows, "group string, spot long, x double, y double")
+    pairs = spark.createDataFrame([(a, b) for a in at for b in at if a != b], "a string, b string")
+    whole, cells = ({(r.a, r.b): round(r.distance, 9) for r in P.directed_distance(pairs, members, 0.4, every=n).collect()} for n in (10_000, 0))
+    assert cells == whole and len(whole) == 12
+    for (a, b), d in whole.items():
+        near = sorted(min(math.hypot(x - u, y - v) for h, _, u, v in rows if h == b) for g, _, x, y in rows if g == a)[:24]
+        assert d == round(sum(near) / 24, 9)
+
+
+def test_directed_distance_meets_few_pairs(spark):
+    """Spots of large groups don't meet all of the other group."""
+    rows = [(g, 10_000 * k + i, float(i % 25), float(i // 25 + 0.5 * k)) for k, g in enumerate("ab") for i in range(2500)]
+    members = spark.createDataFrame(rows, "group string, spot long, x double, y double")
+    d = P.directed_distance(spark.createDataFrame([("a", "b")], "a string, b string"), members, 0.4)
+    assert d.first().distance == 0.5
+    assert P.ALL_PAIRS < 2500 * 2500
+    assert spark.read.parquet(max(Path(spark.conf.get("spark.checkpoint.dir")).glob("found-*"), key=lambda p: p.stat().st_mtime).as_posix()).count() == 2500
+
+
+def test_ranks_by_ranges(spark):
+    """Percentile ranks and row numbers are those of windows, and no window holds a group."""
+    rows = [("a" if k % 3 else None, float(k * 7 % 50) if k % 11 else None, k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, v double, k long")
+    got = S.percentile_rank(df, "v", ["g"], "p")
+    w = Window.partitionBy("g")
+    plain = df.withColumn("p", (F.rank().over(w.orderBy("v")) + (F.count(F.lit(1)).over(Window.partitionBy("g", "v")) - 1) / 2) / F.count(F.lit(1)).over(w))
+    assert sorted(got.select("k", "p").collect()) == sorted(plain.select("k", "p").collect())
+    n = S.numbered(df, ["g"], [F.col("v"), F.col("k")], "n")
+    assert sorted(n.select("k", "n").collect()) == sorted(df.select("k", F.row_number().over(w.orderBy("v", "k")).alias("n")).collect())
+    assert "_part" in got._jdf.queryExecution().analyzed().toString()  # windows are over parts of a group
+
+
+def test_activation_exchanges_cells_only(spark):
+    """What cells and programs make is added up where it is made."""
+    rng = random.Random(5)
+    cells = spark.createDataFrame([(s, f"g{g}", float(rng.randint(1, 9))) for s in range(50) for g in range(12)], "spot long, gene string, value double")
+    weights = spark.createDataFrame([(f"p{p}", f"g{g}", 1 / (1 + p + g)) for p in range(6) for g in range(12)], "program string, gene string, weight double")
+    a = M.activate(cells, weights)
+    want = {}
+    for c in cells.collect():
+        for w in weights.collect():
+            if c.gene == w.gene:
+                want[w.program, c.spot] = want.get((w.program, c.spot), 0) + c.value * w.weight
+    assert {(r.program, r.spot): round(r.activation, 9) for r in a.collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert a._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1  # before it was two
+    assert {r.program for r in M.thresholds(a).collect()} == {f"p{p}" for p in range(6)}
+
+
+def test_least_squares_leave_out_rows_that_rest():
+    """Rows are solved as each by itself, however many come together."""
+    rng = np.random.default_rng(7)
+    h = np.abs(rng.normal(size=(6, 30))) * (rng.random((6, 30)) < 0.5)
+    x = np.abs(rng.normal(size=(300, 6))) @ h + 0.1 * rng.random((300, 30))
+    g, a = x @ h.T, h @ h.T
+    w = L.nonnegative(g, a)
+    slope = w @ a - g
+    assert (w >= 0).all() and (slope > -1e-6).all() and np.abs(w * slope).max() < 1e-6
+    assert np.abs(w - np.concatenate([L.nonnegative(g[k : k + 1], a) for k in range(300)])).max() < 1e-7
