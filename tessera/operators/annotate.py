@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +69,7 @@ def ancestors(parents: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def linkage(sim: np.ndarray, least: float) -> list[int]:
-    """For each item the first one of its group: average linkage, cut where the mean similarity falls under least.
+    """For each item of a small matrix the first one of its group: average linkage, cut where the mean similarity falls under least.
 
     By chains of nearest neighbours: a chain goes on to the most similar group until two are each other's, which merge. With
     averages that gives the same tree as taking the best pair of all each time, in quadratic time.
@@ -101,24 +100,80 @@ def linkage(sim: np.ndarray, least: float) -> list[int]:
     return root.tolist()
 
 
-def linked(similar: DataFrame, terms: DataFrame, least: float) -> DataFrame:
-    """(term, group): average linkage over the terms of a source, cut where the mean similarity falls under least.
+#: Similarities are whole numbers of this part, so sums of them are exact and equal means tie.
+PART = 1_000_000_000
 
-    The terms of one source's shown annotations are one group, a matrix of their similarities.
+
+def _overlaps(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """pairs (source, a, b) of groups with total, the similarities of all their terms in whole parts; members are (source, term, group, items)."""
+    left, right = (members.select("source", F.col("group").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
+    m = F.size(F.array_intersect("items_a", "items_b"))
+    one = F.round(m / (F.size("items_a") + F.size("items_b") - m) * PART).cast("long")
+    return pairs.join(left, ["source", "a"]).join(right, ["source", "b"]).groupBy("source", "a", "b").agg(F.sum(one).alias("total"))
+
+
+def alike(members: DataFrame, least: float) -> DataFrame:
+    """(source, a, b, total): pairs of terms of one source, a before b, whose sets have a Jaccard of least or more, in whole parts.
+
+    members are (source, term, group, items), items distinct and the rare ones first. Two sets as similar as that meet in the
+    first items of both: what comes after the place where they first meet has to hold the rest of what they must share.
     """
-    rows = terms.select("source", "term").join(similar.groupBy(F.col("a").alias("term")).agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("near")), "term", "left")
-
-    def grouped(g: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(g.term)
-        at = {t: k for k, t in enumerate(names)}
-        sim = np.zeros((len(names), len(names)))
-        for r in g.itertuples():
-            for other, s in (r.near or {}).items():
-                if other in at and other != r.term:
-                    sim[at[r.term], at[other]] = sim[at[other], at[r.term]] = s
-        return pd.DataFrame([(g.source.iloc[0], names[k], names[x]) for k, x in enumerate(linkage(sim, least))], columns=["source", "term", "group"])
-
-    return rows.groupBy("source").applyInPandas(grouped, "source string, term string, group string")
+    if least <= 0:
+        raise ValueError("every pair is alike")
+    near = least - 2 / PART
+    p = members.select("source", "term", F.size("items").alias("n"), F.posexplode(F.expr(f"slice(items, 1, size(items) - int(ceil({near!r} * size(items) - 1e-6)) + 1)")).alias("i", "item"))
+    x, y = (p.select("source", "item", *[F.col(c).alias(f"{c}_{k}") for c in ("term", "n", "i")]) for k in "ab")
+    left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    met = x.join(y, ["source", "item"]).where((F.col("term_a") < F.col("term_b")) & (left >= near / (1 + near) * (F.col("n_a") + F.col("n_b")) - 1e-6))
+    found = _overlaps(met.select("source", F.col("term_a").alias("a"), F.col("term_b").alias("b")).distinct(), members)
+    return found.where(F.col("total") >= round(least * PART))
+
+
+def linked(sets: DataFrame, least: float) -> DataFrame:
+    """(source, term, group): average linkage of the terms of a source by the Jaccard of their sets, cut where the mean falls
+    under least. sets are (source, term, item); a group is named by its first term.
+
+    The best pair merges first, of equal ones that with the first names. Pairs that are each other's best merge in one round,
+    which gives the same tree, as a merged group is never nearer to a third than both its halves were. Only groups that have
+    two terms alike can merge, so means are kept for those alone; what a merged group lacks for its mean is counted then.
+    """
+    from tessera.operators.graph import stored
+
+    often = sets.groupBy("item").agg(F.count_distinct("term").alias("often"))
+    items = F.transform(F.array_sort(F.collect_set(F.struct("often", "item"))), lambda x: x["item"])
+    members = stored(sets.join(often, "item").groupBy("source", "term").agg(items.alias("items")).select("source", "term", F.col("term").alias("group"), "items"), "members")
+    links = stored(alike(members, least), "links")
+    cut = round(least * PART)
+    while True:
+        n = members.groupBy("source", "group").agg(F.count(F.lit(1)).alias("n"))
+        sized = links.join(n.select("source", F.col("group").alias("a"), F.col("n").alias("na")), ["source", "a"]).join(n.select("source", F.col("group").alias("b"), F.col("n").alias("nb")), ["source", "b"])
+        links = stored(sized.withColumn("live", F.col("total") >= cut * F.col("na") * F.col("nb")), "sized")
+        mean = (F.col("total") / (F.col("na") * F.col("nb"))).alias("mean")
+        live = links.where("live")
+        ways = live.select("source", F.col("a").alias("own"), F.col("b").alias("other"), mean).unionByName(live.select("source", F.col("b").alias("own"), F.col("a").alias("other"), mean))
+        best = ways.groupBy("source", "own").agg(F.min(F.struct((-F.col("mean")).alias("m"), "other"))["other"].alias("other"))
+        back = best.select("source", F.col("other").alias("own"), F.col("own").alias("other"))
+        merges = stored(best.join(back, ["source", "own", "other"]).where("own < other").select("source", F.col("own").alias("to"), F.col("other").alias("group")), "merges")
+        if merges.isEmpty():
+            return members.select("source", "term", "group")
+        to = {c: merges.select("source", F.col("group").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab"}
+        moved = links.join(to["a"], ["source", "a"], "left").join(to["b"], ["source", "b"], "left")
+        ends = [F.coalesce(f"to_{c}", c).alias(f"to_{c}") for c in "ab"]
+        moved = moved.select("source", "a", "b", "total", "live", *ends).where("to_a <> to_b")
+        moved = moved.select("source", "a", "b", "total", "live", F.least("to_a", "to_b").alias("u"), F.greatest("to_a", "to_b").alias("v"))
+        moved = stored(moved, "moved")
+        # pairs of parts that a wanted pair of groups has and that no link holds
+        wanted = moved.where("live").select("source", "u", "v").distinct()
+        parts = merges.select("source", F.col("to").alias("whole"), F.explode(F.array("to", "group")).alias("part"))
+        halves = wanted
+        for whole, part in (("u", "pu"), ("v", "pv")):
+            halves = halves.join(parts.select("source", F.col("whole").alias(whole), F.col("part").alias(part)), ["source", whole], "left").withColumn(part, F.coalesce(part, whole))
+        halves = halves.select("source", "u", "v", F.least("pu", "pv").alias("a"), F.greatest("pu", "pv").alias("b"))
+        lacking = stored(halves.join(moved.select("source", "a", "b"), ["source", "a", "b"], "left_anti"), "lacking")
+        more = lacking.join(_overlaps(lacking.select("source", "a", "b"), members), ["source", "a", "b"]).select("source", "u", "v", "total")
+        known = moved.join(wanted, ["source", "u", "v"], "left_semi").select("source", "u", "v", "total")
+        links = known.unionByName(more).groupBy("source", F.col("u").alias("a"), F.col("v").alias("b")).agg(F.sum("total").alias("total"))
+        members = stored(members.join(merges, ["source", "group"], "left").select("source", "term", F.coalesce("to", "group").alias("group"), "items"), "members")
 
 
 def scaling(distances: DataFrame, k: int = 2, most: int = 2000) -> list[tuple]:

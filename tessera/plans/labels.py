@@ -79,14 +79,10 @@ def g26_ancestors(spark, sf):
 
 @query()
 def g26_linked_terms(spark, sf):
-    """Terms by the Jaccard of their ancestors, which meet on shared ones, grouped by average linkage."""
+    """Terms by the Jaccard of their ancestors, grouped by average linkage."""
     a = _ancestors(spark, sf)
-    n = a.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    both = a.alias("x").join(a.alias("y"), "ancestor").where("x.term < y.term").groupBy(F.col("x.term").alias("a"), F.col("y.term").alias("b")).agg(F.count(F.lit(1)).alias("m"))
-    s = both.join(n.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b")
-    s = s.select(F.col("a").cast("string"), F.col("b").cast("string"), F.round(F.col("m") / (F.col("na") + F.col("nb") - F.col("m")), 9).alias("s"))
-    terms = n.select(F.concat(F.lit("s"), (F.col("term") % 4).cast("string")).alias("source"), F.col("term").cast("string").alias("term"))
-    return A.linked(s, terms, 0.6)
+    sets = a.select(F.concat(F.lit("s"), (F.col("term") % 4).cast("string")).alias("source"), F.col("term").cast("string").alias("term"), F.col("ancestor").alias("item"))
+    return A.linked(sets, 0.6)
 
 
 @query("WITH c AS (SELECT label, list_transform(range(1, 65), lambda i: avg(embedding[i]::DOUBLE)) AS m FROM embeddings GROUP BY label) SELECT 1 AS x FROM c LIMIT 1")

@@ -5,6 +5,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import annotate, atlas, graph
 
@@ -83,3 +84,30 @@ def test_components_of_groups(spark, here, names):
     assert got == want
     one = {r.spot: r.component for r in graph.components(spark.createDataFrame([(x[1],) for x in nodes if x[0] == "a"], f"spot {kind}"), frame.where("g = 'a'").drop("g"), here).collect()}
     assert one == {k: c for (g, k), c in want.items() if g == "a"}
+
+
+@pytest.mark.parametrize("n, items, least", [(60, 12, 0.6), (90, 30, 0.35), (40, 3, 1.0)])
+def test_linked_terms(spark, n, items, least):
+    """Only terms that are alike meet, and the groups are those of all pairs, ties by the first names."""
+    rng = np.random.default_rng(n)
+    sets = {(f"s{k % 2}", f"t{k}"): {int(x) for x in rng.choice(items, rng.integers(1, 7 if items > 3 else 4))} | {100 + k // 5} for k in range(n)}
+    rows = spark.createDataFrame([(*key, x) for key, v in sets.items() for x in v], "source string, term string, item long")
+    got = {(r.source, r.term): r.group for r in annotate.linked(rows, least).collect()}
+    whole, alike = {}, {}
+    for source in ("s0", "s1"):
+        names = sorted(t for s, t in sets if s == source)
+        like = lambda a, b, s=source: round(round(len(sets[s, a] & sets[s, b]) / len(sets[s, a] | sets[s, b]) * 1e9))
+        sim = np.array([[like(a, b) for b in names] for a in names], dtype=np.float64)
+        whole |= {(source, names[k]): names[x] for k, x in plain_linkage(sim, round(least * 1e9)).items()}
+        alike |= {(source, a, b): like(a, b) for a in names for b in names if a < b and like(a, b) >= round(least * 1e9)}
+    assert got == whole and len(set(got.values())) < n
+    members = rows.groupBy("source", "term").agg(F.sort_array(F.collect_list("item")).alias("items")).withColumn("group", F.col("term"))
+    assert {(r.source, r.a, r.b): r.total for r in annotate.alike(members, least).collect()} == alike
+
+
+def test_linked_terms_of_a_deep_tree_stay_few_pairs(spark):
+    """Terms of one tree share its root, so all of them met; no pair below the cut is made now."""
+    up = spark.createDataFrame([(k, k // 3) for k in range(1, 400)], "term long, parent long")
+    sets = annotate.ancestors(up).select(F.lit("s").alias("source"), F.col("term").cast("string").alias("term"), F.col("ancestor").alias("item"))
+    members = sets.groupBy("source", "term").agg(F.sort_array(F.collect_list("item"), False).alias("items")).withColumn("group", F.col("term"))
+    assert 0 < annotate.alike(members, 0.6).count() < 400 * 399 // 2 // 20
