@@ -17,8 +17,10 @@ from tessera.operators.graph import stored
 
 #: Pivots at most: that many vectors come to the driver and go to every task.
 PIVOTS = 512
-#: Distinct vectors on each side of a block, in the mean.
-BLOCK = 1024
+#: Distinct vectors of a block at least and at most, in the mean; a larger table has larger blocks, as a vector goes once to each.
+BLOCK, LARGE = 1024, 16_384
+#: Pivots that each cell knows the least and largest angle of its vectors to, besides its own.
+ANGLES = 16
 #: Similarities count to so many digits, so equal vectors tie and ties go by spot; what rounding can hide is below SLACK.
 DIGITS, SLACK = 9, 4e-9
 
@@ -42,12 +44,12 @@ def _angles(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _located(pivots: np.ndarray):
-    """Adds the nearest pivot as cell, and the angle to it."""
+    """Adds the nearest pivot as cell, the angle to it, and those to the first ANGLES pivots."""
     def run(frames):
-        for f in frames:
-            a = _angles(_matrix(f["u"]), pivots) if len(f) else np.zeros((0, len(pivots)))
+        for f in (x for x in frames if len(x)):
+            a = _angles(_matrix(f["u"]), pivots)
             cell = a.argmin(axis=1)
-            yield f.assign(cell=cell.astype(np.int32), angle=a[np.arange(len(f)), cell])
+            yield f.assign(cell=cell.astype(np.int32), angles=np.column_stack([a[np.arange(len(f)), cell], a[:, :ANGLES]]).tolist())
 
     return run
 
@@ -57,68 +59,137 @@ def _most(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.cos(np.maximum(0, np.maximum(a - high, low - a) - 1e-9))
 
 
-def _targets(pivots: np.ndarray, shape: dict, by: list[str], wanted: int, names: list[str], later: bool):
-    """(names..., least, cell): the cells each vector searches. At first those that come nearest, until they hold wanted spots; later
-    all others whose nearest possible vector is as near as the least similarity found so far."""
+class _Shape:
+    """The cells of one sample: least and largest angle to their own pivot and the first ones, spots and vectors; and blocks of
+    them. Cells stand in one block until it is full; one with more vectors than a block is dealt over several by hash."""
+
+    def __init__(self, rows: list, size: int):
+        self.cell, self.low, self.high = np.array([r.cell for r in rows]), np.array([r.low for r in rows], np.float64), np.array([r.high for r in rows], np.float64)
+        self.many, self.n = np.array([r.many for r in rows], np.float64), np.array([r.n for r in rows], np.int64)
+        self.block, self.parts, last, held = np.zeros(len(rows), np.int64), np.maximum(1, -(-self.n // size)), -1, size
+        for k, n in enumerate(self.n):
+            if held + n > size:
+                last, held = last + 1, 0
+            self.block[k], held = last, held + n
+            last += int(self.parts[k]) - 1
+        self.at = {int(c): k for k, c in enumerate(self.cell)}
+        self.sides = max(1, -(-int(self.n.sum()) // size))
+
+    def most(self, a: np.ndarray) -> np.ndarray:
+        """The largest cosine that vectors at angles a from all pivots can have with one of each cell."""
+        most = _most(a[:, self.cell], self.low[:, 0], self.high[:, 0])
+        for k in range(self.low.shape[1] - 1):
+            most = np.minimum(most, _most(a[:, k, None], self.low[:, k + 1], self.high[:, k + 1]))
+        return most
+
+
+def _dealt(key: bytes, n: int, salt: int) -> int:
+    return int.from_bytes(key[salt : salt + 6], "little") % n
+
+
+def _keys(f: pd.DataFrame, by: list[str]) -> list[tuple]:
+    return list(zip(*(f[c] for c in by), strict=True)) if by else [()] * len(f)
+
+
+def _asking(pivots: np.ndarray, shape: dict, by: list[str], wanted: int, later: bool):
+    """(by..., key, u, least, block, side, cells, pairs): the cells each vector searches, by the blocks that hold them, and how many
+    vectors those cells have. At first the cells that come nearest, until they hold wanted spots; later all others whose nearest
+    possible vector is as near as the least similarity found so far."""
     def run(frames):
-        for f in frames:
-            rows, cells = [], []
-            a = _angles(_matrix(f["u"]), pivots) if len(f) else np.zeros((0, len(pivots)))
-            keys = list(zip(*(f[c] for c in by), strict=True)) if by else [()] * len(f)
+        for f in (frame.iloc[k : k + 256] for frame in frames for k in range(0, len(frame), 256)):
+            rows, blocks, sides, cells, pairs = [], [], [], [], []
+            a, keys = _angles(_matrix(f["u"]), pivots), _keys(f, by)
             least = f["least"].to_numpy(np.float64) if later else np.full(len(f), -2.0)
-            for k, key in enumerate(keys):
-                cell, low, high, many = shape[key]
-                most = _most(a[k, cell], low, high)
-                order = np.argsort(-most, kind="stable")
-                first = int(np.searchsorted(np.cumsum(many[order]), wanted)) + 1
-                own = order[first:][most[order[first:]] >= least[k] - SLACK] if later else order[:first]
-                rows += [k] * len(own)
-                cells += cell[own].tolist()
-            yield f.iloc[rows][names].assign(least=least[rows], cell=np.array(cells, np.int32))
+            names = f["key"].tolist()
+            for key in set(keys):
+                s, mine = shape[key], [k for k, x in enumerate(keys) if x == key]
+                for k, most in zip(mine, s.most(a[mine]), strict=True):
+                    order = np.argsort(-most, kind="stable")
+                    first = int(np.searchsorted(np.cumsum(s.many[order]), wanted)) + 1
+                    own = order[first:][most[order[first:]] >= least[k] - SLACK] if later else order[:first]
+                    held: dict = {}
+                    for c in own.tolist():
+                        for part in range(int(s.parts[c])):
+                            held.setdefault(int(s.block[c]) + part, []).append(c)
+                    for block, some in held.items():
+                        rows.append(k)
+                        blocks.append(block)
+                        sides.append(_dealt(names[k], s.sides, 0))
+                        cells.append(s.cell[some].tolist())
+                        pairs.append(int(sum(s.n[c] for c in some if s.block[c] == block)))
+            if rows:
+                yield f.iloc[rows][[*by, "key", "u"]].assign(least=least[rows], block=np.array(blocks, np.int32), side=np.array(sides, np.int32), cells=cells, pairs=np.array(pairs, np.int64))
 
     return run
 
 
-def _best(wanted: int):
-    """The wanted best (similarity, spot) of each query among a block's vectors that reach its least similarity."""
-    def run(key, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        keys, others, sims = [], [], []
-        if len(q) and len(p):
-            s = np.round(_matrix(q["u"]) @ _matrix(p["u"]).T, DIGITS)
-            first, held = np.array([x[0] for x in p["ids"]]), p["ids"].tolist()
-            least = np.round(q["least"].to_numpy(np.float64) - SLACK, DIGITS)
-            for k, (name, row) in enumerate(zip(q["key"], s, strict=True)):
-                near = np.flatnonzero(row >= max(least[k], -np.partition(-row, wanted - 1)[wanted - 1] if len(row) > wanted else -2.0))
-                near = near[np.lexsort((first[near], -row[near]))][:wanted]
-                found = sorted((-row[j], x) for j in near for x in held[j])[:wanted]
-                keys += [name] * len(found)
-                others += [x for _, x in found]
-                sims += [-x for x, _ in found]
-        return pd.DataFrame({"key": keys, "other": np.array(others, np.int64), "sim": np.array(sims, np.float64)})
+def _asked(shape: dict, by: list[str]):
+    """(by..., cell, u, ids, block, side): each vector in its block, for every side of those that search."""
+    def run(frames):
+        for f in (frame.iloc[k : k + 256] for frame in frames for k in range(0, len(frame), 256)):
+            rows, blocks, sides = [], [], []
+            for k, (key, name, cell) in enumerate(zip(_keys(f, by), f["key"], f["cell"], strict=True)):
+                s = shape[key]
+                at = s.at[cell]
+                rows += [k] * s.sides
+                blocks += [int(s.block[at]) + _dealt(name, int(s.parts[at]), 8)] * s.sides
+                sides += range(s.sides)
+            yield f.iloc[rows][[*by, "cell", "u", "ids"]].assign(block=np.array(blocks, np.int32), side=np.array(sides, np.int32))
 
     return run
 
 
-def _search(targets: DataFrame, points: DataFrame, blocks: DataFrame, by: list[str], wanted: int) -> DataFrame:
-    """(by..., key, other, sim) of targets in the cells they name. A cell's vectors are dealt into blocks by hash, and so are
-    those that search it, so a group holds a block of either, whatever a cell's size."""
-    cell = [*by, "cell"]
-    asked = targets.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("sides"))
-    sides = stored(asked.join(blocks.select(*cell, "blocks"), cell), "sides")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = F.pmod(F.xxhash64("key"), F.col("sides")).cast("int")
-    q = targets.join(F.broadcast(sides), cell).select(*cell, "key", "u", "least", mine.alias("side"), spread("blocks").alias("block"))
-    own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")
-    p = points.join(F.broadcast(sides), cell).select(*cell, "u", "ids", own.alias("block"), spread("sides").alias("side"))
-    group = [*cell, "side", "block"]
-    kinds = {f.name: f.dataType.simpleString() for f in targets.schema.fields}
-    find = _best(wanted)
+def _best(q: pd.DataFrame, p: pd.DataFrame, wanted: int) -> pd.DataFrame:
+    """The wanted best (similarity, spot) of each query among those of a block's cells it searches, that reach its least similarity."""
+    found: list[tuple] = []
+    if len(q) and len(p):
+        p = p.iloc[np.argsort(p["cell"].to_numpy(), kind="stable")]
+        u, v, cells = _matrix(q["u"]), _matrix(p["u"]), p["cell"].to_numpy()
+        first, least = np.array([x[0] for x in p["ids"]]), q["least"].to_numpy(np.float64) - SLACK
+        asks = np.repeat(np.arange(len(q)), [len(x) for x in q["cells"]])
+        goal = np.concatenate([np.asarray(x) for x in q["cells"]])
+        order = np.argsort(goal, kind="stable")
+        asks, goal = asks[order], goal[order]
+        for cell in np.unique(cells):
+            low, high = np.searchsorted(cells, [cell, cell + 1])
+            mine = asks[slice(*np.searchsorted(goal, [cell, cell + 1]))]
+            step = max(1, (1 << 22) // (high - low))
+            for rows in (mine[k : k + step] for k in range(0, len(mine), step)):
+                s = u[rows] @ v[low:high].T
+                bar = least[rows]
+                if high - low > wanted and (open_ := np.flatnonzero(bar < -1)).size:
+                    bar[open_] = np.partition(s[open_], -wanted, axis=1)[:, -wanted] - SLACK
+                i, j = np.nonzero(s >= bar[:, None])
+                found.append((rows[i], np.round(s[i, j], DIGITS), j + low))
+    if not found:
+        return pd.DataFrame({"key": [], "other": np.array([], np.int64), "sim": np.array([], np.float64)})
+    row, sim, col = (np.concatenate(x) for x in zip(*found, strict=True))
+
+    def cut(row, *columns):
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < wanted
+        return [x[keep] for x in (row, *columns)]
+
+    order = np.lexsort((first[col], -sim, row))
+    row, sim, col = cut(row[order], sim[order], col[order])
+    ids = p["ids"].to_numpy()[col]
+    many = np.array([len(x) for x in ids], np.int64)
+    row, sim, other = np.repeat(row, many), np.repeat(sim, many), np.concatenate(ids) if len(ids) else np.array([], np.int64)
+    order = np.lexsort((other, -sim, row))
+    row, sim, other = cut(row[order], sim[order], other[order])
+    return pd.DataFrame({"key": q["key"].to_numpy()[row], "other": other.astype(np.int64), "sim": sim})
+
+
+def _search(asking: DataFrame, asked: DataFrame, by: list[str], wanted: int) -> DataFrame:
+    """(by..., key, other, sim) of vectors in the cells they name. A group holds a block of vectors and one of those that search it,
+    whatever a cell's size, and a vector goes to a block once, however many of its cells it searches."""
+    kinds = {f.name: f.dataType.simpleString() for f in asking.schema.fields}
+    group = [*by, "block", "side"]
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return find(key, left, right).assign(**dict(zip(by, key, strict=False)))[[*by, "key", "other", "sim"]]
+        return _best(left, right, wanted).assign(**dict(zip(by, key, strict=False)))[[*by, "key", "other", "sim"]]
 
     schema = "".join(f"{c} {kinds[c]}, " for c in by) + "key binary, other long, sim double"
-    return q.groupBy(*group).cogroup(p.groupBy(*group)).applyInPandas(run, schema)
+    return asking.drop("pairs").groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(run, schema)
 
 
 def cosine_nearest(vectors: DataFrame, k: int, by: list[str] | None = None, pivots: int = PIVOTS, looks: list[int] | None = None) -> DataFrame:
@@ -148,26 +219,30 @@ def cosine_nearest(vectors: DataFrame, k: int, by: list[str] | None = None, pivo
         return vectors.sparkSession.createDataFrame([], out)
     some = distinct.orderBy(F.xxhash64("key"), "key").limit(max(1, min(pivots, math.isqrt(n)))).select("u").collect()
     axes = _matrix([bytes(r.u) for r in some])
-    points = stored(distinct.mapInPandas(_located(axes), f"{head}key binary, ids array<long>, u binary, cell int, angle double"), "points")
-    shapes = points.groupBy(*by, "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.sum(F.size("ids")).alias("many"), F.count(F.lit(1)).alias("n"))
-    shapes = stored(shapes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "shapes")
-    shape: dict = {}
-    for r in shapes.orderBy(*by, "cell").collect():  # a row for each pivot and sample at most
-        shape.setdefault(tuple(r[c] for c in by), []).append((r.cell, r.low, r.high, r.many))
-    shape = {key: (np.array([x[0] for x in rows]), *(np.array([x[i] for x in rows], np.float64) for i in (1, 2, 3))) for key, rows in shape.items()}
-    names = [*by, "key", "u"]
-    target = f"{head}key binary, u binary, least double, cell int"
-    blocks = shapes.select(*by, "cell", "blocks", "n")
+    points = stored(distinct.mapInPandas(_located(axes), f"{head}key binary, ids array<long>, u binary, cell int, angles array<double>"), "points")
+    angle = points.select(*by, "cell", F.posexplode("angles").alias("i", "a")).groupBy(*by, "cell", "i").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    angle = angle.groupBy(*by, "cell").agg(F.array_sort(F.collect_list(F.struct("i", "low", "high"))).alias("x"))
+    shapes = points.groupBy(*by, "cell").agg(F.sum(F.size("ids")).alias("many"), F.count(F.lit(1)).alias("n"))
+    same = shapes["cell"].eqNullSafe(angle["cell"])
+    for c in by:
+        same = same & shapes[c].eqNullSafe(angle[c])
+    shapes = shapes.join(angle, same).select(*[shapes[c] for c in (*by, "cell", "many", "n")], F.col("x.low").alias("low"), F.col("x.high").alias("high"))
+    cells: dict = {}
+    for r in shapes.collect():  # a row for each pivot and sample at most
+        cells.setdefault(tuple(r[c] for c in by), []).append(r)
+    size = min(max(LARGE, BLOCK), max(BLOCK, n // 16))
+    shape = {key: _Shape(sorted(rows, key=lambda r: r.cell), size) for key, rows in cells.items()}
+    ask = f"{head}key binary, u binary, least double, block int, side int, cells array<int>, pairs long"
+    asked = points.select(*by, "key", "cell", "u", "ids").mapInPandas(_asked(shape, by), f"{head}cell int, u binary, ids array<long>, block int, side int")
     order = Window.partitionBy(*by, "key").orderBy(F.desc("sim"), "other")
     top = lambda found: found.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= wanted)
-    near = stored(points.select(*names).mapInPandas(_targets(axes, shape, by, wanted, names, False), target), "targets")
-    one = stored(top(_search(near, points, blocks, by, wanted)).drop("slot"), "first")
+    near = points.select(*by, "key", "u").mapInPandas(_asking(axes, shape, by, wanted, False), ask)
+    one = stored(top(_search(near, asked, by, wanted)).drop("slot"), "first")
     reached = one.groupBy(*by, "key").agg(F.when(F.count(F.lit(1)) >= wanted, F.min("sim")).otherwise(-2.0).alias("least"))
-    more = stored(points.select(*names).join(reached, [*by, "key"]).mapInPandas(_targets(axes, shape, by, wanted, names, True), target), "targets")
-    both = stored(top(one.unionByName(_search(more, points, blocks, by, wanted))).drop("slot"), "best")
+    more = points.select(*by, "key", "u").join(reached, [*by, "key"]).mapInPandas(_asking(axes, shape, by, wanted, True), ask)
+    both = stored(top(one.unionByName(_search(more, asked, by, wanted))).drop("slot"), "best")
     if looks is not None:
-        pairs = near.select(*by, "cell").unionByName(more.select(*by, "cell")).join(blocks, [*by, "cell"]).agg(F.sum("n")).first()[0]
-        looks += [pairs, points.groupBy(*by).count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]]
+        looks += [near.unionByName(more).agg(F.sum("pairs")).first()[0], points.groupBy(*by).count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]]
     own = Window.partitionBy(*by, "spot").orderBy(F.desc("sim"), "other")
     found = base.select(*by, "spot", "key").join(both, [*by, "key"]).where("spot <> other").withColumn("slot", F.row_number().over(own).cast("long"))
     return found.where(F.col("slot") <= k).select(*by, "spot", "other", "sim", "slot")

@@ -1,9 +1,12 @@
 """Neighbours by cosine and hybrid graphs against plain versions."""
 
+import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import Row
 
 from tessera.operators import graph as H
 from tessera.operators import neighbours as B
@@ -43,6 +46,18 @@ def test_cosine_nearest(spark, monkeypatch, block, pivots):
     assert B.cosine_nearest(table.limit(0), 5, ["sample"]).count() == 0
 
 
+def test_a_vector_goes_to_a_block_once():
+    """Its bytes stood beside each cell it searches; now beside each block, which holds many cells, and in small frames."""
+    rows = [Row(cell=c, low=[0.0] * 3, high=[3.2] * 3, many=n, n=n) for c, n in enumerate([3, 3, 20, 1, 2])]
+    shape = B._Shape(rows, 8)
+    assert shape.block.tolist() == [0, 0, 1, 4, 4] and shape.parts.tolist() == [1, 1, 3, 1, 1] and shape.sides == 4
+    u = np.eye(5)
+    f = pd.DataFrame({"key": [hashlib.md5(x.tobytes()).digest() for x in u] * 200, "u": [x.tobytes() for x in u] * 200, "least": -1.0})
+    frames = list(B._asking(u, {(): shape}, [], 1, True)([f]))
+    assert max(map(len, frames)) <= 256 * 5 and sum(map(len, frames)) <= 1000 * 5
+    assert all(g.groupby(level=0)["block"].nunique().max() <= 5 for g in frames)
+
+
 def test_cosine_nearest_without_samples(spark):
     rng = np.random.default_rng(3)
     rows = [("", k, v) for k, v in enumerate(clustered(rng, 150, 40))]
