@@ -110,6 +110,25 @@ def boundary_spots(members: DataFrame, edges: DataFrame) -> DataFrame:
     return m.withColumn("few", few).where("edge OR few").select("domain", "spot")
 
 
+def apart(boundary: DataFrame, edges: DataFrame, graph: DataFrame, epsilon: float) -> DataFrame:
+    """(i, j, distance) for pairs of domains that are not in graph, (i, j, ...), and may be epsilon apart or less: the smaller of
+    their directed distances.
+
+    boundary are (group, spot, x, y). A directed distance is a mean of distances between spots, so a pair without spots that
+    are epsilon apart is further away. Domains whose spots meet over edges, (u, v) in both directions, touch: they are in
+    graph, so these pairs of spots need not meet again with all their domains.
+    """
+    spots = boundary.select("spot", "x", "y").distinct()
+    reach = spatial.within(spots, spots, epsilon * (1 + 1e-9))  # a mean may be rounded down
+    reach = stored(reach.hint("merge").join(edges.select(F.col("u").alias("spot"), F.col("v").alias("other")), ["spot", "other"], "left_anti"), "reach")
+    a, o = boundary.select(F.col("group").alias("a"), "spot"), boundary.select(F.col("group").alias("b"), F.col("spot").alias("other"))
+    near = reach.hint("merge").join(a, "spot").hint("merge").join(o, "other").where("a < b").select("a", "b").distinct()
+    near = stored(near.hint("merge").join(graph.select(F.col("i").alias("a"), F.col("j").alias("b")), ["a", "b"], "left_anti"), "near")
+    ways = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = spatial.directed_distance(ways, boundary)
+    return found.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.min("distance").alias("distance"))
+
+
 def neighbour_features(graph: DataFrame, programs: DataFrame) -> DataFrame:
     """By domain: neighbours, share of another program, shared boundary against the largest of all."""
     g = graph.select("i", "j", "shared").unionByName(graph.select(F.col("j").alias("i"), F.col("i").alias("j"), "shared"))

@@ -139,19 +139,12 @@ def g25_alpha_boundary(spark, sf):
     return D.alpha_boundary(m.select("domain", "spot").distinct().join(V.users(spark, sf), "spot"), 1.07)
 
 
-def _edges(spark, sf, quantile=0.6):
+def _edges(spark, sf, quantile=0.6, epsilon=1.5):
     d, m, g = _domains(spark, sf, quantile)
     graph = H.stored(D.domain_graph(m, g, d), "graph")
     b = D.boundary_spots(m, g).join(V.users(spark, sf), "spot").withColumnRenamed("domain", "group")
-    # domains without contact meet through spots within reach of each other; further ones can't be near enough
-    reach = P.within(b.select("spot", "x", "y").distinct(), b.select("spot", "x", "y").distinct(), 2.0)
-    a, o = b.select(F.col("group").alias("a"), "spot"), b.select(F.col("group").alias("b"), F.col("spot").alias("other"))
-    near = reach.join(a, "spot").join(o, "other").where("a < b").select("a", "b").distinct().join(graph.select(F.col("i").alias("a"), F.col("j").alias("b")), ["a", "b"], "left_anti")
-    near = H.stored(near, "near")
-    ab = P.directed_distance(near, b.select("group", "spot", "x", "y"))
-    ba = P.directed_distance(near.select(F.col("b").alias("a"), F.col("a").alias("b")), b.select("group", "spot", "x", "y")).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("distance").alias("back"))
-    dist = ab.join(ba, ["a", "b"]).select(F.col("a").alias("i"), F.col("b").alias("j"), F.least("distance", "back").alias("distance"))
-    return N.edges(graph, d.select("domain", "program", "boundary", "reliability"), dist, 1.5), d
+    dist = D.apart(b, g, graph, epsilon)
+    return N.edges(graph, d.select("domain", "program", "boundary", "reliability"), dist, epsilon), d
 
 
 _EDGE = ", gr AS (SELECT i, j, shared, overlap / greatest(1, a.n + b.n - overlap) AS so FROM pp JOIN geo a ON a.domain = i JOIN geo b ON b.domain = j), bb AS (SELECT DISTINCT domain, spot FROM sd WHERE NOT inside), bn AS (SELECT m.domain, count(bb.spot) AS k, count(*) AS n FROM m LEFT JOIN bb ON m.domain = bb.domain AND m.spot = bb.spot GROUP BY 1), bs AS (SELECT m.domain, m.spot, u.x, u.y FROM m JOIN bn ON m.domain = bn.domain LEFT JOIN bb ON m.domain = bb.domain AND m.spot = bb.spot JOIN users u ON m.spot = u.spot WHERE bb.spot IS NOT NULL OR k < least(3, bn.n)), nn AS (SELECT a.domain AS a, b.domain AS b, a.spot, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d2 FROM bs a JOIN bs b ON a.domain <> b.domain GROUP BY 1, 2, 3), nk AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY d2, spot) AS q, count(*) OVER (PARTITION BY a, b) AS n FROM nn), dd AS (SELECT a, b, avg(sqrt(d2)) AS d, min(d2) AS least FROM nk WHERE q <= greatest(3, ceil(0.1 * n)) GROUP BY a, b), di AS (SELECT least(a, b) AS i, greatest(a, b) AS j, min(d) AS distance FROM dd GROUP BY 1, 2 HAVING min(least) <= 4), al2 AS (SELECT i, j, shared, so, 0.0::DOUBLE AS distance FROM gr UNION ALL SELECT di.i, di.j, 0, 0, di.distance FROM di LEFT JOIN gr ON gr.i = di.i AND gr.j = di.j WHERE gr.i IS NULL), e1 AS (SELECT al2.*, a.program AS program_i, b.program AS program_j, so > 0 AS oc, shared >= 1 AND NOT so > 0 AS bc, sqrt(a.reliability * b.reliability) AS er, least(1, shared / greatest(1.0::DOUBLE, least(a.boundary, b.boundary))) AS ratio FROM al2 JOIN rel a ON a.domain = i JOIN rel b ON b.domain = j), e2 AS (SELECT *, NOT oc AND NOT bc AND distance <= 1.5 AS pc, 0.5::DOUBLE + 0.5::DOUBLE * er AS f FROM e1), e3 AS (SELECT *, ratio / (ratio + 0.25) * f AS contact, so * f AS overlap, CASE WHEN pc THEN (1.5 - distance) / 1.5 * f ELSE 0 END AS soft FROM e2 WHERE oc OR bc OR pc), e4 AS (SELECT *, (contact + 2 * overlap + soft) / 4 AS es FROM e3), th AS (SELECT greatest(0.08, quantile_cont(contact, 0.8) FILTER (bc AND contact > 0)) AS tc, greatest(0.08, quantile_cont(overlap, 0.8) FILTER (oc)) AS tov FROM e4), ie AS (SELECT e4.*, (bc AND contact >= tc) OR (oc AND overlap >= tov) AS st FROM e4, th)"
