@@ -15,7 +15,9 @@ from tessera.operators.graph import components, stored
 def sides(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(domain, spot, v, inside) for every edge that leaves a member spot."""
     own = members.select("domain", F.col("spot").alias("v"), F.lit(True).alias("inside"))
-    return members.select("domain", "spot").join(edges.withColumnRenamed("u", "spot"), "spot").join(own, ["domain", "v"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    # both grow with the spots; files of them are small, and Spark would send their rows by way of the driver to all tasks
+    met = members.select("domain", "spot").hint("merge").join(edges.withColumnRenamed("u", "spot"), "spot")
+    return met.hint("merge").join(own, ["domain", "v"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
 def geometry(members: DataFrame, edges: DataFrame, points: DataFrame) -> DataFrame:
@@ -23,11 +25,11 @@ def geometry(members: DataFrame, edges: DataFrame, points: DataFrame) -> DataFra
     s = sides(members, edges)
     e = s.groupBy("domain").agg(F.count_if(F.col("inside") & (F.col("spot") < F.col("v"))).alias("internal"), F.count_if(~F.col("inside")).alias("boundary"))
     inner = s.where("inside").groupBy("domain", "spot").agg(F.count(F.lit(1)).alias("degree"))
-    leaf = members.select("domain", "spot").join(inner, ["domain", "spot"], "left").groupBy("domain").agg(F.avg(F.when(F.coalesce("degree", F.lit(0)) <= 1, 1.0).otherwise(0.0)).alias("leaf_ratio"))
-    place = members.join(points, "spot").groupBy("domain").agg(
+    leaf = members.select("domain", "spot").hint("merge").join(inner, ["domain", "spot"], "left").groupBy("domain").agg(F.avg(F.when(F.coalesce("degree", F.lit(0)) <= 1, 1.0).otherwise(0.0)).alias("leaf_ratio"))
+    place = members.hint("merge").join(points, "spot").groupBy("domain").agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("vxy"),
     )
-    d = place.join(e, "domain", "left").join(leaf, "domain").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("internal", "boundary")})
+    d = place.hint("merge").join(e, "domain", "left").hint("merge").join(leaf, "domain").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("internal", "boundary")})
     half, root = (F.col("vx") + F.col("vy")) / 2, F.sqrt(F.pow((F.col("vx") - F.col("vy")) / 2, 2) + F.col("vxy") * F.col("vxy"))
     edge = F.greatest(F.lit(1.0), F.col("boundary").cast("double"))
     return d.select(
@@ -47,10 +49,10 @@ def prominence(members: DataFrame, values: DataFrame, edges: DataFrame, quantile
     """
     own = members.groupBy("domain", "program").agg(F.max("value").alias("peak"), F.avg("value").alias("mean"))
     out = values.select("program", F.col("spot").alias("v"), F.col("value").alias("out"))
-    s = sides(members, edges).where("NOT inside").join(own.select("domain", "program"), "domain").join(out, ["program", "v"])
+    s = sides(members, edges).where("NOT inside").hint("merge").join(own.select("domain", "program"), "domain").hint("merge").join(out, ["program", "v"])
     q = s.groupBy("domain").agg(F.percentile("out", F.lit(quantile)).alias("q"), F.avg("out").alias("m"))
     every = values.groupBy("program").agg(F.percentile("value", F.lit(0.5)).alias("q0"), F.avg("value").alias("m0"))
-    d = own.join(q, "domain", "left").join(every, "program")
+    d = own.hint("merge").join(q, "domain", "left").join(every, "program")
     low, mean = F.coalesce("q", "q0"), F.coalesce("m", "m0")
     return d.select("domain", "program", "peak", "mean", F.greatest(F.lit(0.0), F.col("peak") - low).alias("prominence"), (F.col("mean") / (mean + 1e-8)).alias("ratio"), (F.col("mean") - mean).alias("delta"))
 
@@ -73,9 +75,9 @@ def pairs(members: DataFrame, edges: DataFrame) -> DataFrame:
     m = members.select("domain", "spot")
     half = edges.where("u < v")
     a, b = m.select(F.col("domain").alias("a"), F.col("spot").alias("u")), m.select(F.col("domain").alias("b"), F.col("spot").alias("v"))
-    touch = half.join(a, "u").join(b, "v").where("a <> b").groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.count(F.lit(1)).alias("shared"))
-    both = m.select(F.col("domain").alias("i"), "spot").join(m.select(F.col("domain").alias("j"), "spot"), "spot").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("overlap"))
-    out = touch.join(both, ["i", "j"], "full")
+    touch = half.hint("merge").join(a, "u").hint("merge").join(b, "v").where("a <> b").groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.count(F.lit(1)).alias("shared"))
+    both = m.select(F.col("domain").alias("i"), "spot").hint("merge").join(m.select(F.col("domain").alias("j"), "spot"), "spot").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("overlap"))
+    out = touch.hint("merge").join(both, ["i", "j"], "full")
     return out.select("i", "j", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
@@ -83,7 +85,7 @@ def domain_graph(members: DataFrame, edges: DataFrame, shape: DataFrame) -> Data
     """Pairs with the overlap as a share of the union and the distance of centroids."""
     a = shape.select(F.col("domain").alias("i"), F.col("n").alias("ni"), F.col("cx").alias("xi"), F.col("cy").alias("yi"))
     b = shape.select(F.col("domain").alias("j"), F.col("n").alias("nj"), F.col("cx").alias("xj"), F.col("cy").alias("yj"))
-    p = pairs(members, edges).join(a, "i").join(b, "j")
+    p = pairs(members, edges).hint("merge").join(a, "i").hint("merge").join(b, "j")
     return p.select("i", "j", "shared", (F.col("overlap") / F.greatest(F.lit(1), F.col("ni") + F.col("nj") - F.col("overlap"))).alias("spatial_overlap"), F.hypot(F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")).alias("distance"), F.col("shared").cast("double").alias("edge_weight"))
 
 
@@ -92,7 +94,7 @@ def merge_groups(domains: DataFrame, members: DataFrame, edges: DataFrame, share
     s = domains.select("domain", "program", "cx", "cy", "peak", "prominence")
     a, b = (s.select(*[F.col(c).alias(f"{c}_{k}") for c in s.columns]) for k in "ij")
     # each of the two sides of an edge counts, as both may lie in either domain
-    p = pairs(members, edges).join(a, F.col("i") == F.col("domain_i")).join(b, F.col("j") == F.col("domain_j")).where("program_i = program_j")
+    p = pairs(members, edges).hint("merge").join(a, F.col("i") == F.col("domain_i")).hint("merge").join(b, F.col("j") == F.col("domain_j")).where("program_i = program_j")
     ratio = lambda c: F.when((F.col(f"{c}_i") > 0) & (F.col(f"{c}_j") > 0), F.greatest(f"{c}_i", f"{c}_j") / F.least(f"{c}_i", f"{c}_j")).otherwise(float("inf"))
     ok = (F.col("shared") >= shared) & (F.hypot(F.col("cx_i") - F.col("cx_j"), F.col("cy_i") - F.col("cy_j")) <= distance) & (ratio("peak") <= peak) & (ratio("prominence") <= prom)
     e = p.where(ok).select(F.col("i").alias("u"), F.col("j").alias("v"))

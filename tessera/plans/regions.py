@@ -80,9 +80,9 @@ def g11_merge_groups(spark, sf):
     """Basins of the watershed, which touch, as domains."""
     a = H.stored(V.active(spark, sf), "active")
     g = H.stored(grid(spark, sf), "grid")
-    m = H.watershed(a, g).join(a, ["program", "spot"]).select(F.concat_ws("/", "program", F.col("root").cast("string")).alias("domain"), "program", "spot", "value")
+    m = H.watershed(a, g).hint("merge").join(a, ["program", "spot"]).select(F.concat_ws("/", "program", F.col("root").cast("string")).alias("domain"), "program", "spot", "value")
     m = H.stored(m, "basins")
-    d = D.geometry(m, g, V.users(spark, sf)).join(D.prominence(m, a, g), "domain")
+    d = D.geometry(m, g, V.users(spark, sf)).hint("merge").join(D.prominence(m, a, g), "domain")
     return D.merge_groups(d, m, g)
 
 
