@@ -70,6 +70,21 @@ def test_ranks_by_ranges(spark):
     assert "_part" in got._jdf.queryExecution().analyzed().toString()  # windows are over parts of a group
 
 
+def test_ranks_under_any_names(spark):
+    """The columns that ranking and numbering work with are never those of the table or the result."""
+    df = spark.createDataFrame([(k % 3, k * 7 % 10, k) for k in range(40)], "_at int, _n int, _part long")
+    df = df.withColumns({"__before": F.lit(1), "_k0": F.lit(2), "_row_all": F.lit(3)})
+    w = Window.partitionBy("_at")
+    for name in ("_at", "_part", "_before", "_own", "_row", "_r"):
+        got = S.numbered(df, ["_at"], [F.col("_n"), F.col("_part")], name) if name != "_at" else S.numbered(df.withColumnRenamed("_at", "g"), ["g"], [F.col("_n"), F.col("_part")], name)
+        plain = F.row_number().over(w.orderBy("_n", "_part"))
+        want = df.withColumn(name, plain) if name != "_at" else df.withColumn("_at_", plain).withColumnRenamed("_at", "g").withColumnRenamed("_at_", "_at")
+        assert sorted(got.columns) == sorted(want.columns) and sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+    rank = S.percentile_rank(df, "_n", ["_at"], "_r")
+    want = df.withColumn("_r", (F.rank().over(w.orderBy("_n")) + (F.count(F.lit(1)).over(Window.partitionBy("_at", "_n")) - 1) / 2) / F.count(F.lit(1)).over(w))
+    assert rank.columns == want.columns and sorted(rank.collect()) == sorted(want.collect())
+
+
 def test_activation_exchanges_cells_only(spark):
     """What cells and programs make is added up where it is made."""
     rng = random.Random(5)
