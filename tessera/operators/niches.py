@@ -7,7 +7,7 @@ import math
 from collections import Counter, defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
@@ -84,13 +84,13 @@ def prepared(e: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def seeds(e: DataFrame, quantile: float = 0.6, most: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
     """The best seeds of each component of the graph of eligible edges: (component, edge_key, seed_score, seed_rank).
 
-    The least score of a seed is a quantile of the scores within by.
+    The least score of a seed is a quantile of the scores within by. Domains of different by have different names.
     """
     good = stored(e.where("eligible").withColumn("_of", F.concat_ws("|", *by)), "eligible")
     bounds = S.quantile(good, "seed_score", quantile, ["_of"]).withColumnRenamed("quantile", "_bound")
-    ways = good.select(F.col("i").alias("u"), F.col("j").alias("v")).unionByName(good.select(F.col("j").alias("u"), F.col("i").alias("v")))
-    part = components(ways.select(F.col("u").alias("spot")).distinct(), stored(ways, "ways"))
-    s = good.join(bounds, "_of").where("seed_score >= _bound").drop("_of", "_bound").join(part.withColumnRenamed("spot", "i"), "i")
+    ways = good.select(*by, F.col("i").alias("u"), F.col("j").alias("v")).unionByName(good.select(*by, F.col("j").alias("u"), F.col("i").alias("v")))
+    part = components(ways.select(*by, F.col("u").alias("spot")).distinct(), stored(ways, "ways"))
+    s = good.join(bounds, "_of").where("seed_score >= _bound").drop("_of", "_bound").join(part.withColumnRenamed("spot", "i"), [*by, "i"])
     return S.top_k(s, ["component"], [F.desc("seed_score"), F.desc("edge_strength"), F.desc("edge_reliability"), "edge_key"], most, "seed_rank")
 
 
@@ -100,11 +100,12 @@ def diverse(seeded: DataFrame, most: int = 3) -> DataFrame:
     return S.top_k(first, ["component"], ["seed_rank"], most, "start")
 
 
-def regions(e: DataFrame, starts: DataFrame) -> DataFrame:
+def regions(e: DataFrame, starts: DataFrame, rest: DataFrame | None = None) -> DataFrame:
     """The edges around each start, with its key as seed and whether their ends are inner ones (in_i, in_j).
 
     Inner domains are a start's two ends and those that eligible edges join to them; context domains lie outside and are
     joined by eligible edges to two inner ones or more. Edges are all those of e between these domains, eligible or not.
+    With rest, e are graphs that dealt() makes, and edges are those of rest too, which each of the graphs has.
     """
     good = e.where("eligible").select("i", "j")
     ways = stored(good.select(F.col("i").alias("u"), F.col("j").alias("v")).unionByName(good.select(F.col("j").alias("u"), F.col("i").alias("v"))), "ways")
@@ -113,8 +114,17 @@ def regions(e: DataFrame, starts: DataFrame) -> DataFrame:
     rim = inner.join(ways, inner.node == ways.u).groupBy("seed", F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     nodes = inner.withColumn("in", F.lit(True)).unionByName(rim.join(inner, ["seed", "node"], "left_anti").select("seed", "node", F.lit(False).alias("in")))
     nodes = stored(nodes, "regions")
-    side = lambda c: nodes.select("seed", F.col("node").alias(c), F.col("in").alias(f"in_{c}"))
-    return e.join(side("i"), "i").join(side("j"), ["seed", "j"])
+    side = lambda c, node="node": nodes.select("seed", F.expr(node).alias(c), F.col("in").alias(f"in_{c}"))
+    found = e.join(side("i"), "i").join(side("j"), ["seed", "j"])
+    if rest is None:
+        return found
+    other = rest.join(side("i", _PLAIN), "i").join(side("j", _PLAIN), ["seed", "j"]).withColumn("iteration", F.substring("seed", 1, 6).cast("int"))
+    other = other.withColumns({c: _named(F.col("iteration"), c) for c in ("i", "j")}).withColumn("edge_key", X.unordered_key("i", "j", "||"))
+    return found.unionByName(other)
+
+
+#: A domain's name without the graph that it is in.
+_PLAIN = "substring(node, 8)"
 
 
 class _Region:
@@ -264,7 +274,7 @@ _STRUCTURE = (
 )
 
 
-def structures(e: DataFrame, seeded: DataFrame, most: int = 3) -> DataFrame:
+def structures(e: DataFrame, seeded: DataFrame, most: int = 3, rest: DataFrame | None = None) -> DataFrame:
     """One row for each canonical structure of a component, grown from diverse seeds.
 
     e is prepared, seeded as seeds() gives it. Each start grows by itself inside its region (see regions and _Region), so a
@@ -274,7 +284,7 @@ def structures(e: DataFrame, seeded: DataFrame, most: int = 3) -> DataFrame:
     """
     starts = stored(diverse(seeded, most), "starts")
     told = starts.select(F.col("edge_key").alias("seed"), "component", "seed_rank")
-    near = regions(e, starts).join(told, "seed")
+    near = regions(e, starts, rest).join(told, "seed")
 
     def grown(group: pd.DataFrame) -> pd.DataFrame:
         every = list(group.itertuples(index=False))
@@ -345,24 +355,42 @@ def shuffled(e: DataFrame, seed: int) -> DataFrame:
     return a.join(b, ["program_j", "p"]).where("i <> to").withColumn("j", F.col("to")).drop("p", "to").withColumn("edge_key", X.unordered_key("i", "j", "||")).dropDuplicates(["edge_key"])
 
 
-def rearranged(e: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """iterations graphs in one table, told apart by the column iteration and by a prefix of their domains' names.
+def _named(run: Column, c: str) -> Column:
+    """A domain's name in a rearranged graph: seven characters tell the graph, which _PLAIN leaves out."""
+    return F.concat_ws("#", F.lpad(run.cast("string"), 6, "0"), c)
 
-    In each the second ends of all eligible edges are dealt anew over these edges, with their programs; other edges stay.
-    Edges that become loops go, and of edges that become one the one with the least old key stays. The order comes from
-    hashes, so reruns are equal. Edges are numbered by ranges, so no task holds a graph's.
+
+def dealt(e: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """iterations graphs of the eligible edges of e in one table, told apart by the column iteration and by a prefix of their
+    domains' names, as rearranged() has them.
+
+    In each the second ends of all eligible edges are dealt anew over these edges, with their programs. Edges that become
+    loops go, and of edges that become one the one with the least old key stays. The order comes from hashes, so reruns are
+    equal. Edges are numbered by ranges, so no task holds a graph's.
     """
-    x = e.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     good = S.numbered(e.where("eligible").withColumn("_all", F.lit(0)), ["_all"], [F.col("edge_key")], "_at").drop("_all")
-    good = stored(good.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))), "eligible")
-    ends = good.select("iteration", F.col("j").alias("to"), F.col("program_j").alias("to_program"), "edge_key", F.xxhash64(F.lit(seed), "iteration", "edge_key").alias("_h"))
+    good = stored(good, "eligible")
+    ends = _runs(good.select(F.col("j").alias("to"), F.col("program_j").alias("to_program"), "edge_key"), iterations).withColumn("_h", F.xxhash64(F.lit(seed), "iteration", "edge_key"))
     ends = S.numbered(ends, ["iteration"], [F.col("_h"), F.col("edge_key")], "_at").drop("_h", "edge_key")
-    dealt = good.join(ends, ["iteration", "_at"]).where("i <> to")
-    dealt = dealt.withColumns({"j": F.col("to"), "program_j": F.col("to_program")}).drop("_at", "to", "to_program").withColumn("_key", X.unordered_key("i", "j", "||"))
-    dealt = S.top_k(dealt, ["iteration", "_key"], ["edge_key"], 1, "_first").drop("_first", "_key")
-    both = dealt.unionByName(x.where("NOT eligible"))
-    name = lambda c: F.concat_ws("#", F.lpad(F.col("iteration").cast("string"), 6, "0"), c)
-    return both.withColumns({"i": name("i"), "j": name("j")}).drop("edge_key", "pair_key", "cross", "eligible", "seed_score")
+    out = ends.join(good.drop("j", "program_j", *_KEYS), "_at").where("i <> to").withColumnsRenamed({"to": "j", "to_program": "program_j"})
+    out = out.withColumns({"_a": F.least("i", "j"), "_b": F.greatest("i", "j")})
+    out = S.top_k(out, ["iteration", "_a", "_b"], ["_at"], 1, "_first").drop("_first", "_a", "_b", "_at")  # numbered by old keys
+    return out.withColumns({c: _named(F.col("iteration"), c) for c in ("i", "j")})
+
+
+#: What prepared() adds.
+_KEYS = ("edge_key", "pair_key", "cross", "eligible", "seed_score")
+
+
+def _runs(e: DataFrame, iterations: int) -> DataFrame:
+    every = F.sequence(F.lit(0), F.lit(max(1, iterations) - 1))
+    return e.withColumn("iteration", F.explode(every)).where(F.col("iteration") < iterations)
+
+
+def rearranged(e: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """The graphs that dealt() makes with the other edges of e, which stay as they are in each."""
+    rest = _runs(e.where("NOT eligible").drop(*_KEYS), iterations)
+    return dealt(e, iterations, seed).unionByName(rest.withColumns({c: _named(F.col("iteration"), c) for c in ("i", "j")}))
 
 
 def random_baseline(e: DataFrame, observed: DataFrame, iterations: int = 24, seed: int = 3024, overlap: float = 0.50,
@@ -371,10 +399,11 @@ def random_baseline(e: DataFrame, observed: DataFrame, iterations: int = 24, see
 
     e is prepared, observed are structures that pass the basic filter. A rearranged structure that passes (any, with every) is alike where
     the Jaccard of the backbones' program pairs is overlap or more, and the counts of backbone edges and of programs
-    differ by no more than given. All iterations grow at once, as they are components of one table.
+    differ by no more than given. All iterations grow at once, as they are components of one table. That has the edges that
+    are dealt; the others, the same in all iterations, only come to the regions in which structures grow.
     """
-    x = stored(prepared(rearranged(e, iterations, seed), ("iteration",)), "rearranged")
-    found = structures(x, stored(seeds(x, by=("iteration",)), "seeds"))
+    x = stored(prepared(stored(dealt(e, iterations, seed), "dealt"), ("iteration",)), "rearranged")
+    found = structures(x, stored(seeds(x, by=("iteration",)), "seeds"), rest=e.where("NOT eligible"))
     found = found if every else basic_filter(found).where("passed")
 
     def tokens(s: DataFrame, name: str, *keys) -> DataFrame:
@@ -392,5 +421,5 @@ def random_baseline(e: DataFrame, observed: DataFrame, iterations: int = 24, see
         & (F.abs(F.col("a.programs") - F.col("b.programs")) <= programs)
     )
     hits = alike.groupBy("component", "pattern").agg(F.count_distinct("iteration").alias("_hits"))
-    o = o.join(hits, ["component", "pattern"], "left").withColumn("random_rate", F.coalesce("_hits", F.lit(0)) / F.lit(float(iterations))).drop("_hits")
+    o = o.join(hits, ["component", "pattern"], "left").withColumn("random_rate", F.coalesce("_hits", F.lit(0)) / F.lit(float(max(1, iterations)))).drop("_hits")
     return o.withColumn("non_random_score", X.clamp01(1 - F.col("random_rate"))).withColumn("random_passed", F.col("non_random_score") >= least)

@@ -170,6 +170,18 @@ def test_structures_of_the_tables(spark):
     assert made and made == plain(e.collect(), s.collect())
 
 
+def test_structures_of_rearranged_graphs(spark):
+    """Edges that are the same in all graphs come to the regions alone, with the same structures as if each graph had them."""
+    e = random_graph(spark, random.Random(6), 60, 6, 400)
+    whole = H.stored(N.prepared(N.rearranged(e, 4, 2), ("iteration",)), "whole")
+    x = H.stored(N.prepared(N.dealt(e, 4, 2), ("iteration",)), "dealt")
+    by = ("iteration",)
+    assert x.count() < whole.count() and not x.where("eligible").isEmpty()
+    want = got(N.structures(whole, H.stored(N.seeds(whole, by=by), "seeds")))
+    assert len({k[0][:6] for k in want}) == 4 and got(N.structures(x, H.stored(N.seeds(x, by=by), "seeds"), rest=e.where("NOT eligible"))) == want
+    assert N.rearranged(e, 0, 2).isEmpty()
+
+
 def test_memberships(spark):
     e = random_graph(spark, random.Random(5), 40, 6, 160)
     s = H.stored(N.structures(e, N.seeds(e, 0.2)), "structures")
