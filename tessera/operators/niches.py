@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
 from tessera.functions import stats as S
-from tessera.operators.graph import components, stored
+from tessera.operators.graph import HERE, components, stored
 
 #: Weights of an edge's gain in a backbone: new pair, new program, better supported pair, redundancy, dense repeats.
 GAIN = (1.0, 0.8, 0.4, 0.5, 0.3)
@@ -81,6 +81,10 @@ def prepared(e: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return e.withColumn("seed_score", F.when(F.col("eligible"), X.clamp01(0.65 * F.col("rs") + 0.35 * F.col("rr"))).otherwise(0.0)).drop("rs", "rr")
 
 
+#: Columns of dealt edges: numbers of their domains, in the order of names. A task joins more edges of numbers than of names.
+_NUMBERS, HERE_NUMBERS = ("number_i", "number_j"), 2_000_000
+
+
 def seeds(e: DataFrame, quantile: float = 0.6, most: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
     """The best seeds of each component of the graph of eligible edges: (component, edge_key, seed_score, seed_rank).
 
@@ -88,10 +92,17 @@ def seeds(e: DataFrame, quantile: float = 0.6, most: int = 12, by: tuple[str, ..
     """
     good = stored(e.where("eligible").withColumn("_of", F.concat_ws("|", *by)), "eligible")
     bounds = S.quantile(good, "seed_score", quantile, ["_of"]).withColumnRenamed("quantile", "_bound")
-    ways = good.select(*by, F.col("i").alias("u"), F.col("j").alias("v")).unionByName(good.select(*by, F.col("j").alias("u"), F.col("i").alias("v")))
-    part = components(ways.select(*by, F.col("u").alias("spot")).distinct(), stored(ways, "ways"))
-    s = good.join(bounds, "_of").where("seed_score >= _bound").drop("_of", "_bound").join(part.withColumnRenamed("spot", "i"), [*by, "i"])
-    return S.top_k(s, ["component"], [F.desc("seed_score"), F.desc("edge_strength"), F.desc("edge_reliability"), "edge_key"], most, "seed_rank")
+    a, b = _NUMBERS if _NUMBERS[0] in e.columns else ("i", "j")
+    ways = good.select(*by, F.col(a).alias("u"), F.col(b).alias("v")).unionByName(good.select(*by, F.col(b).alias("u"), F.col(a).alias("v")))
+    part = components(ways.select(*by, F.col("u").alias("spot")).distinct(), stored(ways, "ways"), HERE if a == "i" else HERE_NUMBERS)
+    s = good.join(bounds, "_of").where("seed_score >= _bound").drop("_of", "_bound").join(part.withColumnRenamed("spot", a), [*by, a])
+    s = S.top_k(s, [*by, "component"], [F.desc("seed_score"), F.desc("edge_strength"), F.desc("edge_reliability"), "edge_key"], most, "seed_rank")
+    if a == "i":
+        return s
+    s = stored(s, "seeds")
+    names = good.select(*by, F.col(a).alias("component"), F.col("i").alias("_name")).unionByName(good.select(*by, F.col(b).alias("component"), F.col("j").alias("_name")))
+    names = names.join(s.select(*by, "component").distinct(), [*by, "component"], "left_semi").distinct()
+    return s.join(names, [*by, "component"]).withColumn("component", F.col("_name")).drop("_name", *_NUMBERS)
 
 
 def diverse(seeded: DataFrame, most: int = 3) -> DataFrame:
@@ -115,7 +126,7 @@ def regions(e: DataFrame, starts: DataFrame, rest: DataFrame | None = None) -> D
     nodes = inner.withColumn("in", F.lit(True)).unionByName(rim.join(inner, ["seed", "node"], "left_anti").select("seed", "node", F.lit(False).alias("in")))
     nodes = stored(nodes, "regions")
     side = lambda c, node="node": nodes.select("seed", F.expr(node).alias(c), F.col("in").alias(f"in_{c}"))
-    found = e.join(side("i"), "i").join(side("j"), ["seed", "j"])
+    found = e.drop(*_NUMBERS).join(side("i"), "i").join(side("j"), ["seed", "j"])
     if rest is None:
         return found
     other = rest.join(side("i", _PLAIN), "i").join(side("j", _PLAIN), ["seed", "j"]).withColumn("iteration", F.substring("seed", 1, 6).cast("int"))
@@ -366,14 +377,18 @@ def dealt(e: DataFrame, iterations: int, seed: int) -> DataFrame:
 
     In each the second ends of all eligible edges are dealt anew over these edges, with their programs. Edges that become
     loops go, and of edges that become one the one with the least old key stays. The order comes from hashes, so reruns are
-    equal. Edges are numbered by ranges, so no task holds a graph's.
+    equal. Edges are numbered by ranges, so no task holds a graph's. Domains have numbers too, in the order of names.
     """
     good = S.numbered(e.where("eligible").withColumn("_all", F.lit(0)), ["_all"], [F.col("edge_key")], "_at").drop("_all")
+    names = good.select(F.lit(0).alias("_all"), F.explode(F.array("i", "j")).alias("_name")).distinct()
+    names = stored(S.numbered(names, ["_all"], [F.col("_name")], "_number").drop("_all"), "names")
+    for c, number in zip(("i", "j"), _NUMBERS, strict=True):
+        good = good.join(names.withColumnsRenamed({"_name": c, "_number": number}), c)
     good = stored(good, "eligible")
-    ends = _runs(good.select(F.col("j").alias("to"), F.col("program_j").alias("to_program"), "edge_key"), iterations).withColumn("_h", F.xxhash64(F.lit(seed), "iteration", "edge_key"))
+    ends = _runs(good.select(F.col("j").alias("to"), F.col("program_j").alias("to_program"), F.col(_NUMBERS[1]).alias("to_number"), "edge_key"), iterations).withColumn("_h", F.xxhash64(F.lit(seed), "iteration", "edge_key"))
     ends = S.numbered(ends, ["iteration"], [F.col("_h"), F.col("edge_key")], "_at").drop("_h", "edge_key")
-    out = ends.join(good.drop("j", "program_j", *_KEYS), "_at").where("i <> to").withColumnsRenamed({"to": "j", "to_program": "program_j"})
-    out = out.withColumns({"_a": F.least("i", "j"), "_b": F.greatest("i", "j")})
+    out = ends.join(good.drop("j", "program_j", _NUMBERS[1], *_KEYS), "_at").where("i <> to").withColumnsRenamed({"to": "j", "to_program": "program_j", "to_number": _NUMBERS[1]})
+    out = out.withColumns({"_a": F.least(*_NUMBERS), "_b": F.greatest(*_NUMBERS)})
     out = S.top_k(out, ["iteration", "_a", "_b"], ["_at"], 1, "_first").drop("_first", "_a", "_b", "_at")  # numbered by old keys
     return out.withColumns({c: _named(F.col("iteration"), c) for c in ("i", "j")})
 
@@ -390,7 +405,7 @@ def _runs(e: DataFrame, iterations: int) -> DataFrame:
 def rearranged(e: DataFrame, iterations: int, seed: int) -> DataFrame:
     """The graphs that dealt() makes with the other edges of e, which stay as they are in each."""
     rest = _runs(e.where("NOT eligible").drop(*_KEYS), iterations)
-    return dealt(e, iterations, seed).unionByName(rest.withColumns({c: _named(F.col("iteration"), c) for c in ("i", "j")}))
+    return dealt(e, iterations, seed).drop(*_NUMBERS).unionByName(rest.withColumns({c: _named(F.col("iteration"), c) for c in ("i", "j")}))
 
 
 def random_baseline(e: DataFrame, observed: DataFrame, iterations: int = 24, seed: int = 3024, overlap: float = 0.50,
